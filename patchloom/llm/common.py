@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.sources.session import prepare
+
 #: White space of the word and line rules: U+0020 and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]+"
@@ -61,7 +63,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text) -> F.Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import chat_format, line_dedup, mixing
-from patchloom.llm.common import table
+from patchloom.llm import chat_format, html_text, language_id, line_dedup, media_ts, mixing, tokens
+from patchloom.llm.common import scratch_path, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,30 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents"), path)
+    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = media_ts.read_back(media_ts.store(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", F.size("access_units").cast("long").alias("access_points"), "continuity_errors",
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_id.identify(documents, language_id.train(documents))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.trained())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,6 +89,10 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_tokens": op3_tokens,
+    "op5_media": op5_media,
+    "op6_language_id": op6_language_id,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
     "op10_chat_format": op10_chat_format,
 }

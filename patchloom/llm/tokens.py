@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ BLOCK_TOKENS = 1 << 18
 #: Fixed value: how the byte-level pre-tokenizer splits a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a worker's memories of encoded pieces and words may hold; beyond it pieces are encoded anew each time.
-MEMORY = 400_000
+PIECES, WORDS = 300_000, 1_200_000
 
 RAW = "part int, block int, start_in_part long, n_docs int, n_tokens long, doc_ids binary, lengths binary, ids binary"
 BLOCKS = "part int, block int, start_in_part long, n_docs int, n_tokens long, doc_ids binary, lengths binary, data binary"
@@ -57,14 +58,14 @@ class Encoder:
         before = json.loads(self.tokenizer.to_str())
         self.by_piece = (before.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not before["pre_tokenizer"].get("add_prefix_space") and before["pre_tokenizer"].get("use_regex", True) and not before.get("normalizer") and before["model"]["type"] == "BPE"
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.apart = re.compile(r"[^\S \n]|\s\s")
+        self.apart = re.compile(r"[^\S \n]").search
         cut = regex.compile(SPLIT).findall
         encoder = self
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 ids = encoder.whole(word)
-                if len(self) < MEMORY:
+                if len(self) < WORDS:
                     self[word] = ids
                 return ids
 
@@ -73,7 +74,7 @@ class Encoder:
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 ids = b"".join(map(words.__getitem__, cut(piece if piece[:1] == "\n" else f" {piece}")))
-                if len(self) < MEMORY:
+                if len(self) < PIECES:
                     self[piece] = ids
                 return ids
 
@@ -84,17 +85,23 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids of text, in the encoder's type."""
-        if not self.by_piece or self.apart.search(text):
+        if not self.by_piece or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.apart(text):
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         return (self.pieces[first] if first[:1] == "\n" else self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker keeps its encoder, and so its memory, from task to task."""
+    return Encoder(path)
+
+
 def _tokenize(path: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         size = encoder.dtype.itemsize
         part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -157,7 +164,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """
     spark = documents.sparkSession
     tokenizer = tokenizer or tokenizer_path()
-    dtype = Encoder(tokenizer).dtype
+    dtype = encoder_of(tokenizer).dtype
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     dealt = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
