@@ -145,12 +145,16 @@ def training_sample(documents: DataFrame, max_docs: int, windows: int) -> list[t
 
 
 def predictor(net: ByteConvNet):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of any columns, then text and letters -> those columns (keep_text: and text), then lang_pred and score."""
+
+    def run(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
         languages = pa.array(net.languages, pa.string())
         for batch in batches:
-            ids, held, text, letters = batch.columns
-            best = np.full(len(ids), -1)
-            score = np.zeros(len(ids))
+            *others, text, letters = batch.columns
+            names = batch.schema.names[: len(others) + keep_text]
+            others += [text] * keep_text
+            best = np.full(len(text), -1)
+            score = np.zeros(len(text))
             rows = np.flatnonzero(letters.to_numpy(zero_copy_only=False))
             some: list[np.ndarray] = []
             owner: list[int] = []
@@ -179,9 +183,9 @@ def predictor(net: ByteConvNet):
                     settle()
                     held_windows = 0
             settle()
-            known = languages.take(pa.array(np.where(best < 0, 0, best))) if net.languages else pa.nulls(len(ids), pa.string())
+            known = languages.take(pa.array(np.where(best < 0, 0, best))) if net.languages else pa.nulls(len(text), pa.string())
             pred = pa.array([k if b >= 0 else UNKNOWN for k, b in zip(known.to_pylist(), best, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, held, pred, pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*others, pred, pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -192,6 +196,20 @@ def train(documents: DataFrame, max_docs: int = 2000, windows: int = 4, **more)
     return fit([t for t, _ in sample], [y for _, y in sample], **more) if sample else ByteConvNet([])
 
 
+def has_letters(text):
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def predict_beside(documents: DataFrame, net: ByteConvNet) -> DataFrame:
+    """documents with lang_pred and score beside their columns (columns of these names give way); text comes last of
+    the old ones. Else as identify()."""
+    rows = documents.drop("lang_pred", "score")
+    others = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others, "text").schema)
+    run = predictor(net)
+    return rows.select(*others, "text", has_letters(F.col("text")).alias("letters")).mapInArrow(lambda batches: run(batches, True), f"{kinds}, lang_pred string, score double")
+
+
 def identify(documents: DataFrame, net: ByteConvNet) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of documents (doc_id, text).
 
@@ -203,6 +221,6 @@ def identify(documents: DataFrame, net: ByteConvNet) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        has_letters(F.col("text")).alias("letters"),
     )
     return rows.mapInArrow(predictor(net), PREDICTED)

@@ -126,3 +126,22 @@ def mix(documents: DataFrame, seed: int = 0, most: float = 3.0, group: int = GRO
     got = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("got_id")) & (F.col("n") == F.col("got_n")), "left")
     got = got.withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(0)).cast("long"))
     return got.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source", "n")
+
+
+def mixed(documents: DataFrame, **more) -> DataFrame:
+    """The rows of documents (doc_id, source, text and others), each as often as mix() takes it.
+
+    Repeated rows of a doc_id share its copies by their running number, so each is written as often as its own draw says.
+    """
+    copies = written(mix(documents, **more).select(F.col("doc_id").alias("id"), "n", "copies"), "mix-copies")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    if copies.where("n > 0").head(1):
+        # the numbers of mix(): 0 for an id of one row, else 1, 2, ...
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", word_count(F.col("text")), "text"))
+        once = copies.where("n = 0").select("id", F.lit(True).alias("_once"))
+        rows = documents.join(once, same, "left").withColumn("_n", F.when(F.col("_once"), 0).otherwise(place).cast("long")).drop("id", "_once")
+        same = same & (F.col("_n") == F.col("n"))
+    else:
+        rows = documents
+    got = rows.join(copies.where("copies > 0"), same)
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*documents.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import chat_format, html_text, language_id, line_dedup, media_ts, mixing, tokens
+from patchloom.llm import chat_format, decontaminate, html_text, jaccard_join, language_id, line_dedup, media_ts, mixing, substring_dedup, tokens
 from patchloom.llm.common import scratch_path, table
 
 
@@ -31,12 +31,42 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_sentences", "n_removed", "n_words_removed", "text")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path)
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+  FROM words WHERE len(ws) > 0),
+shingles AS (SELECT doc_id, unnest(s) AS h FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * c >= 75 * (len(p.s) + len(q.s) - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reached r JOIN both_ways l ON l.x = r.b)
+SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = media_ts.read_back(media_ts.store(table(spark, sf_dir, "documents")))
     return back.select(
@@ -59,6 +89,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "matched_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -89,11 +124,14 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_tokens": op3_tokens,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_media": op5_media,
     "op6_language_id": op6_language_id,
     "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op10_chat_format": OP10_SQL}
