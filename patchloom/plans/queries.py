@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from patchloom.plans import q_catalog, q_chat, q_pairs, q_text  # noqa: F401
