@@ -9,27 +9,23 @@ checksums and gives each document's ids and its place in the whole sequence.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import rans
+from patchloom.llm import rans, words
 from patchloom.llm.common import scratch_path
 
 END_ID = 2
 #: Tokens after which a block is closed; a block holds whole documents, so a longer document is a longer block.
 BLOCK_TOKENS = 1 << 18
-#: Fixed value: how the byte-level pre-tokenizer splits a text before the merges.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that a worker's memories of encoded pieces and words may hold; beyond it pieces are encoded anew each time.
-PIECES, WORDS = 300_000, 1_200_000
+#: Entries of a worker's memory of encoded pieces, and the longest piece it keeps.
+ENTRIES, LONGEST = 4_000_000, 64
 
 RAW = "part int, block int, start_in_part long, n_docs int, n_tokens long, doc_ids binary, lengths binary, ids binary"
 BLOCKS = "part int, block int, start_in_part long, n_docs int, n_tokens long, doc_ids binary, lengths binary, data binary"
@@ -42,12 +38,94 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """Ids of pieces by the pieces' hashes: sorted tables, a large and a recent one, of about 20 bytes an entry."""
+
+    def __init__(self, dtype: np.dtype):
+        empty = np.zeros(0, np.int64)
+        self.tables = [(np.zeros(0, np.uint64), empty, empty)] * 2  # hashes, places in the pool, lengths
+        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and lengths; a place of -1 where a hash is not known."""
+        place, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, places, sizes in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+        return place, size
+
+    def hold(self, ids: np.ndarray) -> int:
+        """Puts ids into the pool and says where."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def add(self, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> None:
+        merged = []
+        for old, new in zip(self.tables[1], (hashes, places, sizes), strict=True):
+            merged.append(np.concatenate([old, new]))
+        if len(merged[0]) > len(self.tables[0][0]) // 4:
+            merged = [np.concatenate([old, new]) for old, new in zip(self.tables[0], merged, strict=True)]
+            self.tables[0], merged = self._sorted(merged), [x[:0] for x in merged]
+        self.tables[1] = self._sorted(merged)
+
+    @staticmethod
+    def _sorted(table):
+        order = np.argsort(table[0])
+        return tuple(x[order] for x in table)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+
+# Bytes of letters and digits, and first bytes of UTF-8 whose characters all are letters (U+00C0 to
+# U+027F but two signs, U+0400 to U+047F).
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[[9 + 1, *range(32, 127), *range(128, 192), *range(0xC3, 0xCA), 0xD0, 0xD1]] = True
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of some texts begin.
+
+    The byte-level pre-tokenizer never joins what stands before a single white-space character to what follows it, nor
+    a word to the lone full stop or comma that ends it. So a piece begins at a blank, at a line end, after a line end,
+    and at such a mark; the library sees each piece as it stands. A text with white space of other kinds or in a row,
+    or with characters that may be no letters, is one piece.
+    """
+    n = len(data)
+    blank, line = data == 32, data == 10
+    space = blank | line
+    odd = ~PLAIN[data]
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | space[:-1] & space[1:]
+    begin = space.copy()
+    begin[1:] |= line[:-1]
+    ends = np.ones(n, bool)
+    ends[:-1] = space[1:]
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    ends[last] = True
+    mark = ((data == 46) | (data == 44)) & ends
+    mark[1:] &= ALNUM[data[:-1]]
+    mark[:1] = False
+    begin |= mark
+    bad = np.add.reduceat(np.append(odd, False), np.minimum(offsets[:-1], n)) > 0
+    bad &= np.diff(offsets) > 0
+    if bad.any():
+        begin &= ~np.repeat(bad, np.diff(offsets))
+    begin[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begin)
+
+
 class Encoder:
-    """Texts to ids with the tokenizers library, through a memory of pieces.
+    """Texts to ids with the tokenizers library, through a memory of pieces that holds up to `ENTRIES` of them.
 
-    A byte-level pre-tokenizer of this family never joins what stands before a single white-space character to what
-    follows it, so a text whose white space is single blanks and line ends can be encoded piece by piece: pieces keep
-    the blank or line end before them. Other texts, and other kinds of tokenizer, go to the library whole.
+    Pieces are known by 64-bit hashes of their bytes: among ten million pieces two meet with a chance of 3 in a
+    million. Tokenizers of other kinds than a plain byte-level BPE get each text as one piece.
     """
 
     def __init__(self, path: str):
@@ -55,40 +133,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        before = json.loads(self.tokenizer.to_str())
-        self.by_piece = (before.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not before["pre_tokenizer"].get("add_prefix_space") and before["pre_tokenizer"].get("use_regex", True) and not before.get("normalizer") and before["model"]["type"] == "BPE"
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not made.get("normalizer") and made["model"]["type"] == "BPE"
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.apart = re.compile(r"[^\S \n]").search
-        cut = regex.compile(SPLIT).findall
-        encoder = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = encoder.whole(word)
-                if len(self) < WORDS:
-                    self[word] = ids
-                return ids
-
-        words = Words()
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = b"".join(map(words.__getitem__, cut(piece if piece[:1] == "\n" else f" {piece}")))
-                if len(self) < PIECES:
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """The ids of text, in the encoder's type."""
-        if not self.by_piece or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.apart(text):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return (self.pieces[first] if first[:1] == "\n" else self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+        self.memory = Memory(self.dtype)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text) of stretches of texts, each text with end_id after it."""
+        for _, _, data, offsets in words.pieces(texts, 2 << 20):
+            begins = cuts(data, offsets) if self.by_piece else offsets[:-1][np.diff(offsets) > 0]
+            ends = np.append(begins[1:], len(data))
+            hashes = words.span_hashes(data, begins)
+            unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            memory = self.memory
+            room = memory.used
+            place, size = memory.find(unique)
+            new = np.flatnonzero(place < 0)
+            raw = data.tobytes()
+            for i in new.tolist():
+                ids = self.whole(raw[begins[first[i]] : ends[first[i]]].decode())
+                place[i], size[i] = memory.hold(ids), len(ids)
+            lengths = size[which]
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            index = np.repeat(place[which] - total[:-1], lengths) + np.arange(total[-1])
+            ids = memory.pool[index]
+            at = total[np.searchsorted(begins, offsets)]
+            yield np.insert(ids, at[1:], end_id), np.diff(at) + 1
+            if len(memory) + len(new) <= ENTRIES:
+                kept = new[(ends - begins)[first[new]] <= LONGEST]
+                memory.add(unique[kept], place[kept], size[kept])
+            else:
+                memory.used = room
 
 
 @lru_cache(1)
@@ -102,8 +181,6 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        size = encoder.dtype.itemsize
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids, lengths, docs, held = [], [], [], 0
 
@@ -115,14 +192,17 @@ def _tokenize(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                made = encoder(text or "") + end
-                ids.append(made)
-                lengths.append(len(made) // size)
-                docs.append(doc_id)
-                held += lengths[-1]
-                if held >= BLOCK_TOKENS:
-                    yield close()
+            doc_ids = iter(batch[0].to_pylist())
+            for made, sizes in encoder.encode(batch[1], end_id):
+                at = 0
+                for size in sizes.tolist():
+                    ids.append(made[at : at + size].tobytes())
+                    at += size
+                    lengths.append(size)
+                    docs.append(next(doc_ids))
+                    held += size
+                    if held >= BLOCK_TOKENS:
+                        yield close()
         if docs:
             yield close()
 
