@@ -6,9 +6,10 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names by matching blocks, 0 to 1; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -20,13 +21,13 @@ def _changed(before: str | None, after: str | None) -> int:
     return sum(max(i2 - i1, j2 - j1) for kind, i1, i2, j1, j2 in spans if kind != "equal")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def changed_lines(before: pd.Series, after: pd.Series) -> pd.Series:
     """Trimmed lines, blank ones left out, that differ between two texts."""
     return pd.Series([_changed(x, y) for x, y in zip(before, after, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
 def decode(content: pd.Series) -> pd.DataFrame:
     """Bytes as UTF-8, else as GB18030, else as UTF-8 with replacement; null stays null."""
 

@@ -68,27 +68,35 @@ def close_text(code: Column) -> Column:
     return F.when(trimmed == "", F.lit("")).otherwise(F.concat(trimmed, F.lit("\n")))
 
 
-def drop_headers(lines: Column, marks: list[str], separator: str = r"^/{20,}$", rounds: int = 3) -> Column:
+def _let(value: Column, f) -> Column:
+    """f(value), the value written once: an expression that names it twice would hold it twice."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def drop_headers(lines: Column, marks: list[str], separator: str = r"^/{20,}$") -> Column:
     """Lines without template headers: a separator among the first 10 lines up to the next one within 39 lines, if
-    lines between begin with all the marks. It is done again on what is left, `rounds` times."""
+    lines between begin with all the marks; else the next separator is tried. It is done again until nothing is found,
+    so at most as often as there are separators."""
+
+    def end_of(ls: Column, start: Column) -> Column:
+        """The place of the closing separator, or null."""
+        later = F.filter(F.sequence(start + 1, start + 39), lambda k: F.coalesce(F.get(ls, k).rlike(separator), F.lit(False)))
+        return F.get(later, F.lit(0))
 
-    def closes(ls: Column, start: Column) -> Column:
-        later = F.filter(F.sequence(start + 1, start + 39), lambda k: (k < F.size(ls)) & F.coalesce(F.get(ls, k).rlike(separator), F.lit(False)))
-        return F.coalesce(F.get(later, F.lit(0)), F.lit(-1))
+    def has_marks(inner: Column) -> Column:
+        return F.forall(F.array(*map(F.lit, marks)), lambda m: F.exists(inner, lambda line: F.startswith(F.ltrim(line), m)))
 
-    def is_header(ls: Column, start: Column) -> Column:
-        end = closes(ls, start)
-        inner = F.slice(ls, start + 2, F.greatest(end - start - 1, F.lit(0)))
-        return F.get(ls, start).rlike(separator) & (end >= 0) & F.forall(F.array(*map(F.lit, marks)), lambda m: F.exists(inner, lambda line: F.startswith(F.ltrim(line), m)))
+    def header_end(ls: Column, start: Column) -> Column:
+        return _let(end_of(ls, start), lambda e: F.when(has_marks(F.slice(ls, start + 2, F.greatest(e - start - 1, F.lit(0)))), e))
 
     def once(ls: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda k: (k < F.size(ls)) & F.coalesce(is_header(ls, k), F.lit(False)))
-        start = F.get(at, F.lit(0))
-        return F.when(start.isNull(), ls).otherwise(F.concat(F.slice(ls, F.lit(1), start), F.slice(ls, closes(ls, start) + 2, F.greatest(F.size(ls) - closes(ls, start) - 1, F.lit(0)))))
+        starts = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda k: F.coalesce(F.get(ls, k).rlike(separator), F.lit(False)))
+        spans = F.filter(F.transform(starts, lambda k: F.struct(k.alias("a"), header_end(ls, k).alias("e"))), lambda x: x["e"].isNotNull())
+        cut = lambda x: F.concat(F.slice(ls, F.lit(1), x["a"]), F.slice(ls, x["e"] + 2, F.size(ls)))
+        return _let(F.get(spans, F.lit(0)), lambda x: F.when(x.isNull(), ls).otherwise(cut(x)))
 
-    for _ in range(rounds):
-        lines = once(lines)
-    return lines
+    rounds = F.sequence(F.lit(0), F.size(F.filter(lines, lambda x: x.rlike(separator))))
+    return F.aggregate(rounds, lines, lambda ls, _: once(ls))
 
 
 def unify_lines(code: Column) -> Column:

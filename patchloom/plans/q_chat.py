@@ -42,9 +42,9 @@ def chat_role_check(spark, d):
 
 _COUNT = r"len(regexp_extract_all(coalesce({0}, ''), '\S+'))"
 _RENDER = "array_to_string(list_transform({0}, lambda m: '<|' || m.role || '|>' || chr(10) || m.content || chr(10)), '')"
-COUNTS = f"""{X.CHATS}, last_at AS (SELECT *, list_max(list_transform(list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant'), lambda i: i)) AS at FROM chats),
-counts AS (SELECT conv_id, {_COUNT.format(_RENDER.format('messages[1:at - 1]'))}::INT AS input, {_COUNT.format('messages[at].content')}::INT AS assistant,
-  {_COUNT.format(_RENDER.format('messages'))}::INT AS "full" FROM last_at WHERE at IS NOT NULL)"""
+COUNTS = f"""{X.CHATS}, last_at AS (SELECT *, list_max(list_transform(list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant'), lambda i: i)) AS place FROM chats),
+counts AS (SELECT conv_id, {_COUNT.format(_RENDER.format('messages[1:place - 1]'))}::INT AS input, {_COUNT.format('messages[place].content')}::INT AS assistant,
+  {_COUNT.format(_RENDER.format('messages'))}::INT AS "full" FROM last_at WHERE place IS NOT NULL)"""
 MEASURES = ["input", "assistant", "full"]
 LIMITS = [128, 256, 512, 1024]
 
