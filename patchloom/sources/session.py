@@ -7,12 +7,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Settings of Arrow batches: Spark's own values, and those that keep a worker small however long its texts are.
+BATCHES = (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),)
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library where they see the same folder (else ship it with --py-files)."""
+    """Lets Python workers import this library where they see the same folder (else ship it with --py-files), and
+    bounds the batches that they are sent, by bytes, unless the session has bounds of its own."""
     known = spark.sparkContext.environment
     if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH", "")]))
+    for key, usual, wanted in BATCHES:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, wanted)
     return spark
