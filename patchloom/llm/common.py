@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the interpreter ends."""
+    prepare(spark)
     path = f"{shared_dir(spark).rstrip('/')}/patchloom/{name}-{uuid.uuid4().hex[:12]}"
     _scratch.append((spark, path))
     return path

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm import words
+from patchloom.sources.session import prepare
 
 #: Bytes of benchmark text that go to the workers at once; a larger benchmark is worked on in blocks.
 BLOCK_BYTES = 32 << 20
@@ -168,7 +169,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold:
     none. Other columns are not read. Items go to the workers in blocks of at most about BLOCK_BYTES of text, each
     against all documents.
     """
-    spark = documents.sparkSession
+    spark = prepare(documents.sparkSession)
     items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))

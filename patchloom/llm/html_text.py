@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from patchloom.sources.session import prepare
+
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 # Fixed values of HTML: elements without end tags, with raw text, and that stand inside a line.
@@ -374,4 +376,5 @@ def extract(pages: DataFrame, model: TreeModel) -> DataFrame:
             texts = [model.text(h) if h else "" for h in batch[2].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    prepare(pages.sparkSession)
     return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(run, EXTRACTED)

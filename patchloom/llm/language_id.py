@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.sources.session import prepare
+
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 6
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -203,11 +205,13 @@ def has_letters(text):
 def predict_beside(documents: DataFrame, net: ByteConvNet) -> DataFrame:
     """documents with lang_pred and score beside their columns (columns of these names give way); text comes last of
     the old ones. Else as identify()."""
+    prepare(documents.sparkSession)
     rows = documents.drop("lang_pred", "score")
     others = [c for c in rows.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others, "text").schema)
     run = predictor(net)
-    return rows.select(*others, "text", has_letters(F.col("text")).alias("letters")).mapInArrow(lambda batches: run(batches, True), f"{kinds}, lang_pred string, score double")
+    free = next(name for k in range(len(others) + 2) if (name := f"letters{k}") not in rows.columns)
+    return rows.select(*others, "text", has_letters(F.col("text")).alias(free)).mapInArrow(lambda batches: run(batches, True), f"{kinds}, lang_pred string, score double")
 
 
 def identify(documents: DataFrame, net: ByteConvNet) -> DataFrame:
@@ -217,6 +221,7 @@ def identify(documents: DataFrame, net: ByteConvNet) -> DataFrame:
     language. A null doc_id is not held out. Repeated rows get equal results; an empty table gives no row; whole texts
     are read, of any length; other columns are not.
     """
+    prepare(documents.sparkSession)
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from patchloom.sources.session import prepare
+
 # Fixed values of the transport stream format, and the layout chosen here.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PRIVATE_STREAM, STREAM_TYPE = 188, 0x47, 0, 0x1000, 0x100, 0xBD, 0x06
 CRC_POLYNOMIAL = 0x04C11DB7
@@ -218,6 +220,7 @@ def store(documents: DataFrame) -> DataFrame:
     A null or empty text is one frame of spaces. Null ids and repeated rows stay as they are, an empty table gives no
     row, other columns are not read. A row is worked on alone, so memory follows the longest text.
     """
+    prepare(documents.sparkSession)
     return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_mux_batches, MUXED)
 
 

@@ -105,7 +105,7 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
     return mix((hashes * _PLACE[32 : 32 + len(hashes)]).sum(keepdims=True) + np.uint64(len(hashes)))[0]
 
 
-def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of stretches of about `most` bytes, or of one longer text."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
