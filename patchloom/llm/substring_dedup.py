@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from patchloom.llm import words
 from patchloom.llm.common import written
 
-#: A table of repeated spans of at most so many rows may be broadcast.
-BROADCAST_ROWS = 250_000
 REMOVED = "doc_id long, text string, n_sentences long, n_removed long, n_words_removed long, removed array<struct<begin:long,end:long>>"
 
 
@@ -134,8 +132,6 @@ def dedup_spans(documents: DataFrame, span: int = 3, min_words: int = 24) -> Dat
     spans = docs.select("doc_id", "t", "text").mapInArrow(_spans(span, min_words), "h1 long, h2 long, doc_id long, t long, at int")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count("*").alias("c"))
     repeated = written(first.where("c > 1").select("h1", "h2", "first"), "repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
     later = spans.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "t", "at").eqNullSafe(F.col("first")))
     spots = later.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "spots")
     both = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left")
