@@ -10,8 +10,6 @@ level of a reduction tree, and a source ends with one open document, which goes
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,12 +110,13 @@ def mix(documents: DataFrame, seed: int = 0, most: float = 3.0, group: int = GRO
 
     left = rows.where("p > 0").select("source", "size", F.col("doc_id").alias("id"), "n", "p", F.floor(F.log2(F.col("size") + 1.0) * 8).alias("b"))
     closed: list[DataFrame] = []
-    per_source = rows.where("p > 0").groupBy("source").count().agg(F.max("count")).head()[0] or 0
-    levels = 4 + max(0, math.ceil(math.log(max(per_source, 1) / group, group / 2))) if per_source else 0
-    for level in range(levels):
+    most_open = lambda df: df.groupBy("source").count().agg(F.max("count")).head()[0] or 0
+    level, still = 0, most_open(left)
+    while still > 1:  # a group leaves one open document at most, and from level 4 on all of a source may meet
         folded = written(_level(left, level, seed, group), f"mix-level{level}")
         closed.append(folded.where("not open").select("source", "id", "n", "p"))
         left = folded.where("open").select("source", "size", "id", "n", "p", "b")
+        level, still = level + 1, most_open(left)
     last = left.select("source", "id", "n", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0).alias("p"))
     drawn = last
     for part in closed:
@@ -133,15 +132,19 @@ def mixed(documents: DataFrame, **more) -> DataFrame:
 
     Repeated rows of a doc_id share its copies by their running number, so each is written as often as its own draw says.
     """
-    copies = written(mix(documents, **more).select(F.col("doc_id").alias("id"), "n", "copies"), "mix-copies")
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
-    if copies.where("n > 0").head(1):
+    own = "_mix"
+    while any(c.startswith(own) for c in documents.columns):
+        own += "_"
+    ident, number, times, once, place = (own + x for x in ("id", "n", "times", "once", "place"))
+    copies = mix(documents, **more).select(F.col("doc_id").alias(ident), F.col("n").alias(number), F.col("copies").alias(times))
+    copies = written(copies, "mix-copies")
+    same = F.col("doc_id").eqNullSafe(F.col(ident))
+    rows = documents
+    if copies.where(F.col(number) > 0).head(1):
         # the numbers of mix(): 0 for an id of one row, else 1, 2, ...
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", word_count(F.col("text")), "text"))
-        once = copies.where("n = 0").select("id", F.lit(True).alias("_once"))
-        rows = documents.join(once, same, "left").withColumn("_n", F.when(F.col("_once"), 0).otherwise(place).cast("long")).drop("id", "_once")
-        same = same & (F.col("_n") == F.col("n"))
-    else:
-        rows = documents
-    got = rows.join(copies.where("copies > 0"), same)
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*documents.columns)
+        count = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", word_count(F.col("text")), "text"))
+        single = copies.where(F.col(number) == 0).select(ident, F.lit(True).alias(once))
+        rows = rows.join(single, same, "left").withColumn(place, F.when(F.col(once), 0).otherwise(count).cast("long")).drop(ident, once)
+        same = same & (F.col(place) == F.col(number))
+    got = rows.join(copies.where(F.col(times) > 0), same)
+    return got.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in documents.columns])
