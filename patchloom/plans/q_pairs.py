@@ -191,3 +191,34 @@ def utf8_or_gb(spark, d):
 @query("table_cells", f"""WITH {X.PAIRS} SELECT pair_id, translate(fixed_code, chr(9) || chr(13) || chr(10), '   ') AS fixed_code, verification FROM pairs""")
 def table_cells(spark, d):
     return sinks.as_cells(X.pairs(spark, d).select("pair_id", "fixed_code", "verification"))
+
+
+@query("verification_counts", f"""WITH {X.PAIRS} SELECT CASE WHEN valid_repair OR verification = 'testbench_verified' THEN 'valid'
+  WHEN NOT valid_repair OR verification = 'invalid' THEN 'invalid' ELSE 'unverified' END AS state, count(*)::BIGINT AS n FROM pairs GROUP BY 1""")
+def verification_counts(spark, d):
+    valid, label = F.col("valid_repair"), F.col("verification")
+    state = F.when(valid | (label == "testbench_verified"), "valid").when(~valid | (label == "invalid"), "invalid").otherwise("unverified")
+    return X.pairs(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("busiest_problems", f"WITH {X.PAIRS} SELECT problem_id, count(*)::BIGINT AS n FROM pairs GROUP BY 1 ORDER BY n DESC, problem_id LIMIT 5")
+def busiest_problems(spark, d):
+    return X.pairs(spark, d).groupBy("problem_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "problem_id").limit(5)
+
+
+@query("id_order", f"WITH {X.PAIRS} SELECT pair_id, row_number() OVER (ORDER BY pair_id[2:]::BIGINT)::BIGINT AS place FROM pairs")
+def id_order(spark, d):
+    return scoring.global_rank(X.pairs(spark, d).select("pair_id", F.substring("pair_id", 2, 20).cast("long").alias("number")), ["number"], "place").select("pair_id", "place")
+
+
+@query("problem_subset", f"WITH {X.PAIRS} SELECT pair_id, problem_id FROM pairs WHERE problem_id IN (SELECT l_linenumber FROM lineitem)")
+def problem_subset(spark, d):
+    wanted = X.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("problem_id")).distinct()
+    return X.pairs(spark, d).join(wanted, "problem_id", "left_semi").select("pair_id", "problem_id")
+
+
+@query("signal_stats", f"""{ALL}, long AS (SELECT 'correctness' AS signal, round(c, 6) AS v FROM scored UNION ALL SELECT 'purity', round(p, 6) FROM scored UNION ALL SELECT 'diversity', round(dv, 6) FROM scored UNION ALL SELECT 'informativeness', round(i, 6) FROM scored)
+SELECT signal, count(*)::BIGINT AS n, round(min(v), 6) AS least, round(avg(v), 6) AS mean, round(max(v), 6) AS most FROM long GROUP BY 1""")
+def signal_stats(spark, d):
+    long = _scored(spark, d).unpivot("pair_id", list(scoring.WEIGHTS), "signal", "v")
+    return long.groupBy("signal").agg(F.count("*").alias("n"), F.round(F.min("v"), 6).alias("least"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("most"))
