@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="patchloom-")
     spark.conf.set("spark.checkpoint.dir", made)
