@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
+from patchloom.sources.scratch import written
 
 # Weights of the four signals, tiers with their least score and training weight, correctness by label.
 WEIGHTS = {"correctness": 0.41, "purity": 0.29, "diversity": 0.18, "informativeness": 0.12}
@@ -58,8 +59,9 @@ def quality_sample(scored: DataFrame, ratio: float = 0.8, seed: int = 42, key: s
 
 def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their 1-based place in a total order, without gathering them in one task: ranges of the order are
-    ranked side by side, and each adds the sizes of those before it (a row a range)."""
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranked side by side, and each adds the sizes of those before it (a row a range). The ranges are written, for Spark
+    draws their bounds from a sample and would draw others the next time."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
