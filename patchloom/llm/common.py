@@ -1,68 +1,17 @@
-"""What the operators of this subpackage share: scratch tables in the cluster's shared folder, and table reads."""
+"""What the operators of this subpackage share: scratch tables, table reads, the rule of words."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.sources.scratch import remove, scratch_path, shared_dir, written  # noqa: F401
 from patchloom.sources.session import prepare
 
 #: White space of the word and line rules: U+0020 and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (a local session only) a temporary one."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="patchloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the interpreter ends."""
-    prepare(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/patchloom/{name}-{uuid.uuid4().hex[:12]}"
-    _scratch.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _scratch:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session is gone already
-            return
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
