@@ -15,7 +15,7 @@ IGNORED = -100
 def chat_rows(pairs: DataFrame, catalog: DataFrame, system: str = SYSTEM, mark: str = MARK) -> DataFrame:
     """pair_id, problem_id and messages: system, user (the problem, the mark, the fenced code), assistant (fenced code)."""
     fence = lambda c: F.concat(F.lit("```verilog\n"), c, F.lit("\n```"))
-    known = F.broadcast(catalog.select(F.col("id").alias("problem_id"), F.coalesce("description", F.lit("")).alias("description")))
+    known = catalog.select(F.col("id").alias("problem_id"), F.coalesce("description", F.lit("")).alias("description"))
     user = F.concat(F.lit("### Problem\n"), F.col("description"), F.lit(f"\n\n{mark}\n"), fence(F.col("buggy_code")))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return pairs.join(known, "problem_id").select("pair_id", "problem_id", F.array(message("system", F.lit(system)), message("user", user), message("assistant", fence(F.col("fixed_code")))).alias("messages"))

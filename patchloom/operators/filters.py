@@ -41,7 +41,7 @@ def edit_fence(pairs: DataFrame, threshold: float | None = None, k: float = 1.5)
 
 def hard_reject(pairs: DataFrame, catalog: DataFrame, most: float = 0.9) -> DataFrame:
     """pairs with filter_reason, the first that holds: invalid label, out of scope, empty, identical, near rewrite."""
-    scope = F.broadcast(catalog.select(F.col("id").alias("problem_id"), F.lit(True).alias("in_scope")))
+    scope = catalog.select(F.col("id").alias("problem_id"), F.lit(True).alias("in_scope"))
     blank = (T.py_strip(F.col("buggy_code")) == "") | (T.py_strip(F.col("fixed_code")) == "")
     invalid = F.coalesce(~F.col("valid_repair"), F.lit(False)) | F.coalesce(F.col("verification") == "invalid", F.lit(False))
     reason = (
@@ -105,4 +105,4 @@ def forbidden(rows: DataFrame, rules: DataFrame, side: str) -> DataFrame:
 
     Patterns differ by row, so the test runs over characters: a rule is a set of them."""
     found = F.array_sort(F.array_distinct(F.filter(F.split(F.col(side), ""), lambda c: (c != "") & F.contains(F.col("characters"), c))))
-    return rows.join(F.broadcast(rules), "problem_id").withColumn("found", found).where(F.size("found") > 0)
+    return rows.join(rules, "problem_id").withColumn("found", found).where(F.size("found") > 0)

@@ -27,7 +27,7 @@ def problem_lift(base: DataFrame, tuned: DataFrame, names: DataFrame, train_coun
     """Of each problem both pass rates and the lift in points. base, tuned: pair_id, problem_id, status."""
     both = base.join(tuned.select("pair_id", F.col("status").alias("tuned_status")), "pair_id")
     out = both.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "AC").alias("base_ac"), F.count_if(F.col("tuned_status") == "AC").alias("tuned_ac"))
-    out = out.join(F.broadcast(names), "problem_id", "left").join(F.broadcast(train_counts), "problem_id", "left")
+    out = out.join(names, "problem_id", "left").join(train_counts, "problem_id", "left")
     out = out.withColumn("name", F.coalesce("name", F.lit(""))).withColumn("train", F.coalesce("train", F.lit(0)))
     return out.withColumn("base_rate", F.col("base_ac") / F.col("n")).withColumn("tuned_rate", F.col("tuned_ac") / F.col("n")).withColumn("lift", 100 * (F.col("tuned_ac") - F.col("base_ac")) / F.col("n"))
 

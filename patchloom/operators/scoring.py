@@ -19,7 +19,7 @@ def with_diversity(pairs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("problem_id").agg(F.count("*").alias("problem_rows"))
     least = counts.agg(F.min("problem_rows").alias("least_rows"))
     share = counts.crossJoin(F.broadcast(least)).withColumn("diversity", F.sqrt(F.col("least_rows") / F.col("problem_rows")))
-    return pairs.join(F.broadcast(share), "problem_id")
+    return pairs.join(share, "problem_id")
 
 
 def score(pairs: DataFrame) -> DataFrame:
