@@ -415,7 +415,7 @@ def test_mix(spark, docs, odd, none):
 def test_mix_is_fair(spark):
     """Over many seeds a document is taken as often as its share says."""
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(40)], "doc_id long, text string, source string").cache()
-    total, runs = collections.Counter(), 8
+    total, runs = collections.Counter(), 4
     for seed in range(runs):
         for r in mixing.mix(df, seed=seed).collect():
             total[r.source] += r.copies - r.target / r.source_size
