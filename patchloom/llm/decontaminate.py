@@ -178,7 +178,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold:
     for block in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         seeds = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in some.collect()], seed))
-        part = docs.mapInArrow(_find(seeds, threshold), FOUND)
+        part = docs.mapInArrow(words.tidy(_find(seeds, threshold)), FOUND)
         found = part if found is None else found.unionByName(part)
     return found
 

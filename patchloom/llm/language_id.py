@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.words import tidy
 from patchloom.sources.session import prepare
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 6
@@ -209,7 +210,7 @@ def predict_beside(documents: DataFrame, net: ByteConvNet) -> DataFrame:
     rows = documents.drop("lang_pred", "score")
     others = [c for c in rows.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others, "text").schema)
-    run = predictor(net)
+    run = tidy(predictor(net))
     free = next(name for k in range(len(others) + 2) if (name := f"letters{k}") not in rows.columns)
     return rows.select(*others, "text", has_letters(F.col("text")).alias(free)).mapInArrow(lambda batches: run(batches, True), f"{kinds}, lang_pred string, score double")
 
@@ -228,4 +229,4 @@ def identify(documents: DataFrame, net: ByteConvNet) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         has_letters(F.col("text")).alias("letters"),
     )
-    return rows.mapInArrow(predictor(net), PREDICTED)
+    return rows.mapInArrow(tidy(predictor(net)), PREDICTED)

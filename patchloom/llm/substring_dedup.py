@@ -129,10 +129,10 @@ def dedup_spans(documents: DataFrame, span: int = 3, min_words: int = 24) -> Dat
     not read. Spans are counted before they are shuffled, and no group of equal spans is gathered.
     """
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("t", F.xxhash64("text"))
-    spans = docs.select("doc_id", "t", "text").mapInArrow(_spans(span, min_words), "h1 long, h2 long, doc_id long, t long, at int")
+    spans = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, min_words)), "h1 long, h2 long, doc_id long, t long, at int")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count("*").alias("c"))
     repeated = written(first.where("c > 1").select("h1", "h2", "first"), "repeated")
     later = spans.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "t", "at").eqNullSafe(F.col("first")))
     spots = later.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "spots")
     both = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left")
-    return both.select("doc_id", "text", "spots").mapInArrow(_cut(span, min_words), REMOVED)
+    return both.select("doc_id", "text", "spots").mapInArrow(words.tidy(_cut(span, min_words)), REMOVED)

@@ -8,7 +8,6 @@ checksums and gives each document's ids and its place in the whole sequence.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,9 +132,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        made = json.loads(self.tokenizer.to_str())
-        before = made.get("pre_tokenizer") or {}
-        self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not made.get("normalizer") and made["model"]["type"] == "BPE"
+        before, kind = self.tokenizer.pre_tokenizer, lambda x: type(x).__name__
+        self.by_piece = kind(before) == "ByteLevel" and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None and kind(self.tokenizer.model) == "BPE"
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memory = Memory(self.dtype)
 
@@ -144,7 +142,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) of stretches of texts, each text with end_id after it."""
-        for _, _, data, offsets in words.pieces(texts, 2 << 20):
+        for _, _, data, offsets in words.pieces(texts, 1 << 20):
             begins = cuts(data, offsets) if self.by_piece else offsets[:-1][np.diff(offsets) > 0]
             ends = np.append(begins[1:], len(data))
             hashes = words.span_hashes(data, begins)
@@ -249,13 +247,13 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     dealt = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     raw_path = scratch_path(spark, "token-ids")
-    dealt.mapInArrow(_tokenize(tokenizer, end_id), RAW).write.parquet(raw_path)
+    dealt.mapInArrow(words.tidy(_tokenize(tokenizer, end_id)), RAW).write.parquet(raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
     # at most one row a symbol comes to the driver
-    counts = raw.select("ids").mapInArrow(_count(dtype), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    counts = raw.select("ids").mapInArrow(words.tidy(_count(dtype)), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     table = rans.FrequencyTable.from_counts([r["symbol"] for r in counts], [r["n"] for r in counts]) if counts else rans.FrequencyTable.from_counts([end_id], [1])
     spark.createDataFrame([(int(s), int(f)) for s, f in zip(table.symbols, table.freqs, strict=True)], "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    raw.mapInArrow(_encode(dtype, table), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.mapInArrow(words.tidy(_encode(dtype, table)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _decode(table: rans.FrequencyTable):
@@ -289,6 +287,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for r in totals:
         bases.append((r["part"], base))
         base += r["n"]
-    docs = blocks.select("part", "start_in_part", "doc_ids", "lengths", "data").mapInArrow(_decode(table), READ)
+    docs = blocks.select("part", "start_in_part", "doc_ids", "lengths", "data").mapInArrow(words.tidy(_decode(table)), READ)
     placed = docs.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
     return placed.select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
