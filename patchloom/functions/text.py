@@ -96,7 +96,8 @@ def drop_headers(lines: Column, marks: list[str], separator: str = r"^/{20,}$")
         return _let(F.get(spans, F.lit(0)), lambda x: F.when(x.isNull(), ls).otherwise(cut(x)))
 
     rounds = F.sequence(F.lit(0), F.size(F.filter(lines, lambda x: x.rlike(separator))))
-    return F.aggregate(rounds, lines, lambda ls, _: once(ls))
+    begins = F.exists(F.slice(lines, 1, 10), lambda x: x.rlike(separator))  # else there is nothing to look for
+    return F.when(begins, F.aggregate(rounds, lines, lambda ls, _: once(ls))).otherwise(lines)
 
 
 def unify_lines(code: Column) -> Column:
