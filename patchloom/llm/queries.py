@@ -32,7 +32,7 @@ FROM marked GROUP BY doc_id
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    left = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"), passage=50)
     return left.select("doc_id", "n_sentences", "n_removed", "n_words_removed", "text")
 
 

@@ -4,6 +4,11 @@ From every sentence a run is hashed: the fewest consecutive sentences, at least
 `min_words` words (where a text ends before, there is none). Of each hash that occurs more than once the first occurrence (least doc_id, then text, then place) stays, and the sentences that any other
 occurrence covers are removed. Sentences end at . ! or ? before white space, and at line ends; pieces without a word
 belong to the sentence before. Words are compared without case (A-Z) and punctuation.
+
+With `passage`, what repeats need not hold `span` sentences, nor a whole one. Runs of fewer sentences are hashed too if
+they hold `min_words` by themselves, and so are windows of `min_words` words wherever they begin: of each stretch of
+windows those with the least hash, which are the same in every copy. So a passage of `passage` words that occurs before
+always loses a window at least, whatever its sentences; of a window the words alone are cut.
 """
 
 from __future__ import annotations
@@ -58,7 +63,44 @@ def _run_hashes(sentence: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> n
     return words.mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
-def _spans(span: int, min_words: int):
+def _slide(f: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """f (minimum or maximum) of each `width` consecutive values."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values = f(values[:-step], values[step:])
+        size += step
+    return values
+
+
+def _windows(hashes: np.ndarray, first: np.ndarray, min_words: int, passage: int) -> np.ndarray:
+    """The words with which the chosen windows of some texts begin; first holds each text's first word, and the end.
+
+    Of so many windows in a row that they fit a passage, and that chosen ones leave no word between them, the one with
+    the least hash is chosen.
+    """
+    width = min(passage - min_words + 1, min_words)
+    n = len(hashes) - min_words + 1
+    if n < width:
+        return np.zeros(0, np.int64)
+    begins = np.arange(n)
+    whole = _run_hashes(hashes, begins, begins + min_words)
+    least = _slide(np.minimum, whole, width)
+    stretch = np.arange(len(least))
+    text = np.searchsorted(first, stretch, "right") - 1
+    least[stretch + width + min_words - 1 > first[text + 1]] = 0  # parts of two texts
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), width) == whole)
+
+
+def _floors(span: int, passage: int | None) -> range:
+    """Numbers of sentences that a run must hold."""
+    return range(1 if passage else span, span + 1)
+
+
+def _spans(span: int, min_words: int, passage: int | None):
+    """`at` holds the first word and what begins there: a window (0), or a run of at least so many sentences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in words.pieces(batch[2]):
@@ -72,20 +114,30 @@ def _spans(span: int, min_words: int):
                 sentence = words.mix(np.add.reduceat(value, at) + size.astype(np.uint64))
                 first = np.searchsorted(at, w.first)  # of each text, and of the text after it
                 doc = np.searchsorted(w.first, at, "right") - 1
-                ends = _run_ends(size, first[doc + 1], span, min_words)
-                good = np.flatnonzero(ends >= 0)
-                h1 = _run_hashes(sentence, good, ends[good])
-                h2 = _run_hashes(words.mix(sentence ^ np.uint64(0xD1B54A32D192ED03)), good, ends[good])
-                row = pa.array(a + doc[good])
+                found, longer = [], None
+                for floor in reversed(_floors(span, passage)):
+                    ends = _run_ends(size, first[doc + 1], floor, min_words)
+                    good = np.flatnonzero((ends >= 0) & (ends != longer if longer is not None else True))
+                    found.append((sentence, good, ends[good], at[good], floor))
+                    longer = ends
+                if passage:
+                    begins = _windows(w.hashes, w.first, min_words, passage)
+                    found.append((w.hashes, begins, begins + min_words, begins, 0))
+                h1 = np.concatenate([_run_hashes(h, x, y) for h, x, y, _, _ in found])
+                h2 = np.concatenate([_run_hashes(words.mix(h ^ np.uint64(0xD1B54A32D192ED03)), x, y) for h, x, y, _, _ in found])
+                word = np.concatenate([x for *_, x, _ in found])
+                kind = np.repeat([k for *_, k in found], [len(x) for *_, x, _ in found])
+                text = np.searchsorted(w.first, word, "right") - 1
+                row = pa.array(a + text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch[0].take(row), batch[1].take(row), pa.array((good - first[doc[good]]).astype(np.int32))],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch[0].take(row), batch[1].take(row), pa.array((word - w.first[text]) * (span + 1) + kind)],
                     names=["h1", "h2", "doc_id", "t", "at"],
                 )
 
     return run
 
 
-def _cut(span: int, min_words: int):
+def _cut(span: int, min_words: int, passage: int | None):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_words_removed", pa.int64()), ("removed", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,35 +156,42 @@ def _cut(span: int, min_words: int):
                         rows.append((doc_id, text, len(at), 0, 0, []))
                         continue
                     size = np.diff(np.append(at, last))
-                    ends = _run_ends(size, np.full(len(at), len(at)), span, min_words)
-                    gone = np.zeros(len(at), bool)
-                    for s in spots[i]:
-                        gone[s : ends[s]] = True
-                    edges = np.append(w.begins[at], hi)
-                    if len(at):
-                        edges[0] = lo  # what stands before the first word goes with its sentence
-                    kept = b"".join(raw[edges[j] : edges[j + 1]] for j in np.flatnonzero(~gone))
+                    starts = at - first
+                    ends = {floor: _run_ends(size, np.full(len(at), len(at)), floor, min_words) for floor in _floors(span, passage)}
+                    stops = np.append(starts, last - first)
+                    gone = np.zeros(last - first, bool)
+                    for spot in spots[i]:
+                        word, floor = divmod(spot, span + 1)
+                        gone[word : stops[ends[floor][np.searchsorted(starts, word)]] if floor else word + min_words] = True
+                    edges = np.append(w.begins[first:last], hi)
+                    edges[0] = lo  # what stands before the first word goes with it
                     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     removed = [{"begin": int(edges[x] - lo), "end": int(edges[y] - lo)} for x, y in zip(turns[::2], turns[1::2], strict=True)]
-                    rows.append((doc_id, kept.decode(), len(at), int(gone.sum()), int(size[gone].sum()), removed))
+                    bounds = [lo, *(edges[x] for x in turns), hi]
+                    kept = b"".join(raw[x:y] for x, y in zip(bounds[::2], bounds[1::2], strict=True))
+                    touched = int(np.logical_or.reduceat(gone, starts).sum())
+                    rows.append((doc_id, kept.decode(), len(at), touched, int(gone.sum()), removed))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def dedup_spans(documents: DataFrame, span: int = 3, min_words: int = 24) -> DataFrame:
+def dedup_spans(documents: DataFrame, span: int = 3, min_words: int = 24, passage: int | None = None) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, n_words_removed, removed (byte ranges of the UTF-8 text).
 
     One row for each row of documents (doc_id, text). A null text stays null, one without a word stays as it is. A
     null doc_id comes before all others. Rows equal in doc_id and text are one occurrence: all keep or lose the same.
     A span that repeats inside a text counts like one in another text. An empty table gives no row; other columns are
-    not read. Spans are counted before they are shuffled, and no group of equal spans is gathered.
+    not read. Spans are counted before they are shuffled, and no group of equal spans is gathered. n_removed counts the
+    sentences that lose words, all or some. Without `passage` (at least min_words) only runs of `span` sentences count.
     """
+    if passage is not None and passage < min_words:
+        raise ValueError("a passage holds at least min_words words")
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("t", F.xxhash64("text"))
-    spans = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, min_words)), "h1 long, h2 long, doc_id long, t long, at int")
+    spans = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, min_words, passage)), "h1 long, h2 long, doc_id long, t long, at long")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count("*").alias("c"))
     repeated = written(first.where("c > 1").select("h1", "h2", "first"), "repeated")
     later = spans.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "t", "at").eqNullSafe(F.col("first")))
     spots = later.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "spots")
     both = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left")
-    return both.select("doc_id", "text", "spots").mapInArrow(words.tidy(_cut(span, min_words)), REMOVED)
+    return both.select("doc_id", "text", "spots").mapInArrow(words.tidy(_cut(span, min_words, passage)), REMOVED)

@@ -123,6 +123,43 @@ def test_spans(spark, docs, odd, none):
     assert substring_dedup.dedup_spans(none).count() == 0
 
 
+def test_passages_of_any_sentences(spark, docs):
+    rng = random.Random(5)
+    new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    bare, two, one, edit = new(50), f"{new(26)}. {new(27)}.", new(60) + ".", [new(49) for _ in range(3)]
+    wrapped = new(55)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = [
+        f"{new(9)} {bare} {new(9)}", f"{new(4)}. {new(30)} {bare} {new(30)}.",  # inside a sentence
+        f"{new(5)}. {two} {new(5)}.", f"{new(7)}. {two} {new(7)}.", f"{new(5)}. {one} {new(5)}.", f"{new(8)}. {one} {new(8)}.",
+        " ".join(x + " " + new(1) for x in edit), " ".join(x + " " + new(1) for x in edit),  # between edits of single words
+        f"{new(3)}. {wrapped}.", f"{new(6)}. {wrapped.replace(' ', chr(10))} {new(2)}.",  # other line ends
+        f"{new(60)}. {new(60)}",
+    ]
+    rows += [(100_000 + i, t) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), passage=50).collect()}
+    assert [out[100_000 + i].n_words_removed > 0 for i in range(11)] == [False, True] * 5 + [False]
+    assert two not in out[100_003].text and out[100_003].n_words_removed == 53 and out[100_005].n_words_removed == 60
+    # every window of 50 words that an earlier document holds loses words
+    seen, windows = set(), 0
+    for d, text in sorted(rows):
+        gone = [(x.begin, x.end) for x in out[d].removed]
+        found = [(m[0], len(text[: m.start()].encode())) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low(text))] if text else []
+        mine = {}
+        for i in range(len(found) - 49):
+            mine.setdefault(tuple(x for x, _ in found[i : i + 50]), []).append((found[i][1], found[i + 49][1]))
+        for key, places in mine.items():
+            for a, b in places if key in seen else []:
+                windows += 1
+                assert any(x <= b and a < y for x, y in gone), (d, key)
+        seen |= mine.keys()
+        raw = (text or "").encode()
+        for x, y in reversed(gone):
+            raw = raw[:x] + raw[y:]
+        assert raw.decode() == (out[d].text or "")
+    assert windows > 10
+
+
 # 3
 
 
