@@ -29,7 +29,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least doc_id, of each group of near duplicates."""
+    """One row, one of the least doc_id, of each group of near duplicates; rows of null or repeated ids are rows of their own."""
     return jaccard_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 

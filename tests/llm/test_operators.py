@@ -291,6 +291,22 @@ def test_components(spark):
     assert got == {n: top(n) for n in nodes}
 
 
+def test_one_row_of_each_component(spark, none):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [
+        (3, text("a"), "x"), (5, text("a") + " end", "x"), (5, text("b"), "x"), (5, text("c"), "y"), (5, text("c"), "y"),
+        (None, text("d"), "x"), (None, text("e"), None), (None, text("e") + " end", "z"), (None, text("b"), "z"), (9, text("f"), "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string").repartition(3)
+    out = jaccard_join.one_of_each(df)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and set(got) <= set(rows)
+    assert sorted(((d, t.split()[0]) for d, t, _ in got), key=repr) == sorted([(3, "a0"), (5, "b0"), (5, "c0"), (9, "f0"), (None, "d0"), (None, "e0")], key=repr)
+    plain = df.where("doc_id = 3 or doc_id = 9").unionByName(df.where("doc_id = 9").withColumn("doc_id", F.lit(10).cast("long")))
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(plain).collect()) == [3, 9]
+    assert jaccard_join.one_of_each(none).count() == 0
+
+
 # 5
 
 
