@@ -8,6 +8,7 @@ checksums and gives each document's ids and its place in the whole sequence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -124,26 +125,40 @@ class Encoder:
     """Texts to ids with the tokenizers library, through a memory of pieces that holds up to `ENTRIES` of them.
 
     Pieces are known by 64-bit hashes of their bytes: among ten million pieces two meet with a chance of 3 in a
-    million. Tokenizers of other kinds than a plain byte-level BPE get each text as one piece.
+    million. Tokenizers of other kinds than a plain byte-level BPE get each text as one piece, and so does any tokenizer
+    a text that holds an added token, such as <|endoftext|>: it becomes that token's id, as in the library's plain call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         before, kind = self.tokenizer.pre_tokenizer, lambda x: type(x).__name__
         self.by_piece = kind(before) == "ByteLevel" and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None and kind(self.tokenizer.model) == "BPE"
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memory = Memory(self.dtype)
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    def _begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces begin that the library sees."""
+        texts = offsets[:-1][np.diff(offsets) > 0]
+        if not self.by_piece:
+            return texts
+        begins = cuts(data, offsets)
+        found = [m.start() for m in self.added.finditer(data.tobytes())] if self.added else []
+        if not found:
+            return begins
+        text_of = np.searchsorted(texts, begins, "right")
+        return begins[~np.isin(text_of, np.searchsorted(texts, found, "right")) | np.isin(begins, texts)]
+
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) of stretches of texts, each text with end_id after it."""
         for _, _, data, offsets in words.pieces(texts, 1 << 20):
-            begins = cuts(data, offsets) if self.by_piece else offsets[:-1][np.diff(offsets) > 0]
+            begins = self._begins(data, offsets)
             ends = np.append(begins[1:], len(data))
             hashes = words.span_hashes(data, begins)
             unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)

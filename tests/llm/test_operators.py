@@ -190,6 +190,20 @@ def test_pieces_make_the_library_s_ids():
         assert [x.tolist() for x in got] == [[*encoder.whole(t).tolist(), 2] for t in texts]
 
 
+def test_added_tokens_get_their_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "end.", " Next", "<|endof", "text|>", " ", "\n", "word", ",", "é", "  "]
+    texts = ["end.<|endoftext|> Next", "", "<|endoftext|>", "a b, c.", "x <|endof", "text|> y", "", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]]
+    for _ in range(2):
+        got = [x for ids, n in encoder.encode(pa.array(texts), 2) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got[0].tolist() == [437, 13, 50256, 7406, 2]
+
+
 def check_tokens(spark, df, rows, path):
     tokens.write(df, path)
     encoder = tokens.Encoder(tokens.tokenizer_path())
