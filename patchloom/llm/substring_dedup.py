@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence a run is hashed: the fewest consecutive sentences, at least `span`, that hold at least
-`min_words` words (where a text ends before, there is none). Of each hash that occurs more than once the first occurrence (least doc_id, then text, then place) stays, and the sentences that any other
-occurrence covers are removed. Sentences end at . ! or ? before white space, and at line ends; pieces without a word
-belong to the sentence before. Words are compared without case (A-Z) and punctuation.
-
-With `passage`, what repeats need not hold `span` sentences, nor a whole one. Runs of fewer sentences are hashed too if
-they hold `min_words` by themselves, and so are windows of `min_words` words wherever they begin: of each stretch of
-windows those with the least hash, which are the same in every copy. So a passage of `passage` words that occurs before
-always loses a window at least, whatever its sentences; of a window the words alone are cut.
+From every sentence a span is hashed: the fewest consecutive sentences, at least `span`, that hold at least `passage`
+words. Spans are joined globally, and the sentences that a span found in an earlier document covers are removed. (Every
+longer run of sentences is a union of such spans, so no other length need be hashed.) Sentences end at . ! or ? before
+white space, and at line ends; pieces without a word belong to the sentence before. Words are compared without case
+(A-Z) and punctuation. Documents go by doc_id, then text; what a text repeats of itself is not a repeat.
+
+A passage need not hold whole sentences: its first and last ones merge with what stands around it. So windows of
+words are hashed beside the spans: of each stretch of windows that fits into a passage the one with the least hash,
+which is the same in every copy. A window that several documents hold proves nothing yet; the runs of exactly `passage`
+words around it are hashed and joined in a second round, and those found in an earlier document are removed too.
+Together: a word goes if, and only if, it lies in a run of `passage` words that an earlier document holds.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from patchloom.llm import words
 from patchloom.llm.common import written
 
 REMOVED = "doc_id long, text string, n_sentences long, n_removed long, n_words_removed long, removed array<struct<begin:long,end:long>>"
+HASHED = "h1 long, h2 long, doc_id long, t long, at long"
 
 
 def _sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[words.Words, np.ndarray]:
@@ -43,10 +46,10 @@ def _sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[words.Words, np.n
     return w, begins
 
 
-def _run_ends(size: np.ndarray, last: np.ndarray, span: int, min_words: int) -> np.ndarray:
-    """For each sentence the sentence after its run; past last[i], the sentence after its text, there is none."""
+def _span_ends(size: np.ndarray, last: np.ndarray, span: int, passage: int) -> np.ndarray:
+    """For each sentence the sentence after its span; past last[i], the sentence after its text, there is none (-1)."""
     total = np.concatenate([[0], np.cumsum(size)])
-    ends = np.maximum(np.arange(len(size)) + span, np.searchsorted(total, total[:-1] + min_words))
+    ends = np.maximum(np.arange(len(size)) + span, np.searchsorted(total, total[:-1] + passage))
     return np.where(ends > last, -1, ends)
 
 
@@ -73,33 +76,37 @@ def _slide(f: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _windows(hashes: np.ndarray, first: np.ndarray, min_words: int, passage: int) -> np.ndarray:
+def _windows(hashes: np.ndarray, first: np.ndarray, window: int, passage: int) -> np.ndarray:
     """The words with which the chosen windows of some texts begin; first holds each text's first word, and the end.
 
-    Of so many windows in a row that they fit a passage, and that chosen ones leave no word between them, the one with
-    the least hash is chosen.
-    """
-    width = min(passage - min_words + 1, min_words)
-    n = len(hashes) - min_words + 1
+    Of so many windows in a row that they fit a passage, the one with the least hash is chosen."""
+    width = passage - window + 1
+    n = len(hashes) - window + 1
     if n < width:
         return np.zeros(0, np.int64)
     begins = np.arange(n)
-    whole = _run_hashes(hashes, begins, begins + min_words)
+    whole = _run_hashes(hashes, begins, begins + window)
     least = _slide(np.minimum, whole, width)
     stretch = np.arange(len(least))
     text = np.searchsorted(first, stretch, "right") - 1
-    least[stretch + width + min_words - 1 > first[text + 1]] = 0  # parts of two texts
+    least[stretch + passage > first[text + 1]] = 0  # parts of two texts
     edge = np.zeros(width - 1, np.uint64)
     return np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), width) == whole)
 
 
-def _floors(span: int, passage: int | None) -> range:
-    """Numbers of sentences that a run must hold."""
-    return range(1 if passage else span, span + 1)
+def _other(hashes: np.ndarray) -> np.ndarray:
+    """Second, independent hashes: with both, keys of one corpus don't meet by chance."""
+    return words.mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
+
+
+def _rows(batch: pa.RecordBatch, a: int, w: words.Words, h1: np.ndarray, h2: np.ndarray, word: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """HASHED rows: `word` is where each stands among all words, `at` what is told of it."""
+    row = pa.array(a + np.searchsorted(w.first, word, "right") - 1)
+    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch[0].take(row), batch[1].take(row), pa.array(at)], names=["h1", "h2", "doc_id", "t", "at"])
 
 
-def _spans(span: int, min_words: int, passage: int | None):
-    """`at` holds the first word and what begins there: a window (0), or a run of at least so many sentences."""
+def _spans(span: int, window: int, passage: int):
+    """doc_id, t, text -> HASHED; `at` is twice the place of the first word in its text, one more for a span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,85 +120,135 @@ def _spans(span: int, min_words: int, passage: int | None):
                 value = w.hashes * words.powers(int(place.max()) + 1)[place]
                 sentence = words.mix(np.add.reduceat(value, at) + size.astype(np.uint64))
                 first = np.searchsorted(at, w.first)  # of each text, and of the text after it
-                doc = np.searchsorted(w.first, at, "right") - 1
-                found, longer = [], None
-                for floor in reversed(_floors(span, passage)):
-                    ends = _run_ends(size, first[doc + 1], floor, min_words)
-                    good = np.flatnonzero((ends >= 0) & (ends != longer if longer is not None else True))
-                    found.append((sentence, good, ends[good], at[good], floor))
-                    longer = ends
-                if passage:
-                    begins = _windows(w.hashes, w.first, min_words, passage)
-                    found.append((w.hashes, begins, begins + min_words, begins, 0))
-                h1 = np.concatenate([_run_hashes(h, x, y) for h, x, y, _, _ in found])
-                h2 = np.concatenate([_run_hashes(words.mix(h ^ np.uint64(0xD1B54A32D192ED03)), x, y) for h, x, y, _, _ in found])
-                word = np.concatenate([x for *_, x, _ in found])
-                kind = np.repeat([k for *_, k in found], [len(x) for *_, x, _ in found])
+                ends = _span_ends(size, first[np.searchsorted(w.first, at, "right")], span, passage)
+                some = np.flatnonzero(ends >= 0)
+                begins = _windows(w.hashes, w.first, window, passage)
+                h1 = np.concatenate([_run_hashes(sentence, some, ends[some]), _run_hashes(w.hashes, begins, begins + window)])
+                h2 = np.concatenate([_run_hashes(_other(sentence), some, ends[some]), _run_hashes(_other(w.hashes), begins, begins + window)])
+                word = np.concatenate([at[some], begins])
                 text = np.searchsorted(w.first, word, "right") - 1
-                row = pa.array(a + text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch[0].take(row), batch[1].take(row), pa.array((word - w.first[text]) * (span + 1) + kind)],
-                    names=["h1", "h2", "doc_id", "t", "at"],
-                )
+                kind = np.arange(len(word)) < len(some)
+                yield _rows(batch, a, w, h1, h2, word, 2 * (word - w.first[text]) + kind)
+
+    return run
+
+
+def _marked(spots: pa.Array, w: words.Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places among all words, the number each carries) of the spots of texts a to b, a null being none."""
+    lists = spots.slice(a, b - a)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    each = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    return np.repeat(w.first[:-1], each) + (flat >> 1), flat
+
+
+def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n words lie in some begin:end."""
+    turns = np.zeros(n + 1, np.int64)
+    np.add.at(turns, begins, 1)
+    np.add.at(turns, ends, -1)
+    return np.cumsum(turns[:-1]) > 0
+
+
+def _span_cover(w: words.Words, begin: np.ndarray, word: np.ndarray, span: int, passage: int) -> np.ndarray:
+    """Which words lie in the spans that begin at these words."""
+    at = np.flatnonzero(begin)
+    first = np.searchsorted(at, w.first)
+    ends = _span_ends(np.diff(np.append(at, len(begin))), first[np.searchsorted(w.first, at, "right")], span, passage)
+    return _covered(len(begin), word, np.append(at, len(begin))[ends[np.searchsorted(at, word)]])
+
+
+def _runs_around(span: int, window: int, passage: int):
+    """doc_id, t, text, spots -> HASHED of the runs of `passage` words that hold a window of the spots, but for runs
+    that the spans of the spots cover; `at` is twice the place of the first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in words.pieces(batch[2]):
+                w, begin = _sentences(data, offsets)
+                word, spot = _marked(batch[3], w, a, b)
+                is_span = spot % 2 == 1
+                gone = np.concatenate([[0], np.cumsum(_span_cover(w, begin, word[is_span], span, passage))])
+                near = word[~is_span]
+                text = np.searchsorted(w.first, near, "right") - 1
+                lo, hi = np.maximum(near + window - passage, w.first[text]), np.minimum(near, w.first[text + 1] - passage) + 1
+                begins = np.flatnonzero(_covered(len(begin), lo[lo < hi], hi[lo < hi]))
+                begins = begins[gone[begins + passage] - gone[begins] < passage]
+                if len(begins):
+                    h1, h2 = (_run_hashes(h, begins, begins + passage) for h in (w.hashes, _other(w.hashes)))
+                    yield _rows(batch, a, w, h1, h2, begins, 2 * (begins - w.first[np.searchsorted(w.first, begins, "right") - 1]))
 
     return run
 
 
-def _cut(span: int, min_words: int, passage: int | None):
+def _cut(span: int, passage: int):
+    """doc_id, text, spans, runs -> REMOVED: without the words of those spans and runs."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_words_removed", pa.int64()), ("removed", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch[2].to_pylist()
             for a, b, data, offsets in words.pieces(batch[1]):
                 w, begin = _sentences(data, offsets)
-                raw, rows = data.tobytes(), []
-                for i in range(a, b):
-                    lo, hi = offsets[i - a], offsets[i - a + 1]
-                    first, last = w.first[i - a], w.first[i - a + 1]
-                    at = first + np.flatnonzero(begin[first:last])
-                    doc_id = batch[0][i].as_py()
-                    text = batch[1][i].as_py()
-                    if not spots[i]:
-                        rows.append((doc_id, text, len(at), 0, 0, []))
-                        continue
-                    size = np.diff(np.append(at, last))
-                    starts = at - first
-                    ends = {floor: _run_ends(size, np.full(len(at), len(at)), floor, min_words) for floor in _floors(span, passage)}
-                    stops = np.append(starts, last - first)
-                    gone = np.zeros(last - first, bool)
-                    for spot in spots[i]:
-                        word, floor = divmod(spot, span + 1)
-                        gone[word : stops[ends[floor][np.searchsorted(starts, word)]] if floor else word + min_words] = True
-                    edges = np.append(w.begins[first:last], hi)
-                    edges[0] = lo  # what stands before the first word goes with it
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    removed = [{"begin": int(edges[x] - lo), "end": int(edges[y] - lo)} for x, y in zip(turns[::2], turns[1::2], strict=True)]
-                    bounds = [lo, *(edges[x] for x in turns), hi]
-                    kept = b"".join(raw[x:y] for x, y in zip(bounds[::2], bounds[1::2], strict=True))
-                    touched = int(np.logical_or.reduceat(gone, starts).sum())
-                    rows.append((doc_id, kept.decode(), len(at), touched, int(gone.sum()), removed))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                spans, _ = _marked(batch[2], w, a, b)
+                runs, _ = _marked(batch[3], w, a, b)
+                gone = _span_cover(w, begin, spans, span, passage) | _covered(len(begin), runs, runs + passage)
+                count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[w.first])
+                touched = np.zeros(len(begin), bool)
+                at = np.flatnonzero(begin)
+                if len(at):
+                    touched[at] = np.logical_or.reduceat(gone, at)
+                texts, removed = batch[1].slice(a, b - a), [[]] * (b - a)
+                lost = count(gone)
+                if lost.any():
+                    texts, raw = texts.to_pylist(), data.tobytes()
+                    for i in np.flatnonzero(lost).tolist():
+                        lo, hi, x, y = int(offsets[i]), int(offsets[i + 1]), w.first[i], w.first[i + 1]
+                        edges = np.append(w.begins[x:y], hi)
+                        edges[0] = lo  # what stands before the first word goes with it
+                        turns = edges[np.flatnonzero(np.diff(np.concatenate([[False], gone[x:y], [False]]).astype(np.int8)))].tolist()
+                        removed[i] = [{"begin": s - lo, "end": e - lo} for s, e in zip(turns[::2], turns[1::2], strict=True)]
+                        bounds = [lo, *turns, hi]
+                        texts[i] = b"".join(raw[s:e] for s, e in zip(bounds[::2], bounds[1::2], strict=True)).decode()
+                    texts = pa.array(texts, pa.string())
+                columns = [batch[0].slice(a, b - a), texts.cast(pa.string()), count(begin), count(touched), lost, removed]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def dedup_spans(documents: DataFrame, span: int = 3, min_words: int = 24, passage: int | None = None) -> DataFrame:
+def _found_again(hashed: DataFrame, name: str) -> DataFrame:
+    """h1, h2, doc_id, t, at, repeat for the rows of hashes that several documents hold; repeat: an earlier one does."""
+    who = F.struct("doc_id", "t")
+    first = hashed.groupBy("h1", "h2").agg(F.min(who).alias("first"), F.max(who).alias("last"))
+    shared = written(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), name)
+    return hashed.join(shared, ["h1", "h2"]).withColumn("repeat", ~who.eqNullSafe(F.col("first"))).drop("first")
+
+
+def _by_document(rows: DataFrame, name: str) -> DataFrame:
+    spots = rows.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias(name))
+    return spots.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), name)
+
+
+def dedup_spans(documents: DataFrame, span: int = 2, passage: int = 50, window: int = 24) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, n_words_removed, removed (byte ranges of the UTF-8 text).
 
     One row for each row of documents (doc_id, text). A null text stays null, one without a word stays as it is. A
-    null doc_id comes before all others. Rows equal in doc_id and text are one occurrence: all keep or lose the same.
-    A span that repeats inside a text counts like one in another text. An empty table gives no row; other columns are
-    not read. Spans are counted before they are shuffled, and no group of equal spans is gathered. n_removed counts the
-    sentences that lose words, all or some. Without `passage` (at least min_words) only runs of `span` sentences count.
+    null doc_id comes before all others. Rows equal in doc_id and text are one document: all keep or lose the same.
+    Other columns are not read; an empty table gives no row. Hashes are counted before they are shuffled, and no group
+    of equal ones is gathered. n_removed counts the sentences that lose words, all or some. window: words of a window,
+    fewer than `passage`.
     """
-    if passage is not None and passage < min_words:
-        raise ValueError("a passage holds at least min_words words")
+    if not 0 < window <= passage:
+        raise ValueError("a window has at least one word and fits into a passage")
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("t", F.xxhash64("text"))
-    spans = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, min_words, passage)), "h1 long, h2 long, doc_id long, t long, at long")
-    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count("*").alias("c"))
-    repeated = written(first.where("c > 1").select("h1", "h2", "first"), "repeated")
-    later = spans.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "t", "at").eqNullSafe(F.col("first")))
-    spots = later.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "spots")
-    both = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left")
-    return both.select("doc_id", "text", "spots").mapInArrow(words.tidy(_cut(span, min_words, passage)), REMOVED)
+    own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))
+    hashed = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, window, passage)), HASHED)
+    spots = _by_document(_found_again(hashed, "shared-spans").where("repeat or at % 2 = 0"), "spots")
+    spotted = docs.join(spots, own, "left").withColumn("plain", F.col("spots").isNull()).drop("d", "dt")
+    spotted = written(spotted, "spotted", partition_by="plain")
+    some = spotted.where("not plain").select("doc_id", "t", "text", "spots")
+    hashed = some.mapInArrow(words.tidy(_runs_around(span, window, passage)), HASHED)
+    runs = _by_document(_found_again(hashed, "shared-runs").where("repeat"), "runs")
+    cut = some.join(runs, own, "left").select("doc_id", "text", F.filter("spots", lambda x: x % 2 == 1).alias("spans"), "runs")
+    none = F.lit(None).cast("array<long>")
+    whole = spotted.where("plain").select("doc_id", "text", none.alias("spans"), none.alias("runs"))
+    return whole.unionByName(cut).mapInArrow(words.tidy(_cut(span, passage)), REMOVED)

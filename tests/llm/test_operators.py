@@ -93,71 +93,66 @@ def sentences_by_hand(text):
     return out
 
 
-def spans_by_hand(rows, span, least):
-    first = {}
-    split = [(d, sentences_by_hand(t or "")) for d, t in sorted(rows)]
-    runs = lambda s: [(i, next((j for j in range(i + span, len(s) + 1) if sum(map(len, s[i:j])) >= least), None)) for i in range(len(s))]
-    out = {}
-    for d, s in split:
-        gone = set()
-        for i, j in runs(s):
-            if j is not None and first.setdefault(repr(s[i:j]), (d, i)) != (d, i):
-                gone |= set(range(i, j))
-        out[d] = (len(s), len(gone))
+def words_by_hand(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(text or ""))
+
+
+def cut_by_hand(rows, passage):
+    """(sentences, sentences that lose words, words lost) by document: all runs of `passage` words, one by one."""
+    seen, out, documents = set(), {}, sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for d, text in documents:
+        ws = words_by_hand(text)
+        runs = [tuple(ws[i : i + passage]) for i in range(len(ws) - passage + 1)]
+        gone = {k for i, r in enumerate(runs) if r in seen for k in range(i, i + passage)}
+        seen |= set(runs)
+        sizes = [len(x) for x in sentences_by_hand(text or "")]
+        starts = np.cumsum([0, *sizes])
+        out[d, text] = len(sizes), sum(any(k in gone for k in range(x, y)) for x, y in zip(starts[:-1], starts[1:], strict=True)), len(gone)
     return out
 
 
 def test_spans(spark, docs, odd, none):
-    for df, more in ((docs, {}), (docs, {"span": 2, "min_words": 5})):
-        rows = [(r.doc_id, r.text) for r in df.collect()]
-        got = {r.doc_id: (r.n_sentences, r.n_removed) for r in substring_dedup.dedup_spans(df, **more).collect()}
-        assert got == spans_by_hand(rows, more.get("span", 3), more.get("min_words", 24))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for passage, more in ((50, {}), (12, {"passage": 12, "window": 5}), (6, {"passage": 6, "window": 6, "span": 1})):
+        got = {(r.doc_id, r.before): (r.n_sentences, r.n_removed, r.n_words_removed) for r in substring_dedup.dedup_spans(docs, **more).join(docs.select("doc_id", F.col("text").alias("before")), "doc_id").collect()}
+        want = cut_by_hand(rows, passage)
+        assert sum(x[2] > 0 for x in want.values()) > 10
+        assert {k: v for k, v in got.items() if want[k] != v} == {}
     passage = "Alpha beta gamma delta. Epsilon zeta eta theta! Iota kappa lambda mu? "
     two = spark.createDataFrame([(1, "Start here now. " + passage + "End."), (2, "Other words stand. " + passage + "Close it."), (3, "Alone it stays.")], "doc_id long, text string")
-    out = {r.doc_id: r for r in substring_dedup.dedup_spans(two, 3, 10).collect()}
+    out = {r.doc_id: r for r in substring_dedup.dedup_spans(two, 3, 10, 4).collect()}
     assert (out[1].n_removed, out[2].n_removed, out[3].n_removed) == (0, 3, 0)
     assert out[2].text == "Other words stand. Close it." and [tuple(x) for x in out[2].removed] == [(19, 19 + len(passage))]
     got = substring_dedup.dedup_spans(odd).collect()
     assert len(got) == len(ODD) and sum(r.text is None for r in got) == 2
-    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (2, 3, 4)} == {2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (2, 3, 4, 6)} == {2: 0, 3: 0, 4: 0, 6: 0}
+    assert [r.text for r in got if r.doc_id == 7] == [""]
     assert substring_dedup.dedup_spans(none).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup.dedup_spans(none, passage=5, window=6)
 
 
 def test_passages_of_any_sentences(spark, docs):
     rng = random.Random(5)
     new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
-    bare, two, one, edit = new(50), f"{new(26)}. {new(27)}.", new(60) + ".", [new(49) for _ in range(3)]
-    wrapped = new(55)
+    bare, two, one, three = new(50), f"{new(26)}. {new(27)}.", new(60) + ".", f"{new(20)}. {new(25)}. {new(30)}."
+    wrapped, itself, short = new(55), new(70) + ". ", new(49)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     texts = [
         f"{new(9)} {bare} {new(9)}", f"{new(4)}. {new(30)} {bare} {new(30)}.",  # inside a sentence
         f"{new(5)}. {two} {new(5)}.", f"{new(7)}. {two} {new(7)}.", f"{new(5)}. {one} {new(5)}.", f"{new(8)}. {one} {new(8)}.",
-        " ".join(x + " " + new(1) for x in edit), " ".join(x + " " + new(1) for x in edit),  # between edits of single words
-        f"{new(3)}. {wrapped}.", f"{new(6)}. {wrapped.replace(' ', chr(10))} {new(2)}.",  # other line ends
-        f"{new(60)}. {new(60)}",
+        f"{new(5)} {three} {new(5)}.", f"{new(8)}. {new(3)} {three} {new(8)}.", f"{new(3)}. {wrapped}.", f"{new(6)}. {wrapped.replace(' ', chr(10))} {new(2)}.",  # other line ends
+        f"{new(60)}. {new(60)}", itself + new(3) + ". " + itself, f"{new(9)} {short} {new(9)}", f"{new(4)}. {new(30)} {short} {new(30)}.",  # repeats itself; one word too few
     ]
     rows += [(100_000 + i, t) for i, t in enumerate(texts)]
-    out = {r.doc_id: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), passage=50).collect()}
-    assert [out[100_000 + i].n_words_removed > 0 for i in range(11)] == [False, True] * 5 + [False]
-    assert two not in out[100_003].text and out[100_003].n_words_removed == 53 and out[100_005].n_words_removed == 60
-    # every window of 50 words that an earlier document holds loses words
-    seen, windows = set(), 0
-    for d, text in sorted(rows):
-        gone = [(x.begin, x.end) for x in out[d].removed]
-        found = [(m[0], len(text[: m.start()].encode())) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low(text))] if text else []
-        mine = {}
-        for i in range(len(found) - 49):
-            mine.setdefault(tuple(x for x, _ in found[i : i + 50]), []).append((found[i][1], found[i + 49][1]))
-        for key, places in mine.items():
-            for a, b in places if key in seen else []:
-                windows += 1
-                assert any(x <= b and a < y for x, y in gone), (d, key)
-        seen |= mine.keys()
+    out = {r.doc_id: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[100_000 + i].n_words_removed for i in range(14)] == [0, 50, 0, 53, 0, 60, 0, 75, 0, 55, 0, 0, 0, 0]
+    assert two not in out[100_003].text and three not in out[100_007].text
+    for d, text in rows:
         raw = (text or "").encode()
-        for x, y in reversed(gone):
-            raw = raw[:x] + raw[y:]
+        for x in reversed(out[d].removed):
+            raw = raw[: x.begin] + raw[x.end :]
         assert raw.decode() == (out[d].text or "")
-    assert windows > 10
 
 
 # 3
