@@ -99,14 +99,23 @@ def _other(hashes: np.ndarray) -> np.ndarray:
     return words.mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
 
 
-def _rows(batch: pa.RecordBatch, a: int, w: words.Words, h1: np.ndarray, h2: np.ndarray, word: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """HASHED rows: `word` is where each stands among all words, `at` what is told of it."""
-    row = pa.array(a + np.searchsorted(w.first, word, "right") - 1)
+def _rows(batch: pa.RecordBatch, a: int, w: words.Words, h1: np.ndarray, h2: np.ndarray, word: np.ndarray, kind: np.ndarray | int, once: bool) -> pa.RecordBatch:
+    """HASHED rows: `word` is where each stands among all words; `at` is four times the place of the first word in its
+    text, and the kind. once: a hash that a text has several times makes one row."""
+    text = np.searchsorted(w.first, word, "right") - 1
+    at = 4 * (word - w.first[text]) + kind
+    if once:
+        order = np.lexsort((h1, text))
+        new = np.ones(len(order), bool)
+        new[1:] = (text[order][1:] != text[order][:-1]) | (h1[order][1:] != h1[order][:-1])
+        keep = np.sort(order[new])
+        h1, h2, text, at = h1[keep], h2[keep], text[keep], at[keep]
+    row = pa.array(a + text)
     return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch[0].take(row), batch[1].take(row), pa.array(at)], names=["h1", "h2", "doc_id", "t", "at"])
 
 
-def _spans(span: int, window: int, passage: int):
-    """doc_id, t, text -> HASHED; `at` is twice the place of the first word in its text, one more for a span."""
+def _spans(span: int, window: int, passage: int, once: bool):
+    """doc_id, t, text -> HASHED, of kind 0 (a window) or 1 (a span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +135,7 @@ def _spans(span: int, window: int, passage: int):
                 h1 = np.concatenate([_run_hashes(sentence, some, ends[some]), _run_hashes(w.hashes, begins, begins + window)])
                 h2 = np.concatenate([_run_hashes(_other(sentence), some, ends[some]), _run_hashes(_other(w.hashes), begins, begins + window)])
                 word = np.concatenate([at[some], begins])
-                text = np.searchsorted(w.first, word, "right") - 1
-                kind = np.arange(len(word)) < len(some)
-                yield _rows(batch, a, w, h1, h2, word, 2 * (word - w.first[text]) + kind)
+                yield _rows(batch, a, w, h1, h2, word, np.arange(len(word)) < len(some), once)
 
     return run
 
@@ -138,7 +145,7 @@ def _marked(spots: pa.Array, w: words.Words, a: int, b: int) -> tuple[np.ndarray
     lists = spots.slice(a, b - a)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     each = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-    return np.repeat(w.first[:-1], each) + (flat >> 1), flat
+    return np.repeat(w.first[:-1], each) + (flat >> 2), flat
 
 
 def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,9 +164,10 @@ def _span_cover(w: words.Words, begin: np.ndarray, word: np.ndarray, span: int,
     return _covered(len(begin), word, np.append(at, len(begin))[ends[np.searchsorted(at, word)]])
 
 
-def _runs_around(span: int, window: int, passage: int):
+def _runs_around(span: int, window: int, passage: int, once: bool, repeats: bool):
     """doc_id, t, text, spots -> HASHED of the runs of `passage` words that hold a window of the spots, but for runs
-    that the spans of the spots cover; `at` is twice the place of the first word."""
+    that the spans of the spots cover. repeats: only around windows that an earlier document holds, as any run that an
+    earlier document holds is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +176,14 @@ def _runs_around(span: int, window: int, passage: int):
                 word, spot = _marked(batch[3], w, a, b)
                 is_span = spot % 2 == 1
                 gone = np.concatenate([[0], np.cumsum(_span_cover(w, begin, word[is_span], span, passage))])
-                near = word[~is_span]
+                near = word[spot % 4 == 2 if repeats else ~is_span]
                 text = np.searchsorted(w.first, near, "right") - 1
                 lo, hi = np.maximum(near + window - passage, w.first[text]), np.minimum(near, w.first[text + 1] - passage) + 1
                 begins = np.flatnonzero(_covered(len(begin), lo[lo < hi], hi[lo < hi]))
                 begins = begins[gone[begins + passage] - gone[begins] < passage]
                 if len(begins):
                     h1, h2 = (_run_hashes(h, begins, begins + passage) for h in (w.hashes, _other(w.hashes)))
-                    yield _rows(batch, a, w, h1, h2, begins, 2 * (begins - w.first[np.searchsorted(w.first, begins, "right") - 1]))
+                    yield _rows(batch, a, w, h1, h2, begins, 0, once)
 
     return run
 
@@ -215,11 +223,12 @@ def _cut(span: int, passage: int):
     return run
 
 
-def _found_again(hashed: DataFrame, name: str) -> DataFrame:
-    """h1, h2, doc_id, t, at, repeat for the rows of hashes that several documents hold; repeat: an earlier one does."""
+def _found_again(counted: DataFrame, hashed: DataFrame, name: str) -> DataFrame:
+    """h1, h2, doc_id, t, at, repeat for the rows of hashed whose hash several rows of counted have; repeat: an earlier
+    document has it."""
     who = F.struct("doc_id", "t")
-    first = hashed.groupBy("h1", "h2").agg(F.min(who).alias("first"), F.max(who).alias("last"))
-    shared = written(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), name)
+    first = counted.groupBy("h1", "h2").agg(F.min(who).alias("first"), F.count("*").alias("n"))
+    shared = written(first.where("n > 1").select("h1", "h2", "first"), name)
     return hashed.join(shared, ["h1", "h2"]).withColumn("repeat", ~who.eqNullSafe(F.col("first"))).drop("first")
 
 
@@ -241,13 +250,15 @@ def dedup_spans(documents: DataFrame, span: int = 2, passage: int = 50, window:
         raise ValueError("a window has at least one word and fits into a passage")
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("t", F.xxhash64("text"))
     own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))
-    hashed = docs.select("doc_id", "t", "text").mapInArrow(words.tidy(_spans(span, window, passage)), HASHED)
-    spots = _by_document(_found_again(hashed, "shared-spans").where("repeat or at % 2 = 0"), "spots")
+    texts = docs.select("doc_id", "t", "text")
+    counted, hashed = (texts.mapInArrow(words.tidy(_spans(span, window, passage, once)), HASHED) for once in (True, False))
+    found = _found_again(counted, hashed, "shared-spans").where("repeat or at % 4 = 0")
+    spots = _by_document(found.withColumn("at", F.col("at") + F.when(F.col("repeat"), 2).otherwise(0)), "spots")
     spotted = docs.join(spots, own, "left").withColumn("plain", F.col("spots").isNull()).drop("d", "dt")
     spotted = written(spotted, "spotted", partition_by="plain")
     some = spotted.where("not plain").select("doc_id", "t", "text", "spots")
-    hashed = some.mapInArrow(words.tidy(_runs_around(span, window, passage)), HASHED)
-    runs = _by_document(_found_again(hashed, "shared-runs").where("repeat"), "runs")
+    counted, hashed = (some.mapInArrow(words.tidy(_runs_around(span, window, passage, x, not x)), HASHED) for x in (True, False))
+    runs = _by_document(_found_again(counted, hashed, "shared-runs").where("repeat"), "runs")
     cut = some.join(runs, own, "left").select("doc_id", "text", F.filter("spots", lambda x: x % 2 == 1).alias("spans"), "runs")
     none = F.lit(None).cast("array<long>")
     whole = spotted.where("plain").select("doc_id", "text", none.alias("spans"), none.alias("runs"))
