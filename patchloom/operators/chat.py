@@ -7,27 +7,42 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
 
-SYSTEM = "You repair hardware description code. Answer with the whole corrected file."
-MARK = "### Code to repair"
+# The prompt that models are trained on, and the mark after which the code to repair follows.
+SYSTEM = (
+    "You are an expert Verilog code repair assistant. Fix the given buggy Verilog code according to the problem specification. "
+    "Return only the complete corrected Verilog code without explanations."
+)
+MARK = "Buggy Verilog code:"
 IGNORED = -100
 
 
-def chat_rows(pairs: DataFrame, catalog: DataFrame, system: str = SYSTEM, mark: str = MARK) -> DataFrame:
-    """pair_id, problem_id and messages: system, user (the problem, the mark, the fenced code), assistant (fenced code)."""
-    fence = lambda c: F.concat(F.lit("```verilog\n"), c, F.lit("\n```"))
-    known = catalog.select(F.col("id").alias("problem_id"), F.coalesce("description", F.lit("")).alias("description"))
-    user = F.concat(F.lit("### Problem\n"), F.col("description"), F.lit(f"\n\n{mark}\n"), fence(F.col("buggy_code")))
+def chat_rows(pairs: DataFrame, catalog: DataFrame, system: str = SYSTEM, mark: str = MARK, strict: bool = True) -> DataFrame:
+    """pair_id, problem_id and messages: system, user (the specification, the mark, the fenced code), assistant (the code).
+
+    A problem without a description reads None. strict: a pair whose problem the catalog lacks fails the query; else it
+    is left out."""
+    known = catalog.select(F.col("id").alias("problem_id"), F.coalesce("description", F.lit("None")).alias("description"))
+    rows = pairs.join(known, "problem_id", "left" if strict else "inner")
+    described = F.coalesce("description", F.raise_error(F.concat(F.lit("no such problem in the catalog: "), F.col("problem_id").cast("string")))) if strict else F.col("description")
+    user = F.concat(F.lit("Problem specification:\n"), described, F.lit(f"\n\n{mark}\n```verilog\n"), F.col("buggy_code"), F.lit("\n```"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return pairs.join(known, "problem_id").select("pair_id", "problem_id", F.array(message("system", F.lit(system)), message("user", user), message("assistant", fence(F.col("fixed_code")))).alias("messages"))
+    return rows.select("pair_id", "problem_id", F.array(message("system", F.lit(system)), message("user", user), message("assistant", F.col("fixed_code"))).alias("messages"))
 
 
 def codes_of(chats: DataFrame, mark: str = MARK) -> DataFrame:
-    """The buggy and the fixed code of chat rows: after the first mark of the user's message, and the answer."""
+    """The buggy and the fixed code of chat rows: after the first mark of the user's message (null without one), and the
+    answer."""
     user = F.get("messages", F.lit(1))["content"]
-    after = F.when(F.contains(user, F.lit(mark)), F.substring(user, F.position(F.lit(mark), user) + len(mark), F.length(user))).otherwise(user)
+    after = F.when(F.contains(user, F.lit(mark)), F.substring(user, F.position(F.lit(mark), user) + len(mark), F.length(user)))
     return chats.withColumn("buggy_code", T.extract_fences(after)).withColumn("fixed_code", T.extract_fences(F.get("messages", F.lit(2))["content"]))
 
 
+def strict_rows(chats: DataFrame) -> DataFrame:
+    """chats as they are; a row whose roles are not system, user, assistant fails the query."""
+    fine = F.transform("messages", lambda m: m["role"]) == F.array(*map(F.lit, ("system", "user", "assistant")))
+    return chats.withColumn("messages", F.when(fine, F.col("messages")).otherwise(F.raise_error(F.lit("messages of other roles than system, user, assistant"))))
+
+
 def missing_catalog(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs whose problem the catalog lacks: a strict join has none."""
     return pairs.join(catalog.select(F.col("id").alias("problem_id")), "problem_id", "left_anti")
@@ -38,23 +53,51 @@ def words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
 
-def token_counts(chats: DataFrame, key: str, count=words) -> DataFrame:
-    """input (up to the last assistant's turn), assistant (its text), full; count stands for any tokenizer."""
-    place = F.array_max(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i)))
+def chatml(messages: Column, prompted: bool = False) -> Column:
+    """Messages in the ChatML template; prompted: the head of an assistant's turn follows."""
+    turn = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))
+    return F.concat(F.array_join(F.transform(messages, turn), ""), F.lit("<|im_start|>assistant\n" if prompted else ""))
+
+
+def token_counts(chats: DataFrame, key: str, count=words, render=chatml, which: str = "last") -> DataFrame:
+    """input (what stands before the last assistant's turn, or the first one, as in training), assistant (its text),
+    full. count stands for any tokenizer, render for any template. Rows without an assistant are left out."""
+    best = F.array_max if which == "last" else F.array_min
+    place = best(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i)))
     rows = chats.withColumn("_at", place).where(F.col("_at").isNotNull())
-    render = lambda ms: F.array_join(F.transform(ms, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n"))), "")
     return rows.select(
-        key, count(render(F.slice("messages", F.lit(1), F.col("_at")))).alias("input"),
+        key, count(render(F.slice("messages", F.lit(1), F.col("_at")), True)).alias("input"),
         count(F.get("messages", F.col("_at"))["content"]).alias("assistant"), count(render(F.col("messages"))).alias("full"),
     )
 
 
-def token_stats(counts: DataFrame, columns: list[str]) -> DataFrame:
-    """Of each column count, min, mean and percentiles, to 2 places; 0 without rows."""
-    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    ps = (0.5, 0.9, 0.95, 0.99)
-    q = long.groupBy("measure").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.round(F.avg("v"), 2).alias("mean"), F.max("v").alias("most"), F.percentile("v", F.array(*map(F.lit, ps))).alias("q"))
-    return q.select("measure", "n", "least", "mean", "most", *[F.round(F.col("q")[i], 2).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)])
+def within_length(counts: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of at most so many tokens, the longer ones)."""
+    return counts.where(F.col(column) <= most), counts.where(F.col(column) > most)
+
+
+def by_length(rows: DataFrame, column: str, *ties: str) -> DataFrame:
+    """rows dealt by length into ranges and sorted there, so that batches of neighbours need little padding."""
+    return rows.repartitionByRange(column, *ties).sortWithinPartitions(column, *ties)
+
+
+PERCENTILES = (0.5, 0.9, 0.95, 0.99, 0.995)
+
+
+def token_stats(counts: DataFrame, columns: list[str], percentiles=PERCENTILES) -> DataFrame:
+    """Of each column count, min, mean, max and percentiles, to 2 places, in one pass; zeros without rows."""
+    names = [f"p{round(1000 * p) / 10:g}".replace(".", "_") for p in percentiles]
+
+    def summary(c: str) -> Column:
+        v = F.col(c).cast("double")
+        q = F.percentile(v, F.array(*map(F.lit, percentiles)))
+        or_zero = lambda x: F.coalesce(x, F.lit(0.0))
+        return F.struct(
+            F.lit(c).alias("measure"), F.count(v).alias("n"), or_zero(F.min(v)).alias("least"), or_zero(F.round(F.avg(v), 2)).alias("mean"), or_zero(F.max(v)).alias("most"),
+            *[or_zero(F.round(q[i], 2)).alias(name) for i, name in enumerate(names)],
+        )
+
+    return counts.agg(F.array(*map(summary, columns)).alias("xs")).select(F.inline("xs"))
 
 
 def coverage(counts: DataFrame, column: str, limits: list[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
+from patchloom.functions.python_text import bit_parallel_distance
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
@@ -17,8 +18,17 @@ def length_filter(pairs: DataFrame, most: float = 0.5) -> DataFrame:
     return pairs.withColumn("length_ratio", ratio).withColumn("filter_reason", reason)
 
 
-def with_distance(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("distance", T.edit_distance(F.col("buggy_code"), F.col("fixed_code")))
+#: Steps of the built-in Levenshtein, characters times characters, beyond which the bit-parallel one takes over.
+LONG_PAIR = 1 << 24
+
+
+def with_distance(pairs: DataFrame, long_pair: int = LONG_PAIR) -> DataFrame:
+    """pairs with distance: short texts by the built-in, long ones by a bit-parallel function (64 steps at once)."""
+    a, b = T.without_line_ends(F.col("buggy_code")), T.without_line_ends(F.col("fixed_code"))
+    long = F.length("buggy_code").cast("long") * F.length("fixed_code") > long_pair
+    short = F.when(~F.coalesce(long, F.lit(False)), T.edit_distance(F.col("buggy_code"), F.col("fixed_code")))
+    steps = bit_parallel_distance(F.when(long, a), F.when(long, b))
+    return pairs.withColumn("distance", F.coalesce(short, steps / F.greatest(F.length(a), F.length(b), F.lit(1))))
 
 
 def distance_stats(pairs: DataFrame, k: float = 1.5) -> DataFrame:
@@ -40,13 +50,13 @@ def edit_fence(pairs: DataFrame, threshold: float | None = None, k: float = 1.5)
 
 
 def hard_reject(pairs: DataFrame, catalog: DataFrame, most: float = 0.9) -> DataFrame:
-    """pairs with filter_reason, the first that holds: invalid label, out of scope, empty, identical, near rewrite."""
+    """pairs with filter_reason, the first that holds: label, scope, empty, identical, rewrite. The names are fixed values."""
     scope = catalog.select(F.col("id").alias("problem_id"), F.lit(True).alias("in_scope"))
     blank = (T.py_strip(F.col("buggy_code")) == "") | (T.py_strip(F.col("fixed_code")) == "")
     invalid = F.coalesce(~F.col("valid_repair"), F.lit(False)) | F.coalesce(F.col("verification") == "invalid", F.lit(False))
     reason = (
-        F.when(invalid, "invalid_label").when(F.col("in_scope").isNull(), "out_of_scope").when(blank, "empty_code")
-        .when(F.col("buggy_code") == F.col("fixed_code"), "identical_code").when(F.col("distance") > most, "near_rewrite")
+        F.when(invalid, "invalid_fail_to_ac_label").when(F.col("in_scope").isNull(), "out_of_scope_problem").when(blank, "empty_code")
+        .when(F.col("buggy_code") == F.col("fixed_code"), "identical_code").when(F.col("distance") > most, "near_total_rewrite")
     )
     return pairs.join(scope, "problem_id", "left").withColumn("filter_reason", reason).drop("in_scope")
 
@@ -86,6 +96,42 @@ def run_guard(config_a: DataFrame, config_b: DataFrame, keys: list[str]) -> Data
     return a.crossJoin(F.broadcast(b)).select(differ.alias("mismatches"), (F.size(differ) == 0).alias("ok"))
 
 
+# What two runs must have in common, and the packages whose versions count.
+RUN_KEYS = ("test_sha256", "pair_ids", "manifest_sha256", "resources", "script_sha256", "generation", "timeout", "iverilog_version")
+PACKAGES = ("torch", "transformers")
+
+
+def _text_of(kind: str, c: Column) -> Column:
+    """A value as one that can be compared: maps, which have no order, as sorted entries."""
+    return F.array_sort(F.map_entries(c)) if kind.startswith("map") else c
+
+
+def run_conditions(base: DataFrame, tuned: DataFrame, keys=RUN_KEYS, packages=PACKAGES) -> DataFrame:
+    """One row: what forbids comparing a base run with a tuned one (mismatches, in order), and whether nothing does.
+
+    Both are one-row configurations with `keys`, model, adapter, model_files and versions (maps), mode, complete, and
+    result_ids. The keys and the model must be equal, the base run has no adapter and the tuned one has; the files
+    below the model's folder and the packages' versions must agree, both runs must be whole runs of a model, and their
+    results must be of their pair_ids, in order."""
+    side = lambda df, x: df.select(F.struct(*df.columns).alias(x))
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
+    a, b = (lambda c: F.col("a")[c]), (lambda c: F.col("b")[c])
+    files = lambda x: F.array_sort(F.map_entries(F.map_filter(x("model_files"), lambda k, _: F.startswith(k, F.concat(x("model"), F.lit("/"))))))
+    version = lambda x, package: F.try_element_at(x("versions"), F.lit(package))
+    whole = lambda x: (x("mode") == "model") & x("complete")
+    bad = [
+        *[(k, ~_text_of(kinds[k], a(k)).eqNullSafe(_text_of(kinds[k], b(k)))) for k in keys],
+        ("adapter", a("adapter").isNotNull() | b("adapter").isNull()),
+        ("model", ~a("model").eqNullSafe(b("model"))),
+        ("model_files", ~files(a).eqNullSafe(files(b))),
+        *[(f"versions.{p}", ~version(a, p).eqNullSafe(version(b, p))) for p in packages],
+        *[(f"{name}_incomplete", ~F.coalesce(whole(x), F.lit(False))) for name, x in (("base", a), ("tuned", b))],
+        *[(f"{name}_results", ~x("result_ids").eqNullSafe(x("pair_ids"))) for name, x in (("base", a), ("tuned", b))],
+    ]
+    differ = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in bad]))
+    return side(base, "a").crossJoin(F.broadcast(side(tuned, "b"))).select(differ.alias("mismatches"), (F.size(differ) == 0).alias("ok"))  # a row each
+
+
 def may_reuse(phases: Column, limit) -> Column:
     """Every phase of a cached verdict timed out or took at most the limit; missing phases don't count."""
     return F.forall(F.array_compact(phases), lambda p: p["timeout"] | (p["seconds"] <= limit))
@@ -101,8 +147,18 @@ def segment(path: Column, k: int) -> Column:
 
 
 def forbidden(rows: DataFrame, rules: DataFrame, side: str) -> DataFrame:
-    """rows of problems with a rule (problem_id, pattern of one character) whose code breaks it, with the characters.
-
-    Patterns differ by row, so the test runs over characters: a rule is a set of them."""
-    found = F.array_sort(F.array_distinct(F.filter(F.split(F.col(side), ""), lambda c: (c != "") & F.contains(F.col("characters"), c))))
+    """rows of problems with a rule (problem_id, pattern) whose code breaks it, with all it found, distinct and in order."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(side), F.col("pattern"), F.lit(0))))
     return rows.join(rules, "problem_id").withColumn("found", found).where(F.size("found") > 0)
+
+
+def of_problems(rows: DataFrame, problems: list[int] | DataFrame) -> DataFrame:
+    """rows of these problems: ids, or a table with problem_id."""
+    if isinstance(problems, list):
+        return rows.where(F.col("problem_id").isin(problems))
+    return rows.join(problems.select("problem_id").distinct(), "problem_id", "left_semi")
+
+
+def mapped_by(rows: DataFrame, mapping: DataFrame, method: str) -> DataFrame:
+    """rows whose problem was mapped by this method."""
+    return of_problems(rows, mapping.where(F.col("method") == method))

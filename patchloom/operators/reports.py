@@ -23,10 +23,22 @@ def overall_rate(rollup: DataFrame) -> DataFrame:
     return out.withColumn("repair_rate", rate).withColumn("running_repair_rate", running)
 
 
+def paired(base: DataFrame, tuned: DataFrame, value: str) -> DataFrame:
+    """pair_id, problem_id, value, tuned: two runs side by side. A pair that one of them lacks, or that they put to
+    different problems, fails the query."""
+    b = base.select("pair_id", F.col("problem_id").alias("_p"), F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
+    t = tuned.select("pair_id", F.col("problem_id").alias("_q"), F.col(value).alias("_t"), F.lit(True).alias("_in_t"))
+    refuse = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("pair_id").cast("string"))).cast("boolean")
+    both = b.join(t, "pair_id", "full_outer").withColumn(
+        "_fine", F.when(F.col("_in_b").isNull() | F.col("_in_t").isNull(), refuse("only one run has")).when(~F.col("_p").eqNullSafe(F.col("_q")), refuse("two problems for")).otherwise(True)
+    )
+    return both.where("_fine").select("pair_id", F.col("_p").alias("problem_id"), F.col("_b").alias(value), F.col("_t").alias("tuned"))
+
+
 def problem_lift(base: DataFrame, tuned: DataFrame, names: DataFrame, train_counts: DataFrame) -> DataFrame:
-    """Of each problem both pass rates and the lift in points. base, tuned: pair_id, problem_id, status."""
-    both = base.join(tuned.select("pair_id", F.col("status").alias("tuned_status")), "pair_id")
-    out = both.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "AC").alias("base_ac"), F.count_if(F.col("tuned_status") == "AC").alias("tuned_ac"))
+    """Of each problem both pass rates and the lift in points. base, tuned: pair_id, problem_id, status, for the same pairs."""
+    both = paired(base, tuned, "status")
+    out = both.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "AC").alias("base_ac"), F.count_if(F.col("tuned") == "AC").alias("tuned_ac"))
     out = out.join(names, "problem_id", "left").join(train_counts, "problem_id", "left")
     out = out.withColumn("name", F.coalesce("name", F.lit(""))).withColumn("train", F.coalesce("train", F.lit(0)))
     return out.withColumn("base_rate", F.col("base_ac") / F.col("n")).withColumn("tuned_rate", F.col("tuned_ac") / F.col("n")).withColumn("lift", 100 * (F.col("tuned_ac") - F.col("base_ac")) / F.col("n"))
@@ -47,10 +59,16 @@ def cohort_gain(lift: DataFrame, cap: int) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).withColumn("gain_share", F.when(F.col("_all") != 0, F.col("gain") / F.col("_all"))).drop("_all")
 
 
+def flips(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """pair_id, change (improved or regressed) of the pairs that changed. base, tuned: pair_id, passed."""
+    both = base.select("pair_id", F.col("passed").alias("a")).join(tuned.select("pair_id", F.col("passed").alias("b")), "pair_id")
+    return both.where(F.col("a") != F.col("b")).select("pair_id", F.when(F.col("b"), "improved").otherwise("regressed").alias("change"))
+
+
 def paired_flips(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """One row: ids that improved and regressed, in order, and the change in points. base, tuned: pair_id, passed.
 
-    The lists are the report; they hold the ids that changed alone."""
+    The lists are the report of one evaluation and hold the ids that changed alone; flips() gives them as rows."""
     both = base.select("pair_id", F.col("passed").alias("a")).join(tuned.select("pair_id", F.col("passed").alias("b")), "pair_id")
     ids = lambda hit: F.array_sort(F.collect_list(F.when(hit, F.col("pair_id"))))
     return both.agg(
@@ -59,13 +77,20 @@ def paired_flips(base: DataFrame, tuned: DataFrame) -> DataFrame:
     )
 
 
-def audit_pivot(audit: DataFrame, by: str, categories: list[str]) -> DataFrame:
-    out = audit.groupBy(by).pivot("category", categories).count().na.fill(0)
+def audit_pivot(audit: DataFrame, by: str | list[str], categories: list[str]) -> DataFrame:
+    """Rows of each category by a column, or by several (split, then problem), and their total."""
+    out = audit.groupBy(*([by] if isinstance(by, str) else by)).pivot("category", categories).count().na.fill(0, categories)
     total = None
     for c in categories:
         total = F.col(c) if total is None else total + F.col(c)
     return out.withColumn("total", total)
 
 
+def audit_rollup(audit: DataFrame, levels: list[str], categories: list[str]) -> DataFrame:
+    """The counts of audit_pivot at every level at once: by all levels, by all but the last, ..., overall (nulls)."""
+    counts = [F.count_if(F.col("category") == c).alias(c) for c in categories]
+    return audit.rollup(*levels).agg(*counts, F.count("*").alias("total"))
+
+
 def issue_histogram(audit: DataFrame) -> DataFrame:
     return audit.select(F.explode("issues").alias("issue")).groupBy("issue").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "issue")

@@ -33,15 +33,31 @@ def exact_mapping(catalog: DataFrame, archive: DataFrame) -> DataFrame:
     )
 
 
-def gram_scores(left: DataFrame, right: DataFrame, n: int = 5) -> DataFrame:
-    """left_id, right_id, score: containment of the n-grams of two key columns, for pairs that share one; an equi-join
-    of distinct grams, so nothing is compared that shares nothing."""
+def gram_scores(left: DataFrame, right: DataFrame, least: float, n: int = 5) -> DataFrame:
+    """left_id, right_id, score: containment of the n-grams of two key columns, for all pairs of at least `least`.
+
+    A pair is looked at only if the rarest grams of its smaller set bring it together: of k grams at least
+    ceil(least * k) are shared, so one of the first k - ceil(least * k) + 1 is, whatever their order. Grams that many
+    keys have come last, and meet nobody unless a set has nothing rarer."""
+    if not 0 < least <= 1:
+        raise ValueError("least is in (0, 1]")
     a = left.select("left_id", F.explode(T.grams(F.col("key"), n)).alias("g"))
     b = right.select("right_id", F.explode(T.grams(F.col("key"), n)).alias("g"))
-    sa, sb = (x.groupBy(k).agg(F.count("*").alias(f"{k}_grams")) for x, k in ((a, "left_id"), (b, "right_id")))
-    both = a.join(b, "g").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    scored = both.join(sa, "left_id").join(sb, "right_id")
-    return scored.select("left_id", "right_id", (F.col("shared") / F.least("left_id_grams", "right_id_grams")).alias("score"))
+    often = a.select("g").unionByName(b.select("g")).groupBy("g").agg(F.count("*").alias("often"))
+
+    def sets(rows: DataFrame, key: str) -> DataFrame:
+        """key, grams (the rarest first), size, prefix."""
+        ranked = rows.join(often, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("x"))
+        out = ranked.select(key, F.transform("x", lambda v: v["g"]).alias("grams")).withColumn("size", F.size("grams"))
+        return out.withColumn("prefix", F.slice("grams", F.lit(1), (F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).cast("int")))
+
+    x, y = sets(a, "left_id"), sets(b, "right_id")
+    left_rows = lambda grams: x.select("left_id", F.col("size").alias("left_size"), F.explode(grams).alias("g"))
+    right_rows = lambda grams: y.select("right_id", F.col("size").alias("right_size"), F.explode(grams).alias("g"))
+    met = left_rows("prefix").join(right_rows("grams"), "g").where("left_size <= right_size").select("left_id", "right_id")
+    met = met.unionByName(left_rows("grams").join(right_rows("prefix"), "g").where("left_size > right_size").select("left_id", "right_id")).distinct()
+    both = met.join(x.select("left_id", F.col("grams").alias("l")), "left_id").join(y.select("right_id", F.col("grams").alias("r")), "right_id")
+    return both.select("left_id", "right_id", T.containment(F.col("l"), F.col("r")).alias("score")).where(F.col("score") >= least)
 
 
 def best_with_margin(scored: DataFrame, least: float = 0.8, margin: float = 0.02) -> DataFrame:
@@ -59,15 +75,27 @@ def best_with_margin(scored: DataFrame, least: float = 0.8, margin: float = 0.02
 def fuzzy_mapping(catalog: DataFrame, archive: DataFrame, least: float = 0.8, margin: float = 0.02, weight: float = 0.9) -> DataFrame:
     """Catalog (id, name, description) to archive (branch, directory, description) by likeness of descriptions and names.
 
-    Names are compared for pairs whose descriptions share a gram alone; the others cannot reach `least`."""
+    A place can spoil the margin of one of `least` only if its own likeness is above `near`; no others are scored."""
+    near = max(0.01, (weight * least - margin - (1 - weight)) / weight - 1e-6)
     left = catalog.select(F.col("id").alias("left_id"), "name", T.similarity_key(F.col("description")).alias("key"))
-    right = archive.select(F.concat_ws("/", "branch", "directory").alias("right_id"), "branch", "directory", T.similarity_key(F.col("description")).alias("key"))
-    scored = gram_scores(left, right).join(left.select("left_id", "name"), "left_id").join(right, "right_id")
+    right = archive.select(F.struct("branch", "directory").alias("right_id"), "branch", "directory", T.similarity_key(F.col("description")).alias("key"))
+    scored = gram_scores(left, right, near).join(left.select("left_id", "name"), "left_id").join(right, "right_id")
     total = weight * F.col("score") + (1 - weight) * sequence_ratio(T.similarity_key(F.col("name")), T.similarity_key(F.col("directory")))
-    best = best_with_margin(scored.withColumn("total", total), least, margin)
-    place = right.select(F.col("right_id").alias("best_id"), "branch", "directory")
-    out = best.where("accepted").join(place, "best_id")
-    return out.select(F.col("left_id").alias("problem_id"), F.lit("mapped").alias("status"), F.lit("fuzzy_description").alias("method"), "branch", "directory", F.round("best_score", 6).alias("description_similarity"))
+    best = best_with_margin(scored.withColumn("total", total), least, margin).where("accepted")
+    place = F.col("best_id")
+    return best.select(F.col("left_id").alias("problem_id"), F.lit("mapped").alias("status"), F.lit("semantic_description").alias("method"), place["branch"].alias("branch"), place["directory"].alias("directory"), F.round("best_score", 6).alias("description_similarity"))
+
+
+def resolve_mappings(catalog: DataFrame, archive: DataFrame, least: float = 0.8, margin: float = 0.02) -> DataFrame:
+    """A row for each catalog problem: problem_id, status (mapped, ambiguous, not_found), method, branch, directory,
+    description_similarity. An exact name settles it; descriptions are compared for the problems without one."""
+    exact = exact_mapping(catalog, archive).withColumn("method", F.when(F.col("status") == "mapped", F.col("method"))).withColumn("description_similarity", F.lit(None).cast("double"))
+    rest = catalog.join(exact.select(F.col("problem_id").alias("id")), "id", "left_anti")
+    fuzzy = fuzzy_mapping(rest, archive, least, margin)
+    none = rest.select(F.col("id").alias("problem_id")).join(fuzzy.select("problem_id"), "problem_id", "left_anti")
+    text = F.lit(None).cast("string")
+    none = none.select("problem_id", F.lit("not_found").alias("status"), text.alias("method"), text.alias("branch"), text.alias("directory"), F.lit(None).cast("double").alias("description_similarity"))
+    return exact.unionByName(fuzzy).unionByName(none)
 
 
 def select_cases(problems: DataFrame, mapping: DataFrame, archive_cases: DataFrame, local_cases: DataFrame, local_only: list[int]) -> DataFrame:
@@ -127,49 +155,129 @@ def judge(codes: DataFrame, cases: dict[int, list[dict]], runner: Callable[[str,
     return codes.select("problem_id", "code_hash", "code").mapInPandas(run, VERDICT)
 
 
-def simulator(compile_command: list[str], run_command: list[str], strict: bool = True) -> Callable[[str, dict], dict]:
-    """A runner over child processes: the code and the case's files go to a folder of their own, {out} and {dir} in the
-    commands are filled in. Output is matched by the case's pattern, or line by line; the strict judge wants an
+def judge_factory(problems: DataFrame, cases: DataFrame, runner: Callable[[str, dict], dict]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(manifest, judge): the testcases of each problem, and a function of codes (problem_id, code_hash, code) to their
+    verdicts. cases: problem_id, name and what the runner reads. A problem without a testcase is a ValueError.
+
+    The cases of all problems go to the workers with the function, as the testcases of a catalog are few."""
+    rows = [r.asDict(recursive=True) for r in cases.join(problems.select("problem_id").distinct(), "problem_id", "left_semi").collect()]
+    by: dict[int, list[dict]] = {}
+    for row in sorted(rows, key=lambda r: (r["problem_id"], str(r["name"]))):
+        by.setdefault(row["problem_id"], []).append(row)
+    missing = sorted(r["problem_id"] for r in problems.select("problem_id").distinct().collect() if r["problem_id"] not in by)
+    if missing:
+        raise ValueError(f"no testcases: {missing}")
+    manifest = problems.sparkSession.createDataFrame([(p, [c["name"] for c in own]) for p, own in by.items()], "problem_id long, testcases array<string>")
+    return manifest, lambda codes: judge(codes, by, runner)
+
+
+def verify_pairs(pairs: DataFrame, selected: DataFrame, cases: dict[int, list[dict]], runner: Callable[[str, dict], dict]) -> DataFrame:
+    """pair_id, problem_id, status (VERIFIED or UNVERIFIED), reason, valid_repair, buggy, fixed (verdicts).
+
+    selected: problem_id, reason (null: can be verified), as select_cases gives it; a problem that it lacks is
+    testbench_not_found. Each code is judged once. A repair is valid if the buggy code fails and the fixed one passes."""
+    known = pairs.join(selected.select("problem_id", "reason", F.lit(True).alias("_known")), "problem_id", "left")
+    known = known.withColumn("reason", F.when(F.col("_known").isNull(), "testbench_not_found").otherwise(F.col("reason"))).drop("_known")
+    verdicts = judge(memo_codes(known.where("reason is null")), cases, runner)
+    out = with_verdicts(known, verdicts)
+    checked = F.col("reason").isNull()
+    valid = (F.col("buggy.status") == "FAIL") & (F.col("fixed.status") == "AC")
+    side = lambda c: F.when(checked, F.col(c)).alias(c)
+    return out.select("pair_id", "problem_id", F.when(checked, "VERIFIED").otherwise("UNVERIFIED").alias("status"), "reason", F.when(checked, valid).alias("valid_repair"), side("buggy"), side("fixed"))
+
+
+def verified_output(pairs: DataFrame, report: DataFrame) -> DataFrame:
+    """The pairs whose repair was found valid, marked so."""
+    good = report.where("valid_repair").select("pair_id")
+    return pairs.drop("verification").join(good, "pair_id", "left_semi").withColumn("verification", F.lit("testbench_verified"))
+
+
+# Fixed value: the compiler's warning that a submission's ports have other widths than the testbench expects.
+WIDTH_WARNING = r"warning: Port \d+ .* expects \d+ bits, got \d+"
+
+
+def timeout_module(case: dict) -> str:
+    """A module that ends the simulation after the case's simulating_time."""
+    number, unit = re.fullmatch(r"([0-9.]+)\s*(s|ms|us|ns|ps|fs)", case.get("simulating_time") or "1000ns").groups()
+    ns = float(number) * {"s": 1e9, "ms": 1e6, "us": 1e3, "ns": 1, "ps": 1e-3, "fs": 1e-6}[unit]
+    return f"`timescale 1ns / 1ps\nmodule __judge_timeout;\ninitial begin #{ns}; $finish; end\nendmodule\n"
+
+
+def simulator(
+    compile_command: list[str], run_command: list[str], strict: bool = True, patch: Callable[[str, dict], str] | None = None,
+    more_files: Callable[[dict], dict[str, str]] | None = None, warning: str | None = None, compile_seconds: int | None = None,
+) -> Callable[[str, dict], dict]:
+    """A runner over child processes. The code (patched, if told how) and the case's files go to a folder of their own;
+    {out} and {dir} in the commands are filled in, and {sources} is every source there. A compiler's warning of the given
+    form fails the case (interface). Output is matched by the case's pattern, or line by line; the strict judge wants an
     expected output that is not empty. A time-out kills the whole process group."""
 
     def lines(text: str, pattern: str | None) -> list[str]:
-        text = text.replace("\r\n", "\n")
+        if pattern and strict:
+            return [m.group(0).strip() for m in re.finditer(pattern, text.replace("\r\n", "\n"), re.M)]
         if pattern:
             return [" ".join(m.group(0).split()) for m in re.finditer(pattern, text, re.M)]
-        return [s for line in text.split("\n") if (s := line.strip())]
+        return [s for line in text.splitlines() if (s := line.strip())]
 
     def step(command, folder, seconds):
-        with subprocess.Popen(command, cwd=folder, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, start_new_session=True) as p:
+        with subprocess.Popen(command, cwd=folder, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace", start_new_session=True) as p:
             try:
-                return p.communicate(timeout=seconds)[0], p.returncode
+                return *p.communicate(timeout=seconds), p.returncode
             except subprocess.TimeoutExpired:
                 import os
                 import signal
 
                 os.killpg(p.pid, signal.SIGKILL)
                 p.communicate()
-                return "", None
+                return "", "", None
 
     def run(code: str, case: dict) -> dict:
+        seconds = case.get("timeout") or 90
         with tempfile.TemporaryDirectory() as folder:
-            (Path(folder) / "submission.v").write_text(code)
-            for name, content in case.get("files", {}).items():
-                (Path(folder) / Path(name).name).write_bytes(content)
-            fill = lambda words: [w.format(dir=folder, out=f"{folder}/out") for w in words]
-            said, done = step(fill(compile_command), folder, case.get("timeout", 90))
+            files = {"submission.v": (patch(code, case) if patch else code).encode()}
+            files |= {name: text.encode() for name, text in (more_files(case) if more_files else {}).items()}
+            files |= {Path(name).name: bytes(content) for name, content in (case.get("files") or {}).items()}
+            for name, content in files.items():
+                (Path(folder) / name).write_bytes(content)
+            sources = [f"{folder}/{name}" for name in files if name.lower().endswith((".v", ".sv"))]
+
+            def fill(command):
+                filled = [sources if w == "{sources}" else [w.format(dir=folder, out=f"{folder}/out")] for w in command]
+                return [w for part in filled for w in part]
+
+            _, said, done = step(fill(compile_command), folder, compile_seconds or seconds)
             if done != 0:
                 return {"status": "compile_timeout" if done is None else "compile_error", "stage": "compile", "detail": said}
-            said, done = step(fill(run_command), folder, case.get("timeout", 90))
+            if warning and re.search(warning, said):
+                return {"status": "interface_error", "stage": "interface", "detail": said}
+            out, said, done = step(fill(run_command), folder, seconds)
+            if done is None:
+                return {"status": "simulation_timeout", "stage": "timeout", "detail": f"simulation exceeded {seconds}s"}
             if done != 0:
-                return {"status": "simulation_timeout" if done is None else "simulation_error", "stage": "simulation", "detail": said}
-            want, got = lines(case.get("standard", ""), case.get("output_regex")), lines(said, case.get("output_regex"))
+                return {"status": "simulation_error", "stage": "simulation", "detail": said}
+            want, got = lines(case.get("standard") or "", case.get("output_regex")), lines(out, case.get("output_regex"))
             if want != got or strict and not want:
-                return {"status": "wrong_answer", "stage": "wrong_answer", "detail": "\n".join(got[:20])}
+                return {"status": "wrong_answer", "stage": "wrong_answer", "detail": f"expected={want[:20]!r}, actual={got[:20]!r}"}
             return {"status": "passed"}
 
     return run
 
 
+def archive_runner(rename: dict[int, tuple[str, str]] | None = None) -> Callable[[str, dict], dict]:
+    """The first judge: all warnings on, wrong port widths fail, a module of its own ends the simulation, doubled
+    semicolons are mended, and the modules of some problems renamed (problem_id -> old, new)."""
+
+    def patch(code: str, case: dict) -> str:
+        if (names := (rename or {}).get(case.get("problem_id"))) is not None:
+            code = re.sub(rf"\bmodule\s+{re.escape(names[0])}\b", f"module {names[1]}", code, count=1)
+        return re.sub(r";[ \t]*;", ";", code)
+
+    return simulator(
+        ["iverilog", "-g2005", "-Wall", "-o", "{out}", "{sources}"], ["vvp", "{out}"], strict=False, patch=patch,
+        more_files=lambda case: {"judge_timeout.v": timeout_module(case)}, warning=WIDTH_WARNING, compile_seconds=30,
+    )
+
+
 def first_failure(results: DataFrame) -> DataFrame:
     """results (code_id, idx, status): of each code the first case that failed, and the cases passed before it."""
     bad = F.col("status") != "passed"

@@ -88,25 +88,32 @@ measured AS (
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invented code: document text between comments, strings, fences and a template header."""
+    """Invented code: document text between comments, strings and template headers (none, one, two, or one that is
+    indented and so none); with names that begin with $, doubled and tripled semicolons, and odd white space."""
     docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
     words = F.translate(F.coalesce("text", F.lit("")), '"/\\\n', "    ")
-    note = F.when(F.col("doc_id") % 2 == 0, F.lit("// 中文说明 ")).otherwise(F.lit("// note "))
-    block = F.when(F.col("doc_id") % 3 == 0, F.lit("/* 注释\n two */")).otherwise(F.lit("/* plain\n two */"))
-    rule = F.lit("/" * 24 + "\n")
-    header = F.when(F.col("doc_id") % 5 == 0, F.concat(rule, F.lit("// Company: x\n// Engineer: y\n// Create Date: z\n// Module Name: m\n"), rule)).otherwise(F.lit(""))
-    end = F.when(F.col("doc_id") % 4 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
-    code = F.concat(header, F.lit("\nmodule m"), F.col("doc_id").cast("string"), F.lit('; "a // b" '), note, words, end, F.lit("  x = 1;; \\esc//id "), block, F.lit(" y ; \t"), end, words, F.lit(" endmodule\n\n"))
-    return docs.select("doc_id", F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".v")).alias("path"), code.alias("code"))
-
-
-CODE_FILES = r"""code_files AS (
+    note = F.when(k % 2 == 0, F.lit("// 中文说明 ")).otherwise(F.lit("// note "))
+    block = F.when(k % 3 == 0, F.lit("/* 注释\n two */")).otherwise(F.lit("/* plain\n two */"))
+    rule = "/" * 24 + "\n"
+    marks = "// Company: x\n// Create Date: z\n// Module Name: m\n// Additional Comments: none\n"
+    header = F.when(k % 20 == 0, F.lit(2 * (rule + marks + rule))).when(k % 10 == 0, F.lit(rule + marks + rule)).when(k % 5 == 0, F.lit(rule + " " + marks + rule)).otherwise(F.lit(""))
+    end = F.when(k % 4 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    odd = F.lit("\nmodule $top; a;;;b;\n;c; \t;d module_x module 块z\u3000\n")
+    code = F.concat(header, F.lit("\nmodule m"), k.cast("string"), F.lit('; "a // b" '), note, words, end, F.lit("  x = 1;; \\esc//id "), block, F.lit(" y ; \t"), end, words, odd, F.lit(" endmodule\n\n"))
+    return docs.select("doc_id", F.concat(F.lit("src/"), k, F.lit(".v")).alias("path"), code.alias("code"))
+
+
+_RULE = "repeat('/', 24) || chr(10)"
+_MARKS = "'// Company: x' || chr(10) || '// Create Date: z' || chr(10) || '// Module Name: m' || chr(10) || '// Additional Comments: none' || chr(10)"
+CODE_FILES = rf"""code_files AS (
   SELECT doc_id, 'src/' || doc_id || '.v' AS path,
-    CASE WHEN doc_id % 5 = 0 THEN repeat('/', 24) || chr(10) || '// Company: x' || chr(10) || '// Engineer: y' || chr(10) || '// Create Date: z' || chr(10) || '// Module Name: m' || chr(10) || repeat('/', 24) || chr(10) ELSE '' END
+    CASE WHEN doc_id % 20 = 0 THEN repeat({_RULE} || {_MARKS} || {_RULE}, 2) WHEN doc_id % 10 = 0 THEN {_RULE} || {_MARKS} || {_RULE} WHEN doc_id % 5 = 0 THEN {_RULE} || ' ' || {_MARKS} || {_RULE} ELSE '' END
     || chr(10) || 'module m' || doc_id || '; "a // b" ' || CASE WHEN doc_id % 2 = 0 THEN '// 中文说明 ' ELSE '// note ' END || translate(coalesce(text, ''), '"/\' || chr(10), '    ')
     || CASE WHEN doc_id % 4 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || '  x = 1;; \esc//id '
     || CASE WHEN doc_id % 3 = 0 THEN '/* 注释' || chr(10) || ' two */' ELSE '/* plain' || chr(10) || ' two */' END || ' y ; ' || chr(9)
-    || CASE WHEN doc_id % 4 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || translate(coalesce(text, ''), '"/\' || chr(10), '    ') || ' endmodule' || chr(10) || chr(10) AS code
+    || CASE WHEN doc_id % 4 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || translate(coalesce(text, ''), '"/\' || chr(10), '    ')
+    || chr(10) || 'module $top; a;;;b;' || chr(10) || ';c; ' || chr(9) || ';d module_x module 块z' || chr(12288) || chr(10) || ' endmodule' || chr(10) || chr(10) AS code
   FROM documents)"""
 
 

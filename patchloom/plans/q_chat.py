@@ -12,14 +12,13 @@ from patchloom.plans.q_pairs import BLANK
 from patchloom.plans.registry import query
 from patchloom.streaming import resume
 
-_F = "'```verilog' || chr(10) || {0} || chr(10) || '```'"
-_USER = f"'### Problem' || chr(10) || coalesce(description, '') || chr(10) || chr(10) || '{chat.MARK}' || chr(10) || {_F.format('buggy_code')}"
+_USER = f"'Problem specification:' || chr(10) || coalesce(description, 'None') || chr(10) || chr(10) || '{chat.MARK}' || chr(10) || '```verilog' || chr(10) || buggy_code || chr(10) || '```'"
 
 
-@query("chat_rows", f"""WITH {X.CATALOG}, {X.PAIRS} SELECT pair_id, pairs.problem_id, 'system,user,assistant' AS roles, sha256('{chat.SYSTEM}' || {_USER} || {_F.format('fixed_code')}) AS digest
+@query("chat_rows", f"""WITH {X.CATALOG}, {X.PAIRS} SELECT pair_id, pairs.problem_id, 'system,user,assistant' AS roles, sha256('{chat.SYSTEM}' || {_USER} || fixed_code) AS digest
 FROM pairs JOIN catalog ON catalog.id = pairs.problem_id""")
 def chat_rows(spark, d):
-    rows = chat.chat_rows(X.pairs(spark, d), X.catalog(spark, d))
+    rows = chat.strict_rows(chat.chat_rows(X.pairs(spark, d), X.catalog(spark, d), strict=False))
     text = lambda f: F.array_join(F.transform("messages", lambda m: m[f]), "," if f == "role" else "")
     return rows.select("pair_id", "problem_id", text("role").alias("roles"), F.sha2(text("content"), 256).alias("digest"))
 
@@ -27,7 +26,8 @@ def chat_rows(spark, d):
 @query("chat_codes", f"""WITH {X.CATALOG}, {X.PAIRS} SELECT pair_id, trim(buggy_code, {BLANK}) || chr(10) AS buggy_code, trim(fixed_code, {BLANK}) || chr(10) AS fixed_code
 FROM pairs WHERE problem_id IN (SELECT id FROM catalog)""")
 def chat_codes(spark, d):
-    return chat.codes_of(chat.chat_rows(X.pairs(spark, d), X.catalog(spark, d))).select("pair_id", "buggy_code", "fixed_code")
+    known = filters.of_problems(X.pairs(spark, d), X.catalog(spark, d).select(F.col("id").alias("problem_id")))
+    return chat.codes_of(chat.chat_rows(known, X.catalog(spark, d))).select("pair_id", "buggy_code", "fixed_code")
 
 
 @query("missing_catalog", f"WITH {X.CATALOG}, {X.PAIRS} SELECT pair_id FROM pairs WHERE problem_id NOT IN (SELECT id FROM catalog)")
@@ -41,9 +41,9 @@ def chat_role_check(spark, d):
 
 
 _COUNT = r"len(regexp_extract_all(coalesce({0}, ''), '\S+'))"
-_RENDER = "array_to_string(list_transform({0}, lambda m: '<|' || m.role || '|>' || chr(10) || m.content || chr(10)), '')"
+_RENDER = "array_to_string(list_transform({0}, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')"
 COUNTS = f"""{X.CHATS}, last_at AS (SELECT *, list_max(list_transform(list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant'), lambda i: i)) AS place FROM chats),
-counts AS (SELECT conv_id, {_COUNT.format(_RENDER.format('messages[1:place - 1]'))}::INT AS input, {_COUNT.format('messages[place].content')}::INT AS assistant,
+counts AS (SELECT conv_id, {_COUNT.format(_RENDER.format('messages[1:place - 1]') + " || '<|im_start|>assistant' || chr(10)")}::INT AS input, {_COUNT.format('messages[place].content')}::INT AS assistant,
   {_COUNT.format(_RENDER.format('messages'))}::INT AS "full" FROM last_at WHERE place IS NOT NULL)"""
 MEASURES = ["input", "assistant", "full"]
 LIMITS = [128, 256, 512, 1024]
@@ -58,9 +58,18 @@ def token_counts(spark, d):
     return _counts(spark, d)
 
 
+@query("first_turn_counts", f"""WITH {COUNTS.replace("list_max", "list_min")}, kept AS (SELECT conv_id, input, assistant FROM counts WHERE "full" <= 512)
+SELECT *, TRUE AS kept FROM kept UNION ALL SELECT conv_id, input, assistant, FALSE FROM counts WHERE "full" > 512""")
+def first_turn_counts(spark, d):
+    """Training's view: what stands before the first answer; rows that are too long are set apart; sorted by length."""
+    kept, dropped = chat.within_length(chat.token_counts(X.chats(spark, d), "conv_id", which="first"), "full", 512)
+    out = chat.by_length(kept, "input", "conv_id").withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
+    return out.select("conv_id", "input", "assistant", "kept")
+
+
 @query("token_stats", f"""WITH {COUNTS}, long AS (SELECT 'input' AS measure, input::DOUBLE AS v FROM counts UNION ALL SELECT 'assistant', assistant FROM counts UNION ALL SELECT 'full', "full" FROM counts)
 SELECT measure, count(*)::BIGINT AS n, min(v) AS least, round(avg(v), 2) AS mean, max(v) AS most, round(quantile_cont(v, 0.5), 2) AS p50, round(quantile_cont(v, 0.9), 2) AS p90,
-  round(quantile_cont(v, 0.95), 2) AS p95, round(quantile_cont(v, 0.99), 2) AS p99 FROM long GROUP BY 1""")
+  round(quantile_cont(v, 0.95), 2) AS p95, round(quantile_cont(v, 0.99), 2) AS p99, round(quantile_cont(v, 0.995), 2) AS p99_5 FROM long GROUP BY 1""")
 def token_stats(spark, d):
     return chat.token_stats(_counts(spark, d), MEASURES)
 
@@ -148,6 +157,13 @@ def issue_hist(spark, d):
 _COLS = ", ".join(f"(count(*) FILTER (category = '{c}'))::BIGINT AS {c}" for c in CATEGORIES)
 
 
+@query("audit_rollup", f"""WITH {AUDIT}, levels AS (SELECT *, CASE problem_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split FROM audit)
+SELECT split, problem_id, {_COLS}, count(*)::BIGINT AS total FROM levels GROUP BY ROLLUP (split, problem_id)""")
+def audit_rollup(spark, d):
+    split = F.when(F.col("problem_id") % 3 == 0, "train").when(F.col("problem_id") % 3 == 1, "dev").otherwise("test")
+    return reports.audit_rollup(_audit(spark, d).withColumn("split", split), ["split", "problem_id"], CATEGORIES)
+
+
 @query("audit_pivot", f"WITH {AUDIT} SELECT problem_id, {_COLS}, count(*)::BIGINT AS total FROM audit GROUP BY 1")
 def audit_pivot(spark, d):
     return reports.audit_pivot(_audit(spark, d), "problem_id", CATEGORIES)
@@ -186,6 +202,30 @@ def verdict_memo(spark, d):
     return verify.with_verdicts(pairs, verdicts).select("pair_id", F.col("buggy.status").alias("buggy"), F.col("fixed.status").alias("fixed"), F.col("fixed.passed_testcases").alias("fixed_passed"))
 
 
+@query("verify_pairs", f"""WITH {X.PAIRS}, cases AS (SELECT p AS problem_id, k FROM range(0, 10) t(p), range(0, 3) u(k) WHERE k < p % 4),
+reasons AS (SELECT p AS problem_id, CASE WHEN p % 4 = 0 THEN 'ambiguous_problem_mapping' END AS reason FROM range(0, 10) t(p)),
+known AS (SELECT p.*, CASE WHEN r.problem_id IS NULL THEN 'testbench_not_found' ELSE reason END AS reason FROM pairs p LEFT JOIN reasons r ON r.problem_id = p.problem_id),
+judged AS (SELECT *, (SELECT min(k) FROM cases c WHERE c.problem_id = known.problem_id AND (length(buggy_code) + k) % 3 = 0) AS b,
+  (SELECT min(k) FROM cases c WHERE c.problem_id = known.problem_id AND (length(fixed_code) + k) % 3 = 0) AS f FROM known)
+SELECT pair_id, problem_id, CASE WHEN reason IS NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status, reason, CASE WHEN reason IS NULL THEN b IS NOT NULL AND f IS NULL END AS valid_repair,
+  CASE WHEN reason IS NULL AND f IS NOT NULL THEN 'case' || f END AS failed FROM judged""")
+def verify_pairs(spark, d):
+    cases = {p: [{"name": f"case{k}", "k": k} for k in range(3) if k < p % 4] for p in range(10)}
+    selected = spark.range(10).select(F.col("id").alias("problem_id"), F.when(F.col("id") % 4 == 0, "ambiguous_problem_mapping").alias("reason"))
+    out = verify.verify_pairs(X.pairs(spark, d), selected, cases, _fake_runner)
+    return out.select("pair_id", "problem_id", "status", "reason", "valid_repair", F.col("fixed.failed_testcase").alias("failed"))
+
+
+@query("judge_factory", """WITH codes AS (SELECT s_suppkey % 3 AS problem_id, s_name AS code, s_suppkey FROM supplier),
+failed AS (SELECT c.*, (SELECT min(k) FROM range(0, 2) t(k) WHERE (length(code) + k) % 3 = 0) AS f FROM codes c)
+SELECT s_suppkey::VARCHAR AS code_hash, CASE WHEN f IS NULL THEN 'AC' ELSE 'FAIL' END AS status, coalesce(f, 2)::INT AS passed_testcases FROM failed""")
+def judge_factory(spark, d):
+    rows = X.table(spark, d, "supplier").select((F.col("s_suppkey") % 3).alias("problem_id"), F.col("s_suppkey").cast("string").alias("code_hash"), F.col("s_name").alias("code"))
+    cases = spark.range(3).select(F.col("id").alias("problem_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("name", F.concat(F.lit("case"), F.col("k")))
+    _, judged = verify.judge_factory(rows, cases, _fake_runner)
+    return judged(rows).select("code_hash", "status", "passed_testcases")
+
+
 def _run(spark, d, name):
     return X.runs(spark, d).select("pair_id", "problem_id", F.col(f"{name}_status").alias("status"))
 
@@ -220,9 +260,9 @@ def _lift(spark, d):
     return reports.problem_lift(_run(spark, d, "base"), _run(spark, d, "tuned"), names, train)
 
 
-@query("problem_lift", f"WITH {_LIFT} SELECT problem_id, n, base_ac, tuned_ac, name, train, round(base_rate, 6) AS base_rate, round(tuned_rate, 6) AS tuned_rate, round(lift, 6) AS lift, format('{{:+.2f}}', lift) AS points FROM lift")
+@query("problem_lift", f"WITH {_LIFT} SELECT problem_id, n, base_ac, tuned_ac, name, train, round(base_rate, 6) AS base_rate, round(tuned_rate, 6) AS tuned_rate, round(lift, 6) AS lift, format('{{:+.2f}}', lift) AS points, format('{{:.2f}}%', 100 * base_rate) AS base_percent FROM lift")
 def problem_lift(spark, d):
-    return _lift(spark, d).withColumn("points", T.signed_percent(F.col("lift") / 100)).withColumns({c: F.round(c, 6) for c in ("base_rate", "tuned_rate", "lift")})
+    return _lift(spark, d).withColumn("points", T.signed_points(F.col("lift") / 100)).withColumn("base_percent", T.percent(F.col("base_rate"))).withColumns({c: F.round(c, 6) for c in ("base_rate", "tuned_rate", "lift")})
 
 
 @query("lift_summary", f"""WITH {_LIFT} SELECT round(sum(base_ac)::DOUBLE / sum(n), 6) AS micro_base, round(sum(tuned_ac)::DOUBLE / sum(n), 6) AS micro_tuned, round(avg(base_rate), 6) AS macro_base, round(avg(tuned_rate), 6) AS macro_tuned,
@@ -260,6 +300,26 @@ def run_guard(spark, d):
     return out.withColumn("mismatches", F.array_join("mismatches", ","))
 
 
+@query("run_conditions", """SELECT unnest([1, 2, 3]) AS run, unnest(['', 'resources,timeout,adapter,model_files,versions.torch,tuned_incomplete,tuned_results', 'adapter']) AS mismatches""")
+def run_conditions(spark, d):
+    """Two runs that may be compared (their maps in another order); one that differs in much; one without an adapter."""
+    rows = X.table(spark, d, "region").agg(F.array_sort(F.collect_list("r_name")).alias("pair_ids"))
+    pairs = lambda *kv: F.create_map(*map(F.lit, kv))
+
+    def run(adapter=None, timeout=90, files=("/m/a", "1", "/m/b", "2", "/x/c", "3"), torch="2", complete=True, resources=("r", "1", "s", "2"), ids=F.col("pair_ids")):
+        fixed = [F.lit("x").alias(k) for k in ("test_sha256", "manifest_sha256", "script_sha256", "iverilog_version")]
+        more = {"timeout": F.lit(timeout), "resources": pairs(*resources), "generation": pairs("max_new_tokens", "4096"), "model": F.lit("/m"), "model_files": pairs(*files), "versions": pairs("torch", torch, "other", torch), "mode": F.lit("model"), "adapter": F.lit(adapter).cast("string"), "complete": F.lit(complete), "result_ids": ids}
+        return rows.select("pair_ids", *fixed, *[c.alias(k) for k, c in more.items()])
+
+    fine = run("/lora", resources=("s", "2", "r", "1"), files=("/m/b", "2", "/m/a", "1", "/x/c", "4"))
+    bad = run(None, 10, files=("/m/a", "9", "/m/b", "2"), torch="1", complete=False, resources=("r", "1"), ids=F.reverse("pair_ids"))
+    out = None
+    for i, tuned in enumerate((fine, bad, run())):
+        one = filters.run_conditions(run(), tuned).select(F.lit(i + 1).alias("run"), F.array_join("mismatches", ",").alias("mismatches"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("reuse_guard", """SELECT event_id, (event_type = 'error' OR value <= 50) AND (event_type = 'view' OR user_id % 100 <= 30) AS reusable FROM events""")
 def reuse_guard(spark, d):
     phase = lambda t, s: F.struct(t.alias("timeout"), s.cast("double").alias("seconds"))

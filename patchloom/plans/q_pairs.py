@@ -12,10 +12,10 @@ from patchloom.sources import sinks
 
 BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 RATIO = "abs(length(fixed_code) - length(buggy_code))::DOUBLE / greatest(length(buggy_code), length(fixed_code), 1)"
-REASON = f"""CASE WHEN coalesce(NOT valid_repair, FALSE) OR coalesce(verification = 'invalid', FALSE) THEN 'invalid_label'
-  WHEN problem_id NOT IN (SELECT id FROM catalog) THEN 'out_of_scope'
+REASON = f"""CASE WHEN coalesce(NOT valid_repair, FALSE) OR coalesce(verification = 'invalid', FALSE) THEN 'invalid_fail_to_ac_label'
+  WHEN problem_id NOT IN (SELECT id FROM catalog) THEN 'out_of_scope_problem'
   WHEN trim(buggy_code, {BLANK}) = '' OR trim(fixed_code, {BLANK}) = '' THEN 'empty_code' WHEN buggy_code = fixed_code THEN 'identical_code'
-  WHEN distance > 0.9::DOUBLE THEN 'near_rewrite' END"""
+  WHEN distance > 0.9::DOUBLE THEN 'near_total_rewrite' END"""
 STATS = """stats AS (SELECT count(*)::BIGINT AS n, round(avg(round(distance, 6)), 6) AS mean,
   quantile_cont(round(distance, 6), [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]) AS q FROM measured),
 fence AS (SELECT least(1.0::DOUBLE, q[4] + 1.5::DOUBLE * (q[4] - q[2])) AS fence FROM stats)"""
@@ -158,34 +158,62 @@ def unique_keys(spark, d):
     return filters.key_problems(X.pairs(spark, d), "student_id")
 
 
-@query("forbidden_chars", f"""WITH {X.PAIRS}, rules AS (SELECT * FROM (VALUES (1, 'xq'), (4, '0Z'), (5, '#')) r(problem_id, characters))
-SELECT pair_id, array_to_string(list_sort(list_distinct(list_filter(string_split(fixed_code, ''), lambda c: c <> '' AND contains(characters, c)))), '') AS found
-FROM pairs JOIN rules ON rules.problem_id = pairs.problem_id WHERE len(list_filter(string_split(fixed_code, ''), lambda c: c <> '' AND contains(characters, c))) > 0""")
+@query("forbidden_chars", f"""WITH {X.PAIRS}, found AS (
+  SELECT pair_id, array_to_string(list_sort(list_distinct(CASE problem_id WHEN 1 THEN regexp_extract_all(fixed_code, '[xq]') WHEN 4 THEN regexp_extract_all(fixed_code, '[0Z]') ELSE regexp_extract_all(fixed_code, '#{{3}}|a.') END)), '|') AS found
+  FROM pairs WHERE problem_id IN (1, 4, 5))
+SELECT * FROM found WHERE found <> ''""")
 def forbidden_chars(spark, d):
-    rules = spark.createDataFrame([(1, "xq"), (4, "0Z"), (5, "#")], "problem_id long, characters string")
-    return filters.forbidden(X.pairs(spark, d), rules, "fixed_code").select("pair_id", F.array_join("found", "").alias("found"))
+    rules = spark.createDataFrame([(1, "[xq]"), (4, "[0Z]"), (5, "#{3}|a.")], "problem_id long, pattern string")
+    return filters.forbidden(X.pairs(spark, d), rules, "fixed_code").select("pair_id", F.array_join("found", "|").alias("found"))
 
 
-@query("changed_lines")
+@query("changed_lines", """WITH lines AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT l_orderkey, (count(*) FILTER (l_linenumber % 3 = 0) + 1)::INT AS changed FROM lines GROUP BY 1""")
 def changed_lines(spark, d):
+    """Every third line is another one, and one is added; blank lines and edges don't count."""
+    n = F.array_sort(F.collect_set("l_linenumber"))
+    rows = X.table(spark, d, "lineitem").groupBy("l_orderkey").agg(n.alias("n"))
+    old = F.array_join(F.transform("n", lambda i: F.concat(F.lit("line "), i)), "\n")
+    new = F.array_join(F.transform("n", lambda i: F.concat(F.when(i % 3 == 0, "  other ").otherwise("\tline "), i, F.lit("\n "))), "\n")
     from patchloom.functions.python_text import changed_lines as changed
 
-    return X.pairs(spark, d).select("pair_id", changed(F.regexp_replace("buggy_code", " ", "\n"), F.regexp_replace("fixed_code", " ", "\n")).alias("changed_lines"))
+    return rows.select("l_orderkey", changed(F.concat(F.lit("first\n"), old), F.concat(F.lit("first\nmore\n"), new)).alias("changed"))
 
 
-@query("name_ratio")
+@query("name_ratio", "SELECT p_partkey, round(2.0::DOUBLE * length(p_name) / (2 * length(p_name) + p_size), 6) AS ratio FROM part")
 def name_ratio(spark, d):
     from patchloom.functions.python_text import sequence_ratio
 
-    return X.pairs(spark, d).select("pair_id", F.round(sequence_ratio("buggy_code", "fixed_code"), 6).alias("ratio"))
+    longer = F.concat("p_name", F.expr("repeat('#', p_size)"))
+    return X.table(spark, d, "part").select("p_partkey", F.round(sequence_ratio("p_name", longer), 6).alias("ratio"))
 
 
-@query("utf8_or_gb")
+def _raw(name: str):
+    """Bytes of three kinds: UTF-8, GB18030, neither."""
+    text, which = F.concat(F.lit("file "), F.col(name)), F.col(name) % 3
+    more = F.when(which == 0, F.encode(F.lit("中"), "UTF-8")).when(which == 1, F.unhex(F.lit("D6D0CEC4"))).otherwise(F.unhex(F.lit("FF")))
+    return F.concat(F.encode(text, "UTF-8"), more)
+
+
+@query("utf8_or_gb", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' ELSE 'utf-8-replaced' END AS encoding,
+  'file ' || doc_id || CASE doc_id % 3 WHEN 0 THEN '中' WHEN 1 THEN '中文' ELSE chr(65533) END AS text FROM documents""")
 def utf8_or_gb(spark, d):
     from patchloom.functions.python_text import decode
 
-    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("D6D0CEC4")))).otherwise(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
-    return X.table(spark, d, "documents").select("doc_id", decode(raw).alias("x")).groupBy("x.encoding").agg(F.count("*").alias("n"))
+    return X.table(spark, d, "documents").select("doc_id", decode(_raw("doc_id")).alias("x")).select("doc_id", "x.encoding", "x.text")
+
+
+@query("long_distance", """SELECT p_partkey, levenshtein(p_name, p_type || p_brand)::DOUBLE / greatest(length(p_name), length(p_type || p_brand), 1) AS distance FROM part""")
+def long_distance(spark, d):
+    """The bit-parallel distance, on all pairs."""
+    rows = X.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("buggy_code"), F.concat("p_type", "p_brand").alias("fixed_code"))
+    return filters.with_distance(rows, long_pair=-1).select("p_partkey", "distance")
+
+
+@query("method_subset", f"WITH {X.PAIRS} SELECT pair_id FROM pairs WHERE problem_id IN (0, 2, 4, 6, 8)")
+def method_subset(spark, d):
+    mapping = spark.range(12).select(F.col("id").alias("problem_id"), F.when(F.col("id") % 2 == 0, "exact_name").otherwise("semantic_description").alias("method"))
+    return filters.mapped_by(X.pairs(spark, d), mapping, "exact_name").select("pair_id")
 
 
 @query("table_cells", f"""WITH {X.PAIRS} SELECT pair_id, translate(fixed_code, chr(9) || chr(13) || chr(10), '   ') AS fixed_code, verification FROM pairs""")
@@ -213,8 +241,8 @@ def id_order(spark, d):
 
 @query("problem_subset", f"WITH {X.PAIRS} SELECT pair_id, problem_id FROM pairs WHERE problem_id IN (SELECT l_linenumber FROM lineitem)")
 def problem_subset(spark, d):
-    wanted = X.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("problem_id")).distinct()
-    return X.pairs(spark, d).join(wanted, "problem_id", "left_semi").select("pair_id", "problem_id")
+    wanted = X.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("problem_id"))
+    return filters.of_problems(X.pairs(spark, d), wanted).select("pair_id", "problem_id")
 
 
 @query("signal_stats", f"""{ALL}, long AS (SELECT 'correctness' AS signal, round(c, 6) AS v FROM scored UNION ALL SELECT 'purity', round(p, 6) FROM scored UNION ALL SELECT 'diversity', round(dv, 6) FROM scored UNION ALL SELECT 'informativeness', round(i, 6) FROM scored)

@@ -8,11 +8,11 @@ import zipfile
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from patchloom.functions.python_text import decode, parse_config
+from patchloom.functions.python_text import decode, decode_text, parse_config
 
 MEMBERS = "archive string, member string, content binary"
 
@@ -30,10 +30,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """As read_jsonl, but a blank line fails."""
-    if spark.read.text(path).where(F.trim("value") == "").head(1):
-        raise ValueError(f"a blank line in {path}")
-    return read_jsonl(spark, path, schema)
+    """As read_jsonl, but a blank line fails, in the same pass."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    line = F.when(F.trim("value") == "", F.raise_error(F.lit(f"a blank line in {path}"))).otherwise(F.col("value"))
+    return spark.read.text(path).select(F.from_json(line, kind, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def read_jsonl_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -41,12 +41,15 @@ def read_jsonl_or_empty(spark: SparkSession, path: str, schema: StructType | str
     return read_jsonl(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_splits(spark: SparkSession, paths: list[str], schema: StructType | str, order: str) -> DataFrame:
-    """Rows of several files with split (the file's stem) and line (the place by `order`; files have none in Spark)."""
-    from pyspark.sql import Window
+def read_splits(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
+    """Rows of several files with split (the file's stem) and line (its number in the file, from 1).
 
-    rows = read_jsonl(spark, paths, schema).withColumn("split", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1))
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy("split").orderBy(order)))
+    A file is read whole, as one record, since only that keeps the order of its lines: for splits of a data set, which
+    lie in single files of moderate size. Blank lines are counted and skipped."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = spark.read.text(paths, wholetext=True).withColumn("split", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1))
+    lines = whole.select("split", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value")).where(F.trim("value") != "")
+    return lines.select("split", (F.col("line") + 1).alias("line"), F.from_json("value", kind, {"mode": "FAILFAST"}).alias("x")).select("split", "line", "x.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -61,17 +64,26 @@ def read_code(spark: SparkSession, folder: str, pattern: str = "*.v") -> DataFra
     return files.select(rest.alias("path"), decode("content").alias("d")).select("path", "d.text", "d.encoding")
 
 
-def load_pairs(pairs: DataFrame, code: DataFrame) -> DataFrame:
-    """pairs (buggy_path, fixed_path) with the texts of both."""
+def load_pairs(pairs: DataFrame, code: DataFrame, strict: bool = True) -> DataFrame:
+    """pairs (buggy_path, fixed_path) with the texts of both; strict: a path without a file fails the query, else the
+    pair is left out."""
     for side in ("buggy", "fixed"):
-        pairs = pairs.join(code.select(F.col("path").alias(f"{side}_path"), F.col("text").alias(f"{side}_code")), f"{side}_path")
+        text = code.select(F.col("path").alias(f"{side}_path"), F.col("text").alias(f"{side}_code"))
+        pairs = pairs.join(text, f"{side}_path", "left" if strict else "inner")
+        if strict:
+            lost = F.raise_error(F.concat(F.lit("no such file: "), F.col(f"{side}_path")))
+            pairs = pairs.withColumn(f"{side}_code", F.coalesce(f"{side}_code", lost))
     return pairs
 
 
-def read_database(spark: SparkSession, url: str, table: str, columns: list[str], **options) -> DataFrame:
-    """A table over JDBC, its columns pruned; filters on the result are pushed down. Give partitionColumn, lowerBound,
-    upperBound and numPartitions to read side by side."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*columns)
+def read_database(spark: SparkSession, url: str, table: str, columns: list[str], where: dict[str, list] | None = None, **options) -> DataFrame:
+    """A table over JDBC, its columns pruned. `where` binds values to columns, whose names it must have (a row needs one
+    of the values of each); these filters, and those on the result, are pushed to the database. Give partitionColumn,
+    lowerBound, upperBound and numPartitions to read side by side."""
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    for column, values in (where or {}).items():
+        rows = rows.where(F.col(f"`{column}`").isin(list(values)))
+    return rows.select(*columns)
 
 
 def _inside(name: str) -> bool:
@@ -81,46 +93,142 @@ def _inside(name: str) -> bool:
 
 
 def tar_members(files: DataFrame, wanted: str | None = None) -> DataFrame:
-    """archive, member, content of the files in tar archives (path, content of binaryFile); wanted is a regular expression
-    that member names must match, tried before a member is read."""
+    """archive, member, content of the files in tar archives; wanted is a regular expression that member names must
+    match, tried before a member is read. files has path, or path and content (binaryFile).
+
+    Without content the archive is streamed from its path (a file that workers can open): no archive is held in a row.
+    Members come in batches of about 8 MB."""
     import re
 
     matches = re.compile(wanted).search if wanted else None
+    held = "content" in files.columns
+
+    def opened(path, content):
+        if content is not None:
+            return tarfile.open(fileobj=io.BytesIO(content))
+        return tarfile.open(path.removeprefix("file:") if not path.startswith("file:///") else path.removeprefix("file://"), mode="r|*")
 
     def run(frames):
+        rows, size = [], 0
         for frame in frames:
-            for path, content in zip(frame.path, frame.content, strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for path, content in zip(frame.path, frame.content if held else [None] * len(frame), strict=True):
+                with opened(path, content) as tar:
                     for member in tar:
                         if member.isfile() and _inside(member.name) and (matches is None or matches(member.name)):
-                            yield pd.DataFrame([(path, member.name, tar.extractfile(member).read())], columns=["archive", "member", "content"])
+                            rows.append((path, member.name, tar.extractfile(member).read()))
+                            size += member.size
+                            if size > 8 << 20:
+                                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+
+    return files.select("path", *["content"] * held).mapInPandas(run, MEMBERS)
 
-    return files.select("path", "content").mapInPandas(run, MEMBERS)
+
+CASES = "archive string, member string, name string, files map<string,binary>, standard string, output_regex string, timeout int, simulating_time string"
 
 
 def zip_testcases(members: DataFrame) -> DataFrame:
-    """A testcase for each zip among members: its files by base name, standard output and settings; null where the zip has
-    no standard or no source."""
+    """A testcase for each zip among members (archive, member, content): its files by base name, the expected output
+    (standard.txt) and settings, from the zip's argv.txt or else from testcase.yaml beside the zip's folder. files and
+    standard are null where a zip has no standard.txt or no source."""
+    folder = lambda up: F.regexp_replace("member", r"(/[^/]*){%d}$" % up, "")
+    zips = members.where(F.lower("member").endswith(".zip")).withColumn("folder", folder(2))
+    yaml = members.where(F.element_at(F.split("member", "/"), -1) == "testcase.yaml").select(F.col("archive").alias("a"), folder(1).alias("f"), F.col("content").alias("yaml"))
+    both = zips.join(yaml, (F.col("archive") == F.col("a")) & (F.col("folder") == F.col("f")), "left").select("archive", "member", "folder", "content", "yaml")
 
     def run(frames):
         for frame in frames:
             out = []
-            for archive, member, content in zip(frame.archive, frame.member, frame.content, strict=True):
-                files = {}
+            for archive, member, folder, content, yaml in zip(frame.archive, frame.member, frame.folder, frame.content, frame.yaml, strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir() and _inside(info.filename):
-                            files[PurePosixPath(info.filename).name] = z.read(info)
-                standard = next((v for k, v in sorted(files.items()) if PurePosixPath(k).stem == "standard"), None)
-                sources = [k for k in files if k.endswith((".v", ".sv"))]
-                config = parse_config(next((v.decode("utf-8", "replace") for k, v in sorted(files.items()) if PurePosixPath(k).stem == "config"), None))
-                whole = standard is not None and bool(sources)
-                text = standard.decode("utf-8", "replace") if whole else None
-                out.append((archive, member, PurePosixPath(member).stem, files if whole else None, text, config["output_regex"], config["timeout"], config["simulating_time"]))
+                    files = {PurePosixPath(i.filename).name: z.read(i) for i in z.infolist() if not i.is_dir() and _inside(i.filename)}
+                named = lambda name: next((v for k, v in files.items() if k.lower() == name), None)  # noqa: E731, B023
+                standard, argv = named("standard.txt"), named("argv.txt")
+                whole = standard is not None and any(PurePosixPath(k).suffix.lower() in (".v", ".sv") for k in files)
+                text = decode_text(standard).replace("\r\n", "\n").replace("\r", "\n") if whole else None
+                config = parse_config(decode_text(argv) if argv is not None else None, decode_text(yaml) if yaml is not None else None)
+                out.append((archive, member, PurePosixPath(folder).name, files if whole else None, text, config["output_regex"], config["timeout"], config["simulating_time"]))
             yield pd.DataFrame(out, columns=["archive", "member", "name", "files", "standard", "output_regex", "timeout", "simulating_time"])
 
-    schema = "archive string, member string, name string, files map<string,binary>, standard string, output_regex string, timeout int, simulating_time string"
-    return members.mapInPandas(run, schema)
+    return both.mapInPandas(run, CASES)
+
+
+#: A member of an archive that belongs to a problem's testcases: branch/problem/directory/.../attachment/name.zip.
+CASE_MEMBER = r"^([^/]+)/problem/([^/]+)/(?:[^/]+/)+[^/]+/attachment/[^/]+\.zip$"
+
+
+def problem_testcases(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The whole testcases of the problems in `wanted` (directory) that one branch alone has: branch, directory, and the
+    columns of zip_testcases. What nobody wants is left out before a zip is opened."""
+    parts = F.split("member", "/")
+    ours = members.withColumn("branch", F.get(parts, F.lit(0))).withColumn("directory", F.get(parts, F.lit(2))).where((F.get(parts, F.lit(1)) == "problem") & (F.size(parts) >= 4))
+    ours = ours.join(wanted.select("directory").distinct(), "directory", "left_semi")
+    zips = F.lower("member").rlike(CASE_MEMBER)
+    single = on_one_branch(ours.where(zips).select("branch", "directory"))
+    used = ours.where(zips | F.col("member").endswith("/testcase.yaml")).join(single.select("directory").distinct(), "directory", "left_semi")
+    cases = zip_testcases(used.select("archive", "member", "content")).where("files is not null")
+    parts = F.split("member", "/")
+    return cases.withColumn("branch", F.get(parts, F.lit(0))).withColumn("directory", F.get(parts, F.lit(2)))
+
+
+# Problems of the branch of 2024, and the end of names that lie on the branch of 2023.
+LATE = ("P1_different_number", "P1_eat_meal", "P1_sit_in_rows", "P1_password_check", "P1_inverted_order", "P1_spend_a_day")
+
+
+def branch_of(name) -> Column:
+    return F.when(F.endswith(name, F.lit("_2023")), "2023-main").when(name.isin(*LATE), "2024-main").otherwise("main")
+
+
+def materialise(members: DataFrame, generated: DataFrame, names: DataFrame) -> DataFrame:
+    """name, path, content: the files of the problems in `names` (name), as they are laid out for a judge.
+
+    members: archive, member, content. Of each problem one branch counts (branch_of). generated (path, content; the
+    path begins with the problem's name) wins over the archive. Files of zips are laid beside them, but for those that
+    stand there already. A member that would leave its folder fails the query."""
+    parts = F.split("member", "/")
+    rows = members.withColumn("name", F.get(parts, F.lit(2))).where((F.size(parts) >= 4) & (F.get(parts, F.lit(1)) == "problem"))
+    rows = rows.join(names.select("name").distinct(), "name", "left_semi").where(F.get(parts, F.lit(0)) == branch_of(F.col("name")))
+    plain = rows.select(F.array_join(F.slice(parts, 3, 1 << 30), "/").alias("path"), "content")
+    made = generated.select("path", "content").join(names.select(F.col("name").alias("_n")).distinct(), F.substring_index("path", "/", 1) == F.col("_n"), "left_semi")
+    zips = made.unionByName(plain.join(made.select("path"), "path", "left_anti")).where(F.col("path").rlike(r"/(attachment|standard)/[^/]+\.zip$"))
+
+    def run(frames):
+        for frame in frames:
+            for path, content in zip(frame.path, frame.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    inside = [i for i in z.infolist() if not i.is_dir()]
+                    if bad := [i.filename for i in inside if not _inside(i.filename)]:
+                        raise ValueError(f"{path} holds {bad[0]}")
+                    yield pd.DataFrame([(f"{PurePosixPath(path).parent}/{i.filename}", z.read(i)) for i in inside], columns=["path", "content"])
+
+    unzipped = zips.mapInPandas(run, "path string, content binary").dropDuplicates(["path"])
+    return prefer_plain(plain, unzipped, made, ["path"]).select(F.substring_index("path", "/", 1).alias("name"), "path", "content")
+
+
+def manifest(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """problem_id, name, case, directory, standard, sources and settings of each testcase.yaml in `files` (materialise).
+
+    catalog: id, name. A testcase without standard.txt or without a source fails the query."""
+    config = F.regexp_extract("path", r"^([^/]+/testcase/[^/]+)/testcase\.yaml$", 1)
+    cases = files.withColumn("folder", config).where("folder <> ''").select("name", "folder", F.col("content").alias("yaml"))
+    place = F.regexp_extract("path", r"^([^/]+/testcase/[^/]+)/(attachment|standard)/(.+)$", 1)
+    inside = files.select("path", place.alias("folder"), F.regexp_extract("path", r"/testcase/[^/]+/(attachment|standard)/", 1).alias("kind"), F.regexp_extract("path", r"/testcase/[^/]+/(?:attachment|standard)/(.+)$", 1).alias("rest")).where("folder <> ''")
+    best = inside.groupBy("folder").agg(F.min("kind").alias("kind"))
+    base = F.element_at(F.split("rest", "/"), -1)
+    source = F.col("rest").endswith(".v") & ~F.col("rest").contains("__MACOSX") & ~F.startswith(base, F.lit("._"))
+    found = inside.join(best, ["folder", "kind"]).groupBy("folder", "kind").agg(F.min(F.when(base == "standard.txt", F.col("rest"))).alias("standard"), F.array_sort(F.collect_list(F.when(source, F.col("rest")))).alias("sources"))
+    whole = F.col("standard").isNotNull() & (F.size("sources") > 0)
+    out = cases.join(found, "folder", "left").join(catalog.select(F.col("id").alias("problem_id"), "name"), "name")
+    out = out.withColumn("standard", F.when(F.coalesce(whole, F.lit(False)), F.col("standard")).otherwise(F.raise_error(F.concat(F.lit("no standard.txt or no source: "), F.col("folder")))))
+
+    @F.pandas_udf("output_regex string, timeout int, simulating_time string, top_module string")
+    def settings(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_config(None, decode_text(x)) for x in content], columns=["output_regex", "timeout", "simulating_time", "top_module"])
+
+    out = out.withColumn("c", settings("yaml"))
+    return out.select("problem_id", "name", F.element_at(F.split("folder", "/"), -1).alias("case"), F.concat_ws("/", "folder", "kind").alias("directory"), "standard", "sources", "c.output_regex", "c.timeout", "c.simulating_time", "c.top_module")
 
 
 def on_one_branch(cases: DataFrame, branch: str = "branch", problem: str = "directory") -> DataFrame:
@@ -150,7 +258,12 @@ def fingerprint(spark: SparkSession, folder: str, weights: str = r"\.(safetensor
 
 
 def generations(spark: SparkSession, path: str, results_path: str, schema: StructType | str) -> DataFrame:
-    """Generated rows, or else results without their test_result."""
+    """Generated rows, or else the results without their test_result, if all rows have one; or else no rows."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if exists(spark, path):
-        return read_jsonl(spark, path, schema)
-    return spark.read.option("mode", "FAILFAST").json(results_path).drop("test_result")
+        return read_jsonl(spark, path, kind)
+    if not exists(spark, results_path):
+        return spark.createDataFrame([], kind)
+    judged = read_jsonl(spark, results_path, StructType([*kind.fields, StructField("test_result", StringType())]))
+    lacking = judged.where("test_result is null").limit(1).count()
+    return spark.createDataFrame([], kind) if lacking else judged.drop("test_result")

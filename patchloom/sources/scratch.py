@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.sources.session import prepare
 
 _scratch: list[tuple[SparkSession, str]] = []
+#: Seconds between two calls of the driver's garbage collector.
+_PAUSE = 3.0
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,10 +57,32 @@ def _remove_all() -> None:
             return
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the scratch paths and tables made inside: for callers who have written their results by then."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for _, path in _scratch[before:]:
+            remove(spark, path)
+        del _scratch[before:]
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps. It does so for plans that the driver has collected as
+    garbage, and a driver with little to do may not collect for half an hour."""
+    global _collected
+    if time.monotonic() - _collected > _PAUSE:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)

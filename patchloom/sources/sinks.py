@@ -16,6 +16,19 @@ def write_jsonl(rows: DataFrame, path: str, keep_nulls: bool = True) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
 
 
+def write_single(rows: DataFrame, path: str, keep_nulls: bool = True) -> None:
+    """JSON lines as one file of this very name, in the order of rows: for splits and reports that others read."""
+    beside = f"{path}.part-{uuid.uuid4().hex[:8]}"
+    write_jsonl(rows.coalesce(1), beside, keep_nulls)
+    fs, target = _fs(rows.sparkSession, path)
+    parts = [f.getPath() for f in fs.listStatus(_fs(rows.sparkSession, beside)[1]) if f.getPath().getName().startswith("part-")]
+    fs.delete(target, False)
+    done = fs.rename(parts[0], target) if parts else fs.createNewFile(target)
+    fs.delete(_fs(rows.sparkSession, beside)[1], True)
+    if not done:
+        raise OSError(f"cannot write {path}")
+
+
 def write_tagged(rows: DataFrame, path: str, tag: str) -> None:
     """Several outputs in one pass: a folder for each value of the tag (kept and rejected; scored, selected, review)."""
     rows.write.mode("overwrite").partitionBy(tag).json(path)
@@ -35,8 +48,31 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     as_cells(rows).write.mode("overwrite").option("header", "true").option("quote", "\u0000").csv(path, sep="\t")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    as_cells(rows).write.mode("overwrite").option("header", "true").csv(path)
+def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
+    """bom: each file begins with a byte order mark, which stands before its first column's name, as in utf-8-sig."""
+    cells = as_cells(rows)
+    if bom:
+        cells = cells.withColumnRenamed(cells.columns[0], "\ufeff" + cells.columns[0])
+    cells.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_four(scored: DataFrame, selected: DataFrame, rejected: DataFrame, path: str) -> DataFrame:
+    """The outputs of scoring, which overlap: scored, selected, rejected and review (of the scored), a folder each; gives
+    the summary, rows by output and tier."""
+    outputs = {"scored": scored, "selected": selected, "rejected": rejected, "review": scored.where("needs_review")}
+    summary = None
+    for name, rows in outputs.items():
+        write_jsonl(rows, f"{path}/{name}")
+        tier = F.col("quality_tier") if "quality_tier" in rows.columns else F.lit(None).cast("string")
+        n = rows.groupBy(F.lit(name).alias("output"), tier.alias("quality_tier")).agg(F.count("*").alias("n"))
+        summary = n if summary is None else summary.unionByName(n)
+    return summary
+
+
+def elapsed_seconds(started, ended) -> Column:
+    """Seconds between two times, to one place."""
+    micros = lambda t: F.unix_micros((F.col(t) if isinstance(t, str) else t).cast("timestamp"))
+    return F.round((micros(ended) - micros(started)) / 1e6, 1)
 
 
 def _fs(spark, path: str):
@@ -45,25 +81,58 @@ def _fs(spark, path: str):
 
 
 def write_atomic(rows: DataFrame, path: str) -> None:
-    """JSON lines that readers see whole or not at all: written beside the target, then renamed."""
-    spark = rows.sparkSession
-    beside = f"{path.rstrip('/')}.part-{uuid.uuid4().hex[:8]}"
-    write_jsonl(rows, beside)
+    """JSON lines that readers see whole or not at all: written beside the target, then renamed.
+
+    What stood there is moved aside and deleted when the new one is in its place; a call that finds the target gone
+    and an old one beside it (an earlier call was cut off) puts it back first."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    beside, old = f"{path}.part-{uuid.uuid4().hex[:8]}", f"{path}.old"
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    aside = _fs(spark, old)[1]
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
+    write_jsonl(rows, beside)
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(_fs(spark, beside)[1], target):
+        fs.rename(aside, target)
         raise OSError(f"cannot move {beside} to {path}")
+    fs.delete(aside, True)
+
+
+#: Buckets of the keys that an append knows.
+KEY_BUCKETS = 64
 
 
 def append_new(rows: DataFrame, path: str, key: str = "pair_id") -> int:
-    """Appends the rows whose key the table at `path` lacks, each key once; says how many. Inputs are never changed."""
-    fresh = rows.dropDuplicates([key])
-    if exists(rows.sparkSession, path):
-        done = rows.sparkSession.read.schema(rows.schema).json(path).select(key)
-        fresh = fresh.join(done, key, "left_anti")
-    fresh = fresh.persist()
-    n = fresh.count()
-    fresh.write.mode("append").option("ignoreNullFields", "false").json(path)
+    """Appends the rows whose key the table at `path` lacks, each key once; says how many. Inputs are never changed.
+
+    Beside the table lies an index of its keys, by bucket, with the file each came from. A call first adds the files
+    that the index lacks (what the call before wrote, also if that was cut off), then reads the keys of its own
+    buckets alone: no call reads the table again."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(KEY_BUCKETS)).cast("int")
+    index, kind = f"{path}.keys", "key string, file string, bucket int"
+    fresh = rows.dropDuplicates([key]).withColumn("_bucket", bucket).persist()
+    left = fresh
+    if exists(spark, path):
+        fs, target = _fs(spark, path)
+        there = [str(f.getPath().getName()) for f in fs.listStatus(target) if f.getPath().getName().startswith("part-")]
+        known = {r["file"] for r in spark.read.schema(kind).parquet(index).select("file").distinct().collect()} if exists(spark, index) else set()
+        new = [f"{path}/{name}" for name in there if name not in known]
+        if new:
+            read = spark.read.schema(rows.schema).json(new).select(F.col(key).cast("string").alias("key"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+            read.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")).write.mode("append").partitionBy("bucket").parquet(index)
+        if exists(spark, index):
+            own = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]
+            done = spark.read.schema(kind).parquet(index).where(F.col("bucket").isin(own)).select(F.col("key").alias("_done"))
+            left = fresh.join(done, F.col(key).cast("string").eqNullSafe(F.col("_done")), "left_anti")
+    out = left.drop("_bucket").persist()
+    n = out.count()
+    if n:
+        out.write.mode("append").option("ignoreNullFields", "false").json(path)
+    out.unpersist()
     fresh.unpersist()
     return n
 
@@ -74,9 +143,21 @@ def rewrite(files: DataFrame, new_text: Column) -> DataFrame:
 
 
 def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row, report: the rows as a Markdown table. For summaries, whose rows are few."""
+    """One row, report: the rows as a Markdown table. For summaries, whose rows are few; markdown_lines() has no bound."""
+    names = rows.columns
+    body = rows.select(F.struct(*[F.col(o) for o in order], _markdown_row(names).alias("_line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return body.select(F.concat(F.lit(_markdown_head(names)), F.array_join(F.transform("xs", lambda x: x["_line"]), "\n")).alias("report"))
+
+
+def _markdown_row(names: list[str]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |"))
+
+
+def _markdown_head(names: list[str]) -> str:
+    return f"| {' | '.join(names)} |\n|{' --- |' * len(names)}\n"
+
+
+def markdown_lines(rows: DataFrame, path: str, order: list[str]) -> None:
+    """The lines of a Markdown table of any length, in order, as a folder of text files."""
     names = rows.columns
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |"))
-    body = rows.select(F.struct(*[F.col(o) for o in order], line.alias("_line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    head = f"| {' | '.join(names)} |\n|{' --- |' * len(names)}\n"
-    return body.select(F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["_line"]), "\n")).alias("report"))
+    rows.orderBy(*order).select(_markdown_row(names).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
