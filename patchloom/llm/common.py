@@ -1,11 +1,13 @@
-"""What the operators of this subpackage share: scratch tables, table reads, the rule of words."""
+"""What the operators of this subpackage share: scratch and bucketed tables, table reads, the rule of words."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.sources.scratch import remove, scratch_path, shared_dir, written  # noqa: F401
+from patchloom.sources.scratch import free_shuffles, remove, scope, scratch_path, shared_dir, written  # noqa: F401
 from patchloom.sources.session import prepare
 
 #: White space of the word and line rules: U+0020 and U+0009 to U+000D.
@@ -18,5 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_count(text) -> F.Column:
     """Number of words of a text column (null: 0)."""
-    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(rf"{NON_WS}+")), F.lit(0)).cast("long")
+
+
+class Buckets:
+    """Tables dealt by key into files of their own, so that joins on the key shuffle the other side alone.
+
+    Their files lie in the shared folder; their names stand in the session's catalog until drop() or close()."""
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = prepare(spark)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
+
+    def write(self, rows: DataFrame, name: str, *keys: str, sort: bool = False) -> str:
+        """Writes rows and gives the table's name."""
+        table = f"{name}_{uuid.uuid4().hex[:12]}"
+        self.paths[table] = scratch_path(self.spark, table)
+        writer = rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys)
+        writer = writer.sortBy(*keys) if sort else writer
+        writer.option("path", self.paths[table]).option("compression", "zstd").saveAsTable(table)
+        free_shuffles(self.spark)
+        return table
+
+    def drop(self, table: str, files: bool = True) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = self.paths.pop(table)
+        if files:
+            remove(self.spark, path)
+
+    def close(self, files: bool = True) -> None:
+        for table in list(self.paths):
+            self.drop(table, files)

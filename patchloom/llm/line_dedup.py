@@ -10,12 +10,10 @@ shuffle the batch alone, never the runs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import scratch_path
+from patchloom.llm.common import Buckets, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,17 +40,19 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
+        self.tables = Buckets(spark, buckets)
+        self.levels: list[list[str]] = []
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(run) for level in self.levels for run in level]
+
+    def _write(self, counted: DataFrame) -> str:
+        return self.tables.write(counted, "line_run", "h1", "h2", sort=True)
 
-    def _write(self, counted: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex[:12]}"
-        writer = counted.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-        writer.option("path", scratch_path(self.spark, name)).option("compression", "zstd").saveAsTable(name)
-        return self.spark.table(name)
+    def close(self) -> None:
+        """Deletes the runs: what has been read from them must be written by then."""
+        self.tables.close()
+        self.levels = []
 
     def add(self, keys: DataFrame) -> None:
         """keys: (h1, h2), each key once a document of the batch."""
@@ -61,13 +61,16 @@ class LineRuns:
             fresh = fresh.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
         self._push(0, self._write(fresh))
 
-    def _push(self, level: int, run: DataFrame) -> None:
+    def _push(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._write(self._merged(full)))
+            merged = self._write(self._merged([self.spark.table(run) for run in full]))
+            for run in full:
+                self.tables.drop(run)
+            self._push(level + 1, merged)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -99,9 +102,8 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_key_chars: int = 1
     for k in range(batches):
         found = docs.where(batch == k).select(F.explode(keys).alias("key")).where(F.length("key") >= min_key_chars)
         runs.add(found.select(*key_hashes(F.col("key"))))
-    path = scratch_path(spark, "line-common")
-    runs.common().write.parquet(path)
-    common = spark.read.schema("h1 long, h2 long").parquet(path)
+    common = written(runs.common(), "line-common")
+    runs.close()
 
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     hashed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_key_chars).select("doc_id", "t", "pos", *key_hashes(F.col("key")))

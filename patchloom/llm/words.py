@@ -145,15 +145,23 @@ def pieces(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.
         a = b
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of the k-word shingles of each text: one for a text of fewer words, none without words."""
-    for _, _, data, offsets in pieces(texts):
+def flat_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hashes, sizes) of stretches of texts: the distinct hashes of each text's k-word
+    shingles, ascending, text after text. A text of fewer words has one, a text without words none."""
+    for a, b, data, offsets in pieces(texts):
         w = words_of(data, offsets)
         over = runs(w.hashes, k)
-        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-            if b - a >= k:
-                yield np.unique(over[a : b - k + 1])
-            elif b > a:
-                yield np.array([sequence_hash(w.hashes[a:b])], np.uint64)
-            else:
-                yield np.zeros(0, np.uint64)
+        each = np.diff(w.first)
+        place = np.arange(len(w.hashes)) - np.repeat(w.first[:-1], each)
+        whole = place + k <= np.repeat(each, each)
+        text = np.repeat(np.arange(b - a), each)[whole]
+        flat = over[np.flatnonzero(whole)]
+        short = np.flatnonzero((each > 0) & (each < k))
+        if len(short):
+            text = np.concatenate([text, short])
+            flat = np.concatenate([flat, np.array([sequence_hash(w.hashes[w.first[i] : w.first[i + 1]]) for i in short.tolist()], np.uint64)])
+        order = np.lexsort((flat, text))
+        flat, text = flat[order], text[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
+        yield a, b, flat[new], np.bincount(text[new], minlength=b - a)

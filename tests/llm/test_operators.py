@@ -273,13 +273,28 @@ def test_jaccard_chains_and_groups(spark):
     assert sorted((tuple(r) for r in jaccard_join.join(df).collect()), key=repr) == components_by_hand(rows)
 
 
-def test_prefix_choice():
-    one, size = jaccard_join.choose(np.full(100, 0.1), 100, 75)
-    assert size == 100 - 75 + one
-    dear = np.concatenate([np.full(26, 0.1), np.full(74, 500.0)])
-    assert jaccard_join.choose(dear, 100, 75)[0] == 1  # more prefix would bring frequent shingles in
-    assert jaccard_join.choose(np.full(100, 50.0), 100, 75)[0] > 1
-    assert jaccard_join.choose(np.array([1.0]), 1, 75) == (1, 1)
+def test_prefixes_lengthen_by_cost(spark):
+    assert jaccard_join.lengthened(26, []) == 1 and jaccard_join.lengthened(26, [26, 30]) == 1
+    assert jaccard_join.lengthened(26, [3, 25]) == 3 and jaccard_join.lengthened(26, [3, 26, 27, 40]) == 4
+    df = spark.createDataFrame([(26, [3, 25]), (26, [3, 26, 27, 40]), (1, [])], "core int, dear array<int>")
+    assert [r.l for r in df.select(jaccard_join._lengthened(F.col("core"), F.col("dear")).alias("l")).collect()] == [3, 4, 1]
+
+
+@pytest.mark.parametrize("dear", [0, 1, 3])
+def test_dear_shingles_lose_no_link(spark, docs, dear):
+    """With next to every shared shingle dear, prefixes are lengthened, or documents meet in all of theirs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(60)]
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
+    for i in range(120):  # half of each text is common; every second one has a near copy
+        own = common[: rng.randint(0, 60)] + [word() for _ in range(rng.randint(1, 50))]
+        rows.append((1000 + 2 * i, " ".join(own)))
+        if i % 2:
+            own[rng.randrange(len(own))] = word()
+            rows.append((1001 + 2 * i, " ".join(own)))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), dear=dear)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == components_by_hand(rows)
 
 
 def test_components(spark):
