@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def odd_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or repeated, so that it doesn't tell rows apart."""
+    return docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count() > 0
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(rf"{NON_WS}+")), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm import words
-from patchloom.llm.common import written
+from patchloom.llm.common import odd_ids, written
 
 REMOVED = "doc_id long, text string, n_sentences long, n_removed long, n_words_removed long, removed array<struct<begin:long,end:long>>"
 HASHED = "h1 long, h2 long, doc_id long, t long, at long"
@@ -237,7 +237,7 @@ def _by_document(rows: DataFrame, name: str) -> DataFrame:
     return spots.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), name)
 
 
-def dedup_spans(documents: DataFrame, span: int = 2, passage: int = 50, window: int = 24) -> DataFrame:
+def dedup_spans(documents: DataFrame, span: int = 2, passage: int = 50, window: int = 16) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, n_words_removed, removed (byte ranges of the UTF-8 text).
 
     One row for each row of documents (doc_id, text). A null text stays null, one without a word stays as it is. A
@@ -248,7 +248,9 @@ def dedup_spans(documents: DataFrame, span: int = 2, passage: int = 50, window:
     """
     if not 0 < window <= passage:
         raise ValueError("a window has at least one word and fits into a passage")
-    docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("t", F.xxhash64("text"))
+    docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    # what tells apart the texts of one doc_id; a hash is dear in every row, so it is left out where ids do that alone
+    docs = docs.withColumn("t", F.xxhash64("text") if odd_ids(docs) else F.lit(0).cast("long"))
     own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))
     texts = docs.select("doc_id", "t", "text")
     counted, hashed = (texts.mapInArrow(words.tidy(_spans(span, window, passage, once)), HASHED) for once in (True, False))

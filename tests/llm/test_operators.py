@@ -280,7 +280,7 @@ def test_prefixes_lengthen_by_cost(spark):
     assert [r.l for r in df.select(jaccard_join._lengthened(F.col("core"), F.col("dear")).alias("l")).collect()] == [3, 4, 1]
 
 
-@pytest.mark.parametrize("dear", [0, 1, 3])
+@pytest.mark.parametrize("dear", [0, 2])
 def test_dear_shingles_lose_no_link(spark, docs, dear):
     """With next to every shared shingle dear, prefixes are lengthened, or documents meet in all of theirs."""
     rng = random.Random(8)
