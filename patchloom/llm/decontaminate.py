@@ -1,9 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of `seed` words that a document shares with a benchmark item are the seeds; a pair whose seeds could cover enough
-of the item is tiled: the longest common runs of words that no tile holds yet are found by running Karp-Rabin hashes
-and marked, again and again, down to the seed length. The tiles may stand in any order, so a shuffled passage is
-caught; the share of the item's words under tiles is its coverage.
+Runs of `seed` words are the seeds (an item of fewer words is one seed). The seeds of the documents and those of the
+benchmark are joined; a pair whose common seeds could cover enough of the item is tiled: the longest run of words that
+the two have in common and no tile holds yet is found by running Karp-Rabin hashes and marked, again and again, down to
+the seed length. The tiles may stand in any order, so a shuffled passage is caught; the share of the item's words under
+tiles is its coverage.
+
+Before the join each document drops what cannot be a seed of the benchmark, by a bit table of FILTER_BITS bits whatever
+the size of the benchmark: a larger one lets more pass, and the join sorts them out. Of a document that keeps any, the
+seeds go into the join, each once with its number of places, and the words under them wait in a table of their own.
 """
 
 from __future__ import annotations
@@ -17,173 +22,204 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm import words
+from patchloom.llm.common import written
 from patchloom.sources.session import prepare
 
-#: Bytes of benchmark text that go to the workers at once; a larger benchmark is worked on in blocks.
-BLOCK_BYTES = 32 << 20
+#: Bits of the table that drops words under no seed: 8 MB, the bound of what is broadcast.
+FILTER_BITS = 1 << 26
+ITEMS = "item_id long, words array<long>, size int, seeds array<long>"
+HITS = "doc_id long, t long, seeds array<long>, places array<int>, spots array<long>, words array<long>"
 FOUND = "doc_id long, t long, item_id long, coverage double, matched_words long, tiles array<struct<doc_at:long,item_at:long,words:long>>"
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
-
-
-def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(hash, place) of every window of `size` free tokens; the hash runs along."""
-    top = pow(_BASE, size - 1, _MOD)
-    run = h = 0
-    for i, (token, ok) in enumerate(zip(tokens, free, strict=True)):
-        if not ok:
-            run = h = 0
-            continue
-        if run >= size:
-            h -= tokens[i - size] * top
-        h = (h * _BASE + token) % _MOD
-        run += 1
-        if run >= size:
-            yield h, i - size + 1
-
-
-def tile(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (doc place, item place, words), none overlapping another, the longest first; none is shorter than least.
-    A token of -1 in doc matches nothing."""
-    doc_free, item_free = [x >= 0 for x in doc], [True] * len(item)
+
+
+def _starts(free: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of `size` free places begin."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    n = len(free) - size + 1
+    return np.flatnonzero(taken[size:] == taken[:n]) if n > 0 else np.zeros(0, np.int64)
+
+
+def _common(doc: np.ndarray, doc_free: np.ndarray, item: np.ndarray, item_free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes) of the free runs of `size` words in doc that item has too, and those in item."""
+    i, j = _starts(doc_free, size), _starts(item_free, size)
+    hi, hj = words.run_hashes(doc, i, i + size), words.run_hashes(item, j, j + size)
+    in_item, in_doc = np.isin(hi, hj), np.isin(hj, hi)
+    return i[in_item], hi[in_item], j[in_doc], hj[in_doc]
+
+
+def tile(doc: np.ndarray, doc_free: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Tiles (doc place, item place, words), none overlapping another, the longest first, the first places first; none
+    is shorter than least. Where doc_free is false, doc matches nothing.
+
+    The longest common run is found by halving: if runs of some length are common, so are shorter ones. No list of
+    matches is made, so a text of one word again and again takes no more time than another."""
+    doc_free, item_free = doc_free.copy(), np.ones(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, len(item) // 2)
-    while True:
-        places = defaultdict(list)
-        for h, j in _windows(item, item_free, size):
-            places[h].append(j)
-        found = []
-        longest = 0
-        for h, i in _windows(doc, doc_free, size):
-            for j in places.get(h, ()):
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and doc_free[i + n] and item_free[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n >= size:
-                    found.append((-n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for n, i, j in sorted(found):
-            n = -n
-            if all(doc_free[i : i + n]) and all(item_free[j : j + n]):
-                doc_free[i : i + n] = item_free[j : j + n] = [False] * n
-                tiles.append((i, j, n))
-        if found:
-            continue  # what a longer tile has cut short may still hold runs of this length
-        if size == least:
-            return tiles
-        size = max(least, size // 2)
-
-
-class Seeds:
-    """The words of benchmark items, and their seeds by length (an item of fewer words than a seed is one)."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        texts = pa.array([t or "" for _, t in items])
-        self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = []
-        for _, _, data, offsets in words.pieces(texts):
-            w = words.words_of(data, offsets, words.MARKS)
-            self.words += [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        by = defaultdict(list)
-        for k, hashes in enumerate(self.words):
-            if len(hashes):
-                by[min(seed, len(hashes))].append(k)
-        self.tables = {}
-        for size, owners in by.items():
-            h = [words.runs(self.words[k], size) for k in owners]
-            flat, owner = np.concatenate(h), np.repeat(owners, [len(x) for x in h])
-            order = np.argsort(flat, kind="stable")
-            self.tables[size] = (flat[order], owner[order])
-
-    def candidates(self, hashes: np.ndarray) -> dict[int, tuple[int, set[int], int]]:
-        """item -> (seed length, places in the document where its seeds stand, distinct seeds)."""
-        out: dict[int, tuple[int, set[int], int]] = {}
-        for size, (flat, owner) in self.tables.items():
-            mine = words.runs(hashes, size)
-            if not len(mine):
+    most = min(len(doc), len(item))
+    while most >= least:
+        low, high = least - 1, most  # runs of `low` words are common (or too short), longer ones than `high` are not
+        best = None
+        while low < high:
+            size = (low + high + 1) // 2
+            found = _common(doc, doc_free, item, item_free, size)
+            if len(found[0]):
+                low, best = size, found
+            else:
+                high = size - 1
+        if best is None:
+            break
+        size, most = low, low
+        at = defaultdict(list)
+        for place, h in zip(best[2][::-1].tolist(), best[3][::-1].tolist(), strict=True):
+            at[h].append(place)  # the first place comes last
+        end = 0
+        for i, h in zip(best[0].tolist(), best[1].tolist(), strict=True):
+            if i < end:
                 continue
-            lo = np.searchsorted(flat, mine)
-            hit = np.flatnonzero(flat[np.minimum(lo, len(flat) - 1)] == mine)
-            if not len(hit):
-                continue
-            hi = np.searchsorted(flat, mine[hit], "right")
-            at: dict[int, set[int]] = defaultdict(set)
-            kinds: dict[int, set[int]] = defaultdict(set)
-            for i, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                for k in set(owner[a:b].tolist()):
-                    at[k].add(i)
-                    kinds[k].add(a)
-            out |= {k: (size, at[k], len(kinds[k])) for k in at}
-        return out
-
-
-def match(hashes: np.ndarray, seeds: Seeds, threshold: float) -> Iterator[tuple[int, float, int, list[tuple[int, int, int]]]]:
-    """(item, coverage, words under tiles, tiles) of the items that a document covers to the threshold."""
-    for k, (size, at, _) in seeds.candidates(hashes).items():
-        item = seeds.words[k]
-        if len(at) + size - 1 < min(size, threshold * len(item)):
-            continue
-        spots, doc, end = [], [], 0  # tiles lie under seeds, so the rest of the document need not be looked at
-        for i in sorted(at):
-            if i > end:
-                spots.append(-1)
-                doc.append(-1)
-            for p in range(max(i, end), i + size):
-                spots.append(p)
-                doc.append(int(hashes[p] >> np.uint64(4)))
-            end = i + size
-        if sum(x >= 0 for x in doc) < threshold * len(item):
-            continue
-        tiles = tile(doc, [int(x >> np.uint64(4)) for x in item], size)
-        covered = sum(n for _, _, n in tiles)
-        if covered >= threshold * len(item):
-            yield k, covered / len(item), covered, [(spots[i], j, n) for i, j, n in tiles]
-
-
-def _find(seeds, threshold: float):
+            places = at[h]
+            while places and not item_free[places[-1] : places[-1] + size].all():
+                places.pop()
+            if places:
+                j = places.pop()
+                doc_free[i : i + size] = item_free[j : j + size] = False
+                tiles.append((i, j, size))
+                end = i + size
+    return tiles
+
+
+def _seeds_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    return words.mix(words.runs(hashes, size) ^ np.uint64(size))
+
+
+def _items(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in words.pieces(batch[1]):
+                w = words.words_of(data, offsets, words.MARKS)
+                for i, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                    if y > x:
+                        size, own = min(seed, y - x), w.hashes[x:y]
+                        lists = [pa.array([v.view(np.int64)]) for v in (own, np.unique(_seeds_of(own, size)))]
+                        yield pa.RecordBatch.from_arrays([batch[0].slice(a + i, 1), lists[0], pa.array([size], pa.int32()), lists[1]], names=["item_id", "words", "size", "seeds"])
+
+    return run
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of all seeds (a column of longs) as 64-bit words: at most bits / 64 rows come to the driver."""
+    place = F.pmod(F.col("seed"), F.lit(bits))
+    table = seeds.select(F.floor(place / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(seed, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    place = seeds % np.uint64(64 * len(table))
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _hits(known, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kinds = known.value, [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        for batch in batches:
+            rows, lists = [], ([], [], [], [])
+            for a, _, data, offsets in words.pieces(batch[2]):
+                w = words.words_of(data, offsets, words.MARKS)
+                each = np.diff(w.first)
+                left = np.repeat(each, each) - (np.arange(len(w.hashes)) - np.repeat(w.first[:-1], each))  # words from each on
+                places, seeds = [], []
+                under = np.zeros(len(w.hashes), bool)
+                for size in sizes:
+                    mine = _seeds_of(w.hashes, size)
+                    hit = np.flatnonzero(_passes(mine, table) & (left[: len(mine)] >= size))
+                    places.append(hit)
+                    seeds.append(mine[hit])
+                    for k in range(size):
+                        under[hit + k] = True
+                place, seed = np.concatenate(places), np.concatenate(seeds)
+                text = np.searchsorted(w.first, place, "right") - 1
+                order = np.argsort(text, kind="stable")
+                cuts = np.searchsorted(text[order], np.arange(len(each) + 1))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    kind, n = np.unique(seed[order[cuts[i] : cuts[i + 1]]], return_counts=True)
+                    spots = np.flatnonzero(under[w.first[i] : w.first[i + 1]])
+                    rows.append(a + i)
+                    for held, v in zip(lists, (kind.view(np.int64), n, spots, w.hashes[w.first[i] + spots].view(np.int64)), strict=True):
+                        held.append(v)
+            if rows:
+                taken = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch[0].take(taken), batch[1].take(taken), *[pa.array(v, t) for v, t in zip(lists, kinds, strict=True)]], names=["doc_id", "t", "seeds", "places", "spots", "words"])
+
+    return run
+
+
+def match(spots: np.ndarray, doc: np.ndarray, item: np.ndarray, size: int, threshold: float) -> tuple[int, list[tuple[int, int, int]]] | None:
+    """(words under tiles, tiles) if a document covers an item to the threshold; doc holds the words at `spots`."""
+    whole = np.zeros(len(doc), bool)  # spots under seeds of this item: tiles lie there
+    at = np.flatnonzero(np.concatenate([spots[size - 1 :] - spots[: len(spots) - size + 1] == size - 1, np.zeros(min(size - 1, len(spots)), bool)]))
+    at = at[np.isin(words.run_hashes(doc, at, at + size), words.run_hashes(item, np.arange(len(item) - size + 1), np.arange(size, len(item) + 1)))]
+    for k in range(size):
+        whole[at + k] = True
+    if whole.sum() < threshold * len(item):
+        return None
+    kept = np.flatnonzero(whole)
+    # a word that matches nothing stands between spots that are no neighbours
+    breaks = np.flatnonzero(np.diff(spots[kept]) > 1) + 1
+    place, free = np.insert(kept, breaks, 0), np.insert(np.ones(len(kept), bool), breaks, False)
+    tiles = tile(doc[place], free, item, size)
+    covered = sum(n for *_, n in tiles)
+    return (covered, [(int(spots[place[i]]), j, n) for i, j, n in tiles]) if covered >= threshold * len(item) else None
+
+
+def _tiled(threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("tiles", pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = seeds.value
         for batch in batches:
             rows = []
-            for a, b, data, offsets in words.pieces(batch[2]):
-                w = words.words_of(data, offsets, words.MARKS)
-                for i in range(a, b):
-                    for k, coverage, covered, tiles in match(w.hashes[w.first[i - a] : w.first[i - a + 1]], known, threshold):
-                        rows.append({"doc_id": batch[0][i].as_py(), "t": batch[1][i].as_py(), "item_id": known.ids[k], "coverage": coverage, "matched_words": covered, "tiles": [{"doc_at": x, "item_at": y, "words": n} for x, y, n in tiles]})
+            for i in range(batch.num_rows):
+                spots, doc, item = (batch.column(c)[i].values.to_numpy() for c in ("spots", "words", "item"))
+                if found := match(spots, doc.view(np.uint64), item.view(np.uint64), batch.column("size")[i].as_py(), threshold):
+                    tiles = [{"doc_at": x, "item_at": y, "words": n} for x, y, n in found[1]]
+                    rows.append({c: batch.column(c)[i].as_py() for c in ("doc_id", "t", "item_id")} | {"coverage": found[0] / len(item), "matched_words": found[0], "tiles": tiles})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold: float = 0.5) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold: float = 0.5, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, t (a hash of the text), item_id, coverage, matched_words, tiles: a row for each document and benchmark
     item of which the document holds at least `threshold` of the words, in tiles of at least `seed` words.
 
     documents has doc_id and text, benchmark has item_id and text. Null and empty texts match nothing; an item of
     fewer words than a seed must stand whole; null ids stay null; repeated rows give repeated rows; empty tables give
-    none. Other columns are not read. Items go to the workers in blocks of at most about BLOCK_BYTES of text, each
-    against all documents.
+    none. Other columns are not read. filter_bits (a multiple of 64) changes what is joined, never what is found.
     """
     spark = prepare(documents.sparkSession)
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text")
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(words.tidy(_items(seed)), ITEMS)
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `seed` of them
+    if not sizes:
+        return spark.createDataFrame([], FOUND)
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    known = spark.sparkContext.broadcast(_filter(seeds.select("seed"), filter_bits))
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) t", "cast(text as string) text")
-    found = None
-    for block in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        seeds = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in some.collect()], seed))
-        part = docs.mapInArrow(words.tidy(_find(seeds, threshold)), FOUND)
-        found = part if found is None else found.unionByName(part)
-    return found
+    hits = written(docs.mapInArrow(words.tidy(_hits(known, sizes)), HITS).withColumn("doc", F.monotonically_increasing_id()), "seed-hits")
+
+    each = hits.select("doc", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc", F.col("x.seeds").alias("seed"), F.col("x.places").alias("n"))
+    pairs = each.join(seeds, "seed").groupBy("doc", "item").agg(F.sum("n").alias("n"))
+    some = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words"), "size"), "item").where(F.col("n") + F.col("size") - 1 >= F.least(F.col("size"), F.lit(threshold) * F.size("item_words")))
+    both = some.join(hits.select("doc", "doc_id", "t", "spots", "words"), "doc").select("doc_id", "t", "item_id", "spots", "words", F.col("item_words").alias("item"), "size")
+    return both.mapInArrow(words.tidy(_tiled(threshold)), FOUND)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """The rows of documents, with all their columns, that hold no benchmark item."""
-    bad = leaks(documents, benchmark, **more).select(F.col("doc_id").alias("bad_id"), F.col("t").alias("bad_t")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("bad_t")), "left_anti")
+    """The rows of documents, with all their columns, that hold no benchmark item. Columns of any name may be there."""
+    own = "_leak"
+    while any(c.startswith(own) for c in documents.columns):
+        own += "_"
+    bad = leaks(documents, benchmark, **more).select(F.col("doc_id").alias(f"{own}id"), F.col("t").alias(f"{own}t")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{own}t"))
+    return documents.join(bad, same, "left_anti")

@@ -53,19 +53,6 @@ def _span_ends(size: np.ndarray, last: np.ndarray, span: int, passage: int) -> n
     return np.where(ends > last, -1, ends)
 
 
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-
-
-def _run_hashes(sentence: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of sentence[begins:ends], from prefix sums of a polynomial over odd numbers modulo 2^64."""
-    n = len(sentence)
-    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _STEP)]), dtype=np.uint64)
-    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK)]), dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sentence * up[:n], dtype=np.uint64)])
-    return words.mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-
-
 def _slide(f: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     """f (minimum or maximum) of each `width` consecutive values."""
     size = 1
@@ -85,7 +72,7 @@ def _windows(hashes: np.ndarray, first: np.ndarray, window: int, passage: int) -
     if n < width:
         return np.zeros(0, np.int64)
     begins = np.arange(n)
-    whole = _run_hashes(hashes, begins, begins + window)
+    whole = words.run_hashes(hashes, begins, begins + window)
     least = _slide(np.minimum, whole, width)
     stretch = np.arange(len(least))
     text = np.searchsorted(first, stretch, "right") - 1
@@ -132,8 +119,8 @@ def _spans(span: int, window: int, passage: int, once: bool):
                 ends = _span_ends(size, first[np.searchsorted(w.first, at, "right")], span, passage)
                 some = np.flatnonzero(ends >= 0)
                 begins = _windows(w.hashes, w.first, window, passage)
-                h1 = np.concatenate([_run_hashes(sentence, some, ends[some]), _run_hashes(w.hashes, begins, begins + window)])
-                h2 = np.concatenate([_run_hashes(_other(sentence), some, ends[some]), _run_hashes(_other(w.hashes), begins, begins + window)])
+                h1 = np.concatenate([words.run_hashes(sentence, some, ends[some]), words.run_hashes(w.hashes, begins, begins + window)])
+                h2 = np.concatenate([words.run_hashes(_other(sentence), some, ends[some]), words.run_hashes(_other(w.hashes), begins, begins + window)])
                 word = np.concatenate([at[some], begins])
                 yield _rows(batch, a, w, h1, h2, word, np.arange(len(word)) < len(some), once)
 
@@ -182,7 +169,7 @@ def _runs_around(span: int, window: int, passage: int, once: bool, repeats: bool
                 begins = np.flatnonzero(_covered(len(begin), lo[lo < hi], hi[lo < hi]))
                 begins = begins[gone[begins + passage] - gone[begins] < passage]
                 if len(begins):
-                    h1, h2 = (_run_hashes(h, begins, begins + passage) for h in (w.hashes, _other(w.hashes)))
+                    h1, h2 = (words.run_hashes(h, begins, begins + passage) for h in (w.hashes, _other(w.hashes)))
                     yield _rows(batch, a, w, h1, h2, begins, 0, once)
 
     return run

@@ -121,6 +121,19 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def run_hashes(items: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of items[begins:ends], runs of any lengths, from prefix sums of a polynomial over odd numbers modulo 2^64."""
+    n = len(items)
+    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _STEP)]), dtype=np.uint64)
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK)]), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * up[:n], dtype=np.uint64)])
+    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+
+
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """The hash of a sequence of fewer items than a run has."""
     return mix((hashes * _PLACE[32 : 32 + len(hashes)]).sum(keepdims=True) + np.uint64(len(hashes)))[0]

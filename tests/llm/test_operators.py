@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -533,17 +534,23 @@ def coverage_by_hand(doc, item, least):
 
 def test_tiles():
     rng = random.Random(6)
-    for _ in range(400):
+    for _ in range(600):
         doc, item = [[rng.randint(1, 4) for _ in range(rng.randint(0, 14))] for _ in range(2)]
-        tiles = decontaminate.tile(doc, item, 3)
-        assert all(doc[i : i + n] == item[j : j + n] and n >= 3 for i, j, n in tiles)
+        free = np.array([rng.random() < 0.9 for _ in doc], bool)
+        tiles = decontaminate.tile(np.array(doc, np.uint64), free, np.array(item, np.uint64), 3)
+        assert all(doc[i : i + n] == item[j : j + n] and n >= 3 and free[i : i + n].all() for i, j, n in tiles)
         for axis in (0, 1):
             spots = [p for t in tiles for p in range(t[axis], t[axis] + t[2])]
             assert len(spots) == len(set(spots))
-        if tiles:  # the first tile is a longest one, and no place for another is left
-            assert tiles[0][2] == max(n for _, _, n in tiles)
-        left_doc = [x for x in range(len(doc)) if not any(i <= x < i + n for i, _, n in tiles)]
-        assert (sum(n for *_, n in tiles) > 0) == (coverage_by_hand(doc, item, 3) > 0) and left_doc is not None
+        by_hand = [x if f else None for x, f in zip(doc, free, strict=True)]
+        assert sum(n for *_, n in tiles) == coverage_by_hand(by_hand, item, 3)
+    same = np.full(100_000, 7, np.uint64)
+    began = time.perf_counter()
+    assert sum(n for *_, n in decontaminate.tile(same, np.ones(len(same), bool), same[:500], 4)) == 500
+    mixed = same.copy()
+    mixed[::3] = 100 + np.arange(len(mixed[::3]))
+    assert decontaminate.tile(mixed, np.ones(len(same), bool), same[:500], 4) == []
+    assert time.perf_counter() - began < 10
 
 
 def test_leaks(spark, docs, odd, none, sf):
@@ -571,7 +578,20 @@ def test_leaks(spark, docs, odd, none, sf):
             item = ws(t)
             if sum(tuple(item[i : i + 4]) in grams for i in range(len(item))) >= 1 and coverage_by_hand(mine, item, min(4, len(item))) >= 0.5 * len(item):
                 want.add((r.doc_id, k))
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()} == want
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, filter_bits=128).collect()} == want  # nothing is dropped early
+
+
+def test_leaks_of_long_texts_and_odd_columns(spark):
+    """A text of one word again and again, an item of that word, and columns of any name."""
+    long = "again " * 100_000
+    df = spark.createDataFrame([(1, long, "x", 1), (2, "again and " * 30, "y", 2), (3, None, None, 3)], "doc_id long, text string, bad_id string, bad_t long")
+    bench = spark.createDataFrame([(1, "again " * 60, "z"), (2, "and again", None)], "item_id long, text string, doc_id string")
+    began = time.perf_counter()
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.coverage) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(1, 1): (60, 1.0), (2, 2): (2, 1.0)} and time.perf_counter() - began < 30
+    assert [(r.doc_id, r.bad_t) for r in decontaminate.clean(df.withColumn("_leakid", F.lit(1)), bench).collect()] == [(3, 3)]
 
 
 # 10
