@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from patchloom.sources.session import prepare
 
 _scratch: list[tuple[SparkSession, str]] = []
-#: Seconds between two calls of the driver's garbage collector.
-_PAUSE = 3.0
-_collected = 0.0
+#: With this setting Spark deletes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,13 +67,19 @@ def scope(spark: SparkSession) -> Iterator[None]:
         del _scratch[before:]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps. It does so for plans that the driver has collected as
-    garbage, and a driver with little to do may not collect for half an hour."""
-    global _collected
-    if time.monotonic() - _collected > _PAUSE:
-        spark.sparkContext._jvm.System.gc()
-        _collected = time.monotonic()
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Executions inside delete their shuffle files when they end: what they wrote takes their place. Else Spark keeps
+    them until the driver happens to collect the plans as garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -83,6 +87,6 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    free_shuffles(spark)
+    with tidy_shuffles(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
