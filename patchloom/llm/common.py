@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.sources.scratch import free_shuffles, remove, scope, scratch_path, shared_dir, written  # noqa: F401
+from patchloom.sources.scratch import remove, scope, scratch_path, shared_dir, tidy_shuffles, written  # noqa: F401
 from patchloom.sources.session import prepare
 
 #: White space of the word and line rules: U+0020 and U+0009 to U+000D.
@@ -44,8 +44,8 @@ class Buckets:
         self.paths[table] = scratch_path(self.spark, table)
         writer = rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys)
         writer = writer.sortBy(*keys) if sort else writer
-        writer.option("path", self.paths[table]).option("compression", "zstd").saveAsTable(table)
-        free_shuffles(self.spark)
+        with tidy_shuffles(self.spark):
+            writer.option("path", self.paths[table]).option("compression", "zstd").saveAsTable(table)
         return table
 
     def drop(self, table: str, files: bool = True) -> None:

@@ -2,9 +2,10 @@
 
 The block elements of a page are the nodes of a tree. Every node is content or not; its own features give a unary
 potential, and every edge has a potential over the two labels it joins. Sum-product messages go up the tree and down
-again, which gives each node's exact marginal, and the text of nodes above one half is the main text. Unary weights
-are fitted by logistic regression and edge potentials by counting, on labelled pages; `labelled_pages` makes such
-pages from varied layouts, and pages of one's own can be given instead (elements marked data-main="1" or "0").
+again, which gives each node's exact marginal, and the text of nodes above one half is the main text. All weights are
+fitted on labelled pages: what class and id names tell (log odds of each word, from the elements that bear it), unary
+weights by logistic regression, edge potentials by counting. `labelled_pages` makes such pages from varied layouts and
+names; pages of one's own can be given instead (elements marked data-main="1" or "0").
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +25,21 @@ from patchloom.sources.session import prepare
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
-# Fixed values of HTML: elements without end tags, with raw text, and that stand inside a line.
+# Fixed values of HTML: elements without end tags, those whose content is no text of the page (scripts, styles, titles,
+# form and media controls), and those that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noframes select svg math canvas object audio video button option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template textarea title select audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = frozenset("ul ol dl table article section aside nav footer header main div form body".split())
-
-# Words of class and id names, by what they tell of an element.
-HINTS = {
-    "main": "article content post entry main body story text prose markdown",
-    "menu": "nav menu breadcrumb breadcrumbs toolbar navbar tabs pagination pager toc sitemap",
-    "edge": "header footer masthead foot head top bottom copyright legal colophon logo",
-    "side": "sidebar side aside widget related recommended rail trending popular",
-    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner adsense dfp",
-    "notice": "cookie consent notice gdpr alert warning popup modal overlay subscribe newsletter paywall message",
-    "talk": "comment comments reply replies discussion disqus respond feedback",
-    "share": "share social tags meta author byline date rating",
-    "form": "form search login signup input field",
-}
-HINT_OF = {word: name for name, words in HINTS.items() for word in words.split()}
 TAGS = ("p", "div", "section", "article", "main", "body", "html", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "tr", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "dt", "address", "details", "dialog", "fieldset")
-ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "main", "article", "dialog", "alert")
+WRAPPERS = frozenset(("html", "body", "div", "main", "section", "td", "tr", "table", "center"))
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*)|<[!?]")
+QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -56,21 +47,74 @@ WORD = re.compile(r"[a-z]+")
 class Node:
     tag: str
     parent: int
-    hints: frozenset
+    names: tuple[str, ...]  # words of its class, id and role
     hidden: bool
     label: int  # 1, 0, or -1 where nothing says
     chars: int = 0
     linked: int = 0
     stops: int = 0
+    rights: bool = False  # a copyright sign
+
+
+class _Tags:
+    """Tags of a page, from left to right; every character is looked at a fixed number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.low = page, None
+        self.quotes = True  # until a quoted value has no end
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that goes on at `at` ends (its >), or -1. A > inside a quoted value ends no tag."""
+        page = self.page
+        if self.quotes:
+            i = at
+            while m := QUOTE_OR_END.search(page, i):
+                if not m[1]:
+                    return m.start()
+                i = page.find(m[1], m.end()) + 1
+                if not i:
+                    break
+            self.quotes = False  # broken quotes: from here on they mean nothing, so no tag is scanned again
+        return page.find(">", at)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the page goes on after a raw element."""
+        if self.low is None:
+            self.low = self.page.translate(_LOWER)
+        while (i := self.low.find(f"</{tag}", at)) >= 0:
+            at = i + len(tag) + 2
+            if self.low[at : at + 1] in "/> \t\n\r\f":
+                end = self.low.find(">", at)
+                return end + 1 if end >= 0 else len(self.page)
+        return len(self.page)
+
+    def comment_end(self, at: int) -> int:
+        """Where the page goes on after what begins with <! or <? at `at`."""
+        page = self.page
+        if not page.startswith("<!--", at):
+            end = page.find("]]>" if page.startswith("<![CDATA[", at) else ">", at)
+            return page.find(">", end) + 1 if end >= 0 else len(page)
+        if page.startswith((">", "->"), at + 4):
+            return page.find(">", at) + 1
+        ends = [i + len(mark) for mark in ("-->", "--!>") if (i := page.find(mark, at + 4)) >= 0]
+        return min(ends, default=len(page))
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements (parents before children) and the texts of the page's blocks, each with its node."""
-    nodes = [Node("html", -1, frozenset(), False, -1)]
+    """The block elements (parents before children) and the texts of the page's blocks, each with its node.
+
+    Time grows in proportion to the page: counts of what is open in a block, and inside a fence (FENCES), tell whether
+    an element has to be looked for among the open ones, and what is found is closed."""
+    nodes = [Node("html", -1, (), False, -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # inline elements keep the node of their block
+    opened: Counter = Counter()
+    in_block, in_fence = [Counter()], [Counter()]
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
-    links = 0
+    tags = _Tags(page)
 
     def end_block():
         if pieces:
@@ -84,45 +128,66 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         node = nodes[stack[-1][1]]
         size = len(text) - text.count(" ")
         node.chars += size
-        node.linked += size if links else 0
+        node.linked += size if opened["a"] else 0
+        node.rights |= "©" in text or "&copy;" in text or "&#169;" in text
         node.stops += text.count(". ") + text.count(".\n") + text.rstrip().endswith((".", "!", "?"))
 
+    def push(tag: str, node: int):
+        stack.append((tag, node))
+        opened[tag] += 1
+        in_fence[-1][tag] += 1
+        if tag in INLINE:
+            in_block[-1][tag] += 1
+        else:
+            in_block.append(Counter())
+        if tag in FENCES:
+            in_fence.append(Counter())
+
     def pop(to: int):
-        nonlocal links
-        for tag, _ in stack[to:]:
-            links -= tag == "a"
-            if tag not in INLINE:
-                end_block()
         if any(tag not in INLINE for tag, _ in stack[to:]):
             end_block()
-        del stack[to:]
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            opened[tag] -= 1
+            if tag in FENCES:
+                in_fence.pop()
+            in_fence[-1][tag] -= 1
+            if tag in INLINE:
+                in_block[-1][tag] -= 1
+            else:
+                in_block.pop()
+
+    def pop_last(*wanted: str):
+        """Closes the innermost of these elements."""
+        k = len(stack) - 1
+        while stack[k][0] not in wanted:
+            k -= 1
+        pop(k)
 
     at = 0
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = OPEN.search(page, at)
         if not m:
             add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[1]:
+            at = tags.comment_end(m.start())
             continue
-        tag, closing, rest = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        end = tags.tag_end(m.end())
+        if end < 0:
+            break  # the page ends inside a tag
+        tag, closing, rest, at = m[1].lower(), page[m.start() + 1] == "/", page[m.end() : end], end + 1
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            # an inline end tag does not close what lies outside of its block
+            if in_block[-1][tag] if tag in INLINE else opened[tag]:
+                pop_last(tag)
             continue
-        if tag in ("html", "body", "head") and tag != "body":
+        if tag in ("html", "head"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = at if rest.endswith("/") and tag in ("audio", "video") else tags.raw_end(tag, at)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -131,44 +196,30 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 pieces and pieces.append(" ")
             continue
         if tag in CLOSES_P or tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" and tag in CLOSES_P or stack[k][0] in SAME.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in FENCES:
-                    break
+            ends = SAME.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
+            if any(in_fence[-1][t] for t in ends):
+                pop_last(*ends)
         if tag in INLINE:
-            links += tag == "a"
-            stack.append((tag, stack[-1][1]))
-            if rest.rstrip().endswith("/") and tag != "a":
-                stack.pop()
+            if not (rest.endswith("/") and tag != "a"):
+                push(tag, stack[-1][1])
             continue
         end_block()
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} if "=" in rest else {}
-        named = WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-        hints = {HINT_OF[w] for w in named if w in HINT_OF}
-        if (role := attributes.get("role", "").lower()) in ROLES:
-            hints.add(f"role-{role}")
-        hidden = "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None
-        nodes.append(Node(tag, stack[-1][1], frozenset(hints), hidden, int(attributes.get("data-main", -1))))
-        stack.append((tag, len(nodes) - 1))
-        if rest.rstrip().endswith("/"):
-            pass  # a slash does not close a block element
+        names = WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower())
+        hidden = "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true" or HIDDEN.search(rest) is not None
+        label = {"0": 0, "1": 1}.get(attributes.get("data-main"), -1)
+        nodes.append(Node(tag, stack[-1][1], tuple(dict.fromkeys(names)), hidden, label))
+        push(tag, len(nodes) - 1)  # a slash does not close a block element
     pop(1)
     end_block()
     return nodes, blocks
 
 
-def neutral(node: Node) -> bool:
-    """Whether a node that is no content can hold content: a plain wrapper, as body is, and not a menu or a form."""
-    return node.tag in ("html", "body", "div", "main", "section", "td", "tr", "table", "center") and not node.hidden and not (node.hints - {"main", "role-main", "role-article"})
-
-
-NAMES = [f"tag={t}" for t in TAGS] + ["tag=other", "root"] + [f"hint={h}" for h in HINTS] + [f"hint=role-{r}" for r in ROLES] + ["hidden", "empty", "chars", "subtree", "share", "links", "links below", "stops", "short"]
+NAMES = [f"tag={t}" for t in TAGS] + ["tag=other", "root", "hidden", "empty", "chars", "subtree", "share", "links", "links below", "stops", "short", "rights", "odds", "above", "article below"]
 AT = {name: i for i, name in enumerate(NAMES)}
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
     n = len(nodes)
     chars = np.array([x.chars for x in nodes], float)
     linked = np.array([x.linked for x in nodes], float)
@@ -177,12 +228,18 @@ def features(nodes: list[Node]) -> np.ndarray:
         below[nodes[i].parent] += below[i]
         linked_below[nodes[i].parent] += linked_below[i]
     x = np.zeros((n, len(NAMES)))
+    told = _told(nodes, odds)
+    above = np.zeros(n)  # the least that names of elements around a node tell
     for i, node in enumerate(nodes):
         x[i, AT.get(f"tag={node.tag}", AT["tag=other"])] = 1
-        for h in node.hints:
-            x[i, AT[f"hint={h}"]] = 1
         x[i, AT["hidden"]] = node.hidden
+        x[i, AT["rights"]] = node.rights
+        if i:
+            above[i] = min(above[node.parent], told[node.parent])
     x[0, AT["root"]] = 1
+    x[:, AT["odds"]] = told
+    x[:, AT["above"]] = above
+    x[:, AT["article below"]] = (x[:, AT["tag=article"]] + x[:, AT["tag=section"]]) * (above < -1)
     x[:, AT["empty"]] = chars == 0
     x[:, AT["chars"]] = np.log1p(chars) / 5
     x[:, AT["subtree"]] = np.log1p(below) / 8
@@ -194,18 +251,29 @@ def features(nodes: list[Node]) -> np.ndarray:
     return x
 
 
+def _told(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
+    """What a node's names tell: the sum of their log odds, within bounds."""
+    return np.array([max(-4.0, min(4.0, sum(odds.get(w, 0.0) for w in v.names))) for v in nodes])
+
+
+def neutral(nodes: list[Node], odds: dict[str, float]) -> list[bool]:
+    """Whether each node, were it no content, could hold content: a plain wrapper, as body is, and not a menu or a form."""
+    return [v.tag in WRAPPERS and not v.hidden and t > -1 for v, t in zip(nodes, _told(nodes, odds).tolist(), strict=True)]
+
+
 @dataclass
 class TreeModel:
     weights: np.ndarray  # of the features, for content
     bias: float
     edge: np.ndarray  # log potential [parent neutral, parent label, child label]
+    odds: dict[str, float] = field(default_factory=dict)  # log odds of the words of names
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """Probability of content for each node: messages from the leaves to the root and back, in log space."""
-        score = features(nodes) @ self.weights + self.bias
+        score = features(nodes, self.odds) @ self.weights + self.bias
         own = np.stack([np.zeros_like(score), score], 1).tolist()
         kinds = self.edge.tolist()
-        kind = [kinds[neutral(v)] for v in nodes]
+        kind = [kinds[x] for x in neutral(nodes, self.odds)]
         up = [None] * len(nodes)
         belief = [list(o) for o in own]  # own potential and the messages of the children so far
         for i in range(len(nodes) - 1, 0, -1):
@@ -245,17 +313,28 @@ def _labels(nodes: list[Node]) -> np.ndarray:
     return y
 
 
+def _odds(pages: list[tuple[list[Node], np.ndarray]], least: int = 3) -> dict[str, float]:
+    """Log odds of content for the words of names, from the elements whose own label the pages state."""
+    seen: dict[str, list[int]] = {}
+    for nodes, _ in pages:
+        for node in nodes:
+            for w in node.names if node.label >= 0 else ():
+                seen.setdefault(w, [0, 0])[node.label] += 1
+    return {w: float(np.log((c[1] + 1) / (c[0] + 1))) for w, c in seen.items() if sum(c) >= least}
+
+
 def fit(pages: list[str], steps: int = 12, ridge: float = 0.1) -> TreeModel:
-    """Counts give P(child | parent); the unary weights are fitted on top of those, with the parents' true labels, so
-    that nothing is counted twice."""
+    """Counts give the odds of names and P(child | parent); the unary weights are fitted on top of those, with the
+    parents' true labels, so that nothing is counted twice."""
+    parsed = [(nodes, _labels(nodes)) for nodes in (parse(page)[0] for page in pages)]
+    odds = _odds(parsed)
     xs, ys, parents, kinds = [], [], [], []
-    for page in pages:
-        nodes, _ = parse(page)
-        y = _labels(nodes)
-        xs.append(features(nodes))
+    for nodes, y in parsed:
+        xs.append(features(nodes, odds))
         ys.append(y)
+        free = neutral(nodes, odds)
         parents.append(np.array([0.0] + [y[v.parent] for v in nodes[1:]]))
-        kinds.append(np.array([True] + [neutral(nodes[v.parent]) for v in nodes[1:]]))
+        kinds.append(np.array([True] + [free[v.parent] for v in nodes[1:]]))
     x, y, p, k = np.concatenate(xs), np.concatenate(ys), np.concatenate(parents).astype(int), np.concatenate(kinds).astype(int)
     seen = np.ones((2, 2, 2))
     np.add.at(seen, (k, p, y.astype(int)), 1)
@@ -267,7 +346,21 @@ def fit(pages: list[str], steps: int = 12, ridge: float = 0.1) -> TreeModel:
         q = 1 / (1 + np.exp(-(x @ w + prior)))
         h = x.T @ (x * (q * (1 - q))[:, None]) + ridge * np.eye(len(w))
         w -= np.linalg.solve(h, x.T @ (q - y) + ridge * w)
-    return TreeModel(w[:-1], float(w[-1]), edge)
+    return TreeModel(w[:-1], float(w[-1]), edge, odds)
+
+
+# Words that sites use as class and id names, by what the elements are; labelled pages are made with them.
+SITE_NAMES = {
+    "main": "article content post entry main body story text prose markdown",
+    "menu": "nav menu breadcrumb breadcrumbs toolbar navbar tabs pagination pager toc sitemap",
+    "edge": "header footer masthead foot copyright legal colophon logo",
+    "side": "sidebar side aside widget related recommended rail trending popular",
+    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner adsense dfp",
+    "notice": "cookie cookies consent notice gdpr alert warning popup modal overlay subscribe newsletter paywall",
+    "talk": "comment comments reply replies discussion disqus respond feedback",
+    "share": "share social sharing",
+    "form": "form search login signup input field",
+}
 
 
 def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
@@ -278,7 +371,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 16))).capitalize() + rng.choice("....!?")
     link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(rng.randint(1, 3)))}</a>'
     some = lambda f, a, b, sep=" ": sep.join(f() for _ in range(rng.randint(a, b)))
-    named = lambda kind: rng.choice(HINTS[kind].split()) + rng.choice(["", "", "-box", " block", f" {word()}"])
+    named = lambda kind: rng.choice(SITE_NAMES[kind].split()) + rng.choice(["", "", "-box", " block", f" {word()}"])
 
     def attr(kind, y):
         chosen = rng.random()
@@ -332,7 +425,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         if kind < 0.91:
             return f"<table><tr><td>{word()}</td><td>{sentence()}</td></tr></table>"
         if kind < 0.94:
-            return f"<div>{some(inline, 1, 4)}</div>"
+            # sites name parts of an article as they like
+            odd = f' class="{named(rng.choice(list(SITE_NAMES)))} {word()}" data-main="1"' if rng.random() < 0.1 else ""
+            return f"<div{odd}>{some(inline, 1, 4)}</div>"
         if kind < 0.96:
             return f"<pre>{word()} = {word()}</pre>"
         return f"<p><b>{sentence()}<br>"
@@ -343,17 +438,22 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         parts = [f'<h1 data-main="1">{sentence()}</h1>'] if rng.random() < 0.8 else []
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
             parts.append(body_block())
-            if rng.random() < 0.06:
+            if rng.random() < 0.12:
                 parts.append(rng.choice(inside)())
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
         name = ' data-main="1"' if rng.random() < (0.1 if tag in ("div", "section") else 0.6) else attr("main", 1)
         article = f"<{tag}{name}>{''.join(parts)}</{tag}>"
         if rng.random() < 0.4:
-            article = f"<{(o := rng.choice(['main', 'div', 'section']))}{rng.choice(['', f''' class="{named('main')}" ''', f' class={word()}'])} data-main=\"1\">{article}</{o}>"
+            beside = talk() if rng.random() < 0.4 else ""
+            article = f"<{(o := rng.choice(['main', 'div', 'section']))}{rng.choice(['', f''' class="{named('main')}" ''', f' class={word()}'])} data-main=\"1\">{article}{beside}</{o}>"
         wrap = rng.random() < 0.3
         before = [f() for f in rng.sample([menu, head, lambda: boxed("advert"), lambda: boxed("notice"), side, form], rng.randint(0, 4))]
         after = [f() for f in rng.sample([foot, side, talk, talk, lambda: boxed("advert"), lambda: boxed("notice"), form, menu], rng.randint(0, 4))] + [foot()]
         whole = "".join([*before, article, *after])
+        if rng.random() < 0.12:  # a table for the layout, without names
+            links, foot_line = some(link, 2, 6, " | "), f"{rng.choice(['&copy;', '&copy; 1999', '©'])} {some(sentence, 1, 2)} {link() if rng.random() < 0.5 else ''}"
+            rows = [f'<tr><td data-main="0">{links}</td></tr>', f'<tr><td data-main="1">{"".join(parts)}</td></tr>', f'<tr><td data-main="0">{foot_line}</td></tr>']
+            whole = f"<table>{''.join(rows)}</table>"
         whole = f'<div{rng.choice(["", " class=page", " id=wrapper", " class=container"])}>{whole}</div>' if wrap else whole
         pages.append(f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{}}</style></head><body>{whole}</body></html>")
     return pages
