@@ -1,9 +1,9 @@
 """A static range asymmetric numeral system over integer symbols, in numpy.
 
-One frequency table is shared by all blocks. A block is coded by `LANES` interleaved coders: symbol i belongs to lane
-i mod LANES, so a step works on all lanes at once. A coder's state has 64 bits and sheds 32-bit words. Every
-`SEGMENT` steps the coder notes a checkpoint, the word it stands at and all its states, from where a reader can start
-on its own. The block ends with the checksum of its symbols, its words have a checksum too.
+One frequency table is shared by all blocks. A block is coded by up to `LANES` interleaved coders: symbol i belongs to
+lane i mod lanes, so a step works on all lanes at once. A coder's state has 64 bits and sheds 32-bit words. Every
+`SEGMENT` steps the coder notes a checkpoint, all its states, and begins a new segment of words: a segment can be cut
+out of the block and decoded on its own. Each has a checksum of its states and words, and one of its symbols.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ import numpy as np
 
 SCALE, LANES, SEGMENT = 20, 512, 256
 LOW = np.uint64(1 << 31)  # a state stays in [LOW, 2^63)
-HEAD = struct.Struct("<4sIIIIII")  # magic, symbols, lanes, segments, words, crc of symbols, crc of words
-MAGIC = b"RNS1"
+HEAD = struct.Struct("<4sIII")  # magic, symbols, segments, checksum of what follows up to the first segment
+PLACE = struct.Struct("<Q")  # where a segment ends, counted from the first one's begin; one for each segment
+PIECE = struct.Struct("<4sIIIII")  # magic, symbols, lanes, words, checksum of states and words, checksum of symbols
+MAGIC, PIECE_MAGIC = b"RNS2", b"RNSP"
 
 
 class BlockError(ValueError):
@@ -80,69 +82,79 @@ def encode(ids: np.ndarray, table: FrequencyTable) -> bytes:
         raise ValueError("a symbol is not in the table")
     freq, start = f[index], c[index]
     limit = freq << np.uint64(63 - SCALE)
-    steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
-    words: list[np.ndarray] = []
-    marks: list[tuple[int, np.ndarray]] = []
-    done = 0  # words so far, counted from the end
+    shed: list[np.ndarray] = []  # the words of a segment, the last ones first
+    pieces: list[bytes] = []
     up, scale = np.uint64(32), np.uint64(SCALE)
-    for t in range(steps - 1, -1, -1):
+    for t in range(-(-n // lanes) - 1, -1, -1):
         a, b = t * lanes, min(n, (t + 1) * lanes)
         s = x[: b - a]
         full = s >= limit[a:b]
         if full.any():
-            shed = s[full]
-            words.append(shed.astype(np.uint32))
-            done += len(shed)
-            s[full] = shed >> up
+            shed.append(s[full].astype("<u4"))
+            s[full] >>= up
         q = s // freq[a:b]
         s += (q << scale) - q * freq[a:b] + start[a:b]  # the quotient moves up, the remainder stays
         if t % SEGMENT == 0:
-            marks.append((done, x.copy()))
-    words.reverse()
-    body = np.concatenate(words).astype("<u4").tobytes() if words else b""
-    marks.reverse()
-    places = b"".join(struct.pack("<I", done - d) + states.astype("<u8").tobytes() for d, states in marks)
-    crc = zlib.crc32(ids.astype("<u4").tobytes())
-    return HEAD.pack(MAGIC, n, lanes, len(marks), done, crc, zlib.crc32(places + body)) + places + body
+            own = ids[a : min(n, (t + SEGMENT) * lanes)].astype("<u4").tobytes()
+            body = x.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(shed))
+            pieces.append(PIECE.pack(PIECE_MAGIC, len(own) // 4, lanes, len(body) // 4 - 2 * lanes, zlib.crc32(body), zlib.crc32(own)) + body)
+            shed = []
+    pieces.reverse()
+    places = b"".join(map(PLACE.pack, np.cumsum([len(p) for p in pieces]).tolist()))
+    return HEAD.pack(MAGIC, n, len(pieces), zlib.crc32(places)) + places + b"".join(pieces)
 
 
-def segments(block: bytes) -> int:
-    return HEAD.unpack_from(block)[3]
-
-
-def decode(block: bytes, table: FrequencyTable, only: int | None = None) -> np.ndarray:
-    """The ids of a block as unsigned 32-bit integers; `only` reads one segment, from its checkpoint."""
+def segments(block: bytes) -> list[bytes]:
+    """The segments of a block, each for decode_segment()."""
     if len(block) < HEAD.size:
         raise BlockError("no head")
-    magic, n, lanes, count, n_words, crc, crc_words = HEAD.unpack_from(block)
-    size = 4 + 8 * lanes
-    if magic != MAGIC or len(block) != HEAD.size + count * size + 4 * n_words:
+    magic, n, count, crc = HEAD.unpack_from(block)
+    begin = HEAD.size + count * PLACE.size
+    if magic != MAGIC or len(block) < begin or zlib.crc32(memoryview(block)[HEAD.size : begin]) != crc:
+        raise BlockError("not a block, or a damaged head")
+    ends = [0, *(PLACE.unpack_from(block, HEAD.size + k * PLACE.size)[0] for k in range(count))]
+    if len(block) != begin + ends[-1]:
         raise BlockError("not a whole block")
-    if only is None and zlib.crc32(memoryview(block)[HEAD.size :]) != crc_words:
-        raise BlockError("words are damaged")
-    words = np.frombuffer(block, "<u4", n_words, HEAD.size + count * size).astype(np.uint64)
+    pieces = [block[begin + a : begin + b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    if sum(PIECE.unpack_from(p)[1] for p in pieces) != n:
+        raise BlockError("segments are missing")
+    return pieces
+
+
+def decode_segment(piece: bytes, table: FrequencyTable) -> np.ndarray:
+    """The ids of a segment as unsigned 32-bit integers, from its checkpoint; its checksums are tested."""
+    if len(piece) < PIECE.size:
+        raise BlockError("no segment")
+    magic, n, lanes, n_words, crc, crc_symbols = PIECE.unpack_from(piece)
+    if magic != PIECE_MAGIC or len(piece) != PIECE.size + 8 * lanes + 4 * n_words or zlib.crc32(memoryview(piece)[PIECE.size :]) != crc:
+        raise BlockError("a damaged segment")
+    x = np.frombuffer(piece, "<u8", lanes, PIECE.size).astype(np.uint64)
+    words = np.frombuffer(piece, "<u4", n_words, PIECE.size + 8 * lanes).astype(np.uint64)
     f, c = table.wide
-    slots, symbols = table.slots, table.symbols.astype(np.uint32)
+    slots = table.slots
     mask, scale, up = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
     out = np.empty(n, np.uint32)
-    for k in range(count) if only is None else [only]:
-        at = struct.unpack_from("<I", block, HEAD.size + k * size)[0]
-        x = np.frombuffer(block, "<u8", lanes, HEAD.size + k * size + 4).astype(np.uint64)
-        for t in range(k * SEGMENT, min((k + 1) * SEGMENT, -(-n // lanes))):
-            a, b = t * lanes, min(n, (t + 1) * lanes)
-            s = x[: b - a]
-            slot = s & mask
-            index = slots[slot.astype(np.int64)]
-            out[a:b] = index
-            s = f[index] * (s >> scale) + slot - c[index]
-            low = np.flatnonzero(s < LOW)
-            if len(low):
-                s[low] = s[low] << up | words[at : at + len(low)]
-                at += len(low)
-            x[: b - a] = s
-    a, b = (0, n) if only is None else (only * SEGMENT * lanes, min(n, (only + 1) * SEGMENT * lanes))
-    ids = symbols[out[a:b]]
-    if only is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    at = 0
+    for a in range(0, n, lanes):
+        b = min(n, a + lanes)
+        s = x[: b - a]
+        slot = s & mask
+        index = slots[slot.astype(np.int64)]
+        out[a:b] = index
+        s = f[index] * (s >> scale) + slot - c[index]
+        low = np.flatnonzero(s < LOW)
+        if len(low):
+            s[low] = s[low] << up | words[at : at + len(low)]
+            at += len(low)
+        x[: b - a] = s
+    ids = table.symbols.astype(np.uint32)[out]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc_symbols:
         raise BlockError("symbols are damaged")
     return ids
+
+
+def decode(block: bytes, table: FrequencyTable) -> np.ndarray:
+    """The ids of a block, segment after segment."""
+    found = [decode_segment(p, table) for p in segments(block)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)

@@ -2,8 +2,9 @@
 
 `write` leaves two Parquet tables in a folder: `table` (symbol, freq: the shared frequency table, from the counts of
 all tokens) and `blocks`, a row for each independent block of whole documents in ascending doc_id order (part, block,
-start_in_part, n_docs, n_tokens, doc_ids, lengths, data). `read` decodes the blocks in parallel, checks their
-checksums and gives each document's ids and its place in the whole sequence.
+start_in_part, n_docs, n_tokens, doc_ids, lengths, data). `read` decodes the blocks in parallel, those of long
+documents segment by segment from their checkpoints; it tests every segment's checksums, and gives each document's ids
+and its place in the whole sequence.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import rans, words
-from patchloom.llm.common import scratch_path
+from patchloom.llm.common import written
 
 END_ID = 2
 #: Tokens after which a block is closed; a block holds whole documents, so a longer document is a longer block.
@@ -38,36 +39,55 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Pool:
+    """An array that grows."""
+
+    def __init__(self, dtype: np.dtype):
+        self.values, self.used = np.zeros(1 << 16, dtype), 0
+
+    def hold(self, values: np.ndarray) -> int:
+        """Puts values at the end and says where."""
+        if self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(max(len(self.values), len(values)), self.values.dtype)])
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
+
+
+def _same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a and b hold the same values, `sizes` of them, from those places on."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    ends = np.cumsum(sizes)
+    inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    differ = a[np.repeat(at_a, sizes) + inside] != b[np.repeat(at_b, sizes) + inside]
+    return np.diff(np.concatenate([[0], np.cumsum(differ)])[np.concatenate([[0], ends])]) == 0
+
+
 class Memory:
-    """Ids of pieces by the pieces' hashes: sorted tables, a large and a recent one, of about 20 bytes an entry."""
+    """Ids of pieces by the pieces' hashes: sorted tables, a large and a recent one, of about 40 bytes an entry. The
+    pieces' bytes are kept too: a hash that two pieces share never gives one the other's ids."""
 
     def __init__(self, dtype: np.dtype):
-        empty = np.zeros(0, np.int64)
-        self.tables = [(np.zeros(0, np.uint64), empty, empty)] * 2  # hashes, places in the pool, lengths
-        self.pool, self.used = np.zeros(1 << 16, dtype), 0
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and lengths; a place of -1 where a hash is not known."""
-        place, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for known, places, sizes in self.tables:
+        # hashes, places and numbers of ids, places and numbers of bytes
+        self.tables = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))] * 2
+        self.ids, self.bytes = _Pool(dtype), _Pool(np.dtype(np.uint8))
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of ids of the pieces that stand at data[begins:begins + sizes]; a place of -1 where a
+        piece is not known."""
+        place, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, places, counts, at_bytes, n_bytes in self.tables:
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
-        return place, size
-
-    def hold(self, ids: np.ndarray) -> int:
-        """Puts ids into the pool and says where."""
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
-    def add(self, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> None:
-        merged = []
-        for old, new in zip(self.tables[1], (hashes, places, sizes), strict=True):
-            merged.append(np.concatenate([old, new]))
+                hit = np.flatnonzero((known[at] == hashes) & (n_bytes[at] == sizes))
+                hit = hit[_same(data, begins[hit], self.bytes.values, at_bytes[at[hit]], sizes[hit])]
+                place[hit], count[hit] = places[at[hit]], counts[at[hit]]
+        return place, count
+
+    def add(self, hashes: np.ndarray, *columns: np.ndarray) -> None:
+        """columns: places and numbers of ids, places and numbers of bytes."""
+        merged = [np.concatenate([old, new]) for old, new in zip(self.tables[1], (hashes, *columns), strict=True)]
         if len(merged[0]) > len(self.tables[0][0]) // 4:
             merged = [np.concatenate([old, new]) for old, new in zip(self.tables[0], merged, strict=True)]
             self.tables[0], merged = self._sorted(merged), [x[:0] for x in merged]
@@ -75,7 +95,7 @@ class Memory:
 
     @staticmethod
     def _sorted(table):
-        order = np.argsort(table[0])
+        order = np.argsort(table[0], kind="stable")
         return tuple(x[order] for x in table)
 
     def __len__(self) -> int:
@@ -124,9 +144,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids with the tokenizers library, through a memory of pieces that holds up to `ENTRIES` of them.
 
-    Pieces are known by 64-bit hashes of their bytes: among ten million pieces two meet with a chance of 3 in a
-    million. Tokenizers of other kinds than a plain byte-level BPE get each text as one piece, and so does any tokenizer
-    a text that holds an added token, such as <|endoftext|>: it becomes that token's id, as in the library's plain call.
+    Pieces are looked up by 64-bit hashes and compared byte by byte. Tokenizers of other kinds than a plain byte-level
+    BPE get each text as one piece, and so does any tokenizer a text that holds an added token, such as <|endoftext|>:
+    it becomes that token's id, as in the library's plain call.
     """
 
     def __init__(self, path: str):
@@ -159,28 +179,38 @@ class Encoder:
         """(ids, number of ids of each text) of stretches of texts, each text with end_id after it."""
         for _, _, data, offsets in words.pieces(texts, 1 << 20):
             begins = self._begins(data, offsets)
-            ends = np.append(begins[1:], len(data))
+            sizes = np.diff(np.append(begins, len(data)))
             hashes = words.span_hashes(data, begins)
             unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             memory = self.memory
-            room = memory.used
-            place, size = memory.find(unique)
+            room = memory.ids.used
+            place, size = memory.find(unique, data, begins[first], sizes[first])
             new = np.flatnonzero(place < 0)
             raw = data.tobytes()
+            piece = lambda i: raw[begins[i] : begins[i] + sizes[i]].decode()  # noqa: E731, B023
             for i in new.tolist():
-                ids = self.whole(raw[begins[first[i]] : ends[first[i]]].decode())
-                place[i], size[i] = memory.hold(ids), len(ids)
-            lengths = size[which]
+                ids = self.whole(piece(first[i]))
+                place[i], size[i] = memory.ids.hold(ids), len(ids)
+            places, lengths = place[which], size[which]
+            alike = sizes == sizes[first[which]]
+            alike[alike] = _same(data, begins[alike], data, begins[first[which[alike]]], sizes[alike])
+            for i in np.flatnonzero(~alike).tolist():  # two pieces of one hash
+                ids = self.whole(piece(i))
+                places[i], lengths[i] = memory.ids.hold(ids), len(ids)
             total = np.concatenate([[0], np.cumsum(lengths)])
-            index = np.repeat(place[which] - total[:-1], lengths) + np.arange(total[-1])
-            ids = memory.pool[index]
+            index = np.repeat(places - total[:-1], lengths) + np.arange(total[-1])
+            ids = memory.ids.values[index]
             at = total[np.searchsorted(begins, offsets)]
             yield np.insert(ids, at[1:], end_id), np.diff(at) + 1
             if len(memory) + len(new) <= ENTRIES:
-                kept = new[(ends - begins)[first[new]] <= LONGEST]
-                memory.add(unique[kept], place[kept], size[kept])
+                kept = new[sizes[first[new]] <= LONGEST]
+                n = sizes[first[kept]]
+                ends = np.cumsum(n)
+                if len(kept):
+                    at_bytes = memory.bytes.hold(data[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(begins[first[kept]], n)])
+                    memory.add(unique[kept], place[kept], size[kept], at_bytes + ends - n, n)
             else:
-                memory.used = room
+                memory.ids.used = room
 
 
 @lru_cache(1)
@@ -260,10 +290,9 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
     dtype = encoder_of(tokenizer).dtype
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    dealt = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    raw_path = scratch_path(spark, "token-ids")
-    dealt.mapInArrow(words.tidy(_tokenize(tokenizer, end_id)), RAW).write.parquet(raw_path)
-    raw = spark.read.schema(RAW).parquet(raw_path)
+    head = F.substring("text", 1, 32).asc_nulls_first()  # rows of one doc_id, or of none, are dealt by their texts
+    dealt = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), head).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    raw = written(dealt.mapInArrow(words.tidy(_tokenize(tokenizer, end_id)), RAW), "token-ids")
     # at most one row a symbol comes to the driver
     counts = raw.select("ids").mapInArrow(words.tidy(_count(dtype)), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     table = rans.FrequencyTable.from_counts([r["symbol"] for r in counts], [r["n"] for r in counts]) if counts else rans.FrequencyTable.from_counts([end_id], [1])
@@ -271,29 +300,52 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
     raw.mapInArrow(words.tidy(_encode(dtype, table)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def _decode(table: rans.FrequencyTable):
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+def _documents(row: dict, ids: np.ndarray) -> list[pa.Array]:
+    """The columns of READ for the documents of a block."""
+    lengths, docs = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
+    ends = np.cumsum(lengths)
+    offsets = np.concatenate([[0], ends * 4])
+    short = offsets[-1] < 1 << 31
+    kind, offsets = (pa.binary(), offsets.astype(np.int32)) if short else (pa.large_binary(), offsets)
+    blob = (pa.BinaryArray if short else pa.LargeBinaryArray).from_buffers(kind, len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
+    return [pa.array(docs, pa.int64(), mask=docs == -1 << 63), pa.array(np.full(len(docs), row["part"]), pa.int32()), pa.array(row["start_in_part"] + ends - lengths), pa.array(lengths), blob.cast(pa.binary())]
+
+
+def _decode(ids_of):
+    """Blocks -> READ; ids_of gives a row's ids."""
+    names = ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = rans.decode(row["data"], table).astype("<u4")
-                lengths = np.frombuffer(row["lengths"], "<i8")
-                docs = np.frombuffer(row["doc_ids"], "<i8")
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                offsets = np.concatenate([[0], ends * 4])
-                kind = pa.int32() if offsets[-1] < 1 << 31 else pa.int64()
-                blob = (pa.BinaryArray if kind == pa.int32() else pa.LargeBinaryArray).from_buffers(pa.binary() if kind == pa.int32() else pa.large_binary(), len(docs), [None, pa.py_buffer(offsets.astype(kind.to_pandas_dtype())), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64(), mask=docs == -1 << 63), pa.array(np.full(len(docs), row["part"]), pa.int32()), pa.array(row["start_in_part"] + starts), pa.array(lengths), blob.cast(pa.binary())], schema=schema
-                )
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_arrays(_documents(row, ids_of(row)), names=names)
 
     return run
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers)."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks -> their segments, a row each."""
+    for batch in batches:
+        for part, block, data in zip(*(batch.column(c) for c in ("part", "block", "data")), strict=True):
+            for k, piece in enumerate(rans.segments(data.as_py())):
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([block.as_py()], pa.int32()), pa.array([k], pa.int32()), pa.array([piece], pa.binary())], names=["part", "block", "segment", "piece"])
+
+
+def _decode_segments(table: rans.FrequencyTable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([rans.decode_segment(x.as_py(), table).astype("<u4").tobytes() for x in batch.column("piece")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "block", "segment")), ids], names=["part", "block", "segment", "ids"])
+
+    return run
+
+
+def read(spark: SparkSession, path: str, long_block: int = 4 * BLOCK_TOKENS) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers).
+
+    A block of more than long_block tokens, that of a long document, is cut into its segments, which are decoded side by
+    side and put together again; other blocks are decoded whole, a task having many of them."""
     rows = spark.read.schema("symbol long, freq long").parquet(f"{path}/table").orderBy("symbol").collect()
     table = rans.FrequencyTable(np.array([r["symbol"] for r in rows]), np.array([r["freq"] for r in rows]))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
@@ -302,6 +354,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for r in totals:
         bases.append((r["part"], base))
         base += r["n"]
-    docs = blocks.select("part", "start_in_part", "doc_ids", "lengths", "data").mapInArrow(words.tidy(_decode(table)), READ)
-    placed = docs.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    about = ["part", "start_in_part", "doc_ids", "lengths"]
+    docs = blocks.where(F.col("n_tokens") <= long_block).select(*about, "data").mapInArrow(words.tidy(_decode(lambda row: rans.decode(row["data"], table))), READ)
+    long = blocks.where(F.col("n_tokens") > long_block)
+    pieces = long.select("part", "block", "data").mapInArrow(_cut, "part int, block int, segment int, piece binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = pieces.repartition(parts, "part", "block", "segment").mapInArrow(words.tidy(_decode_segments(table)), "part int, block int, segment int, ids binary")
+    whole = ids.groupBy("part", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "ids"))), lambda x: x["ids"]).alias("pieces"))
+    joined = long.select("block", *about).join(whole, ["part", "block"]).select(*about, "pieces")
+    docs = docs.unionByName(joined.mapInArrow(words.tidy(_decode(lambda row: np.frombuffer(b"".join(row["pieces"]), "<u4"))), READ))
+    placed = docs.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")  # a row a part
     return placed.select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
