@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import word_count, written
+from patchloom.operators.scoring import global_rank
 
 #: Documents that meet in one group, on average.
 GROUP = 32
@@ -27,23 +28,25 @@ def uniform(*parts) -> Column:
 def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     """source, source_size, weight, target. Sources by code point, null last, weigh 1, 2, 3, repeating.
 
-    The level L with sum(min(most * size, weight * L)) = sum(size) is where resharing the excess ends. The windows
-    run over one row a source.
+    The level L with sum(min(most * size, weight * L)) = sum(size) is where resharing the excess ends. It rises from the
+    level without caps: what lies above its cap is capped, and the level of the others follows, until no more are. Each
+    round is one aggregate; the places of the sources are counted in ranges of them, so there may be many.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("at", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    t = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = t.withColumn("weight", ((F.row_number().over(rank) - 1) % 3 + 1).cast("double"))
-    t = t.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("at", F.col("cap") / F.col("weight"))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    t = t.withColumn("level", level)
-    fill = F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "level"))).over(everything)["level"]
-    target = F.least("cap", F.col("weight") * F.coalesce(fill, F.lit(0.0)))
-    return t.select("source", "source_size", "weight", target.alias("target"))
+    t = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    t = global_rank(t, ["none", "source"], "place").withColumn("weight", ((F.col("place") - 1) % 3 + 1).cast("double")).drop("none", "place")
+    t = written(t.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("at", F.col("cap") / F.col("weight")), "mix-sources")
+    level, capped = -1.0, -1
+    while True:
+        free = F.col("at") >= level
+        zero = F.lit(0.0)
+        got = t.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~free, F.col("cap"))), zero).alias("caps"),
+            F.coalesce(F.sum(F.when(free, F.col("weight"))), zero).alias("weights"), F.count_if(~free).alias("capped"),
+        ).head()
+        if got["capped"] == capped or not got["weights"] or not got["all"]:
+            break
+        level, capped = (got["all"] - got["caps"]) / got["weights"], got["capped"]
+    return t.select("source", "source_size", "weight", F.least("cap", F.col("weight") * F.lit(max(level, 0.0))).alias("target"))
 
 
 def _meet(state: Column, x: Column, seed: int) -> Column:
@@ -84,31 +87,33 @@ def _level(rows: DataFrame, level: int, seed: int, group: int) -> DataFrame:
     return folded.select("source", F.inline(both)).withColumn("b", F.floor(F.log2(F.col("size") + 1.0) * 8)).withColumn("open", (F.col("p") > 0) & (F.col("p") < 1))
 
 
-def mix(documents: DataFrame, seed: int = 0, most: float = 3.0, group: int = GROUP) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row for each row of documents (doc_id, source, text).
+def _numbered(documents: DataFrame, key: Column) -> DataFrame:
+    """doc_id, source, size, t, n: t is the hash of what tells rows of one doc_id apart, n a number among equal rows.
+
+    Equal rows are counted before they are shuffled, and numbered where the count lies."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("t"))
+    many = rows.groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("k"))
+    return many.select("doc_id", "source", "size", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("n"))
+
+
+def mix(documents: DataFrame, seed: int = 0, most: float = 3.0, group: int = GROUP, key: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken, source, t, n: one row for each row of documents (doc_id, source, text).
 
-    A null text has size 0; a null source is a source of its own; a null doc_id is a document like others. Repeated
-    rows of a doc_id are told apart by a running number (by text, the same from run to run). A document of size 0
-    gets the whole part of its copies; an empty table gives no row. Reruns give the same rows, for draws are hashes
-    of the seed and ids.
+    A null text has size 0; a null source is a source of its own; a null doc_id is a document like others. Rows of one
+    doc_id are told apart by t, the hash of `key` (their text), and equal rows by a running number n. A document of
+    size 0 gets the whole part of its copies; an empty table gives no row. Reruns give the same rows, for draws are
+    hashes of the seed and of what names a row.
     """
-    spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = written(sized, "mix-sizes")
-    # repeated rows: only doc_ids that occur more than once pass through the window
-    again = sized.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    same = F.col("s.doc_id").eqNullSafe(F.col("r.doc_id"))
-    once = sized.alias("s").join(again.alias("r"), same, "left_anti").withColumn("n", F.lit(0).cast("long"))
-    tied = sized.alias("s").join(again.alias("r"), same, "left_semi")
-    tied = tied.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).cast("long"))
-    goal = written(targets(sized, most), "mix-targets")
-    rows = once.unionByName(tied).alias("d").join(goal.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
+    rows = written(_numbered(documents, F.xxhash64(F.col("text").cast("string")) if key is None else key), "mix-sizes")
+    goal = written(targets(rows, most), "mix-targets")
+    rows = rows.withColumn("id", F.xxhash64("doc_id", "source", "t", "size")).alias("d").join(goal.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(F.least(copies, F.lit(most)) + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), copies - F.col("whole")))
     rows = rows.withColumn("p", F.when((F.col("p") < 1e-9) | (F.col("size") == 0) | (F.col("whole") >= most), 0.0).otherwise(F.col("p")))
     rows = written(rows, "mix-rows")
 
-    left = rows.where("p > 0").select("source", "size", F.col("doc_id").alias("id"), "n", "p", F.floor(F.log2(F.col("size") + 1.0) * 8).alias("b"))
+    # in the tree a document is its id, a hash of all that names it but n; two unlike ones meet by chance in 2^-64
+    left = rows.where("p > 0").select("source", "size", "id", "n", "p", F.floor(F.log2(F.col("size") + 1.0) * 8).alias("b"))
     closed: list[DataFrame] = []
     most_open = lambda df: df.groupBy("source").count().agg(F.max("count")).head()[0] or 0
     level, still = 0, most_open(left)
@@ -121,30 +126,30 @@ def mix(documents: DataFrame, seed: int = 0, most: float = 3.0, group: int = GRO
     drawn = last
     for part in closed:
         drawn = drawn.unionByName(part)
-    drawn = drawn.where("p > 0").select(F.col("id").alias("got_id"), F.col("n").alias("got_n"), F.lit(1).cast("long").alias("more"))
-    got = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("got_id")) & (F.col("n") == F.col("got_n")), "left")
-    got = got.withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(0)).cast("long"))
-    return got.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source", "n")
+    drawn = drawn.where("p > 0").select("id", "n", F.lit(1).cast("long").alias("more"))
+    got = rows.join(drawn, ["id", "n"], "left").withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(0)).cast("long"))
+    return got.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source", "t", "n")
 
 
 def mixed(documents: DataFrame, **more) -> DataFrame:
     """The rows of documents (doc_id, source, text and others), each as often as mix() takes it.
 
-    Repeated rows of a doc_id share its copies by their running number, so each is written as often as its own draw says.
+    Rows that differ in any column are told apart; of rows equal in all of them each has its own draw.
     """
     own = "_mix"
     while any(c.startswith(own) for c in documents.columns):
         own += "_"
-    ident, number, times, once, place = (own + x for x in ("id", "n", "times", "once", "place"))
-    copies = mix(documents, **more).select(F.col("doc_id").alias(ident), F.col("n").alias(number), F.col("copies").alias(times))
+    ident, theirs, number, times, place, again = (own + x for x in ("t", "u", "n", "times", "place", "again"))
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns])
+    copies = mix(documents, key=everything, **more).select(F.col("t").alias(theirs), F.col("n").alias(number), F.col("copies").alias(times))
     copies = written(copies, "mix-copies")
-    same = F.col("doc_id").eqNullSafe(F.col(ident))
-    rows = documents
+    rows = documents.withColumn(ident, everything)
+    same = (F.col(ident) == F.col(theirs)) & (F.col(number) == 0)
     if copies.where(F.col(number) > 0).head(1):
-        # the numbers of mix(): 0 for an id of one row, else 1, 2, ...
-        count = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", word_count(F.col("text")), "text"))
-        single = copies.where(F.col(number) == 0).select(ident, F.lit(True).alias(once))
-        rows = rows.join(single, same, "left").withColumn(place, F.when(F.col(once), 0).otherwise(count).cast("long")).drop(ident, once)
-        same = same & (F.col(place) == F.col(number))
+        # only rows that occur again are numbered
+        often = copies.where(F.col(number) == 1).select(F.col(theirs).alias(again))
+        alone = rows.join(often, F.col(ident) == F.col(again), "left_anti").withColumn(place, F.lit(0).cast("long"))
+        equal = rows.join(often, F.col(ident) == F.col(again), "left_semi").withColumn(place, (F.row_number().over(Window.partitionBy(ident).orderBy(ident)) - 1).cast("long"))
+        rows, same = alone.unionByName(equal), (F.col(ident) == F.col(theirs)) & (F.col(place) == F.col(number))
     got = rows.join(copies.where(F.col(times) > 0), same)
     return got.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in documents.columns])
