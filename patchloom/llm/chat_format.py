@@ -17,7 +17,7 @@ escaped and the whole is tried again, and then all turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of this grammar, and control strings of common chat templates that texts may not hold bare.
@@ -35,13 +35,14 @@ def unescape(text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text, raw>> of a formatted string; raw is the text as it stands in the output."""
+    """array<struct<role, text, raw, chars>> of a formatted string; raw is the text as it stands in the output, chars
+    what stands before it in its turn."""
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p, i: i > 0)
 
     def turn(piece):
         parts = F.split(piece, r"<\|text\|>")
         raw = F.regexp_replace(F.array_join(F.slice(parts, 2, 1 << 30), TEXT), r"(?s)<\|end\|>$", "")
-        return F.struct(unescape(parts[0]).alias("role"), unescape(raw).alias("text"), raw.alias("raw"))
+        return F.struct(unescape(parts[0]).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), (F.length(parts[0]) + len(TURN) + len(TEXT)).alias("chars"))
 
     return F.transform(pieces, turn)
 
@@ -91,15 +92,28 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     for as_escaped in (lambda t: ~t["survives"], lambda t: F.lit(True)):
         tried = tried.withColumn("formatted", F.when(same("parsed"), F.col("formatted")).otherwise(render(as_escaped)))
         tried = tried.withColumn("parsed", parse(F.col("formatted")))
+    # with every string escaped no text can end a turn; should it ever differ, nothing is put out
+    broken = F.raise_error(F.concat(F.lit("no round trip: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    tried = tried.withColumn("formatted", F.when(same("parsed"), F.col("formatted")).otherwise(broken.cast("string")))
     escaped = F.size(F.filter("parsed", lambda t: t["raw"] != t["text"])).cast("long")
     return tried.select("conv_id", "formatted", "parsed", escaped.alias("escaped_turns"))
 
 
+def loss_mask(formatted: DataFrame) -> DataFrame:
+    """conv_id, start, end: where the texts of the assistant stand in formatted, in code points; a row for each."""
+    turns = formatted.select("conv_id", F.posexplode("parsed").alias("turn", "t"))
+    size = F.col("t.chars") + F.length("t.raw") + len(END)
+    before = F.sum(size).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0)) + F.col("t.chars")
+    spans = turns.select("conv_id", "t.role", start.alias("start"), (start + F.length("t.raw")).alias("end"))
+    return spans.where("role = 'assistant'").select("conv_id", "start", "end")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """The columns of the query contract, from what the parser reads back; loss_spans holds the mask: [start, end) in
-    code points of formatted, one for each assistant turn."""
+    """The columns of the query contract, from what the parser reads back: the loss text is what stands under the spans of
+    loss_mask(), unescaped."""
     spoken = F.filter("parsed", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(spoken, lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(spoken, lambda t: unescape(t["raw"])), "")
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select(
         "conv_id",
