@@ -2,7 +2,8 @@
 
 Bytes are embedded, filters of several widths slide over fixed windows, the largest answer of each filter feeds a
 softmax. The network is trained on the driver on a bounded sample of labelled text (`max_docs` documents, spread over
-the languages, up to `windows` pieces of each); prediction runs over every window of every whole text and averages the
+the languages, of each `windows` pieces of PIECE characters at even distances over the whole text: the bound of what a
+long document adds); prediction runs over every window of every whole text and averages the
 windows' probabilities, weighted by their bytes.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from patchloom.llm.words import tidy
 from patchloom.sources.session import prepare
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 6
+#: Characters of a piece that is learned from.
+PIECE = 160
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -38,17 +42,32 @@ class ByteConvNet:
         p["out"], p["out_bias"] = draw(FILTERS * len(WIDTHS), len(languages)), np.zeros(len(languages), np.float32)
         return cls(languages, p)
 
+    @cached_property
+    def answers_of(self) -> dict[int, list[tuple[int, np.ndarray]]]:
+        """What one byte, or two in a row, add to the answers of each width's filters, by offset: a filter's answer is a
+        sum over its bytes, so embedding and multiplication are done once for each byte and pair of bytes."""
+        out = {}
+        for w in WIDTHS:
+            one = [self.params["emb"] @ self.params[f"conv{w}"][j * EMBED : (j + 1) * EMBED] for j in range(w)]
+            pairs = [(j, (one[j][:, None] + one[j + 1][None]).reshape(1 << 16, FILTERS)) for j in range(0, w - 1, 2)]
+            out[w] = pairs + ([(w - 1, one[w - 1])] if w % 2 else [])
+        return out
+
     def pooled(self, windows: np.ndarray) -> np.ndarray:
         """(n, WINDOW) bytes -> (n, filters): the largest answer of each filter, at least 0."""
-        n, parts = len(windows), []
-        x = self.params["emb"][windows].reshape(n, -1)
+        parts = []
+        pair = (windows[:, :-1].astype(np.int32) << 8) | windows[:, 1:]
         for w in WIDTHS:
-            steps = WINDOW - w + 1
-            views = np.lib.stride_tricks.as_strided(x, (n, steps, w * EMBED), (x.strides[0], EMBED * 4, 4))
-            answers = views.reshape(n * steps, w * EMBED) @ self.params[f"conv{w}"]
-            parts.append(np.maximum(answers.reshape(n, steps, FILTERS).max(1) + self.params[f"bias{w}"], 0))
+            steps, answers = WINDOW - w + 1, None
+            for j, table in self.answers_of[w]:
+                added = table.take((pair if len(table) > 256 else windows)[:, j : j + steps], axis=0, mode="clip")
+                answers = added if answers is None else np.add(answers, added, out=answers)
+            parts.append(np.maximum(answers.max(1) + self.params[f"bias{w}"], 0))
         return np.concatenate(parts, 1)
 
+    def __getstate__(self):
+        return {"languages": self.languages, "params": self.params}
+
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
         z = self.pooled(windows) @ self.params["out"] + self.params["out_bias"]
         e = np.exp(z - z.max(1, keepdims=True))
@@ -133,7 +152,7 @@ def remainder_of(doc_id):
 
 def training_sample(documents: DataFrame, max_docs: int, windows: int) -> list[tuple[bytes, str]]:
     """At most about max_docs documents that may be learned from, as many of each language as there are to have, and of
-    each `windows` pieces of 160 characters spread over the whole text. What comes to the driver has this bound."""
+    each `windows` pieces of PIECE characters spread over the whole text. What comes to the driver has this bound."""
     usable = documents.where((remainder_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -142,8 +161,8 @@ def training_sample(documents: DataFrame, max_docs: int, windows: int) -> list[t
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(max_docs / len(counts) / n)).otherwise(share)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11).cast("double")) / float(1 << 53)
-    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("text", F.floor(k * F.greatest(F.lit(0), F.length("text") - 160) / max(1, windows - 1)).cast("int") + 1, F.lit(160))))
-    rows = usable.where(draw < share).select("lang", spread.alias("pieces")).limit(2 * max_docs).collect()
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("text", F.floor(k * F.greatest(F.lit(0), F.length("text") - PIECE) / max(1, windows - 1)).cast("int") + 1, F.lit(PIECE))))
+    rows = usable.where(draw < share).orderBy(draw, "doc_id").limit(2 * max_docs).select("lang", spread.alias("pieces")).collect()
     return [(piece.encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["pieces"])) for piece in r["pieces"]]
 
 
@@ -168,9 +187,9 @@ def predictor(net: ByteConvNet):
                 windows, of = np.concatenate(some), np.repeat(owner, [len(w) for w in some])
                 weight = (windows != 0).sum(1) + 1.0
                 total = np.zeros((len(owner), len(net.languages)))
-                for a in range(0, len(windows), 512):
-                    p = net.probabilities(windows[a : a + 512]) * weight[a : a + 512, None]
-                    np.add.at(total, np.searchsorted(owner, of[a : a + 512]), p)
+                for a in range(0, len(windows), 64):  # what 64 windows need stays in a core's cache
+                    p = net.probabilities(windows[a : a + 64]) * weight[a : a + 64, None]
+                    np.add.at(total, np.searchsorted(owner, of[a : a + 64]), p)
                 total /= total.sum(1, keepdims=True)
                 best[owner], score[owner] = total.argmax(1), total.max(1)
                 some.clear()
