@@ -34,6 +34,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fiel
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = frozenset("ul ol dl table article section aside nav footer header main div form body".split())
 TAGS = ("p", "div", "section", "article", "main", "body", "html", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "tr", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "dt", "address", "details", "dialog", "fieldset")
+SECTIONS = frozenset("nav header footer aside form article dialog details fieldset".split())
 WRAPPERS = frozenset(("html", "body", "div", "main", "section", "td", "tr", "table", "center"))
 
 OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*)|<[!?]")
@@ -47,7 +48,7 @@ WORD = re.compile(r"[a-z]+")
 class Node:
     tag: str
     parent: int
-    names: tuple[str, ...]  # words of its class, id and role
+    names: tuple[str, ...]  # words of its class, id and role, and its tag if that names a section
     hidden: bool
     label: int  # 1, 0, or -1 where nothing says
     chars: int = 0
@@ -208,7 +209,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         names = WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower())
         hidden = "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true" or HIDDEN.search(rest) is not None
         label = {"0": 0, "1": 1}.get(attributes.get("data-main"), -1)
-        nodes.append(Node(tag, stack[-1][1], tuple(dict.fromkeys(names)), hidden, label))
+        names = dict.fromkeys([*names, f"<{tag}>"] if tag in SECTIONS else names)
+        nodes.append(Node(tag, stack[-1][1], tuple(names), hidden, label))
         push(tag, len(nodes) - 1)  # a slash does not close a block element
     pop(1)
     end_block()
@@ -436,6 +438,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     pages = []
     for _ in range(n):
         parts = [f'<h1 data-main="1">{sentence()}</h1>'] if rng.random() < 0.8 else []
+        if parts and rng.random() < 0.25:  # a title may have a header of its own
+            parts = [f'<header data-main="1">{parts[0]}</header>']
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
             parts.append(body_block())
             if rng.random() < 0.12:

@@ -169,7 +169,12 @@ def test_numeral_system():
         block = rans.encode(ids, table)
         assert (rans.decode(block, table) == ids).all()
         if n:
-            assert (np.concatenate([rans.decode(block, table, k) for k in range(rans.segments(block))]) == ids).all()
+            cut = rans.segments(block)
+            assert len(cut) == -(-n // (rans.SEGMENT * min(rans.LANES, max(1, n // 64))))
+            assert (np.concatenate([rans.decode_segment(p, table) for p in cut[::-1]][::-1]) == ids).all()
+            for bad in (cut[0][:-1], cut[-1][:-3] + bytes([cut[-1][-3] ^ 1]) + cut[-1][-2:], cut[0][:25] + bytes([cut[0][25] ^ 4]) + cut[0][26:]):
+                with pytest.raises(rans.BlockError):
+                    rans.decode_segment(bad, table)
             for bad in (block[:-1], block[:-3] + bytes([block[-3] ^ 1]) + block[-2:], b"XXXX" + block[4:]):
                 with pytest.raises(rans.BlockError):
                     rans.decode(bad, table)
@@ -187,6 +192,15 @@ def test_pieces_make_the_library_s_ids():
         assert [x.tolist() for x in got] == [[*encoder.whole(t).tolist(), 2] for t in texts]
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "span_hashes", lambda data, begins: (data[begins] % 3).astype(np.uint64))
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["one two three, two one.", "four five six five one", "", "one"] * 3
+    for _ in range(3):
+        got = [x for ids, n in encoder.encode(pa.array(texts), 2) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert [x.tolist() for x in got] == [[*encoder.whole(t).tolist(), 2] for t in texts]
+
+
 def test_added_tokens_get_their_ids():
     from tokenizers import Tokenizer
 
@@ -201,10 +215,10 @@ def test_added_tokens_get_their_ids():
     assert got[0].tolist() == [437, 13, 50256, 7406, 2]
 
 
-def check_tokens(spark, df, rows, path):
+def check_tokens(spark, df, rows, path, **more):
     tokens.write(df, path)
     encoder = tokens.Encoder(tokens.tokenizer_path())
-    got = sorted((tuple(r) for r in tokens.read(spark, path).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in tokens.read(spark, path, **more).collect()), key=lambda r: r[1])
     start = 0
     for (doc_id, text), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), got, strict=True):
         ids = [*encoder.whole(text or "").tolist(), 2]
@@ -216,6 +230,9 @@ def test_tokens(spark, docs, odd, none, tmp_path):
     check_tokens(spark, docs, [(r.doc_id, r.text) for r in docs.collect()], str(tmp_path / "a"))
     check_tokens(spark, odd, [(r[0], r[1]) for r in ODD], str(tmp_path / "b"))
     check_tokens(spark, none, [], str(tmp_path / "c"))
+    rng = random.Random(1)
+    long = [(1, "a b"), (2, " ".join(str(rng.random()) for _ in range(40_000))), (3, None)]  # segment by segment
+    check_tokens(spark, spark.createDataFrame(long, "doc_id long, text string"), long, str(tmp_path / "d"), long_block=1000)
 
 
 # 4
@@ -555,6 +572,31 @@ def test_mix(spark, docs, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    sizes = {f"s{i:04}": rng.choice([0, 1, 5, 100, 10_000]) for i in range(500)} | {None: 50}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = targets_by_hand(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+    assert {r.target for r in mixing.targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, size long")).collect()} == {0.0}
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows of one id, or of none, are told apart by their texts; equal rows by a number. Other columns stay with their rows."""
+    rows = [(None, f"w{i} " * (1 + i % 9), "a", i) for i in range(60)] + [(7, "same words here", "b", 1)] * 20 + [(7, "other words", "b", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    got = collections.Counter(tuple(r) for r in mixing.mixed(df).collect())
+    assert set(got) <= set(rows) and all(n <= 3 * rows.count(r) for r, n in got.items())
+    taken = collections.Counter()
+    for r, n in got.items():
+        taken[r[2]] += n * len(r[1].split())
+    for s in "ab":
+        goal = next(r for r in out if r.source == s)
+        assert abs(taken[s] - goal.target) <= 10
+
+
 def test_mix_is_fair(spark):
     """Over many seeds a document is taken as often as its share says."""
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(40)], "doc_id long, text string, source string").cache()
@@ -680,6 +722,11 @@ def test_chat_round_trip(spark):
         loss = "".join(t for role, t in turns if role == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    formatted = {r.conv_id: r.formatted for r in out.collect()}
+    under = collections.defaultdict(list)
+    for r in sorted(chat_format.loss_mask(out).collect(), key=lambda r: r.start):
+        under[r.conv_id].append(re.sub(r"(<|\[)\\(\\*)(\||/?s>|/?INST\]|/?SYS>)", r"\1\2\3", formatted[r.conv_id][r.start : r.end]))
+    assert {c: x for c, turns in want.items() if (x := [t for role, t in turns if role == "assistant"])} == under
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
