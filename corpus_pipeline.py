@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import decontaminate, jaccard_join, language_id, mixing, tokens
-from patchloom.llm.common import scratch_path, table
+from patchloom.llm.common import scope, scratch_path, table, tidy_shuffles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Draws, a fitted network and token blocks have no SQL.
@@ -25,11 +25,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     net = language_id.train(docs)
     rows = docs.select(*COLUMNS)
     named = language_id.predict_beside(rows, net)
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    known = named.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return known.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, one of the least doc_id, of each group of near duplicates; rows of null or repeated ids are rows of their own."""
+    """One row, one of the least doc_id, of each group of near duplicates. Rows of null or repeated ids are rows of their
+    own: one that is like no other stays, and of a group of null ids alone one stays."""
     return jaccard_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -63,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark), tidy_shuffles(spark):  # what a stage wrote on its way goes when its result is there
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
