@@ -36,6 +36,34 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_sentences", "n_removed", "n_words_removed", "text")
 
 
+def substring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 removes, in numbers, which SQL can tell from all runs of 50 words."""
+    return op2_substring_dedup(spark, sf_dir).select("doc_id", "n_sentences", "n_removed", "n_words_removed")
+
+
+SUBSTRING_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS ps FROM documents),
+sentences AS (
+  SELECT doc_id, unnest(list_filter(list_transform(ps, lambda p: regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')), lambda ws: len(ws) > 0)) AS ws FROM pieces),
+numbered AS (
+  SELECT doc_id, ws, row_number() OVER (PARTITION BY doc_id) AS pos FROM sentences),
+placed AS (
+  SELECT doc_id, pos, ws, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) - len(ws) AS a FROM numbered),
+whole AS (SELECT doc_id, flatten(list(ws ORDER BY pos)) AS ws FROM placed GROUP BY 1),
+runs AS (
+  SELECT doc_id, i, hash(ws[i:i + 49]) AS h, hash('x', ws[i:i + 49]) AS h2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM whole)),
+firsts AS (SELECT h, h2, min(doc_id) AS d FROM runs GROUP BY 1, 2),
+later AS (SELECT doc_id, i FROM runs JOIN firsts USING (h, h2) WHERE doc_id > d),
+gone AS (SELECT DISTINCT doc_id, i + k - 1 AS w FROM later, range(0, 50) t(k)),
+cut AS (
+  SELECT p.doc_id, p.pos, count(g.w) AS n FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.w >= p.a AND g.w < p.a + len(p.ws) GROUP BY 1, 2)
+SELECT d.doc_id, count(c.pos)::BIGINT AS n_sentences, (count(*) FILTER (n > 0))::BIGINT AS n_removed, coalesce(sum(n), 0)::BIGINT AS n_words_removed
+FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id GROUP BY 1
+"""
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path)
@@ -89,6 +117,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that is no draw."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source),
+weighed AS (SELECT *, ((r - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM sources),
+ordered AS (
+  SELECT *, cap / weight AS knee, coalesce(sum(cap) OVER w, 0) AS caps, coalesce(sum(weight) OVER w, 0) AS weights FROM weighed
+  WINDOW w AS (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT knee, ((SELECT sum(source_size) FROM sources) - caps) / ((SELECT sum(weight) FROM weighed) - weights) AS level FROM ordered),
+fill AS (SELECT arg_min(level, knee) AS level FROM levels WHERE level <= knee)
+SELECT doc_id, size, source_size, round(least(cap, weight * coalesce(level, 0)), 3) AS target
+FROM sized JOIN weighed ON weighed.source IS NOT DISTINCT FROM sized.source, fill
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "matched_words", F.size("tiles").cast("long").alias("n_tiles"))
@@ -133,5 +182,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "substring_counts": substring_counts,
+    "mixing_targets": mixing_targets,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op10_chat_format": OP10_SQL, "substring_counts": SUBSTRING_SQL, "mixing_targets": TARGETS_SQL}
