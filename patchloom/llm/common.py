@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a table of hashes that is broadcast: 8 MB, whatever it is made of.
+TABLE_BITS = 1 << 26
+
+
+def bit_table(hashes: DataFrame, column: str, bits: int = TABLE_BITS) -> np.ndarray:
+    """A table of `bits` bits, with those of a column of hashes set, as 64-bit words; at most bits / 64 rows come to the
+    driver. A hash that is not in the column may share the bit of one that is."""
+    place = F.pmod(F.col(column), F.lit(bits))
+    word = hashes.select(F.floor(place / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
+    table = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def odd_ids(docs: DataFrame) -> bool:
     """Whether a doc_id is null or repeated, so that it doesn't tell rows apart."""
     return docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count() > 0

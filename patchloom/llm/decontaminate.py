@@ -6,7 +6,7 @@ the two have in common and no tile holds yet is found by running Karp-Rabin hash
 the seed length. The tiles may stand in any order, so a shuffled passage is caught; the share of the item's words under
 tiles is its coverage.
 
-Before the join each document drops what cannot be a seed of the benchmark, by a bit table of FILTER_BITS bits whatever
+Before the join each document drops what cannot be a seed of the benchmark, by a bit table of TABLE_BITS bits whatever
 the size of the benchmark: a larger one lets more pass, and the join sorts them out. Of a document that keeps any, the
 seeds go into the join, each once with its number of places, and the words under them wait in a table of their own.
 """
@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm import words
-from patchloom.llm.common import written
+from patchloom.llm.common import TABLE_BITS, bit_table, written
 from patchloom.sources.session import prepare
 
-#: Bits of the table that drops words under no seed: 8 MB, the bound of what is broadcast.
-FILTER_BITS = 1 << 26
 ITEMS = "item_id long, words array<long>, size int, seeds array<long>"
 HITS = "doc_id long, t long, seeds array<long>, places array<int>, spots array<long>, words array<long>"
 FOUND = "doc_id long, t long, item_id long, coverage double, matched_words long, tiles array<struct<doc_at:long,item_at:long,words:long>>"
@@ -105,20 +103,6 @@ def _items(seed: int):
     return run
 
 
-def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    """The bit table of all seeds (a column of longs) as 64-bit words: at most bits / 64 rows come to the driver."""
-    place = F.pmod(F.col("seed"), F.lit(bits))
-    table = seeds.select(F.floor(place / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(seed, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
-    place = seeds % np.uint64(64 * len(table))
-    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _hits(known, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, kinds = known.value, [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -132,7 +116,7 @@ def _hits(known, sizes: list[int]):
                 under = np.zeros(len(w.hashes), bool)
                 for size in sizes:
                     mine = _seeds_of(w.hashes, size)
-                    hit = np.flatnonzero(_passes(mine, table) & (left[: len(mine)] >= size))
+                    hit = np.flatnonzero(words.in_bits(mine, table) & (left[: len(mine)] >= size))
                     places.append(hit)
                     seeds.append(mine[hit])
                     for k in range(size):
@@ -189,7 +173,7 @@ def _tiled(threshold: float):
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold: float = 0.5, filter_bits: int = FILTER_BITS) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold: float = 0.5, filter_bits: int = TABLE_BITS) -> DataFrame:
     """doc_id, t (a hash of the text), item_id, coverage, matched_words, tiles: a row for each document and benchmark
     item of which the document holds at least `threshold` of the words, in tiles of at least `seed` words.
 
@@ -204,7 +188,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold:
     if not sizes:
         return spark.createDataFrame([], FOUND)
     seeds = items.select("item", F.explode("seeds").alias("seed"))
-    known = spark.sparkContext.broadcast(_filter(seeds.select("seed"), filter_bits))
+    known = spark.sparkContext.broadcast(bit_table(seeds, "seed", filter_bits))
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) t", "cast(text as string) text")
     hits = written(docs.mapInArrow(words.tidy(_hits(known, sizes)), HITS).withColumn("doc", F.monotonically_increasing_id()), "seed-hits")
 

@@ -134,6 +134,12 @@ def run_hashes(items: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+def in_bits(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set in a table of common.bit_table()."""
+    place = hashes % np.uint64(64 * len(table))
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """The hash of a sequence of fewer items than a run has."""
     return mix((hashes * _PLACE[32 : 32 + len(hashes)]).sum(keepdims=True) + np.uint64(len(hashes)))[0]
