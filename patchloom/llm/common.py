@@ -44,6 +44,29 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(rf"{NON_WS}+")), F.lit(0)).cast("long")
 
 
+#: Keys that a join may take from a broadcast: those of which each has more than this share of all rows.
+HOT_KEYS = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
+    """rows with the one row of groups that has their key (null is a key like others): an inner join.
+
+    A key of more than 1/most of the rows is looked up in a broadcast, which so has fewer than `most` rows, whatever the
+    input; all other rows are joined by a shuffle, where no key weighs more than that share. rows and groups are read
+    more than once: give written tables.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = rows.count()
+    hot = written(counts.where(F.col("_rows") * most > total).select(F.col(key).alias("_hot")), "hot-keys")
+    small = F.broadcast(hot)
+    others = [c for c in groups.columns if c != key]
+    named = groups.withColumnRenamed(key, "_hot")
+    known = named.join(small, named["_hot"].eqNullSafe(small["_hot"]), "left_semi")
+    warm = rows.join(F.broadcast(known), F.col(key).eqNullSafe(F.col("_hot")))
+    cold = rows.join(small, F.col(key).eqNullSafe(F.col("_hot")), "left_anti").join(named, F.col(key).eqNullSafe(F.col("_hot")))
+    return warm.select(*rows.columns, *others).unionByName(cold.select(*rows.columns, *others))
+
+
 class Buckets:
     """Tables dealt by key into files of their own, so that joins on the key shuffle the other side alone.
 
@@ -54,11 +77,11 @@ class Buckets:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.paths: dict[str, str] = {}
 
-    def write(self, rows: DataFrame, name: str, *keys: str, sort: bool = False) -> str:
-        """Writes rows and gives the table's name."""
+    def write(self, rows: DataFrame, name: str, *keys: str, sort: bool = False, dealt: bool = False) -> str:
+        """Writes rows and gives the table's name. dealt: rows come bucket by bucket already, from tables of these keys."""
         table = f"{name}_{uuid.uuid4().hex[:12]}"
         self.paths[table] = scratch_path(self.spark, table)
-        writer = rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys)
+        writer = (rows if dealt else rows.repartition(self.buckets, *keys)).write.bucketBy(self.buckets, *keys)
         writer = writer.sortBy(*keys) if sort else writer
         with tidy_shuffles(self.spark):
             writer.option("path", self.paths[table]).option("compression", "zstd").saveAsTable(table)

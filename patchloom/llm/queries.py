@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import chat_format, decontaminate, html_text, jaccard_join, language_id, line_dedup, media_ts, mixing, substring_dedup, tokens
+from patchloom.llm import (
+    chat_format,
+    decontaminate,
+    divergence,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    media_ts,
+    mixing,
+    substring_dedup,
+    tokens,
+    vector_codes,
+)
 from patchloom.llm.common import scratch_path, table
 
 
@@ -171,6 +185,91 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
   formatted_chars, escaped_turns FROM whole
 """
 
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, ranks=200)
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+terms AS (SELECT r, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+groups AS (
+  SELECT g.lang, g.source, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sums USING (lang, source) LEFT JOIN sizes USING (lang)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(n) + any_value(v)) AS q
+  FROM counts JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM groups GROUP BY lang) USING (lang) GROUP BY lang, term),
+apart AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP12_SQL = r"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Assignments a0.. to codebooks e0.. of each part, round by round, as common table expressions."""
+    out = [
+        r"""WITH vectors AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, q[p * (len(q) // 4) + 1:(p + 1) * (len(q) // 4)] AS v FROM vectors, range(4) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM vectors ORDER BY vec_id LIMIT 256),
+e0 AS MATERIALIZED (SELECT p, k, v AS c FROM parts JOIN firsts USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(struct_pack(d := d, k := k)) AS best FROM (
+    SELECT vec_id, p, k, list_inner_product(list_transform(list_zip(v, c), lambda z: (z[1] - z[2])::DOUBLE), list_transform(list_zip(v, c), lambda z: (z[1] - z[2])::DOUBLE))::BIGINT AS d
+    FROM parts JOIN e{r} USING (p)) GROUP BY vec_id, p)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (
+  SELECT p, k, list(m ORDER BY i) AS c FROM (
+    SELECT p, best.k AS k, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (
+      SELECT vec_id, p, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM parts) JOIN a{r} USING (vec_id, p) GROUP BY p, best.k, i) GROUP BY p, k),
+e{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{r}.c, e{r}.c) AS c FROM e{r} LEFT JOIN m{r} USING (p, k))""")
+    out.append(f"""books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM e{rounds}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)""")
+    return ",\n".join(out) + """
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN vectors USING (vec_id), books"""
+
+
+OP13_SQL = _lloyd_sql(4)
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -182,7 +281,19 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
     "substring_counts": substring_counts,
     "mixing_targets": mixing_targets,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op10_chat_format": OP10_SQL, "substring_counts": SUBSTRING_SQL, "mixing_targets": TARGETS_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op4_jaccard_join": OP4_SQL,
+    "op10_chat_format": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
+    "substring_counts": SUBSTRING_SQL,
+    "mixing_targets": TARGETS_SQL,
+}
