@@ -2,30 +2,21 @@
 
 The index holds one row for each text that it has seen: (digest, top, n), the SHA-256 of the text, the row that stays
 and the number of its rows. It lies in a folder as segments, dealt by digest into buckets and sorted there. A batch is
-hashed once, counted by digest (partial sums go before the shuffle, so a text that half of the rows share costs one row
+hashed once, counted by digest (partial counts go before the shuffle, so a text that half of the rows share costs one row
 a task) and written in the same buckets; then a sort-merge anti-join against the segments gives the texts that are new,
 and they are appended as a segment. Texts that the index knows already are appended as sightings, of the same form: they
 can move the row that stays and add to the count. Neither join shuffles the index, nor the batch a second time.
-
-Segments of one level are merged, once there are `fanout` of them, into one of the next level, so that a digest is
-rewritten about log(batches) times. A batch counts when both of its segments are whole; what a lost driver left behind
-is removed when the index is opened again.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import join_groups, remove, scratch_path, tidy_shuffles, written
-from patchloom.sources.session import prepare
+from patchloom.llm.common import join_groups, scratch_path, written
+from patchloom.sources.segments import Segments, union
 
-TOP = "struct<doc_id: bigint, batch: bigint, row: bigint>"
-SCHEMA = f"digest binary, top {TOP}, n bigint"
-#: Names of segments: level, number of the first and of the last batch, what they hold.
-_NAME = re.compile(r"l(\d+)-(\d+)-(\d+)-(fresh|again)$")
+SCHEMA = "digest BINARY, top STRUCT<doc_id: BIGINT, batch: BIGINT, row: BIGINT>, n BIGINT"
 
 
 def digest(text: Column) -> Column:
@@ -33,136 +24,39 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
-class DigestIndex:
-    """An index in the folder `path`. `buckets` is set by its first batch: raise it with what it is to hold."""
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+
+
+class DigestIndex(Segments):
+    """An index in the folder `path`, taken up where it stands."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4):
-        self.spark, self.path, self.fanout = prepare(spark), path.rstrip("/"), fanout
-        jvm = spark.sparkContext._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._open: dict[str, str] = {}
-        self.spans: list[tuple[int, int, int]] = []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._tidy()
-
-    # segments
-
-    def _names(self) -> list[str]:
-        if not self._fs.exists(self._at(self.path)):
-            return []
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(self.path)) if x.isDirectory())
-
-    def _tidy(self) -> None:
-        """Takes over the index's number of buckets, and removes what isn't whole or has been merged."""
-        if any(not n.startswith("buckets-") for n in self._names()):
-            raise ValueError(f"{self.path} holds something else than an index")
-        for name in self._names():
-            self.buckets = int(name.removeprefix("buckets-"))
-        self.root = f"{self.path}/buckets-{self.buckets}"
-        if not self._fs.exists(self._at(self.root)):
-            return
-        found = {x.getPath().getName() for x in self._fs.listStatus(self._at(self.root))}
-        whole = {n for n in found if self._fs.exists(self._at(f"{self.root}/{n}/_SUCCESS"))}
-        keys = {m.groups()[:3] for n in whole if (m := _NAME.match(n))}
-        spans = {(int(l), int(a), int(b)) for l, a, b in keys if {f"l{l}-{a}-{b}-fresh", f"l{l}-{a}-{b}-again"} <= whole}
-        live = {s for s in spans if not any(t[0] > s[0] and t[1] <= s[1] and s[2] <= t[2] for t in spans)}
-        for name in found:
-            m = _NAME.match(name)
-            if not m or tuple(map(int, m.groups()[:3])) not in live:
-                remove(self.spark, f"{self.root}/{name}")
-        self.spans = sorted(live)
-
-    def _table(self, path: str) -> DataFrame:
-        """A segment as a bucketed table of this session's catalog."""
-        if path not in self._open:
-            name = f"digests_{abs(hash(path)):x}_{len(self._open)}"
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            self.spark.sql(
-                f"CREATE TABLE {name} (digest BINARY, top STRUCT<doc_id: BIGINT, batch: BIGINT, row: BIGINT>, n BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
-            )
-            self._open[path] = name
-        return self.spark.table(self._open[path])
-
-    def _put(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
-        """Writes rows as a segment. dealt: they come bucket by bucket already."""
-        rows = rows if dealt else rows.repartition(self.buckets, "digest")
-        name = f"digests_new_{abs(hash(path)):x}"
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        with tidy_shuffles(self.spark):
-            rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", path).option("compression", "zstd").saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")
-
-    def _segments(self, *kinds: str) -> list[DataFrame]:
-        return [self._table(f"{self.root}/l{l}-{a}-{b}-{kind}") for l, a, b in self.spans for kind in kinds]
-
-    def batches(self) -> int:
-        return 1 + max((b for _, _, b in self.spans), default=-1)
-
-    # batches
+        super().__init__(spark, path, SCHEMA, ["digest"], _merged, ("fresh", "again"), buckets, fanout)
 
     def add(self, hashed: DataFrame) -> int:
         """Adds a batch of rows (digest, doc_id, row), where row tells the batch's rows apart, and gives its number."""
         k = self.batches()
         top = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(k).cast("long").alias("batch"), F.col("row").cast("long").alias("row"))
-        counted = hashed.groupBy("digest").agg(F.max(top).alias("top"), F.count("*").alias("n"))
-        batch = scratch_path(self.spark, "digest-batch")
-        self._put(counted, batch)
-        new = again = self._table(batch)
-        for known in self._segments("fresh"):  # each text is new in one segment alone
+        batch, path = self.dealt(hashed.groupBy("digest").agg(F.max(top).alias("top"), F.count("*").alias("n")))
+        new = batch
+        for known in self.segments("fresh"):  # a text is new in one segment alone
             new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        self._put(new, f"{self.root}/l0-{k}-{k}-fresh", dealt=True)
-        appended = self._table(f"{self.root}/l0-{k}-{k}-fresh")
-        again = again.join(appended.select("digest").hint("merge"), "digest", "left_anti")
-        self._put(again, f"{self.root}/l0-{k}-{k}-again", dealt=True)
-        self._drop(batch)
-        self.spans = sorted([*self.spans, (0, k, k)])
-        self._merge(0)
+        appended = self.write(new, self.next("fresh"), dealt=True)
+        again = batch.join(appended.select("digest").hint("merge"), "digest", "left_anti")
+        self.write(again, self.next("again"), dealt=True)
+        self.drop(path)
+        self.commit()
         return k
 
-    def _drop(self, path: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._open.pop(path, 'none_such')}")
-        remove(self.spark, path)
-
-    def _merge(self, level: int) -> None:
-        full = [s for s in self.spans if s[0] == level]
-        if len(full) < self.fanout:
-            return
-        a, b = min(s[1] for s in full), max(s[2] for s in full)
-        old = [f"{self.root}/l{level}-{x}-{y}" for _, x, y in full]
-        target = f"{self.root}/l{level + 1}-{a}-{b}"
-        for kind in ("fresh", "again"):
-            rows = [self._table(f"{o}-{kind}") for o in old]
-            every = rows[0]
-            for more in rows[1:]:
-                every = every.unionByName(more)
-            self._put(every.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n")), f"{target}-{kind}")
-        self.spans = sorted([*(s for s in self.spans if s[0] != level), (level + 1, a, b)])
-        for o in old:
-            self._drop(f"{o}-fresh")
-            self._drop(f"{o}-again")
-        self._merge(level + 1)
-
     def fresh(self, batch: int) -> DataFrame:
         """digest, top, n of the texts that a batch brought, while it has a segment of its own."""
-        return self._table(f"{self.root}/l0-{batch}-{batch}-fresh")
+        return self.table(f"{self.root}/{self.name((0, batch, batch), 'fresh')}")
 
     def groups(self) -> DataFrame:
         """digest, top, n of every text that the index has seen."""
-        segments = self._segments("fresh", "again")
-        if not segments:
-            return self.spark.createDataFrame([], SCHEMA)
-        every = segments[0]
-        for more in segments[1:]:
-            every = every.unionByName(more)
-        return every.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-
-    def close(self) -> None:
-        """Takes the segments' names out of the catalog; their files stay."""
-        for name in self._open.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._open = {}
+        segments = self.segments()
+        return _merged(union(segments)) if segments else self.spark.createDataFrame([], SCHEMA)
 
 
 def dedup(documents: DataFrame, path: str | None = None, batches: int = 2, buckets: int | None = None) -> DataFrame:
