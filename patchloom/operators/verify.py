@@ -1,7 +1,7 @@
 """From a problem to its testcases, from code to a verdict, from two verdicts to a category.
 
 The judges take an injected runner (code, case) -> outcome, so that no simulator is needed to use or test them; codes
-are judged once each, by content hash.
+are judged once each, by content hash, and (verdicts) not again where an earlier run's verdict holds.
 """
 
 from __future__ import annotations
@@ -9,17 +9,22 @@ from __future__ import annotations
 import re
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import MapType, StructType
 
 from patchloom.functions import text as T
 from patchloom.functions.python_text import sequence_ratio
+from patchloom.sources.scratch import written
 
-VERDICT = "problem_id long, code_hash string, status string, passed_testcases int, total_testcases int, failed_testcase string, failure_stage string, detail string"
+VERDICT = "problem_id long, code_hash string, status string, passed_testcases int, total_testcases int, failed_testcase string, failure_stage string, detail string, phases array<struct<timeout:boolean,seconds:double>>"
 
 
 def exact_mapping(catalog: DataFrame, archive: DataFrame) -> DataFrame:
@@ -129,49 +134,83 @@ def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return keyed.drop("bh", "fh")
 
 
-def judge(codes: DataFrame, cases: dict[int, list[dict]], runner: Callable[[str, dict], dict], stop_at_first: bool = True) -> DataFrame:
-    """A verdict for each (problem_id, code_hash, code). runner gives {"status": "passed"} or a failure with stage and
-    detail. stop_at_first: the first judge's way; otherwise every case runs. A problem without cases is not verified."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for problem, key, code in zip(frame.problem_id, frame.code_hash, frame.code, strict=True):
-                own = cases.get(int(problem), [])
-                passed, failed, first = 0, None, None
-                for case in own:
-                    got = runner(code, case)
-                    if got["status"] == "passed":
-                        passed += failed is None or not stop_at_first
-                    elif failed is None:
-                        failed, first = case["name"], got
-                    if failed is not None and stop_at_first:
-                        break
-                status = "UNVERIFIED" if not own else "AC" if failed is None else "FAIL"
-                first = first or {}
-                out.append((problem, key, status, passed, len(own), failed, first.get("stage", first.get("status")), (first.get("detail") or "")[-1000:] or None))
-            yield pd.DataFrame(out, columns=["problem_id", "code_hash", "status", "passed_testcases", "total_testcases", "failed_testcase", "failure_stage", "detail"])
-
-    return codes.select("problem_id", "code_hash", "code").mapInPandas(run, VERDICT)
+#: Codes of one problem that are judged in one group at least, and groups that all codes make at most, about.
+CROWD, GROUPS = 64, 1 << 14
+
+
+def crowded(codes: DataFrame, least: int = CROWD, most: int = GROUPS) -> DataFrame:
+    """problem_id, pieces: the problems whose codes are dealt into pieces, fewer than `most` of them whatever the input:
+    each has more than `least` codes, and more than 1/most of all."""
+    counts = written(codes.groupBy("problem_id").agg(F.count("*").alias("n")), "codes-by-problem")
+    size = max(least, (counts.agg(F.sum("n")).head()[0] or 0) // most)
+    return counts.where(F.col("n") > size).select("problem_id", F.ceil(F.col("n") / size).cast("int").alias("pieces"))
+
+
+def judge(
+    codes: DataFrame, cases: DataFrame, runner: Callable[[str, dict], dict], stop_at_first: bool = True, strict: bool = False,
+    threads: int = 4, least: int = CROWD,
+) -> DataFrame:
+    """A verdict for each (problem_id, code_hash, code). cases: problem_id, name and what the runner reads; those of a
+    problem run in order of their names. runner gives {"status": "passed"} or a failure with stage and detail, and may
+    tell its phases (a list of timeout and seconds each). stop_at_first: the first judge's way; otherwise every case
+    runs. A problem without cases is not verified, or, with strict, fails the query.
+
+    Codes and cases meet by problem, each problem's cases once a group of its codes. The codes of a problem that has many
+    are dealt into pieces, which are judged by several tasks. A task judges `threads` codes side by side, which pays
+    where the runner waits for a child process.
+    """
+    hot = F.broadcast(crowded(codes, least))
+    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("code_hash"), F.col("pieces"))).cast("int")
+    left = codes.select("problem_id", "code_hash", "code").join(hot, "problem_id", "left").withColumn("_piece", piece).drop("pieces")
+    every = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+    right = cases.join(hot, "problem_id", "left").withColumn("_piece", F.explode(every)).drop("pieces")
+    maps = [f.name for f in cases.schema if isinstance(f.dataType, MapType)]
+    kind = to_arrow_schema(StructType.fromDDL(VERDICT))
+
+    def verdict(problem: int, key: str, code: str, own: list[dict]) -> dict:
+        passed, failed, first, phases = 0, None, {}, []
+        for case in own:
+            got = runner(code, case)
+            phases += got.get("phases") or []
+            if got["status"] == "passed":
+                passed += 1
+            elif failed is None:
+                failed, first = case["name"], got
+            if failed is not None and stop_at_first:
+                break
+        status = "UNVERIFIED" if not own else "AC" if failed is None else "FAIL"
+        return {
+            "problem_id": problem, "code_hash": key, "status": status, "passed_testcases": passed, "total_testcases": len(own), "failed_testcase": failed,
+            "failure_stage": first.get("stage", first.get("status")), "detail": (first.get("detail") or "")[-1000:] or None, "phases": phases,
+        }
+
+    def run(codes: pa.Table, cases: pa.Table) -> pa.Table:
+        own = sorted(cases.drop_columns(["_piece"]).to_pylist(), key=lambda c: str(c["name"]))
+        for case in own:
+            case |= {m: dict(case[m]) for m in maps if case[m] is not None}
+        rows = codes.to_pylist()
+        if strict and rows and not own:
+            raise ValueError(f"no testcases: problem {rows[0]['problem_id']}")
+        with ThreadPoolExecutor(threads) as pool:
+            done = list(pool.map(lambda r: verdict(r["problem_id"], r["code_hash"], r["code"], own), rows))
+        return pa.Table.from_pylist(done, kind)
+
+    return left.groupBy("problem_id", "_piece").cogroup(right.groupBy("problem_id", "_piece")).applyInArrow(run, VERDICT)
 
 
 def judge_factory(problems: DataFrame, cases: DataFrame, runner: Callable[[str, dict], dict]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(manifest, judge): the testcases of each problem, and a function of codes (problem_id, code_hash, code) to their
-    verdicts. cases: problem_id, name and what the runner reads. A problem without a testcase is a ValueError.
-
-    The cases of all problems go to the workers with the function, as the testcases of a catalog are few."""
-    rows = [r.asDict(recursive=True) for r in cases.join(problems.select("problem_id").distinct(), "problem_id", "left_semi").collect()]
-    by: dict[int, list[dict]] = {}
-    for row in sorted(rows, key=lambda r: (r["problem_id"], str(r["name"]))):
-        by.setdefault(row["problem_id"], []).append(row)
-    missing = sorted(r["problem_id"] for r in problems.select("problem_id").distinct().collect() if r["problem_id"] not in by)
+    verdicts. cases: problem_id, name and what the runner reads. A problem without a testcase is a ValueError."""
+    wanted = problems.select("problem_id").distinct()
+    missing = [r["problem_id"] for r in wanted.join(cases, "problem_id", "left_anti").orderBy("problem_id").limit(20).collect()]
     if missing:
         raise ValueError(f"no testcases: {missing}")
-    manifest = problems.sparkSession.createDataFrame([(p, [c["name"] for c in own]) for p, own in by.items()], "problem_id long, testcases array<string>")
-    return manifest, lambda codes: judge(codes, by, runner)
+    own = cases.join(wanted, "problem_id", "left_semi")
+    manifest = own.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.col("name").cast("string"))).alias("testcases"))
+    return manifest, lambda codes: judge(codes, own, runner, strict=True)
 
 
-def verify_pairs(pairs: DataFrame, selected: DataFrame, cases: dict[int, list[dict]], runner: Callable[[str, dict], dict]) -> DataFrame:
+def verify_pairs(pairs: DataFrame, selected: DataFrame, cases: DataFrame, runner: Callable[[str, dict], dict]) -> DataFrame:
     """pair_id, problem_id, status (VERIFIED or UNVERIFIED), reason, valid_repair, buggy, fixed (verdicts).
 
     selected: problem_id, reason (null: can be verified), as select_cases gives it; a problem that it lacks is
@@ -210,7 +249,7 @@ def simulator(
     """A runner over child processes. The code (patched, if told how) and the case's files go to a folder of their own;
     {out} and {dir} in the commands are filled in, and {sources} is every source there. A compiler's warning of the given
     form fails the case (interface). Output is matched by the case's pattern, or line by line; the strict judge wants an
-    expected output that is not empty. A time-out kills the whole process group."""
+    expected output that is not empty. A time-out kills the whole process group. Each phase tells its seconds."""
 
     def lines(text: str, pattern: str | None) -> list[str]:
         if pattern and strict:
@@ -219,7 +258,13 @@ def simulator(
             return [" ".join(m.group(0).split()) for m in re.finditer(pattern, text, re.M)]
         return [s for line in text.splitlines() if (s := line.strip())]
 
-    def step(command, folder, seconds):
+    def step(command, folder, seconds, phases):
+        began = time.monotonic()
+        out = once(command, folder, seconds)
+        phases.append({"timeout": out[2] is None, "seconds": round(time.monotonic() - began, 3)})
+        return out
+
+    def once(command, folder, seconds):
         with subprocess.Popen(command, cwd=folder, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace", start_new_session=True) as p:
             try:
                 return *p.communicate(timeout=seconds), p.returncode
@@ -232,6 +277,10 @@ def simulator(
                 return "", "", None
 
     def run(code: str, case: dict) -> dict:
+        phases: list[dict] = []
+        return tried(code, case, phases) | {"phases": phases}
+
+    def tried(code: str, case: dict, phases: list[dict]) -> dict:
         seconds = case.get("timeout") or 90
         with tempfile.TemporaryDirectory() as folder:
             files = {"submission.v": (patch(code, case) if patch else code).encode()}
@@ -245,12 +294,12 @@ def simulator(
                 filled = [sources if w == "{sources}" else [w.format(dir=folder, out=f"{folder}/out")] for w in command]
                 return [w for part in filled for w in part]
 
-            _, said, done = step(fill(compile_command), folder, compile_seconds or seconds)
+            _, said, done = step(fill(compile_command), folder, compile_seconds or seconds, phases)
             if done != 0:
                 return {"status": "compile_timeout" if done is None else "compile_error", "stage": "compile", "detail": said}
             if warning and re.search(warning, said):
                 return {"status": "interface_error", "stage": "interface", "detail": said}
-            out, said, done = step(fill(run_command), folder, seconds)
+            out, said, done = step(fill(run_command), folder, seconds, phases)
             if done is None:
                 return {"status": "simulation_timeout", "stage": "timeout", "detail": f"simulation exceeded {seconds}s"}
             if done != 0:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.operators import chat, filters, reports, verify
+from patchloom.operators import chat, filters, reports, verdicts, verify
 from patchloom.plans import fixtures as X
 from patchloom.plans.q_pairs import BLANK
 from patchloom.plans.registry import query
+from patchloom.sources.scratch import scratch_path
 from patchloom.streaming import resume
 
 _USER = f"'Problem specification:' || chr(10) || coalesce(description, 'None') || chr(10) || chr(10) || '{chat.MARK}' || chr(10) || '```verilog' || chr(10) || buggy_code || chr(10) || '```'"
@@ -184,7 +185,17 @@ def first_failure(spark, d):
 
 
 def _fake_runner(code: str, case: dict) -> dict:
-    return {"status": "passed"} if (len(code) + case["k"]) % 3 else {"status": "wrong_answer", "stage": "wrong_answer", "detail": code}
+    seconds = (len(code) + 2 * case["k"]) % 7
+    phases = [{"timeout": seconds == 6, "seconds": float(seconds)}]
+    if (len(code) + case["k"]) % 3:
+        return {"status": "passed", "phases": phases}
+    return {"status": "wrong_answer", "stage": "wrong_answer", "detail": code, "phases": phases}
+
+
+def _cases(spark):
+    """Of problem p the cases 0 to p % 4 - 1, three at most."""
+    every = spark.range(10).select(F.col("id").alias("problem_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return every.where(F.col("k") < F.col("problem_id") % 4).withColumn("name", F.concat(F.lit("case"), F.col("k")))
 
 
 @query("verdict_memo", f"""WITH {X.PAIRS}, codes AS (
@@ -197,9 +208,8 @@ SELECT pair_id, b.status AS buggy, f.status AS fixed, coalesce(f.failed, f.total
 FROM pairs p JOIN named b ON b.problem_id = p.problem_id AND b.code = p.buggy_code JOIN named f ON f.problem_id = p.problem_id AND f.code = p.fixed_code""")
 def verdict_memo(spark, d):
     pairs = X.pairs(spark, d)
-    cases = {p: [{"name": f"case{k}", "k": k} for k in range(3) if k < p % 4] for p in range(10)}
-    verdicts = verify.judge(verify.memo_codes(pairs), cases, _fake_runner)
-    return verify.with_verdicts(pairs, verdicts).select("pair_id", F.col("buggy.status").alias("buggy"), F.col("fixed.status").alias("fixed"), F.col("fixed.passed_testcases").alias("fixed_passed"))
+    judged = verify.judge(verify.memo_codes(pairs), _cases(spark), _fake_runner)
+    return verify.with_verdicts(pairs, judged).select("pair_id", F.col("buggy.status").alias("buggy"), F.col("fixed.status").alias("fixed"), F.col("fixed.passed_testcases").alias("fixed_passed"))
 
 
 @query("verify_pairs", f"""WITH {X.PAIRS}, cases AS (SELECT p AS problem_id, k FROM range(0, 10) t(p), range(0, 3) u(k) WHERE k < p % 4),
@@ -210,9 +220,8 @@ judged AS (SELECT *, (SELECT min(k) FROM cases c WHERE c.problem_id = known.prob
 SELECT pair_id, problem_id, CASE WHEN reason IS NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status, reason, CASE WHEN reason IS NULL THEN b IS NOT NULL AND f IS NULL END AS valid_repair,
   CASE WHEN reason IS NULL AND f IS NOT NULL THEN 'case' || f END AS failed FROM judged""")
 def verify_pairs(spark, d):
-    cases = {p: [{"name": f"case{k}", "k": k} for k in range(3) if k < p % 4] for p in range(10)}
     selected = spark.range(10).select(F.col("id").alias("problem_id"), F.when(F.col("id") % 4 == 0, "ambiguous_problem_mapping").alias("reason"))
-    out = verify.verify_pairs(X.pairs(spark, d), selected, cases, _fake_runner)
+    out = verify.verify_pairs(X.pairs(spark, d), selected, _cases(spark), _fake_runner)
     return out.select("pair_id", "problem_id", "status", "reason", "valid_repair", F.col("fixed.failed_testcase").alias("failed"))
 
 
@@ -226,6 +235,48 @@ def judge_factory(spark, d):
     return judged(rows).select("code_hash", "status", "passed_testcases")
 
 
+@query("stored_verdicts", f"""WITH {X.PAIRS}, cases AS (SELECT p AS problem_id, k FROM range(0, 10) t(p), range(0, 3) u(k) WHERE k < p % 4),
+sides AS (SELECT problem_id, buggy_code AS code, 'first' AS run FROM pairs UNION ALL SELECT problem_id, fixed_code, 'second' FROM pairs),
+codes AS (SELECT problem_id, code, min(run) AS run FROM sides GROUP BY 1, 2),
+judged AS (
+  SELECT c.*, (SELECT min(k) FROM cases s WHERE s.problem_id = c.problem_id AND (length(code) + k) % 3 = 0) AS failed,
+    (SELECT count(*) FROM cases s WHERE s.problem_id = c.problem_id) AS total FROM codes c),
+timed AS (
+  SELECT j.*, (SELECT coalesce(bool_and((length(code) + 2 * k) % 7 = 6 OR (length(code) + 2 * k) % 7 <= 3), TRUE)
+    FROM cases s WHERE s.problem_id = j.problem_id AND k <= coalesce(failed, 9)) AS quick FROM judged j)
+SELECT problem_id, sha256(problem_id || ':' || code) AS mark, CASE WHEN total = 0 THEN 'UNVERIFIED' WHEN failed IS NULL THEN 'AC' ELSE 'FAIL' END AS status,
+  coalesce(failed, total)::INT AS passed_testcases, run = 'first' AND quick AS reused, CASE WHEN run = 'first' AND quick THEN 10 ELSE 3 END::DOUBLE AS "limit" FROM timed""")
+def stored_verdicts(spark, d):
+    """A run judges the buggy codes within 10 seconds, the next one all codes within 3: it takes from the first what took
+    no longer or timed out, and judges the rest. A run under other conditions lies in the store and does not count."""
+    pairs, cases = X.pairs(spark, d), _cases(spark)
+    path, now = scratch_path(spark, "verdicts"), verdicts.conditions(data="pairs", judge="fake")
+    buggy = verify.memo_codes(pairs.withColumn("fixed_code", F.col("buggy_code")))
+    verdicts.judge_again(buggy, cases, _fake_runner, verdicts.VerdictStore(spark, path), 10, now, "run 1")
+    verdicts.judge_again(buggy, cases, _other_runner, verdicts.VerdictStore(spark, path), 10, verdicts.conditions(data="others"), "run 2")
+    codes = verify.memo_codes(pairs)
+    out = verdicts.judge_again(codes, cases, _fake_runner, verdicts.VerdictStore(spark, path), 3, now, "run 3").join(codes, ["problem_id", "code_hash"])
+    mark = F.sha2(F.concat_ws(":", "problem_id", "code"), 256).alias("mark")
+    return out.select("problem_id", mark, "status", "passed_testcases", "reused", "limit")
+
+
+def _other_runner(code: str, case: dict) -> dict:
+    return {"status": "passed"}
+
+
+@query("crowded_problem", """WITH codes AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_orderkey % 50 END AS problem_id, o_orderkey::VARCHAR AS code FROM orders),
+failed AS (SELECT c.*, (SELECT min(k) FROM range(0, 2) t(k) WHERE (length(code) + k) % 3 = 0) AS f FROM codes c)
+SELECT o_orderkey::VARCHAR AS code_hash, problem_id::BIGINT AS problem_id, CASE WHEN f IS NULL THEN 'AC' ELSE 'FAIL' END AS status, coalesce(f, 2)::INT AS passed_testcases,
+  CASE WHEN f IS NOT NULL THEN code END AS detail FROM failed""")
+def crowded_problem(spark, d):
+    """A problem that has half of all codes, which several tasks judge; with the detail of each failure."""
+    key = F.col("o_orderkey")
+    rows = X.table(spark, d, "orders").select(key.cast("string").alias("code_hash"), F.when(key % 2 == 0, 1).otherwise(key % 50).cast("long").alias("problem_id"), key.cast("string").alias("code"))
+    cases = spark.range(50).select(F.col("id").alias("problem_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("name", F.concat(F.lit("case"), F.col("k")))
+    _, judged = verify.judge_factory(rows, cases, _fake_runner)
+    return judged(rows).select("code_hash", "problem_id", "status", "passed_testcases", "detail")
+
+
 def _run(spark, d, name):
     return X.runs(spark, d).select("pair_id", "problem_id", F.col(f"{name}_status").alias("status"))
 

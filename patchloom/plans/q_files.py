@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import reports
 from patchloom.plans import fixtures as X
 from patchloom.plans.registry import query
-from patchloom.sources import readers, sinks
+from patchloom.sources import keys, readers, sinks
 from patchloom.sources.scratch import scratch_path
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -55,7 +55,7 @@ def appended_once(spark, d):
     """Three appends that overlap, the last one whole: every key is there once, with its first row."""
     path, rows = scratch_path(spark, "appended"), X.table(spark, d, "supplier").select("s_suppkey", "s_name")
     for part in (rows.where("s_suppkey % 3 = 0"), rows.where("s_suppkey % 2 = 0").unionByName(rows.where("s_suppkey % 4 = 0")), rows):
-        sinks.append_new(part, path, "s_suppkey")
+        keys.append_new(part, path, "s_suppkey")
     return spark.read.schema(rows.schema).json(path)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.sources.readers import exists
 
 
 def write_jsonl(rows: DataFrame, path: str, keep_nulls: bool = True) -> None:
@@ -20,13 +19,13 @@ def write_single(rows: DataFrame, path: str, keep_nulls: bool = True) -> None:
     """JSON lines as one file of this very name, in the order of rows: for splits and reports that others read."""
     beside = f"{path}.part-{uuid.uuid4().hex[:8]}"
     write_jsonl(rows.coalesce(1), beside, keep_nulls)
-    fs, target = _fs(rows.sparkSession, path)
+    fs, _ = _fs(rows.sparkSession, path)
     parts = [f.getPath() for f in fs.listStatus(_fs(rows.sparkSession, beside)[1]) if f.getPath().getName().startswith("part-")]
-    fs.delete(target, False)
-    done = fs.rename(parts[0], target) if parts else fs.createNewFile(target)
+    made = parts[0] if parts else _fs(rows.sparkSession, f"{beside}/empty")[1]
+    if not parts:
+        fs.createNewFile(made)
+    _replace(rows.sparkSession, made, path)
     fs.delete(_fs(rows.sparkSession, beside)[1], True)
-    if not done:
-        raise OSError(f"cannot write {path}")
 
 
 def write_tagged(rows: DataFrame, path: str, tag: str) -> None:
@@ -86,57 +85,26 @@ def write_atomic(rows: DataFrame, path: str) -> None:
     What stood there is moved aside and deleted when the new one is in its place; a call that finds the target gone
     and an old one beside it (an earlier call was cut off) puts it back first."""
     spark, path = rows.sparkSession, path.rstrip("/")
-    beside, old = f"{path}.part-{uuid.uuid4().hex[:8]}", f"{path}.old"
+    beside = f"{path}.part-{uuid.uuid4().hex[:8]}"
+    write_jsonl(rows, beside)
+    _replace(spark, _fs(spark, beside)[1], path)
+
+
+def _replace(spark, made, path: str) -> None:
+    """Moves what was made to path; what stood there goes when that is done, or comes back."""
     fs, target = _fs(spark, path)
-    aside = _fs(spark, old)[1]
+    aside = _fs(spark, f"{path}.old")[1]
     if not fs.exists(target) and fs.exists(aside):
         fs.rename(aside, target)
-    write_jsonl(rows, beside)
     fs.delete(aside, True)
     if fs.exists(target) and not fs.rename(target, aside):
         raise OSError(f"cannot move {path} aside")
-    if not fs.rename(_fs(spark, beside)[1], target):
+    if not fs.rename(made, target):
         fs.rename(aside, target)
-        raise OSError(f"cannot move {beside} to {path}")
+        raise OSError(f"cannot move {made} to {path}")
     fs.delete(aside, True)
 
 
-#: Buckets of the keys that an append knows.
-KEY_BUCKETS = 64
-
-
-def append_new(rows: DataFrame, path: str, key: str = "pair_id") -> int:
-    """Appends the rows whose key the table at `path` lacks, each key once; says how many. Inputs are never changed.
-
-    Beside the table lies an index of its keys, by bucket, with the file each came from. A call first adds the files
-    that the index lacks (what the call before wrote, also if that was cut off), then reads the keys of its own
-    buckets alone: no call reads the table again."""
-    spark, path = rows.sparkSession, path.rstrip("/")
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(KEY_BUCKETS)).cast("int")
-    index, kind = f"{path}.keys", "key string, file string, bucket int"
-    fresh = rows.dropDuplicates([key]).withColumn("_bucket", bucket).persist()
-    left = fresh
-    if exists(spark, path):
-        fs, target = _fs(spark, path)
-        there = [str(f.getPath().getName()) for f in fs.listStatus(target) if f.getPath().getName().startswith("part-")]
-        known = {r["file"] for r in spark.read.schema(kind).parquet(index).select("file").distinct().collect()} if exists(spark, index) else set()
-        new = [f"{path}/{name}" for name in there if name not in known]
-        if new:
-            read = spark.read.schema(rows.schema).json(new).select(F.col(key).cast("string").alias("key"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-            read.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")).write.mode("append").partitionBy("bucket").parquet(index)
-        if exists(spark, index):
-            own = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]
-            done = spark.read.schema(kind).parquet(index).where(F.col("bucket").isin(own)).select(F.col("key").alias("_done"))
-            left = fresh.join(done, F.col(key).cast("string").eqNullSafe(F.col("_done")), "left_anti")
-    out = left.drop("_bucket").persist()
-    n = out.count()
-    if n:
-        out.write.mode("append").option("ignoreNullFields", "false").json(path)
-    out.unpersist()
-    fresh.unpersist()
-    return n
-
-
 def rewrite(files: DataFrame, new_text: Column) -> DataFrame:
     """path, text, changed: what a rewrite in place would leave; the caller writes it elsewhere, or looks only."""
     return files.withColumn("_new", new_text).select("path", F.col("_new").alias("text"), (~F.col("text").eqNullSafe(F.col("_new"))).alias("changed"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from patchloom.sources.sinks import append_new
+from patchloom.sources.keys import append_new
 
 
 def pending(expected: DataFrame, done: DataFrame, key: str = "pair_id") -> DataFrame:

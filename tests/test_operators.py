@@ -260,7 +260,7 @@ def test_best_match_needs_a_margin(spark):
 
 def test_judges(spark):
     codes = spark.createDataFrame([(1, "h1", "good"), (1, "h2", "bad"), (2, "h3", "good")], "problem_id long, code_hash string, code string")
-    cases = {1: [{"name": "a"}, {"name": "b"}, {"name": "c"}]}
+    cases = spark.createDataFrame([(1, "c"), (1, "a"), (1, "b")], "problem_id long, name string")
     runner = lambda code, case: {"status": "passed"} if code == "good" or case["name"] != "b" else {"status": "wrong_answer", "stage": "wrong_answer", "detail": "d" * 2000}
     first = {r["code_hash"]: r for r in verify.judge(codes, cases, runner).collect()}
     assert (first["h1"]["status"], first["h1"]["passed_testcases"]) == ("AC", 3)
