@@ -206,8 +206,8 @@ def keyed_hash(key: Column, code: Column) -> Column:
 
 
 def clean_optional(text: Column) -> Column:
-    """Null for blank, "null" and "none"."""
-    return F.when(F.lower(F.trim(text)).isin("", "null", "none"), F.lit(None)).otherwise(F.trim(text))
+    """Null for blank, "null" and "none", whatever white space is about them; other text as it stands."""
+    return F.when(F.lower(py_strip(text)).isin("", "null", "none"), F.lit(None)).otherwise(text)
 
 
 def extension(name: Column) -> Column:

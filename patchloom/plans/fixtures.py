@@ -41,8 +41,8 @@ files AS (SELECT attachment_id AS id, 'work' || attachment_id || ext AS filename
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A problem for each benchmark item: a name and a description; two have none, in one way or another."""
-    desc = F.when(F.col("item_id") == 3, F.lit(None)).when(F.col("item_id") == 7, F.lit(" None ")).otherwise(F.col("text"))
+    """A problem for each benchmark item: a name and a description; two have none, in one way or another, and one has white space about it."""
+    desc = F.when(F.col("item_id") == 3, F.lit(None)).when(F.col("item_id") == 7, F.lit("\t None ")).when(F.col("item_id") == 2, F.concat(F.lit("\t"), "text", F.lit(" "))).otherwise(F.col("text"))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("problem "), F.col("item_id")).alias("name"), desc.alias("description"))
 
 
@@ -52,7 +52,7 @@ def testcases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CATALOG = """catalog AS (
   SELECT item_id AS id, 'problem ' || item_id AS name,
-    CASE WHEN item_id = 3 THEN NULL WHEN item_id = 7 THEN ' None ' ELSE text END AS description FROM benchmark),
+    CASE WHEN item_id = 3 THEN NULL WHEN item_id = 7 THEN chr(9) || ' None ' WHEN item_id = 2 THEN chr(9) || text || ' ' ELSE text END AS description FROM benchmark),
 testcases AS (SELECT p_partkey % 4 AS problem_id, p_partkey AS case_id FROM part WHERE p_partkey % 3 <> 0)"""
 
 

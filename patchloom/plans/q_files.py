@@ -13,7 +13,7 @@ from patchloom.operators import reports
 from patchloom.plans import fixtures as X
 from patchloom.plans.registry import query
 from patchloom.sources import keys, readers, sinks
-from patchloom.sources.scratch import scratch_path
+from patchloom.sources.scratch import scratch_path, written
 
 TURN = "conv_id long, turn long, role string, text string"
 
@@ -32,7 +32,7 @@ def jsonl_round_trip(spark, d):
 
 
 @query("split_lines", """SELECT CASE n_nationkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split,
-  row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey)::INT AS line, n_nationkey::BIGINT AS id, n_name AS name FROM nation""")
+  row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey)::BIGINT AS line, n_nationkey::BIGINT AS id, n_name AS name FROM nation""")
 def split_lines(spark, d):
     folder, nations = scratch_path(spark, "splits"), X.table(spark, d, "nation")
     for k, split in enumerate(("train", "dev", "test")):
@@ -41,6 +41,20 @@ def split_lines(spark, d):
     return readers.read_splits(spark, [f"{folder}/{s}.jsonl" for s in ("train", "dev", "test")], "id long, name string")
 
 
+@query("numbered_lines", "SELECT o_orderstatus AS split, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS line, o_orderkey::VARCHAR AS value FROM orders")
+def numbered_lines(spark, d):
+    """A file for each status, read in splits of a few kilobytes and numbered all the same."""
+    path, usual = scratch_path(spark, "lines"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    orders = X.table(spark, d, "orders").repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey")
+    orders.select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("o_orderstatus").text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = written(readers.numbered_lines(spark, [f"{path}/*/*.txt"]), "numbered")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    return lines.select(F.regexp_extract("path", "o_orderstatus=([^/]+)", 1).alias("split"), "line", "value")
+
+
 @query("atomic_rewrite", "SELECT r_regionkey, upper(r_name) AS name FROM region")
 def atomic_rewrite(spark, d):
     """The second write takes the place of the first."""
@@ -101,11 +115,11 @@ def markdown_report(spark, d):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("code_pairs", "SELECT item_id, text AS buggy_code, text AS fixed_code FROM benchmark WHERE item_id % 4 = 0")
+@query("code_pairs", "SELECT item_id, text AS buggy_code, text AS fixed_code FROM benchmark")
 def code_pairs(spark, d):
     """Code files in folders, read with their paths, and joined to pairs that name them."""
     path = scratch_path(spark, "code")
-    items = X.table(spark, d, "benchmark").where("item_id % 4 = 0")
+    items = X.table(spark, d, "benchmark")
     items.select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\n").text(path)
     code = readers.read_code(spark, path, "*.txt").select(F.concat(F.lit("f"), F.regexp_extract("path", r"item_id=(\d+)", 1)).alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
     named = F.concat(F.lit("f"), F.col("item_id"))
@@ -142,32 +156,36 @@ def _archive(nations: list[tuple[int, str]]) -> bytes:
 
 
 def _archives(spark, d):
-    """path, content: a row as binaryFile gives it."""
-    rows = X.table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    """Archives with the problems of a region each, as files: Spark writes their bytes as a text of one line."""
+    rows = X.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
 
     @F.pandas_udf("binary")
     def make(ns: pd.Series) -> pd.Series:
         return pd.Series([_archive([(x["n_nationkey"], x["n_name"]) for x in one]) for one in ns])
 
-    return rows.select(F.lit("a.tar.gz").alias("path"), make("ns").alias("content"))
+    path = scratch_path(spark, "archives")
+    rows.select("n_regionkey", make("ns").cast("string").alias("value")).write.partitionBy("n_regionkey").text(path)
+    return [f"{path}/*/*.txt"]
 
 
 @query("archive_cases", """SELECT 'main' AS branch, 'P' || n_nationkey AS directory, 'case' || n_nationkey AS name, n_name || chr(10) AS standard, CASE WHEN n_nationkey % 4 = 1 THEN 'a+' END AS output_regex,
   CASE WHEN n_nationkey % 4 = 1 THEN 7 ELSE 5 END::INT AS timeout, CASE WHEN n_nationkey % 4 = 1 THEN '1000ns' ELSE '10us' END AS simulating_time
 FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 2 AND n_nationkey < 20""")
 def archive_cases(spark, d):
-    members = readers.tar_members(_archives(spark, d), r"(\.zip|testcase\.yaml)$")
+    members = readers.read_tar(spark, _archives(spark, d), r"(\.zip|testcase\.yaml)$")
     wanted = X.table(spark, d, "nation").where("n_nationkey < 20").select(F.concat(F.lit("P"), F.col("n_nationkey")).alias("directory"))
     return readers.problem_testcases(members, wanted).select("branch", "directory", "name", "standard", "output_regex", "timeout", "simulating_time")
 
 
 @query("prepared_cases", """SELECT n_nationkey::BIGINT AS problem_id, 'P' || n_nationkey AS name, 'case' || n_nationkey AS "case", 'P' || n_nationkey || '/testcase/case' || n_nationkey || '/attachment' AS directory,
-  'standard.txt' AS standard, CASE WHEN n_nationkey = 3 THEN 'deep/tb.v,more.v' ELSE 'deep/tb.v' END AS sources, 5::INT AS timeout, '10us' AS simulating_time, 'tb' AS top_module FROM nation WHERE n_nationkey < 9 AND n_nationkey % 7 <> 2""")
+  'standard.txt' AS standard, CASE WHEN n_nationkey % 7 = 2 THEN 'more.v' WHEN n_nationkey = 3 THEN 'deep/tb.v,more.v' ELSE 'deep/tb.v' END AS sources, 5::INT AS timeout, '10us' AS simulating_time, 'tb' AS top_module FROM nation""")
 def prepared_cases(spark, d):
-    """The files of an archive and a generated one, laid out, and the manifest of their testcases."""
-    names = X.table(spark, d, "nation").where("n_nationkey < 9 and n_nationkey % 7 <> 2").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("P"), F.col("n_nationkey")).alias("name"))
-    made = spark.createDataFrame([("P3/testcase/case3/attachment/more.v", bytearray(b"module more;")), ("P99/x.v", bytearray(b""))], "path string, content binary")
-    files = readers.materialise(readers.tar_members(_archives(spark, d)), made, names)
+    """The files of archives and generated ones, laid out, and the manifest of their testcases."""
+    names = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("P"), F.col("n_nationkey")).alias("name"))
+    key = F.col("id")
+    lacking = names.where((key == 3) | (key % 7 == 2)).select(F.concat(F.lit("P"), key, F.lit("/testcase/case"), key, F.lit("/attachment/more.v")).alias("path"))
+    made = lacking.unionByName(spark.createDataFrame([("P99/x.v",)], "path string")).withColumn("content", F.encode(F.lit("module more;"), "UTF-8"))
+    files = readers.materialise(readers.read_tar(spark, _archives(spark, d)), made, names)
     return readers.manifest(files, names).withColumn("sources", F.array_join("sources", ",")).drop("output_regex")
 
 

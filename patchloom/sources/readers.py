@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import tarfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from patchloom.functions.python_text import decode, decode_text, parse_config
+from patchloom.sources.scratch import written
 
 MEMBERS = "archive string, member string, content binary"
 
@@ -41,15 +46,28 @@ def read_jsonl_or_empty(spark: SparkSession, path: str, schema: StructType | str
     return read_jsonl(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_splits(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
-    """Rows of several files with split (the file's stem) and line (its number in the file, from 1).
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, line (from 1) and value of every line of text files, which are read in splits, by as many tasks.
+
+    Lines end at \\n; a \\r before it is no part of them. Each split tells how many lines it has; the sums of those
+    before it in its file, a table of one row a split, give its first line's number. A line's place in its split is its
+    distance from the split's first row, as a task reads a split from its beginning."""
+    rows = spark.read.option("lineSep", "\n").text(paths)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_row"))
+    splits = rows.groupBy("path", "_from").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_from")) - F.col("_n")
+    splits = written(splits.withColumn("_before", before), "splits")
+    line = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return rows.join(splits, ["path", "_from"]).select("path", line.alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
-    A file is read whole, as one record, since only that keeps the order of its lines: for splits of a data set, which
-    lie in single files of moderate size. Blank lines are counted and skipped."""
+
+def read_splits(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
+    """Rows of several files of JSON lines with split (the file's stem) and line (its number in the file, from 1). Blank
+    lines are counted and skipped; files are read in splits, however large they are."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = spark.read.text(paths, wholetext=True).withColumn("split", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1))
-    lines = whole.select("split", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value")).where(F.trim("value") != "")
-    return lines.select("split", (F.col("line") + 1).alias("line"), F.from_json("value", kind, {"mode": "FAILFAST"}).alias("x")).select("split", "line", "x.*")
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("split")
+    lines = numbered_lines(spark, paths).where(F.trim("value") != "")
+    return lines.select(stem, "line", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("x")).select("split", "line", "x.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -93,37 +111,74 @@ def _inside(name: str) -> bool:
 
 
 def tar_members(files: DataFrame, wanted: str | None = None) -> DataFrame:
-    """archive, member, content of the files in tar archives; wanted is a regular expression that member names must
-    match, tried before a member is read. files has path, or path and content (binaryFile).
+    """As read_tar, of archives that rows hold: path, content (binaryFile). An archive is as large as its row may be."""
+    matches = re.compile(wanted).search if wanted else None
 
-    Without content the archive is streamed from its path (a file that workers can open): no archive is held in a row.
-    Members come in batches of about 8 MB."""
-    import re
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
+                    names = [m for m in tar if m.isfile() and _inside(m.name) and (matches is None or matches(m.name))]
+                    for member in names:
+                        yield _member_rows([(path, member.name, tar.extractfile(member).read())])
 
-    matches = re.compile(wanted).search if wanted else None
-    held = "content" in files.columns
+    return files.select("path", "content").mapInArrow(run, MEMBERS)
 
-    def opened(path, content):
-        if content is not None:
-            return tarfile.open(fileobj=io.BytesIO(content))
-        return tarfile.open(path.removeprefix("file:") if not path.startswith("file:///") else path.removeprefix("file://"), mode="r|*")
 
-    def run(frames):
+class _Stream(io.RawIOBase):
+    """Bytes of one archive, pulled piece by piece; skipping what is left of it is reading on."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.held:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.held = piece
+        n = min(len(into), len(self.held))
+        into[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def read_tar(spark: SparkSession, paths: list[str], wanted: str | None = None) -> DataFrame:
+    """archive, member, content of the files in tar archives, compressed or not; wanted is a regular expression that
+    member names must match, tried before a member is read.
+
+    Spark's text reader streams the archives, so they may lie wherever Spark can read and be of any size: no archive is
+    held in a row or in memory, only the members of a batch of about 8 MB. What goes on in order of its bytes has to be
+    read in order, so an archive is one task's work; the archives of many paths are dealt over tasks."""
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
+    # a large file that is not compressed comes in splits, which meet again in order
+    whole = raw.repartition("path").sortWithinPartitions("path", "at", "row").select("path", "value")
+    matches = re.compile(wanted).search if wanted else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ((p, v) for batch in batches for p, v in zip(batch["path"].to_pylist(), batch["value"].to_pylist(), strict=True))
         rows, size = [], 0
-        for frame in frames:
-            for path, content in zip(frame.path, frame.content if held else [None] * len(frame), strict=True):
-                with opened(path, content) as tar:
-                    for member in tar:
-                        if member.isfile() and _inside(member.name) and (matches is None or matches(member.name)):
-                            rows.append((path, member.name, tar.extractfile(member).read()))
-                            size += member.size
-                            if size > 8 << 20:
-                                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-                                rows, size = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-
-    return files.select("path", *["content"] * held).mapInPandas(run, MEMBERS)
+        for path, own in itertools.groupby(lines, lambda x: x[0]):
+            pieces = (v + b"\n" for _, v in own)
+            with tarfile.open(fileobj=io.BufferedReader(_Stream(pieces), 1 << 16), mode="r|*") as tar:
+                for member in tar:
+                    if member.isfile() and _inside(member.name) and (matches is None or matches(member.name)):
+                        rows.append((path, member.name, tar.extractfile(member).read()))
+                        size += member.size
+                        if size > 8 << 20:
+                            yield _member_rows(rows)
+                            rows, size = [], 0
+        yield _member_rows(rows)
+
+    return whole.mapInArrow(run, MEMBERS)
+
+
+def _member_rows(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    kinds = {"archive": pa.string(), "member": pa.string(), "content": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 CASES = "archive string, member string, name string, files map<string,binary>, standard string, output_regex string, timeout int, simulating_time string"
