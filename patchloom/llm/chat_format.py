@@ -36,12 +36,13 @@ def unescape(text: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """array<struct<role, text, raw, chars>> of a formatted string; raw is the text as it stands in the output, chars
-    what stands before it in its turn."""
+    what stands before it in its turn. A turn without an end has no text: null."""
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p, i: i > 0)
 
     def turn(piece):
         parts = F.split(piece, r"<\|text\|>")
-        raw = F.regexp_replace(F.array_join(F.slice(parts, 2, 1 << 30), TEXT), r"(?s)<\|end\|>$", "")
+        rest = F.array_join(F.slice(parts, 2, 1 << 30), TEXT)
+        raw = F.when(F.endswith(rest, F.lit(END)), F.regexp_replace(rest, r"<\|end\|>\z", ""))
         return F.struct(unescape(parts[0]).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), (F.length(parts[0]) + len(TURN) + len(TEXT)).alias("chars"))
 
     return F.transform(pieces, turn)
@@ -58,7 +59,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     plain = F.concat(F.lit(TURN), role, F.lit(TEXT), text, F.lit(END))
     alone = parse(plain)
-    survives = (F.size(alone) == 1) & (alone[0]["role"] == role) & (alone[0]["text"] == text) & (escape(text) == text) & (escape(role) == role)
+    survives = (F.size(alone) == 1) & alone[0]["text"].isNotNull() & (alone[0]["role"] == role) & (alone[0]["text"] == text) & (escape(text) == text) & (escape(role) == role)
     turns = rows.select(
         "conv_id",
         F.struct(
@@ -84,9 +85,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     def same(parsed):
         # a bare control string inside a text is an error of the grammar, whichever template it belongs to
-        no_bare = F.forall(F.col(parsed), lambda t: ~t["raw"].rlike(rf"({OPENERS})({CLOSERS})"))
+        no_bare = F.forall(F.col(parsed), lambda t: F.coalesce(~t["raw"].rlike(rf"({OPENERS})({CLOSERS})"), F.lit(False)))
         bare = lambda x: F.transform(x, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-        return no_bare & (bare(F.col(parsed)) == bare(F.col("ts")))
+        return no_bare & bare(F.col(parsed)).eqNullSafe(bare(F.col("ts")))
 
     tried = whole.withColumn("formatted", render(lambda t: F.lit(False))).withColumn("parsed", parse(F.col("formatted")))
     for as_escaped in (lambda t: ~t["survives"], lambda t: F.lit(True)):
@@ -110,10 +111,13 @@ def loss_mask(formatted: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """The columns of the query contract, from what the parser reads back: the loss text is what stands under the spans of
-    loss_mask(), unescaped."""
-    spoken = F.filter("parsed", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(spoken, lambda t: unescape(t["raw"])), "")
+    """The columns of the query contract. Turns are what the parser reads back; the loss text is cut from `formatted`: of
+    each turn's string what stands under the mask, which goes from its first `chars` on over the length of its text, is
+    unescaped and joined."""
+    strings = F.filter(F.split("formatted", r"<\|turn\|>"), lambda p, i: i > 0)
+    under = lambda p, t: F.substring(p, t["chars"] - len(TURN) + 1, F.length(t["raw"]))
+    masked = F.zip_with(strings, "parsed", lambda p, t: F.when(t["role"] == "assistant", unescape(under(p, t))))
+    loss = F.array_join(masked, "")
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select(
         "conv_id",

@@ -59,12 +59,10 @@ SUBSTRING_SQL = r"""
 WITH pieces AS (
   SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS ps FROM documents),
 sentences AS (
-  SELECT doc_id, unnest(list_filter(list_transform(ps, lambda p: regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[0-9a-z\x{80}-\x{10FFFF}]+')), lambda ws: len(ws) > 0)) AS ws FROM pieces),
-numbered AS (
-  SELECT doc_id, ws, row_number() OVER (PARTITION BY doc_id) AS pos FROM sentences),
+  SELECT doc_id, unnest(parts) AS ws, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(ps, lambda p: regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')), lambda ws: len(ws) > 0) AS parts FROM pieces)),
 placed AS (
-  SELECT doc_id, pos, ws, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) - len(ws) AS a FROM numbered),
+  SELECT doc_id, pos, ws, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) - len(ws) AS a FROM sentences),
 whole AS (SELECT doc_id, flatten(list(ws ORDER BY pos)) AS ws FROM placed GROUP BY 1),
 runs AS (
   SELECT doc_id, i, hash(ws[i:i + 49]) AS h, hash('x', ws[i:i + 49]) AS h2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM whole)),
