@@ -1,10 +1,11 @@
 """Audit of how far the sources of a language diverge, over mergeable radix tries of terms.
 
-Each task counts the terms of its documents in byte tries, one for a language, with counters by source at the leaves
-(flushed when they hold MOST counters, so that a task's memory does not grow with its input). The tries' leaves, in the
-order of their bytes, are dealt by ranges of (language, term), so that every task of the next stage owns ranges of
-prefixes: it merges their sorted leaves, a batch at a time, and keeps the terms of enough documents. So the kept
-terms lie as a table in UTF-8 order, and a term that all documents have is a leaf of each task, not a row of each document.
+Each task counts the terms of its documents into radix tries, one for a language, with counters by source at the leaves, for
+about FLUSH bytes of text at a time, so that its memory does not grow with its input. A trie is cut at the bounds of
+ranges of prefixes and each piece is a row; a task of the next stage owns a range, merges the pieces that come to it and keeps
+the terms of enough documents. So the kept terms lie as a table in UTF-8 order, and a term that all documents have
+is a leaf of each task, not a row of each document. The bounds come from a sample of the documents; they say where a term
+is merged, never what comes out.
 
 Then one traversal of the kept leaves, with the totals of all groups at hand, sums every pair of sources and holds, for each
 group, its best candidates so far. Totals come in blocks of at most BLOCK groups, and each pair of blocks is a
@@ -16,113 +17,158 @@ Arithmetic is in whole numbers throughout, in steps that keep below 2^63.
 
 from __future__ import annotations
 
+import bisect
 import heapq
-from collections import Counter, defaultdict
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.llm import radix
 from patchloom.llm.common import written
-from patchloom.llm.radix import Leaf, RadixTrie
 from patchloom.llm.words import tidy
 
-#: Counters that a task holds before it flushes its tries.
-MOST = 150_000
+#: Bytes of text that a task counts at a time, and leaves that a merging task holds before it adds them up.
+FLUSH, HELD = 24 << 20, 3_000_000
+#: One document in SAMPLE gives the bounds of ranges; a range has about RANGE leaves; bounds are chosen among BOUNDS terms.
+SAMPLE, RANGE, BOUNDS = 64, 250_000, 20_000
 #: Groups whose totals are broadcast at a time.
 BLOCK = 1024
 #: Cells of a table of terms by sources that is summed at once.
 CELLS = 1 << 20
 #: Pieces that a group's candidates are dealt into before they meet.
-PIECES = 64
+PIECES = 16
 RANKS, MIN_DOCS = 200, 3
-#: Bytes of terms, A-Z in lower case; all others part terms.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of terms, and A-Z in lower case.
+_INSIDE = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LEAVES = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+ARRAYS = ("labels", "sizes", "shared", "docs", "width", "sources", "counts")
+PIECE = f"range int, lang string, names array<string>, {', '.join(f'{a} binary' for a in ARRAYS)}"
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of some texts, one after another, and how many each text has."""
+    data, offsets = radix.parts(texts.cast(pa.large_binary()))
+    inside = _INSIDE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    begins = np.flatnonzero(begin)
+    sizes = np.flatnonzero(end) + 1 - begins
+    terms = radix.binary(_FOLD[data[inside]], np.concatenate([[0], np.cumsum(sizes)]))
+    return terms, np.diff(np.searchsorted(begins, offsets))
+
+
+def _counted(rows: pa.Table) -> Iterator[tuple[str, list[str], pa.Array, radix.Trie]]:
+    """Language, names of sources, terms and trie for each language of some documents (text, lang, source)."""
+    terms, each = _tokens(rows.column("text").combine_chunks())
+    encoded = terms.dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ordered = encoded.dictionary.take(pa.array(order))
+    # occurrences of each term in each document
+    v = max(1, len(order))
+    doc = np.repeat(np.arange(len(each)), each)
+    key, n = radix.summed(doc * v + rank[encoded.indices.to_numpy()], np.ones(len(doc), np.int64))
+    doc, term = key // v, key % v
+    langs, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    names = sources.dictionary.to_pylist()
+    lang_of, source_of = (x.indices.to_numpy().astype(np.int64) for x in (langs, sources))
+    key, n, docs = radix.summed((lang_of[doc] * v + term) * len(names) + source_of[doc], n, np.ones(len(doc), np.int64))
+    leaf, docs = radix.summed(key // len(names), docs)
+    width = np.diff(np.append(np.searchsorted(key, leaf * len(names)), len(key)))
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        a, b = np.searchsorted(leaf, [i * v, (i + 1) * v])
+        first, last = np.searchsorted(key, [i * v * len(names), (i + 1) * v * len(names)])
+        own = ordered.take(pa.array(leaf[a:b] - i * v))
+        yield lang, names, own, radix.Trie(*[np.zeros(0, np.int64)] * 3, docs[a:b], width[a:b], key[first:last] % len(names), n[first:last])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they hold FLUSH bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size > FLUSH:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters and bytes of other characters, A-Z in lower case."""
-    return text.translate(_FOLD).split()
-
-
-def _leaves(rows: list[tuple[str, bytes, Leaf]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2].docs for r in rows], pa.int64()),
-            pa.array([list(r[2].counts) for r in rows], pa.list_(pa.string())), pa.array([list(r[2].counts.values()) for r in rows], pa.list_(pa.int64())),
-        ],
-        names=["lang", "term", "docs", "sources", "counts"],
-    )
+def _pieces(bounds):
+    """Pieces of the tries of a task's documents, cut at the bounds (lang, term) of ranges."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bounds.value
+        for table in _gathered(batches):
+            for lang, names, terms, trie in _counted(table):
+                if not len(terms):
+                    continue
+                before = bisect.bisect_left(known, (lang.encode(), b""))
+                own = [t for x, t in known if x == lang.encode()]
+                cuts = [0, *(bisect.bisect_left(range(len(terms)), t, key=lambda i: terms[i].as_py()) for t in own), len(terms)]  # noqa: B023
+                for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+                    if a < b:
+                        piece = trie.cut(terms, a, b)
+                        used, which = np.unique(piece.sources, return_inverse=True)
+                        piece.sources = which
+                        arrays = [np.ascontiguousarray(getattr(piece, x), np.uint8 if x == "labels" else np.int32).tobytes() for x in ARRAYS]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([before + k], pa.int32()), pa.array([lang]), pa.array([[names[i] for i in used]], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in arrays]],
+                            names=["range", "lang", "names", *ARRAYS],
+                        )
 
-def _flushed(tries: dict[str, RadixTrie]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for lang in sorted(tries):
-        for term, leaf in tries[lang].walk():
-            held.append((lang, term, leaf))
-            if len(held) == 4096:
-                yield _leaves(held)
-                held = []
-    if held:
-        yield _leaves(held)
+    return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of the tries of a task's documents."""
-    tries, known, held = defaultdict(RadixTrie), defaultdict(dict), 0
-    for batch in batches:
-        langs, sources = batch["lang"].to_pylist(), batch["source"].to_pylist()
-        for i, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-            text = batch["text"][i].cast(pa.binary()).as_py()
-            trie, leaves = tries[lang], known[lang]
-            for term, n in Counter(terms_of(text)).items():
-                leaf = leaves.get(term)
-                if leaf is None:
-                    leaf = leaves[term] = trie.leaf(term)
-                leaf.docs += 1
-                own = leaf.counts
-                if source in own:
-                    own[source] += n
-                else:
-                    own[source] = n
-                    held += 1
-            if held > MOST:
-                yield from _flushed(tries)
-                tries.clear()
-                known.clear()
-                held = 0
-    yield from _flushed(tries)
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each language of some documents."""
+    for table in _gathered(batches):
+        for lang, _, terms, _ in _counted(table):
+            for a in range(0, len(terms), 1 << 16):
+                some = terms.slice(a, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some.cast(pa.binary())], names=["lang", "term"])
 
 
 def _merged(min_docs: int):
-    """Leaves that come in order of (lang, term), those of one term added up; terms of fewer documents go."""
+    """The leaves of a range's pieces, added up; terms of fewer documents go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, bytes, Leaf] | None = None
+        tries, known = defaultdict(list), defaultdict(dict)
+        held = 0
         for batch in batches:
-            tries: dict[str, RadixTrie] = {}
-            if last:
-                tries[last[0]] = RadixTrie()
-                tries[last[0]].leaf(last[1]).add(last[2].docs, last[2].counts.keys(), last[2].counts.values())
-            lang, term = None, None
-            for lang, term, docs, sources, counts in zip(*(batch[c].to_pylist() for c in ("lang", "term", "docs", "sources", "counts")), strict=True):
-                trie = tries.get(lang)
-                if trie is None:
-                    trie = tries[lang] = RadixTrie()
-                trie.leaf(term).add(docs, sources, counts)
-            if term is None:
-                continue
-            # the batch's last term may go on in the next batch
-            last = (lang, term, tries[lang].leaf(term))
-            rows = [(x, t, leaf) for x in tries for t, leaf in tries[x].walk() if leaf.docs >= min_docs and leaf is not last[2]]
-            if rows:
-                yield _leaves(rows)
-        if last and last[2].docs >= min_docs:
-            yield _leaves([last])
+            for row in batch.to_pylist():
+                arrays = [np.frombuffer(row[x], np.uint8 if x == "labels" else np.int32) for x in ARRAYS]
+                trie = radix.Trie(*[x if x.dtype == np.uint8 else x.astype(np.int64) for x in arrays])
+                own = known[row["lang"]]
+                trie.sources = np.array([own.setdefault(s, len(own)) for s in row["names"]], np.int64)[trie.sources]
+                tries[row["lang"]].append(trie)
+                held += len(trie.docs)
+                if held > HELD:
+                    tries = defaultdict(list, {lang: [radix.Trie.of(*radix.merged(many))] for lang, many in tries.items()})
+                    held = sum(len(many[0].docs) for many in tries.values()) // 2
+        for lang in sorted(tries, key=str.encode):
+            terms, docs, width, sources, counts = radix.merged(tries.pop(lang), min_docs)
+            names = pa.array(list(known[lang]), pa.string())
+            first = np.concatenate([[0], np.cumsum(width)])
+            for a in range(0, len(terms), 4096):
+                b = min(a + 4096, len(terms))
+                where, own = pa.array(first[a : b + 1] - first[a], pa.int32()), slice(first[a], first[b])
+                lists = [pa.ListArray.from_arrays(where, names.take(pa.array(sources[own]))), pa.ListArray.from_arrays(where, pa.array(counts[own]))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a)), terms.slice(a, b - a).cast(pa.binary()), pa.array(docs[a:b]), *lists], names=["lang", "term", "docs", "sources", "counts"])
 
     return run
 
@@ -273,12 +319,24 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "source", "part", "item", "value"])
 
 
+def _bounds(documents: DataFrame) -> list[tuple[bytes, bytes]]:
+    """(lang, term) where ranges begin, ascending, by the terms of a sample; fewer than BOUNDS."""
+    some = documents.sample(1 / SAMPLE, seed=11).mapInArrow(tidy(_terms), "lang string, term binary").distinct()
+    some = written(some.withColumn("hash", F.xxhash64("lang", "term")), "sampled-terms")
+    n = some.count()
+    ranges = max(documents.sparkSession.sparkContext.defaultParallelism, n * SAMPLE // RANGE)
+    few = some.where(F.pmod("hash", F.lit(n // BOUNDS + 1)) == 0).select("lang", "term").collect()
+    few = sorted((r.lang.encode(), bytes(r.term)) for r in few)
+    return sorted({few[i * len(few) // ranges] for i in range(1, ranges)}) if few else []
+
+
 def kept_terms(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, term, docs, sources, counts: the terms found in at least min_docs documents of a language, in ranges of UTF-8
+    """lang, term, docs, sources, counts: the terms found in at least min_docs documents of a language, by ranges in UTF-8
     order, with their occurrences by source. documents: text, lang, source without nulls."""
-    leaves = documents.mapInArrow(tidy(_counted), LEAVES)
-    ranges = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return ranges.mapInArrow(tidy(_merged(min_docs)), LEAVES)
+    bounds = _bounds(documents)
+    known = documents.sparkSession.sparkContext.broadcast(bounds)
+    pieces = documents.mapInArrow(tidy(_pieces(known)), PIECE)
+    return pieces.repartitionById(len(bounds) + 1, F.col("range")).mapInArrow(tidy(_merged(min_docs)), LEAVES)
 
 
 def audit(documents: DataFrame, min_docs: int = MIN_DOCS, ranks: int = RANKS, block: int = BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,25 +101,30 @@ def test_audit_in_blocks_and_ranks(spark):
         assert rows(divergence.audit(df, ranks=2, block=block)) == want
 
 
-def test_audit_when_tries_are_flushed_and_all_are_alike(spark, monkeypatch):
-    leaves = []
+def test_audit_when_texts_are_counted_and_merged_in_many_steps(spark, monkeypatch):
     rng = random.Random(4)
-    import pyarrow as pa
-
-    texts = [" ".join(rng.choices(["aa", "ab", "b", "ba", "é"], k=6)) for _ in range(40)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["x"] * 40), pa.array([str(i % 3) for i in range(40)])], names=["text", "lang", "source"])
-    monkeypatch.setattr(divergence, "MOST", 4)
-    for out in divergence._counted([batch]):
-        leaves += out.to_pylist()
-    assert len(leaves) > 5
-    leaves.sort(key=lambda r: r["term"])
-    cut = [leaves[i : i + 3] for i in range(0, len(leaves), 3)]
-    kind = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    merged = [r for out in divergence._merged(1)(pa.RecordBatch.from_pylist(c, kind) for c in cut) for r in out.to_pylist()]
-    assert [r["term"] for r in merged] == sorted({w.encode() for t in texts for w in t.split()})
-    for r in merged:
-        assert r["docs"] == sum(r["term"].decode() in t.split() for t in texts)
-        assert sum(r["counts"]) == sum(t.split().count(r["term"].decode()) for t in texts)
+    texts = [" ".join(rng.choices(["aa", "ab", "b", "ba", "é", "A" * 200 + "x", "A" * 200 + "y"], k=6)) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7]), pa.array(["x"] * len(texts[i : i + 7])), pa.array([str(j % 3) for j in range(i, min(i + 7, 60))])], names=["text", "lang", "source"]) for i in range(0, 60, 7)]
+    monkeypatch.setattr(divergence, "FLUSH", 500)
+    monkeypatch.setattr(divergence, "HELD", 8)
+
+    class Bounds:
+        value = [(b"w", b"z"), (b"x", b"aaaa"), (b"x", b"b"), (b"y", b"")]
+
+    pieces = list(divergence._pieces(Bounds)(iter(batches)))
+    assert {r["range"] for out in pieces for r in out.to_pylist()} == {1, 2, 3} and len(pieces) > 8
+    found = {}
+    for k in (1, 2, 3):
+        own = [out for out in pieces if out["range"][0].as_py() == k]
+        rows = [r for out in divergence._merged(1)(iter(own)) for r in out.to_pylist()]
+        assert [r["term"] for r in rows] == sorted(r["term"] for r in rows)
+        found |= {r["term"].decode(): r for r in rows}
+    want = {w.lower() if w.isascii() else w for t in texts for w in t.split()}
+    assert set(found) == want
+    for term, r in found.items():
+        split = [[w.lower() for w in t.split()] for t in texts]
+        assert r["docs"] == sum(term in ws for ws in split)
+        assert dict(zip(r["sources"], r["counts"], strict=True)) == {str(k): n for k in range(3) if (n := sum(ws.count(term) for i, ws in enumerate(split) if i % 3 == k))}
 
 
 def test_shares_are_exact_beyond_doubles():
@@ -127,15 +133,32 @@ def test_shares_are_exact_beyond_doubles():
     assert divergence.shares(np.array([7]), np.array([7]), np.int64(1)).tolist() == [1 + 10**9]
 
 
-def test_radix_trie():
+def test_radix_tries():
     rng = random.Random(5)
-    a, b, want = radix.RadixTrie(), radix.RadixTrie(), collections.Counter()
-    for i in range(2000):
-        term = bytes(rng.choices(b"ab\xc3\xa9", k=rng.randint(0, 6)))
-        (a if i % 2 else b).leaf(term).add(1, ["s"], [i])
-        want[term] += i
-    a.merge(b)
-    assert [(t, leaf.counts["s"]) for t, leaf in a.walk()] == sorted(want.items())
+
+    def made(n):
+        docs, counts = collections.Counter(), collections.Counter()
+        for _ in range(n):
+            term = bytes(rng.choices(b"ab\xc3\xa9", k=rng.choice([1, 2, 6, 70, 200])))
+            docs[term] += 1
+            counts[term, rng.randrange(3)] += 5
+        terms = sorted(docs)
+        each = [[(s, counts[t, s]) for s in range(3) if counts[t, s]] for t in terms]
+        flat = [x for own in each for x in own]
+        trie = radix.Trie.of(pa.array(terms, pa.large_binary()), np.array([docs[t] for t in terms]), np.array([len(x) for x in each]), np.array([s for s, _ in flat]), np.array([n for _, n in flat]))
+        assert trie.terms().to_pylist() == terms
+        return trie, docs, counts
+
+    (a, da, ca), (b, db, cb) = made(500), made(300)
+    for least in (0, 3):
+        terms, docs, width, sources, counts = radix.merged([a, b], least)
+        want = da + db
+        assert dict(zip(terms.to_pylist(), docs.tolist(), strict=True)) == {t: n for t, n in want.items() if n >= least}
+        assert terms.to_pylist() == sorted(terms.to_pylist())
+        leaf = np.repeat(np.arange(len(terms)), width)
+        assert {(terms[i].as_py(), s): n for i, s, n in zip(leaf.tolist(), sources.tolist(), counts.tolist(), strict=True)} == {k: n for k, n in (ca + cb).items() if want[k[0]] >= least}
+    assert radix.Trie.of(pa.array([], pa.large_binary()), *[np.zeros(0, np.int64)] * 4).terms().to_pylist() == []
+    assert a.cut(a.terms(), 3, 9).terms().to_pylist() == a.terms().to_pylist()[3:9]
 
 
 # 12
