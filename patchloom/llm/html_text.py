@@ -3,9 +3,11 @@
 The block elements of a page are the nodes of a tree. Every node is content or not; its own features give a unary
 potential, and every edge has a potential over the two labels it joins. Sum-product messages go up the tree and down
 again, which gives each node's exact marginal, and the text of nodes above one half is the main text. All weights are
-fitted on labelled pages: what class and id names tell (log odds of each word, from the elements that bear it), unary
-weights by logistic regression, edge potentials by counting. `labelled_pages` makes such pages from varied layouts and
-names; pages of one's own can be given instead (elements marked data-main="1" or "0").
+fitted on labelled pages: unary weights by logistic regression, edge potentials by counting. `labelled_pages` makes such
+pages from varied layouts; their class and id names are invented for each page and tell nothing, so what is learned from
+them is structure: tags, links, sentences, likeness of neighbours, and where the page's article lies. What names mean is
+learned from real pages alone: from pages of one's own with elements marked data-main="1" or "0", or from a bounded
+sample of the pages at hand, where an element counts as content if it lies inside of the page's article.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patchloom.sources.session import prepare
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 # Fixed values of HTML: elements without end tags, those whose content is no text of the page (scripts, styles, titles,
-# form and media controls), and those that stand inside a line.
+# text fields), those of which the same holds if they have an end tag, and those that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title select audio video".split())
+RAW = frozenset("script style textarea title".split())
+LOOSE = frozenset("select audio video template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -63,6 +67,7 @@ class _Tags:
     def __init__(self, page: str):
         self.page, self.low = page, None
         self.quotes = True  # until a quoted value has no end
+        self.next_end: dict[str, int] = {}  # of loose elements: the next end tag that is known, or -1: there is none
 
     def tag_end(self, at: int) -> int:
         """Where the tag that goes on at `at` ends (its >), or -1. A > inside a quoted value ends no tag."""
@@ -89,6 +94,18 @@ class _Tags:
                 return end + 1 if end >= 0 else len(self.page)
         return len(self.page)
 
+    def loose_end(self, tag: str, at: int) -> int:
+        """Where the page goes on after a loose element: behind its end tag, or, without one before the next element of its
+        kind begins, right after its start tag."""
+        if self.low is None:
+            self.low = self.page.translate(_LOWER)
+        end = self.next_end.get(tag, 0)
+        if 0 <= end < at:
+            end = self.next_end[tag] = self.low.find(f"</{tag}", at)
+        if end < 0 or self.low.find(f"<{tag}", at, end) >= 0:
+            return at
+        return self.raw_end(tag, end)
+
     def comment_end(self, at: int) -> int:
         """Where the page goes on after what begins with <! or <? at `at`."""
         page = self.page
@@ -188,7 +205,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in ("html", "head"):
             continue
         if tag in RAW:
-            at = at if rest.endswith("/") and tag in ("audio", "video") else tags.raw_end(tag, at)
+            at = tags.raw_end(tag, at)
+            continue
+        if tag in LOOSE:
+            at = at if rest.endswith("/") else tags.loose_end(tag, at)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -217,7 +237,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-NAMES = [f"tag={t}" for t in TAGS] + ["tag=other", "root", "hidden", "empty", "chars", "subtree", "share", "links", "links below", "stops", "short", "rights", "odds", "above", "article below"]
+NAMES = [f"tag={t}" for t in TAGS] + ["tag=other", "root", "hidden", "empty", "chars", "subtree", "share", "links", "links below", "stops", "short", "rights", "odds", "above", "in article", "beside article", "twins", "among twins", "linked twins"]
 AT = {name: i for i, name in enumerate(NAMES)}
 
 
@@ -241,7 +261,14 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
     x[0, AT["root"]] = 1
     x[:, AT["odds"]] = told
     x[:, AT["above"]] = above
-    x[:, AT["article below"]] = (x[:, AT["tag=article"]] + x[:, AT["tag=section"]]) * (above < -1)
+    inside, beside = _article(nodes, chars - linked, below - linked_below)
+    x[:, AT["in article"]] = inside
+    x[:, AT["beside article"]] = beside
+    twins = _twins(nodes)
+    x[:, AT["twins"]] = twins
+    x[:, AT["linked twins"]] = twins * (linked_below > 0.5 * below)
+    for i in range(1, n):
+        x[i, AT["among twins"]] = x[nodes[i].parent, AT["among twins"]] or twins[nodes[i].parent]
     x[:, AT["empty"]] = chars == 0
     x[:, AT["chars"]] = np.log1p(chars) / 5
     x[:, AT["subtree"]] = np.log1p(below) / 8
@@ -253,9 +280,45 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
     return x
 
 
+def _article(nodes: list[Node], own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes lie in the page's article, and which lie neither in nor around it. The article is the <article> or
+    <main> element that has the most text outside of links, the innermost of those that have nearly as much."""
+    inside, beside = np.zeros(len(nodes)), np.zeros(len(nodes))
+    found = [i for i, v in enumerate(nodes) if v.tag in ("article", "main") and not v.hidden]
+    most = max((below[i] for i in found), default=0)
+    if most < 0.2 * below[0] or most <= 0:
+        return inside, beside
+    best = max(i for i in found if below[i] >= 0.6 * most)
+    around, i = set(), best
+    while i >= 0:
+        around.add(i)
+        i = nodes[i].parent
+    inside[best] = 1
+    for i in range(best + 1, len(nodes)):
+        inside[i] = inside[nodes[i].parent]
+    for i in range(len(nodes)):
+        beside[i] = not inside[i] and i not in around
+    return inside, beside
+
+
+def _twins(nodes: list[Node]) -> np.ndarray:
+    """Which nodes are boxes that have a neighbour of the same tag and names: what a page repeats, as comments or teasers."""
+    kinds = Counter((v.parent, v.tag, v.names) for v in nodes if _boxed(v))
+    return np.array([float(_boxed(v) and kinds[v.parent, v.tag, v.names] > 1) for v in nodes])
+
+
+def _boxed(v: Node) -> bool:
+    return v.tag in ("article", "section") or bool(v.names) and v.tag in ("div", "li", "dd", "td")
+
+
 def _told(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
-    """What a node's names tell: the sum of their log odds, within bounds."""
-    return np.array([max(-4.0, min(4.0, sum(odds.get(w, 0.0) for w in v.names))) for v in nodes])
+    """What a node's names tell: the sum of their log odds, within bounds, and the less against it the more sentences lie
+    below it: three full paragraphs outweigh any name."""
+    stops = np.array([v.stops for v in nodes], float)
+    for i in range(len(nodes) - 1, 0, -1):
+        stops[nodes[i].parent] += stops[i]
+    told = np.array([max(-4.0, min(4.0, sum(odds.get(w, 0.0) for w in v.names))) for v in nodes])
+    return np.where(told < 0, told / (1 + stops / 2), told)
 
 
 def neutral(nodes: list[Node], odds: dict[str, float]) -> list[bool]:
@@ -351,20 +414,6 @@ def fit(pages: list[str], steps: int = 12, ridge: float = 0.1) -> TreeModel:
     return TreeModel(w[:-1], float(w[-1]), edge, odds)
 
 
-# Words that sites use as class and id names, by what the elements are; labelled pages are made with them.
-SITE_NAMES = {
-    "main": "article content post entry main body story text prose markdown",
-    "menu": "nav menu breadcrumb breadcrumbs toolbar navbar tabs pagination pager toc sitemap",
-    "edge": "header footer masthead foot copyright legal colophon logo",
-    "side": "sidebar side aside widget related recommended rail trending popular",
-    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner adsense dfp",
-    "notice": "cookie cookies consent notice gdpr alert warning popup modal overlay subscribe newsletter paywall",
-    "talk": "comment comments reply replies discussion disqus respond feedback",
-    "share": "share social sharing",
-    "form": "form search login signup input field",
-}
-
-
 def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     """Pages of varied layouts whose elements say by data-main whether they are main text. The words are invented."""
     rng = random.Random(seed)
@@ -373,45 +422,45 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 16))).capitalize() + rng.choice("....!?")
     link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(rng.randint(1, 3)))}</a>'
     some = lambda f, a, b, sep=" ": sep.join(f() for _ in range(rng.randint(a, b)))
-    named = lambda kind: rng.choice(SITE_NAMES[kind].split()) + rng.choice(["", "", "-box", " block", f" {word()}"])
+    named = lambda: "".join(rng.choice(syllables) for _ in range(4)) + rng.choice(["", "", "-" + word(), " " + word()])
 
-    def attr(kind, y):
+    def attr(y):
         chosen = rng.random()
-        name = f' class="{named(kind)}"' if chosen < 0.6 else f' id="{named(kind)}"' if chosen < 0.8 else ""
+        name = f' class="{named()}"' if chosen < 0.6 else f' id="{named()}"' if chosen < 0.8 else ""
         return f'{name} data-main="{y}"'
 
     def menu():
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9)))
         tag = rng.choice(["nav", "nav", "div"])
-        return f"<{tag}{attr('menu', 0)}>" + rng.choice([f"<ul>{items}</ul>", some(link, 2, 8, " | ")]) + f"</{tag}>"
+        return f"<{tag}{attr(0)}>" + rng.choice([f"<ul>{items}</ul>", some(link, 2, 8, " | ")]) + f"</{tag}>"
 
     def head():
-        return f"<header{attr('edge', 0)}>" + rng.choice([f"<h1>{word()} {word()}</h1>", link(), f"<p>{sentence()}</p>"]) + (menu() if rng.random() < 0.5 else "") + "</header>"
+        return f"<header{attr(0)}>" + rng.choice([f"<h1>{word()} {word()}</h1>", link(), f"<p>{sentence()}</p>"]) + (menu() if rng.random() < 0.5 else "") + "</header>"
 
     def foot():
         inner = rng.choice([f"&copy; {word()} &middot; {sentence()}", f"<p>&copy; 2020 {word()}. {sentence()}</p>", f"<ul><li>{link()}<li>{link()}</ul>{sentence()}"])
         tag = rng.choice(["footer", "footer", "div"])
-        return f'<{tag}{attr("edge", 0) if tag == "footer" else f""" class="{rng.choice(["footer", "copyright", "foot", "legal"])}" data-main="0" """}>{inner}</{tag}>'
+        return f'<{tag}{attr(0)}>{inner}</{tag}>'
 
     def side():
         tag = rng.choice(["aside", "aside", "div"])
-        name = attr("side", 0) if tag == "aside" else f' class="{named("side")}" data-main="0"'
-        return f"<{tag}{name}><h3>{word()}</h3>" + rng.choice([f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>", f"<p>{some(sentence, 1, 4)}</p>"]) + f"</{tag}>"
+        return f"<{tag}{attr(0)}><h3>{word()}</h3>" + rng.choice([f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>", f"<p>{some(sentence, 1, 4)}</p>"]) + f"</{tag}>"
 
-    def boxed(kind):
+    def boxed():
         tag = rng.choice(["div", "div", "section", "aside", "p"])
         inner = some(sentence, 1, 3)
         inner = inner if tag == "p" or rng.random() < 0.5 else f"<p>{inner}</p>" + (f"<p>{link()}</p>" if rng.random() < 0.5 else "")
-        return f'<{tag} {rng.choice(["class", "id"])}="{named(kind)}" data-main="0">{inner}</{tag}>'
+        return f'<{tag} {rng.choice(["class", "id"])}="{named()}" data-main="0">{inner}</{tag}>'
 
     def form():
-        return f'<form{attr("form", 0)}><label>{word()}</label><input name="q"><p>{sentence()}</p><div>{word()}</div></form>'
+        return f'<form{attr(0)}><label>{word()}</label><input name="q"><p>{sentence()}</p><div>{word()}</div></form>'
 
     def talk():
         tag = rng.choice(["section", "div", "ol", "ul"])
         one = "li" if tag in ("ol", "ul") else rng.choice(["div", "article", "p"])
-        many = "".join(f'<{one}{rng.choice(["", " class=comment", f""" class="{named("talk")}" """])}>' + (f"<b>{word()}</b> {some(sentence, 1, 6)}" if one == "p" or rng.random() < 0.5 else f"<p>{some(sentence, 1, 6)}</p>") + f"</{one}>" for _ in range(rng.randint(1, 6)))
-        return f'<{tag} {rng.choice(["class", "id"])}="{named("talk")}" data-main="0">{"" if one == "li" else f"<h2>{word()}</h2>"}{many}</{tag}>'
+        kind = f' class="{named()}"' if one == "div" or rng.random() < 0.7 else ""
+        many = "".join(f"<{one}{kind}>" + (f"<b>{word()}</b> {some(sentence, 1, 6)}" if one == "p" or rng.random() < 0.5 else f"<p>{some(sentence, 1, 6)}</p>") + f"</{one}>" for _ in range(rng.randint(1, 6)))
+        return f'<{tag} {rng.choice(["class", "id"])}="{named()}" data-main="0">{"" if one == "li" else f"<h2>{word()}</h2>"}{many}</{tag}>'
 
     def body_block():
         kind = rng.random()
@@ -421,38 +470,48 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         if kind < 0.76:
             return f"<h{(h := rng.randint(1, 4))}>{rng.choice([sentence(), word() + ' ' + word()])}</h{h}>"
         if kind < 0.82:
-            return f"<ul>{''.join(f'<li>{some(inline, 1, 2)}</li>' for _ in range(rng.randint(1, 5)))}</ul>"
+            many = rng.choice(["ul", "ol"])
+            return f"<{many}>{''.join(f'<li>{some(inline, 1, 2)}</li>' for _ in range(rng.randint(1, 5)))}</{many}>"
         if kind < 0.87:
             return f"<blockquote><p>{some(sentence, 1, 3)}</p></blockquote>"
         if kind < 0.91:
             return f"<table><tr><td>{word()}</td><td>{sentence()}</td></tr></table>"
         if kind < 0.94:
             # sites name parts of an article as they like
-            odd = f' class="{named(rng.choice(list(SITE_NAMES)))} {word()}" data-main="1"' if rng.random() < 0.1 else ""
+            odd = f' class="{named()}" data-main="1"' if rng.random() < 0.5 else ""
             return f"<div{odd}>{some(inline, 1, 4)}</div>"
         if kind < 0.96:
             return f"<pre>{word()} = {word()}</pre>"
         return f"<p><b>{sentence()}<br>"
 
-    inside = [lambda: boxed("advert"), lambda: boxed("share"), lambda: boxed("notice"), side, form, lambda: talk(), menu]
+    def more():
+        tag = rng.choice(["h2", "h3", "h4"])
+        return f'<div class="{named()}" data-main="0"><{tag}>{word().capitalize()} {word()}</{tag}>{some(link, 2, 5)}</div>'
+
+    inside = [boxed, side, form, talk, menu, more]
     pages = []
     for _ in range(n):
         parts = [f'<h1 data-main="1">{sentence()}</h1>'] if rng.random() < 0.8 else []
         if parts and rng.random() < 0.25:  # a title may have a header of its own
             parts = [f'<header data-main="1">{parts[0]}</header>']
+        if parts and rng.random() < 0.4:  # who wrote it, or when
+            parts.append(f'<div class="{named()}" data-main="1">{word().capitalize()} {word()} {rng.choice(["", rng.randint(1, 31)])}</div>')
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
             parts.append(body_block())
-            if rng.random() < 0.12:
+            if rng.random() < 0.08:
                 parts.append(rng.choice(inside)())
+        if len(parts) > 3 and rng.random() < 0.15:  # the paragraphs of an article may lie in a box of its own
+            box = rng.choice(["div", "section"])
+            parts = [parts[0], f"<{box}{attr(1)}>{''.join(parts[1:])}</{box}>"]
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
-        name = ' data-main="1"' if rng.random() < (0.1 if tag in ("div", "section") else 0.6) else attr("main", 1)
+        name = ' data-main="1"' if rng.random() < (0.1 if tag in ("div", "section") else 0.6) else attr(1)
         article = f"<{tag}{name}>{''.join(parts)}</{tag}>"
         if rng.random() < 0.4:
             beside = talk() if rng.random() < 0.4 else ""
-            article = f"<{(o := rng.choice(['main', 'div', 'section']))}{rng.choice(['', f''' class="{named('main')}" ''', f' class={word()}'])} data-main=\"1\">{article}{beside}</{o}>"
+            article = f"<{(o := rng.choice(['main', 'div', 'section']))}{rng.choice(['', f''' class="{named()}" ''', f' class={word()}'])} data-main=\"1\">{article}{beside}</{o}>"
         wrap = rng.random() < 0.3
-        before = [f() for f in rng.sample([menu, head, lambda: boxed("advert"), lambda: boxed("notice"), side, form], rng.randint(0, 4))]
-        after = [f() for f in rng.sample([foot, side, talk, talk, lambda: boxed("advert"), lambda: boxed("notice"), form, menu], rng.randint(0, 4))] + [foot()]
+        before = [f() for f in rng.sample([menu, head, boxed, boxed, side, form], rng.randint(0, 4))]
+        after = [f() for f in rng.sample([foot, side, talk, talk, boxed, boxed, form, menu], rng.randint(0, 4))] + [foot()]
         whole = "".join([*before, article, *after])
         if rng.random() < 0.12:  # a table for the layout, without names
             links, foot_line = some(link, 2, 6, " | "), f"{rng.choice(['&copy;', '&copy; 1999', '©'])} {some(sentence, 1, 2)} {link() if rng.random() < 0.5 else ''}"
@@ -463,8 +522,37 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     return pages
 
 
-def trained(pages: list[str] | None = None) -> TreeModel:
-    return fit(labelled_pages() if pages is None else pages)
+#: Pages at hand that names are learned from, and bytes of the longest of them.
+SAMPLE, LONGEST = 300, 1 << 18
+
+
+def sampled(pages: DataFrame, n: int = SAMPLE, longest: int = LONGEST) -> list[str]:
+    """n of the pages (html) of at most `longest` bytes, those of the least hashes."""
+    some = pages.select(F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= longest)
+    return [r.html for r in some.orderBy(F.xxhash64("html")).limit(n).collect()]
+
+
+def names_of(pages: list[str], least: int = 3) -> dict[str, float]:
+    """Log odds of content for the words of names, by where pages that have an article bear them: in it or beside it."""
+    told = []
+    for page in pages:
+        nodes, _ = parse(page)
+        chars, linked = (np.array([getattr(v, c) for v in nodes], float) for c in ("chars", "linked"))
+        below = chars - linked
+        for i in range(len(nodes) - 1, 0, -1):
+            below[nodes[i].parent] += below[i]
+        inside, beside = _article(nodes, chars - linked, below)
+        for i, v in enumerate(nodes):
+            v.label = 1 if inside[i] else 0 if beside[i] else -1
+        told.append((nodes, None))
+    return _odds(told, least)
+
+
+def trained(pages: list[str] | None = None, at_hand: list[str] | None = None) -> TreeModel:
+    """The model of labelled pages (by default labelled_pages()), with what names mean on the pages at hand."""
+    model = fit(labelled_pages() if pages is None else pages)
+    model.odds |= {w: o for w, o in names_of(at_hand or []).items() if not w.startswith("<")}
+    return model
 
 
 def extract(pages: DataFrame, model: TreeModel) -> DataFrame:

@@ -122,7 +122,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"), html_text.trained())
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.trained(at_hand=html_text.sampled(pages)))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
