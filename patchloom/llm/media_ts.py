@@ -24,7 +24,7 @@ CRC_POLYNOMIAL = 0x04C11DB7
 UNIT, GROUP, TICKS = 1536, 32, 3600  # payload bytes a unit, units a group, 90 kHz ticks a unit
 FRAME = 192
 MUXED = "doc_id long, n_bytes long, media binary"
-READ = "doc_id long, n_bytes long, media binary, payload binary, feature string, pts array<long>, access_units array<long>, access_offsets array<long>, continuity_errors long"
+READ = "doc_id long, n_bytes long, media binary, payload binary, feature string, pts array<long>, access_units array<long>, access_offsets array<long>, continuity_errors long, damaged_units array<long>"
 
 
 class StreamError(ValueError):
@@ -135,23 +135,64 @@ def _read_section(packets: np.ndarray, table_id: int) -> bytes:
     return body
 
 
-def demux(media: bytes) -> tuple[bytes, dict]:
-    """Payload, and what the stream says of itself: pts, access_units, access_offsets, continuity_errors, feature."""
+def _program(body: bytes) -> tuple[int, int]:
+    """Number and PID of the first program of an association table; number 0 is the network, no program."""
+    for at in range(0, len(body) - 3, 4):
+        if number := int.from_bytes(body[at : at + 2], "big"):
+            return number, int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
+    raise StreamError("no program")
+
+
+def _elementary(body: bytes) -> tuple[int, int]:
+    """Type and PID of the stream of a program map table that has private data, else of its first one."""
+    at, found = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF), []
+    while at + 5 <= len(body):
+        found.append((body[at], int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF))
+        at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
+    if not found:
+        raise StreamError("a program without streams")
+    return next((x for x in found if x[0] == STREAM_TYPE), found[0])
+
+
+def _in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the packets of one PID those that carry payload, without repeats, and where the counter does not go up by one.
+
+    A packet may be sent twice, one time after the other: the second says nothing. A packet that announces a discontinuity
+    may have any counter."""
+    rows = rows[rows[:, 3] & 0x10 != 0]
+    step = np.diff(rows[:, 3].astype(np.int64) & 15) % 16
+    again = np.zeros(len(rows), bool)
+    again[1:][step == 0] = (rows[1:][step == 0] == rows[:-1][step == 0]).all(1)
+    again[1:] &= ~again[:-1]  # a third time is an error
+    rows = rows[~again]
+    announced = (rows[:, 3] & 0x20 != 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 != 0)
+    gap = np.zeros(len(rows), bool)
+    gap[1:] = ((np.diff(rows[:, 3].astype(np.int64) & 15) - 1) % 16 != 0) & ~announced[1:]
+    return rows, gap
+
+
+def demux(media: bytes, strict: bool = True) -> tuple[bytes, dict]:
+    """Payload, and what the stream says of itself: pts, access_units, access_offsets, continuity_errors, damaged_units,
+    feature.
+
+    The first program counts, and of its streams the first of private data (or the first). A unit is damaged if its
+    counter has a gap, or if it is not as long as its header says (0: any length). strict: a unit of a wrong length is a
+    StreamError; else damaged units are left out of the payload. A unit without a timestamp has -1.
+    """
     if not media or len(media) % PACKET:
         raise StreamError("not a whole number of packets")
     rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (rows[:, 0] != SYNC).any():
         raise StreamError("sync byte lost")
     pids = (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]
-    pat = _read_section(rows[pids == PAT_PID], 0)
-    program, pmt_pid = int.from_bytes(pat[:2], "big"), int.from_bytes(pat[2:4], "big") & 0x1FFF
-    pmt = _read_section(rows[pids == pmt_pid], 2)
-    at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
-    kind, es_pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    errors = sum(int(((np.diff(rows[pids == p, 3].astype(np.int64) & 15) - 1) % 16 != 0).sum()) for p in (PAT_PID, pmt_pid, es_pid))
-    es = rows[pids == es_pid]
+    pat, pat_gaps = _in_order(rows[pids == PAT_PID])
+    program, pmt_pid = _program(_read_section(pat, 0))
+    pmt, pmt_gaps = _in_order(rows[pids == pmt_pid])
+    kind, es_pid = _elementary(_read_section(pmt, 2))
+    es, gaps = _in_order(rows[pids == es_pid])
+    errors = int(pat_gaps.sum() + pmt_gaps.sum() + gaps.sum())
     has_field = es[:, 3] & 0x20 != 0
-    start = 4 + np.where(has_field, 1 + es[:, 4].astype(np.int64), 0)
+    start = np.minimum(PACKET, 4 + np.where(has_field, 1 + es[:, 4].astype(np.int64), 0))
     begins = es[:, 1] & 0x40 != 0
     access = has_field & (es[:, 4] > 0) & (es[:, 5] & 0x40 != 0)
     stream = es[np.arange(PACKET) >= start[:, None]]
@@ -159,17 +200,32 @@ def demux(media: bytes) -> tuple[bytes, dict]:
     heads = (ends - (PACKET - start))[begins]
     if not len(heads) or heads[0] != 0:
         raise StreamError("no packet starts the stream")
-    h = stream[heads[:, None] + np.arange(14)].astype(np.int64)
+    length = np.diff(np.append(heads, len(stream)))
+    h = stream[np.minimum(heads[:, None] + np.arange(14), len(stream) - 1)].astype(np.int64)
     size = h[:, 4] << 8 | h[:, 5]
-    if (h[:, :3] != (0, 0, 1)).any() or (h[:, 8] != 5).any() or (size + 6 != np.diff(np.append(heads, len(stream)))).any():
+    wrong = (h[:, :3] != (0, 0, 1)).any(1) | (length < 9 + h[:, 8]) | (size > 0) & (size + 6 != length)
+    if strict and wrong.any():
         raise StreamError("an elementary packet is not whole")
     pts = (h[:, 9] >> 1 & 7) << 30 | h[:, 10] << 22 | h[:, 11] >> 1 << 15 | h[:, 12] << 7 | h[:, 13] >> 1
-    body = np.ones(len(stream), bool)
-    body[(heads[:, None] + np.arange(14)).ravel()] = False
+    pts = np.where((h[:, 7] & 0x80 != 0) & (h[:, 8] >= 5), pts, -1)
+    unit = np.cumsum(begins) - 1
+    damaged = wrong.copy()
+    damaged[unit[gaps & ~begins]] = True
+    head = np.where(wrong, length, 9 + h[:, 8])
+    body = np.arange(len(stream)) - np.repeat(heads, length) >= np.repeat(head, length)
+    if not strict:
+        body &= ~np.repeat(damaged, length)
     points = np.flatnonzero(access[begins])
-    offsets = np.flatnonzero((pids == es_pid) & (rows[:, 1] & 0x40 != 0))[points] * PACKET
+    first = np.flatnonzero((pids == es_pid) & (rows[:, 1] & 0x40 != 0) & (rows[:, 3] & 0x10 != 0))
+    if len(first) != len(begins.nonzero()[0]):  # repeats of first packets are there
+        new = np.append(True, (rows[first[1:]] != rows[first[:-1]]).any(1))
+        first = first[new]
+    offsets = first[points] * PACKET
     feature = f"program={program} pid={es_pid} type={kind} units={len(pts)} packets={len(rows)} pts={pts[0]}..{pts[-1]} access={len(points)} last_access={pts[points[-1]] if len(points) else -1} cc_errors={errors}"
-    return stream[body].tobytes(), {"pts": pts.tolist(), "access_units": points.tolist(), "access_offsets": offsets.tolist(), "continuity_errors": errors, "feature": feature}
+    return stream[body].tobytes(), {
+        "pts": pts.tolist(), "access_units": points.tolist(), "access_offsets": offsets.tolist(), "continuity_errors": errors,
+        "damaged_units": np.flatnonzero(damaged).tolist(), "feature": feature,
+    }
 
 
 #: Bytes of media in one batch handed back to Spark.
@@ -202,7 +258,7 @@ def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _demux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     long = pa.int64()
-    schema = pa.schema([("doc_id", long), ("n_bytes", long), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()), ("pts", pa.list_(long)), ("access_units", pa.list_(long)), ("access_offsets", pa.list_(long)), ("continuity_errors", long)])
+    schema = pa.schema([("doc_id", long), ("n_bytes", long), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()), ("pts", pa.list_(long)), ("access_units", pa.list_(long)), ("access_offsets", pa.list_(long)), ("continuity_errors", long), ("damaged_units", pa.list_(long))])
 
     def rows():
         for batch in batches:
@@ -225,5 +281,5 @@ def store(documents: DataFrame) -> DataFrame:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """The columns of READ from (doc_id, n_bytes, media); raises StreamError at a damaged stream."""
+    """The columns of READ from (doc_id, n_bytes, media); raises StreamError at a stream that is not whole."""
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_demux_batches, READ)

@@ -370,6 +370,46 @@ def test_streams():
         media_ts.demux(bytes(broken))
 
 
+def test_streams_of_other_makes():
+    payload = media_ts.pad(bytes(range(256)) * 30)
+    media = media_ts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    told = media_ts.demux(media)[1]
+    assert told["damaged_units"] == [] and len(told["pts"]) == 5
+    # a packet may be sent twice, whatever it is, and packets of other PIDs may lie between
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    for k in (0, 1, 2, 3, 9, len(packets) - 1):
+        back, more = media_ts.demux(b"".join([*packets[: k + 1], null, packets[k], *packets[k + 1 :]]))
+        assert back == payload and more["continuity_errors"] == 0 and more["pts"] == told["pts"] and more["access_units"] == [0]
+    assert media_ts.demux(b"".join([*packets[:4], packets[3], packets[3], *packets[4:]]), strict=False)[1]["continuity_errors"] > 0
+    # network entry before the program, a stream of another type before ours, descriptors
+    pat = media_ts._table_packet(0, media_ts._section(0, b"\x00\x00\xe0\x10" + b"\x00\x07" + (0xE000 | 0x1000).to_bytes(2, "big"))).tobytes()
+    streams = b"\x1b\xe2\x00\xf0\x02\x28\x00" + bytes([0x06]) + (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\x00"
+    pmt = media_ts._table_packet(0x1000, media_ts._section(2, b"\xe1\x00\xf0\x02\x09\x00" + streams)).tobytes()
+    back, more = media_ts.demux(b"".join([pat, pmt, *packets[2:]]))
+    assert back == payload and more["feature"].startswith("program=7 pid=256 type=6")
+    # a header with both timestamps: five more bytes, which the length counts
+    first = packets[2]
+    times = bytes(first[21:26]) + b"\x11\x00\x01\x00\x01"
+    long = b"\x00\x00\x01\xbd" + (13 + media_ts.UNIT).to_bytes(2, "big") + b"\x80\xc0\x0a" + times + payload[: media_ts.UNIT]
+    cut = [long[i : i + 184] for i in range(0, len(long), 184)]
+    made = []
+    for i, piece in enumerate(cut):
+        head = bytes([0x47, 0x41 if i == 0 else 0x01, 0x00])
+        fill = 184 - len(piece)
+        made.append(head + bytes([(0x30 if fill else 0x10) | i]) + (bytes([fill - 1]) + (b"\x00" + b"\xff" * (fill - 2) if fill > 1 else b"") if fill else b"") + piece)
+    back, more = media_ts.demux(b"".join([pat, pmt, *made]))
+    assert back == payload[: media_ts.UNIT] and more["pts"] == [0]
+    # a lost packet: the unit is left out and told
+    lost = b"".join([*packets[:15], *packets[16:]])
+    back, more = media_ts.demux(lost, strict=False)
+    assert more["damaged_units"] == [1] and more["continuity_errors"] == 1
+    assert back == payload[: media_ts.UNIT] + payload[2 * media_ts.UNIT :]
+    for bad in (b"", b"x", pat, pat + pmt):
+        with pytest.raises(media_ts.StreamError):
+            media_ts.demux(bad)
+
+
 def test_media_columns(spark, odd, none, sf):
     rows = media_ts.read_back(media_ts.store(odd)).collect()
     want = sorted((media_ts.pad((t or "").encode()) for _, t, *_ in ODD))
