@@ -1,14 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
 Runs of `seed` words are the seeds (an item of fewer words is one seed). The seeds of the documents and those of the
-benchmark are joined; a pair whose common seeds could cover enough of the item is tiled: the longest run of words that
-the two have in common and no tile holds yet is found by running Karp-Rabin hashes and marked, again and again, down to
-the seed length. The tiles may stand in any order, so a shuffled passage is caught; the share of the item's words under
-tiles is its coverage.
+benchmark are joined, and pairs that share one are tiled: the longest run of words that the two have in common and no
+tile holds yet is found by running Karp-Rabin hashes, compared word by word and marked, again and again, down to the seed
+length. The tiles may stand in any order, so a shuffled passage is caught; the share of the item's words under tiles is
+its coverage.
+
+Not every seed of an item takes part in the join. Of its seeds, those that most documents have are left out for as long
+as all that are left out cover fewer of its words than a leak has to: a document that leaks the item shares one of the others
+too. So a phrase of many documents and items brings nobody together unless it is about all of the item.
 
 Before the join each document drops what cannot be a seed of the benchmark, by a bit table of TABLE_BITS bits whatever
 the size of the benchmark: a larger one lets more pass, and the join sorts them out. Of a document that keeps any, the
-seeds go into the join, each once with its number of places, and the words under them wait in a table of their own.
+seeds go into the join, each once, and the words under them wait in a table of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from patchloom.llm.common import TABLE_BITS, bit_table, written
 from patchloom.sources.session import prepare
 
 ITEMS = "item_id long, words array<long>, size int, seeds array<long>"
-HITS = "doc_id long, t long, seeds array<long>, places array<int>, spots array<long>, words array<long>"
+HITS = "doc_id long, t long, seeds array<long>, spots array<long>, words array<long>"
 FOUND = "doc_id long, t long, item_id long, coverage double, matched_words long, tiles array<struct<doc_at:long,item_at:long,words:long>>"
 
 
@@ -70,7 +74,7 @@ def tile(doc: np.ndarray, doc_free: np.ndarray, item: np.ndarray, least: int) ->
         at = defaultdict(list)
         for place, h in zip(best[2][::-1].tolist(), best[3][::-1].tolist(), strict=True):
             at[h].append(place)  # the first place comes last
-        end = 0
+        end, before = 0, len(tiles)
         for i, h in zip(best[0].tolist(), best[1].tolist(), strict=True):
             if i < end:
                 continue
@@ -79,9 +83,13 @@ def tile(doc: np.ndarray, doc_free: np.ndarray, item: np.ndarray, least: int) ->
                 places.pop()
             if places:
                 j = places.pop()
+                if (doc[i : i + size] != item[j : j + size]).any():
+                    continue
                 doc_free[i : i + size] = item_free[j : j + size] = False
                 tiles.append((i, j, size))
                 end = i + size
+        if len(tiles) == before:  # equal hashes of unequal runs
+            most = size - 1
     return tiles
 
 
@@ -103,11 +111,46 @@ def _items(seed: int):
     return run
 
 
+def telling(item: np.ndarray, size: int, seeds: np.ndarray, docs: np.ndarray, threshold: float) -> np.ndarray:
+    """The seeds of an item, by the numbers of documents that have them, of which a leak has one at least: all but the most
+    frequent ones, which together cover less of the item than the threshold."""
+    at = _seeds_of(item, size)
+    order = np.lexsort((seeds, -docs))
+    covered = np.zeros(len(item), bool)
+    for k, seed in enumerate(seeds[order].tolist()):
+        for place in np.flatnonzero(at == np.uint64(seed)).tolist():
+            covered[place : place + size] = True
+        if covered.sum() >= threshold * len(item):
+            return seeds[order[k:]]
+    return seeds[:0]
+
+
+def _telling(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, size in enumerate(batch["size"].to_pylist()):
+                item, seeds, docs = (batch[c][i].values.to_numpy() for c in ("words", "seeds", "docs"))
+                kept = telling(item.view(np.uint64), size, seeds.view(np.uint64), docs, threshold).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["item"][i].as_py(), len(kept)), pa.int64()), pa.array(kept)], names=["item", "seed"])
+
+    return run
+
+
+def meetings(each: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(doc, item) pairs that share a telling seed. each: doc, seed, once; items: item, words, size, seeds."""
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    found = each.groupBy("seed").agg(F.count("*").alias("docs"))
+    own = seeds.join(found, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "docs")).alias("s"))
+    own = own.select("item", F.col("s.seed").alias("seeds"), F.col("s.docs").alias("docs")).join(items.select("item", "words", "size"), "item")
+    told = own.mapInArrow(words.tidy(_telling(threshold)), "item long, seed long")
+    return each.select("doc", "seed").join(written(told, "telling-seeds"), "seed").select("doc", "item").distinct()
+
+
 def _hits(known, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds = known.value, [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        table, kinds = known.value, [pa.list_(pa.int64())] * 3
         for batch in batches:
-            rows, lists = [], ([], [], [], [])
+            rows, lists = [], ([], [], [])
             for a, _, data, offsets in words.pieces(batch[2]):
                 w = words.words_of(data, offsets, words.MARKS)
                 each = np.diff(w.first)
@@ -126,14 +169,14 @@ def _hits(known, sizes: list[int]):
                 order = np.argsort(text, kind="stable")
                 cuts = np.searchsorted(text[order], np.arange(len(each) + 1))
                 for i in np.flatnonzero(np.diff(cuts)).tolist():
-                    kind, n = np.unique(seed[order[cuts[i] : cuts[i + 1]]], return_counts=True)
+                    kind = np.unique(seed[order[cuts[i] : cuts[i + 1]]])
                     spots = np.flatnonzero(under[w.first[i] : w.first[i + 1]])
                     rows.append(a + i)
-                    for held, v in zip(lists, (kind.view(np.int64), n, spots, w.hashes[w.first[i] + spots].view(np.int64)), strict=True):
+                    for held, v in zip(lists, (kind.view(np.int64), spots, w.hashes[w.first[i] + spots].view(np.int64)), strict=True):
                         held.append(v)
             if rows:
                 taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch[0].take(taken), batch[1].take(taken), *[pa.array(v, t) for v, t in zip(lists, kinds, strict=True)]], names=["doc_id", "t", "seeds", "places", "spots", "words"])
+                yield pa.RecordBatch.from_arrays([batch[0].take(taken), batch[1].take(taken), *[pa.array(v, t) for v, t in zip(lists, kinds, strict=True)]], names=["doc_id", "t", "seeds", "spots", "words"])
 
     return run
 
@@ -192,9 +235,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 4, threshold:
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) t", "cast(text as string) text")
     hits = written(docs.mapInArrow(words.tidy(_hits(known, sizes)), HITS).withColumn("doc", F.monotonically_increasing_id()), "seed-hits")
 
-    each = hits.select("doc", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc", F.col("x.seeds").alias("seed"), F.col("x.places").alias("n"))
-    pairs = each.join(seeds, "seed").groupBy("doc", "item").agg(F.sum("n").alias("n"))
-    some = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words"), "size"), "item").where(F.col("n") + F.col("size") - 1 >= F.least(F.col("size"), F.lit(threshold) * F.size("item_words")))
+    pairs = meetings(hits.select("doc", F.explode("seeds").alias("seed")), items, threshold)
+    some = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words"), "size"), "item")
     both = some.join(hits.select("doc", "doc_id", "t", "spots", "words"), "doc").select("doc_id", "t", "item_id", "spots", "words", F.col("item_words").alias("item"), "size")
     return both.mapInArrow(words.tidy(_tiled(threshold)), FOUND)
 

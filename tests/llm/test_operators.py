@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.llm import chat_format, decontaminate, graph, html_text, jaccard_join, language_id, line_dedup, media_ts, mixing, queries, rans, substring_dedup, tokens, words
+from patchloom.llm.common import written
 
 LONG = "word " * 60_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -769,6 +770,22 @@ def test_leaks_of_long_texts_and_odd_columns(spark):
     assert [(r.doc_id, r.bad_t) for r in decontaminate.clean(df.withColumn("_leakid", F.lit(1)), bench).collect()] == [(3, 3)]
 
 
+def test_a_phrase_of_all_items_and_documents_brings_nobody_together(spark):
+    phrase = "in the year of our lord and of the king"
+    item = lambda i: " ".join(f"w{i}x{k}" for k in range(14))
+    items = [(i, f"{phrase} {item(i)}") for i in range(60)] + [(60, "in the year of")]
+    docs = [(d, f"start {phrase} {'some other words of this document' if d % 10 else item(d // 10)} {d}") for d in range(300)]
+    table = spark.createDataFrame(items, "item_id long, text string").mapInArrow(words.tidy(decontaminate._items(4)), decontaminate.ITEMS)
+    table = written(table.withColumn("item", F.col("item_id")), "items")
+    hashes = lambda data: decontaminate._seeds_of(words.words_of(data, np.array([0, len(data)]), words.MARKS).hashes, 4)
+    seeds = [(d, int(h)) for d, text in docs for h in np.unique(hashes(np.frombuffer(text.encode(), np.uint8))).view(np.int64)]
+    met = decontaminate.meetings(spark.createDataFrame(seeds, "doc long, seed long"), table, 0.5).collect()
+    # the short item, which is all of the phrase, meets all documents; of the others each meets its own
+    assert {(r.doc, r.item) for r in met} == {(d, 60) for d in range(300)} | {(10 * i, i) for i in range(30)}
+    out = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(r.doc, r.item) for r in met}
+
+
 # 10
 
 
