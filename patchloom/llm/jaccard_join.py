@@ -4,11 +4,12 @@ Texts are sets of word shingles, as hashes, in one order of all sets: those that
 come last, by a bit table of fixed size, and else they go by hash. (The order changes what is compared, never which
 pairs are found.) If two sets are similar
 enough, their prefixes of n - ceil(t n) + l shingles share at least l, for every l. A prefix of l = 1 is enough to meet
-by, but some shingles are dear there: the documents that meet in them are many. So each document lengthens its prefix
-(by an eighth and SLACK shingles), joins by what is not dear in it, and a pair must share L shingles before it is
-verified, where L is what the shorter lengthening demands, less the dear ones that the pair may share unseen (those of
-the one that has fewer). A document with as many dear shingles as its lengthening has, and so without such a demand,
-meets all documents by the first shingle of their prefixes of l = 1 that they have in common.
+by, but some shingles are dear there: the documents that meet in them are many. So each document lengthens its prefix by
+what its candidates are estimated to cost: by little (SLACK shingles and a sixteenth) where the sample has seen none of
+its prefix often, and by LONGER more for each shingle that it has. It joins by what is not dear in its prefix, and a pair
+must share L shingles before it is verified, where L is what the shorter lengthening demands, less the dear ones that the
+pair may share unseen (those of the one that has fewer). A document with more dear shingles than its lengthening has, and
+so without such a demand, meets all documents by the first shingle of their prefixes of l = 1 that they have in common.
 
 Links are found in two rounds, so that a large group of near copies is not expanded into its pairs:
 
@@ -37,11 +38,11 @@ from patchloom.llm.common import Buckets, bit_table, odd_ids, written
 
 #: A shingle is dear if more documents than this lie outside of its largest component.
 DEAR = 24
-#: Shingles by which every prefix is lengthened, beside an eighth of it.
-SLACK = 8
+#: Shingles by which every prefix is lengthened, beside a sixteenth of it, and for each frequent shingle in it.
+SLACK, LONGER = 4, 2
 #: One document in SAMPLE is looked at for what is frequent; a shingle that OFTEN of them have comes last.
 SAMPLE, OFTEN = 8, 3
-STORED = "rid long, text string, n int, s1 long, s2 long, prefix array<long>"
+STORED = "rid long, text string, n int, slack int, s1 long, s2 long, prefix array<long>"
 
 
 def _need(n, percent: int):
@@ -49,10 +50,12 @@ def _need(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _kept(n: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles of a lengthened prefix."""
+def _lengthened(n: np.ndarray, often: np.ndarray, place: np.ndarray, text: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the prefix of l = 1 of each text, and by how many more it is lengthened. Of the shingles, text after
+    text: whether each is frequent, its place in its text, and its text."""
     core = np.where(n > 0, n - _need(n, percent) + 1, 0)
-    return np.minimum(n, core + core // 8 + SLACK)
+    costs = np.bincount(text[often & (place < core[text])], minlength=len(n))
+    return core, np.minimum(n - core, np.where(n > 0, SLACK + core // 16 + LONGER * costs, 0))
 
 
 def _core(n: Column, percent: int) -> Column:
@@ -60,12 +63,6 @@ def _core(n: Column, percent: int) -> Column:
     return n - F.floor((percent * n + 99) / F.lit(100)).cast("int") + 1
 
 
-def _slack(n: Column, percent: int) -> Column:
-    """By how many shingles a prefix is lengthened."""
-    core = _core(n, percent)
-    return F.least(n - core, F.floor(core / 8).cast("int") + SLACK)
-
-
 def _counted(k: int):
     """The shingles of some texts and how many of them have each; texts of equal sets count once in a stretch of them."""
 
@@ -89,12 +86,14 @@ def _stored(k: int, percent: int, often):
         table = often.value
         for batch in batches:
             for a, b, flat, sizes in words.flat_sets(batch[1], k):
-                last = words.in_bits(flat, table)
+                last, text = words.in_bits(flat, table), np.repeat(np.arange(b - a), sizes)
                 if last.any():
-                    flat = flat[np.argsort(2 * np.repeat(np.arange(b - a), sizes) + last, kind="stable")]
+                    order = np.argsort(2 * text + last, kind="stable")
+                    flat, last = flat[order], last[order]
                 ends = np.cumsum(sizes)
-                kept = _kept(sizes, percent)
                 place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+                core, slack = _lengthened(sizes, last, place, text, percent)
+                kept = core + slack
                 values = pa.array(flat[place < np.repeat(kept, sizes)].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), values)
                 one = words.mix(flat)
@@ -102,7 +101,7 @@ def _stored(k: int, percent: int, often):
                 for h in (one, words.mix(one ^ np.uint64(0x5851F42D4C957F2D))):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
                     signs.append(pa.array((sums[ends] - sums[ends - sizes]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch[0].slice(a, b - a), batch[1].slice(a, b - a), pa.array(sizes, pa.int32()), *signs, lists], names=["rid", "text", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch[0].slice(a, b - a), batch[1].slice(a, b - a), pa.array(sizes, pa.int32()), pa.array(slack, pa.int32()), *signs, lists], names=["rid", "text", "n", "slack", "s1", "s2", "prefix"])
 
     return run
 
@@ -120,7 +119,7 @@ def _sets(k: int):
 def _enough_shared(pairs: DataFrame, stored: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that share as many shingles of their lengthened prefixes as the shorter lengthening demands."""
     pairs = written(pairs, f"{name}-met")
-    side = lambda c: stored.select(F.col("rid").alias(c), _core(F.col("n"), percent).alias(f"core{c}"), _slack(F.col("n"), percent).alias(f"slack{c}"), F.col("prefix").alias(f"p{c}"))
+    side = lambda c: stored.select(F.col("rid").alias(c), _core(F.col("n"), percent).alias(f"core{c}"), F.col("slack").alias(f"slack{c}"), F.col("prefix").alias(f"p{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("more", F.least("slacka", "slackb"))
     first = lambda c: F.slice(f"p{c}", F.lit(1), F.col(f"core{c}") + F.col("more"))
     return both.where(F.size(F.array_intersect(first("a"), first("b"))) > F.col("more")).select("a", "b")
@@ -170,9 +169,9 @@ def _joined(texts: DataFrame, k: int, percent: int, dear: int = DEAR) -> DataFra
     whole = stored.where("n > 0").select("rid", "s1", "s2", "n")
     first = whole.groupBy("s1", "s2", "n").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = written(whole.join(first, ["s1", "s2", "n"]).where("rid <> first").select("rid", "first"), "copies")
-    single = stored.select("rid", "n", "prefix").where("n > 0").join(copies.select("rid"), "rid", "left_anti")
+    single = stored.select("rid", "n", "slack", "prefix").where("n > 0").join(copies.select("rid"), "rid", "left_anti")
     shared = written(single.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
-    rows = written(single.select("rid", "n", F.explode("prefix").alias("h")).join(shared, "h"), "matches")
+    rows = written(single.select("rid", "n", "slack", F.explode("prefix").alias("h")).join(shared, "h"), "matches")
 
     links = _to_pivots(rows, stored, k, percent)
     known = written(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "known")
@@ -205,12 +204,12 @@ def _to_pivots(rows: DataFrame, stored: DataFrame, k: int, percent: int) -> Data
 def _between(rows: DataFrame, known: DataFrame, stored: DataFrame, percent: int, dear: int) -> DataFrame:
     """Pairs (a, b) of documents in different components that share as many prefix shingles as similar ones do.
 
-    rows: rid, n, h, for the shingles of lengthened prefixes that several documents have."""
+    rows: rid, n, slack, h, for the shingles of lengthened prefixes that several documents have."""
     named = rows.join(known.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     each = named.groupBy("h", "component").agg(F.count("*").alias("c"))
     cost = each.groupBy("h").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).where("all > m.c")
     cost = written(cost.select("h", F.col("m.component").alias("major"), (F.col("all") - F.col("m.c")).alias("others")), "costs")
-    left = named.join(cost, "h").withColumn("dear", F.col("others") > dear).withColumn("slack", _slack(F.col("n"), percent))
+    left = named.join(cost, "h").withColumn("dear", F.col("others") > dear)
     unseen = left.groupBy("rid").agg(F.count_if("dear").cast("int").alias("unseen"))
     left = written(left.drop("others").join(unseen, "rid").withColumn("lost", F.col("unseen") > F.col("slack")), "apart")
 
