@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm import graph, words
-from patchloom.llm.common import Buckets, bit_table, odd_ids, written
+from patchloom.llm.common import Buckets, bit_table, join_groups, odd_ids, written
 
 #: A shingle is dear if more documents than this lie outside of its largest component.
 DEAR = 24
@@ -166,9 +166,9 @@ def _joined(texts: DataFrame, k: int, percent: int, dear: int = DEAR) -> DataFra
     path, stored = tables.paths[name], spark.table(name)
 
     # copies: one document of each set goes on
-    whole = stored.where("n > 0").select("rid", "s1", "s2", "n")
-    first = whole.groupBy("s1", "s2", "n").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = written(whole.join(first, ["s1", "s2", "n"]).where("rid <> first").select("rid", "first"), "copies")
+    whole = stored.where("n > 0").select("rid", F.struct("s1", "s2", "n").alias("s"))
+    first = written(whole.groupBy("s").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1").select("s", "first"), "firsts")
+    copies = written(join_groups(whole, first, "s").where("rid <> first").select("rid", "first"), "copies")
     single = stored.select("rid", "n", "slack", "prefix").where("n > 0").join(copies.select("rid"), "rid", "left_anti")
     shared = written(single.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     rows = written(single.select("rid", "n", "slack", F.explode("prefix").alias("h")).join(shared, "h"), "matches")
