@@ -110,13 +110,8 @@ def _scalar(text: str):
 
 
 def read_yaml(text: str) -> dict:
-    """Nested `key: value` lines of YAML by their indentation; with PyYAML at hand, any YAML."""
-    try:
-        import yaml
-    except ImportError:
-        pass
-    else:
-        return yaml.safe_load(text) or {}
+    """Nested `key: value` lines of YAML by their indentation, which is all that testcases' settings have: the same with
+    any set of packages. Lists and comments are passed over."""
     root: dict = {}
     open_at = [(-1, root)]
     for line in text.splitlines():

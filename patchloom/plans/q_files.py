@@ -31,6 +31,15 @@ def jsonl_round_trip(spark, d):
     return same.withColumn("missing", F.lit(False)).unionByName(readers.read_jsonl_or_empty(spark, f"{path}-none", TURN).withColumn("missing", F.lit(True)))
 
 
+@query("catalog_file", f"WITH {X.CATALOG} SELECT id::BIGINT AS id, name, description, CASE WHEN description IS NULL THEN 2 ELSE 3 END AS keys FROM catalog")
+def catalog_file(spark, d):
+    """A catalog as JSON lines that leave null keys out, read back; and the keys that each line has."""
+    path = scratch_path(spark, "catalog")
+    sinks.write_jsonl(X.catalog(spark, d), path, keep_nulls=False)
+    keys_of = spark.read.text(path).select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.size(F.json_object_keys("value")).alias("keys"))
+    return readers.read_catalog(spark, path).join(keys_of, "id")
+
+
 @query("split_lines", """SELECT CASE n_nationkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split,
   row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey)::BIGINT AS line, n_nationkey::BIGINT AS id, n_name AS name FROM nation""")
 def split_lines(spark, d):
@@ -216,10 +225,10 @@ def reloaded_generations(spark, d):
 
 @query("database_rows", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
 def database_rows(spark, d):
-    """A table of an embedded database, with values bound to a column. Where its driver is missing, of the test table."""
+    """A table of an embedded database, which Spark ships, read by four tasks side by side, with values bound to a column."""
     url = f"jdbc:derby:memory:d{scratch_path(spark, 'jdbc').rsplit('-', 1)[1]};create=true"
     X.table(spark, d, "nation").coalesce(1).write.format("jdbc").options(url=url, dbtable="nation").mode("overwrite").save()
-    return readers.read_database(spark, url, "nation", ["n_nationkey", "n_name"], {"n_regionkey": [1, 3]})
+    return readers.read_database(spark, url, "nation", ["n_nationkey", "n_name"], {"n_regionkey": [1, 3]}, partitionColumn="n_nationkey", lowerBound=0, upperBound=25, numPartitions=4)
 
 
 @query("changed_pairs", """WITH u AS (SELECT p_partkey, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b FROM part)
