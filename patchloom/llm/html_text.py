@@ -527,9 +527,12 @@ SAMPLE, LONGEST = 300, 1 << 18
 
 
 def sampled(pages: DataFrame, n: int = SAMPLE, longest: int = LONGEST) -> list[str]:
-    """n of the pages (html) of at most `longest` bytes, those of the least hashes."""
-    some = pages.select(F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= longest)
-    return [r.html for r in some.orderBy(F.xxhash64("html")).limit(n).collect()]
+    """n different pages (html) of at most `longest` bytes, those of the least hashes. Nothing but these pages, and
+    hashes, comes to the driver."""
+    some = pages.select(F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= longest).withColumn("h", F.xxhash64("html"))
+    last = some.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).head()[0]
+    found = some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")) if last is not None else some.limit(0)
+    return [r.html for r in sorted(found.collect(), key=lambda r: r.h)]
 
 
 def names_of(pages: list[str], least: int = 3) -> dict[str, float]:

@@ -589,6 +589,13 @@ def test_broken_pages_take_linear_time(model):
             assert time.perf_counter() - began < 5, piece
 
 
+def test_sampled_pages(spark):
+    df = spark.createDataFrame([("a" * 40,)] * 50 + [(f"page {i}",) for i in range(20)] + [(None,), ("long" * 100,)], "html string")
+    some = html_text.sampled(df, 5, 100)
+    assert len(some) == len(set(some)) == 5 and html_text.sampled(df.repartition(7), 5, 100) == some
+    assert len(html_text.sampled(df, 50, 100)) == 21 and html_text.sampled(df.limit(0)) == []
+
+
 def test_pages(spark, sf, model):
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One <b>bold</b>\n  line&nbsp;&#65;.<br>Next sentence here.<p>Two <script>x='</p>'</script>parts.</article><div class=comments><p>I disagree with all.</p></div><footer>(c)</footer>"
     assert model.text(page) == "T & U\nOne bold line A. Next sentence here.\nTwo parts."
