@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import python_text as P
 from patchloom.functions import text as T
 from patchloom.operators import chat, filters, reports, scoring, verify
-from patchloom.sources import readers, scratch, sinks
+from patchloom.sources import keys, readers, scratch, sinks
 from patchloom.streaming import resume
 
 
@@ -297,10 +297,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_jsonl(rows, str(tmp_path / "nulls"))
     found = [json.loads(line) for f in (tmp_path / "nulls").glob("part-*") for line in f.read_text().splitlines()]
     assert {"pair_id": "a", "note": None} in found
-    assert sinks.append_new(rows.unionByName(rows), str(tmp_path / "out")) == 2
-    assert sinks.append_new(rows.unionByName(spark.createDataFrame([("c", None)], rows.schema)), str(tmp_path / "out")) == 1
+    assert keys.append_new(rows.unionByName(rows), str(tmp_path / "out")) == 2
+    assert keys.append_new(rows.unionByName(spark.createDataFrame([("c", None)], rows.schema)), str(tmp_path / "out")) == 1
     assert sorted(r["note"] or "" for r in sinks.as_cells(rows).collect()) == ["", "x y"]
-    assert sinks.append_new(rows, str(tmp_path / "out")) == 0 and spark.read.json(str(tmp_path / "out")).count() == 3
+    assert keys.append_new(rows, str(tmp_path / "out")) == 0 and spark.read.json(str(tmp_path / "out")).count() == 3
     for _ in range(2):
         sinks.write_atomic(rows, str(tmp_path / "atomic"))
     (tmp_path / "atomic").rename(tmp_path / "atomic.old")  # a call that was cut off between its two moves
