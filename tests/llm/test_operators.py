@@ -829,7 +829,7 @@ def test_chat_round_trip(spark):
 def test_queries_against_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     out = c.execute(queries.ORACLES[name])
     names = [x[0] for x in out.description]
