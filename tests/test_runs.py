@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.operators import generate, verify
+from patchloom.functions.python_text import token_counter
+from patchloom.operators import chat, generate, verify
 from patchloom.sources.scratch import scratch_path
 from patchloom.streaming import verdicts
 
@@ -84,3 +85,17 @@ def test_verdicts_of_a_stream_in_any_order(spark, seed):
     want = verify.first_failure(spark.createDataFrame(rows, schema))
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert got.groupBy("code_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_tokens_of_a_tokenizer_file(spark):
+    known = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(known.path("byte_bpe_50k.json"))
+    texts = ["", None, "module top; endmodule", "Straße 日本 <|im_start|>", "a" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", token_counter(path)(F.col("t")).alias("n")).collect()}
+    one = tokenizers.Tokenizer.from_file(path)
+    assert got == {i: len(one.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    chats = df.select("i", F.array(F.struct(F.lit("user").alias("role"), F.coalesce("t", F.lit("")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("ok").alias("content"))).alias("messages"))
+    counts = {r.i: r for r in chat.token_counts(chats, "i", token_counter(path)).collect()}
+    assert counts[2].assistant == len(one.encode("ok", add_special_tokens=False).ids) and counts[2].full > counts[2].input > got[2]
