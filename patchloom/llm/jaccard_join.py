@@ -6,7 +6,7 @@ pairs are found.) If two sets are similar
 enough, their prefixes of n - ceil(t n) + l shingles share at least l, for every l. A prefix of l = 1 is enough to meet
 by, but some shingles are dear there: the documents that meet in them are many. So each document lengthens its prefix by
 what its candidates are estimated to cost: by little (SLACK shingles and an eighth) where the sample has seen none of its
-prefix often, and by LONGER more for each shingle that it has. It joins by what is not dear in its prefix, and a pair
+prefix often, and by one more for every LONGER shingles that it has. It joins by what is not dear in its prefix, and a pair
 must share L shingles before it is verified, where L is what the shorter lengthening demands, less the dear ones that the
 pair may share unseen (those of the one that has fewer). A document with more dear shingles than its lengthening has, and
 so without such a demand, meets all documents by the first shingle of their prefixes of l = 1 that they have in common.
@@ -38,8 +38,8 @@ from patchloom.llm.common import Buckets, bit_table, join_groups, odd_ids, writt
 
 #: A shingle is dear if more documents than this lie outside of its largest component.
 DEAR = 24
-#: Shingles by which every prefix is lengthened, beside an eighth of it, and for each frequent shingle in it.
-SLACK, LONGER = 8, 1
+#: Shingles by which every prefix is lengthened, beside an eighth of it, and frequent ones in it that make it longer by one.
+SLACK, LONGER = 8, 4
 #: One document in SAMPLE is looked at for what is frequent; a shingle that OFTEN of them have comes last.
 SAMPLE, OFTEN = 8, 3
 STORED = "rid long, text string, n int, slack int, s1 long, s2 long, prefix array<long>"
@@ -55,7 +55,7 @@ def _lengthened(n: np.ndarray, often: np.ndarray, place: np.ndarray, text: np.nd
     text: whether each is frequent, its place in its text, and its text."""
     core = np.where(n > 0, n - _need(n, percent) + 1, 0)
     costs = np.bincount(text[often & (place < core[text])], minlength=len(n))
-    return core, np.minimum(n - core, np.where(n > 0, SLACK + core // 8 + LONGER * costs, 0))
+    return core, np.minimum(n - core, np.where(n > 0, SLACK + core // 8 + costs // LONGER, 0))
 
 
 def _core(n: Column, percent: int) -> Column:
