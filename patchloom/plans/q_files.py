@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
+import shutil
 import tarfile
+import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from patchloom.operators import reports
@@ -223,11 +229,37 @@ def reloaded_generations(spark, d):
     return kept.unionByName(readers.generations(spark, f"{path}/none", f"{path}/results", kind).withColumn("source", F.lit("AC")))
 
 
+#: Types of columns that a shipped database can have.
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR(32672)"}
+
+
+def shipped_database(spark, rows, table: str) -> str:
+    """The URL of a database with one table that driver and executors can all open.
+
+    An embedded database in memory, or in a folder that one process has open, is no other process's. So it is written
+    here, by the driver, row by row (for tables of a few rows alone), closed, and added to the session as an archive,
+    which Spark brings to every executor and Derby reads, side by side, from the class path."""
+    folder, name, jvm = tempfile.mkdtemp(prefix="patchloom-"), f"d{uuid.uuid4().hex[:12]}", spark.sparkContext._jvm
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    connection = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{folder}/{name};create=true")
+    columns = ", ".join(f'"{c}" {KINDS[kind]}' for c, kind in rows.dtypes)
+    connection.createStatement().execute(f"CREATE TABLE {table} ({columns})")
+    put = connection.prepareStatement(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows.columns))})")
+    for row in rows.toLocalIterator():
+        for i, value in enumerate(row, 1):
+            put.setObject(i, value)
+        put.executeUpdate()
+    connection.close()
+    with contextlib.suppress(Py4JJavaError):  # a shutdown that succeeds is told by an exception
+        jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{folder}/{name};shutdown=true")
+    spark.sql(f"ADD JAR '{shutil.make_archive(f'{folder}/{name}', 'zip', folder, name)}'")
+    return f"jdbc:derby:classpath:{name}"
+
+
 @query("database_rows", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
 def database_rows(spark, d):
     """A table of an embedded database, which Spark ships, read by four tasks side by side, with values bound to a column."""
-    url = f"jdbc:derby:memory:d{scratch_path(spark, 'jdbc').rsplit('-', 1)[1]};create=true"
-    X.table(spark, d, "nation").coalesce(1).write.format("jdbc").options(url=url, dbtable="nation").mode("overwrite").save()
+    url = shipped_database(spark, X.table(spark, d, "nation"), "nation")
     return readers.read_database(spark, url, "nation", ["n_nationkey", "n_name"], {"n_regionkey": [1, 3]}, partitionColumn="n_nationkey", lowerBound=0, upperBound=25, numPartitions=4)
 
 
