@@ -87,6 +87,32 @@ def test_verdicts_of_a_stream_in_any_order(spark, seed):
     assert got.groupBy("code_id").count().where(F.col("count") > 1).count() == 0
 
 
+def test_verdicts_of_many_codes_take_few_calls(spark, monkeypatch):
+    """Ids of all kinds (below 0, far apart, none), and a call of Python for many codes."""
+    rng, rows = random.Random(4), []
+    for code in [None, -(2**62), 2**62, *range(-300, 4000)]:
+        total = rng.randint(1, 4)
+        rows += [(code, i, rng.choice(["passed", "passed", "bad", "late"]), total) for i in range(1, total + 1)]
+    rng.shuffle(rows)
+    schema = "code_id long, idx long, status string, total long"
+    source, out, counted = scratch_path(spark, "in"), scratch_path(spark, "out"), spark.sparkContext.accumulator(0)
+    for i in range(2):
+        spark.createDataFrame(rows[i::2], schema).coalesce(1).write.mode("append").json(source)
+    one = verdicts._verdicts
+
+    def watched(key, frames, state):
+        counted.add(1)
+        return one(key, frames, state)
+
+    monkeypatch.setattr(verdicts, "_verdicts", watched)
+    stream = verdicts.first_failures(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(verdicts.OUT).parquet(out)
+    want = verify.first_failure(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert 0 < counted.value < 100  # was one for each code and batch
+
+
 def test_tokens_of_a_tokenizer_file(spark):
     known = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
